@@ -10,6 +10,7 @@ from .html_text import extract_text
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
+from .suffix_dedup import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = mtree.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return mtree.top_inner_products(vectors, vectors.where("vec_id % 20 = 0"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_minhash": op4_minhash,
     "op5_media": op5_media,
+    "op6_suffixes": op6_suffixes,
     "op7_mtree": op7_mtree,
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
