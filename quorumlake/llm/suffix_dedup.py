@@ -270,7 +270,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     inside = solved.select(F.col("a").alias("sa"), "g", F.col("low").alias("s"), F.col("high").alias("e2"))
     of_runs = materialise(parts.select("a", "e", "g", F.col("low").alias("shift")).join(inside, (F.col("a") == F.col("sa")) & (parts["g"] == inside["g"])).select("a", "e", (F.col("shift") + F.col("s")).alias("s"), (F.col("shift") + F.col("e2")).alias("x")), "op6-of-runs")
     partial = unlike.join(of_runs, ["a", "e"]).select("t", (F.col("first") + F.col("s")).alias("low"), (F.col("first") + F.col("x")).alias("high"))
-    spans = whole.union(partial).distinct()
+    copied = materialise(distinct.where("c > 1").join(many, "a", "left_semi").select("a", "e"), "op6-copied")  # thinning looks at each distinct run once
+    spans = whole.union(partial).union(unlike.join(copied, ["a", "e"]).select("t", F.col("first").alias("low"), end)).distinct()
     return spans.groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
