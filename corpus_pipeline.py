@@ -1,7 +1,63 @@
-"""The corpus pipeline: language ID, near-duplicate removal, secret masking, mixing, packing."""
+"""The corpus pipeline: language ID, near-duplicate removal, secret masking, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
+result as Parquet into the shared folder and reads it for the next. All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quorumlake.llm import language, minhash, mixing, packing, secrets
+from quorumlake.llm.common import materialise
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier, trained on their labelled part, accepts."""
+    model = language.train(docs.where(~language.held_out()))
+    return language.identify(docs, model).where("accepted").select(*docs.columns)
+
+
+def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component; rows that share an id count as one."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with [secret] in the place of every secret."""
+    text = secrets.masked(F.coalesce("text", F.lit("")), F.col("found"))
+    hit = F.size("found") > 0
+    scanned = secrets.scan_secrets(docs).withColumn("text", F.when(hit, text).otherwise(F.col("text")))
+    return scanned.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them: not at all, or up to three times."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place in it."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("MinHash near-dedup", keep_one_per_group),
+    ("secret scans", mask_secrets),
+    ("mixing sources", mix),
+    ("best-fit packing", pack),
+]
+
+#: The first stage's classifier has no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -173,24 +173,25 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(languages, scores.astype(np.float32), bias, float(temperature), threshold)
 
 
-def identify(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's columns with lang_pred, score and accepted; only the text decides.
+def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep's columns (all, if None) with lang_pred, score and accepted; only the text decides.
 
     A text that is null or has no letter is und with score 0 and not accepted.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x languages
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in ("lang_pred", "score", "accepted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            found = [shared.value.predict(x.as_py()) for x in batch.column(text_col)]
             names, scores, accepted = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], [*batch.schema.names[:-1], "lang_pred", "score", "accepted"]
+                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], [*kept, "lang_pred", "score", "accepted"]
             )
 
-    others = [c for c in documents.columns if c not in ("lang_pred", "score", "accepted")]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*others).schema), "lang_pred string, score double, accepted boolean"])
-    return documents.select(*others, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    rows = documents.withColumn(text_col, F.col(text_col).cast("string")).select(*dict.fromkeys([*kept, text_col]))
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "lang_pred string, score double, accepted boolean"])
+    return rows.mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = language.train(docs.where(~language.held_out()))
-    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+    return language.identify(docs, model, keep=["doc_id"]).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
