@@ -14,7 +14,7 @@ MONTHS = ("jänner", "februar", "märz", "april", "mai", "juni", "juli", "august
 def iso(year: Column, month: Column, day: Column) -> Column:
     """YYYY-MM-DD if the parts make a calendar date, else empty."""
     joined = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.coalesce(F.date_format(F.try_to_date(joined, F.lit("yyyy-MM-dd")), "yyyy-MM-dd"), F.lit(""))
+    return F.coalesce(F.date_format(F.try_to_date(joined, "yyyy-MM-dd"), "yyyy-MM-dd"), F.lit(""))
 
 
 def from_german(value: Column) -> Column:

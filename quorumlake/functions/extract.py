@@ -124,7 +124,7 @@ def results(value: Column) -> Column:
 def parties(value: Column, label: str) -> Column:
     """Party names after a label in brackets."""
     named = F.regexp_extract(text(value), rf"(?i)\((?:{label}) *:? *([^)]+)\)", 1)
-    return F.filter(F.transform(F.split(named, r",| und "), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(named, r",| und "), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def vote_of(result: Column) -> Column:

@@ -134,7 +134,8 @@ def link_one_to_one(records: DataFrame, entries: DataFrame, block: list[str]) ->
         place = F.row_number().over(Window.partitionBy(*block).orderBy("place", "id"))
         return rows.select(*block, F.col("id").cast("long").alias("id"), text.match_text(F.col("title")).alias("norm"), place.cast("long").alias("place"))
 
-    return side(records).groupBy(*block).cogroup(side(entries).groupBy(*block)).applyInPandas(_assign, "record_id long, entry_id long, score double")
+    other = side(entries).withColumnsRenamed({c: f"entry_{c}" for c in block})
+    return side(records).groupBy(*block).cogroup(other.groupBy(*[f"entry_{c}" for c in block])).applyInPandas(_assign, "record_id long, entry_id long, score double")
 
 
 def related(rows: DataFrame, most: int = 6) -> DataFrame:

@@ -63,7 +63,7 @@ def rss_item(title: Column, link: Column, date: Column, body: Column) -> Column:
 
 def ics_escaped(value: Column) -> Column:
     out = F.replace(text.text(value), F.lit("\\"), F.lit("\\\\"))
-    for a, b in ((";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for a, b in ((";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

@@ -34,7 +34,7 @@ SELECT o_orderkey AS id, 'r' || CAST(o_orderkey AS STRING) AS record_id, {_DAY}
   CASE o_orderstatus WHEN 'F' THEN 'Der Antrag wurde mehrheitlich angenommen (Gegen: Grüne, Neos und KPÖ).'
     WHEN 'O' THEN 'Der geschäftsordnungsmäßigen Behandlung zugewiesen.'
     ELSE CASE o_custkey % 3 WHEN 0 THEN 'Der Zusatzantrag wurde abgelehnt (Zustimmung: SPÖ).' WHEN 1 THEN 'Wurde zur Kenntnis genommen.' ELSE 'Der Tagesordnungspunkt wurde einstimmig angenommen.' END END AS result_text,
-  'https://records.example.org/' || lower(p_brand) || '/doc?x=1&ref=' || CAST(o_orderkey AS STRING) || '#top' AS url,
+  'https://records.example.org/' || replace(lower(p_brand), '#', '') || '/doc?x=1&ref=' || CAST(o_orderkey AS STRING) || '#top' AS url,
   'von ' || CAST(EXTRACT(DAY FROM o_orderdate) AS STRING) || '.' || CAST(EXTRACT(MONTH FROM o_orderdate) AS STRING) || '. bis ' || CAST(EXTRACT(DAY FROM o_orderdate) AS STRING) || '.' ||
     CAST(EXTRACT(MONTH FROM o_orderdate) AS STRING) || '.' || CAST(EXTRACT(YEAR FROM o_orderdate) + o_orderkey % 3 AS STRING) AS period_text,
   c_mktsegment AS segment, o_totalprice AS price, o_custkey AS custkey
@@ -66,7 +66,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "status_text": found["status_text"],
             "numbers": extract.business_numbers(F.col("heading")),
             "amounts": extract.amounts(F.col("body")),
-            "places": F.array_distinct(F.regexp_extract_all(F.col("subject"), F.lit(extract.STREET), F.lit(0))),
+            "places": F.filter(F.array_distinct(extract.all_of(F.col("subject"), extract.STREET)), lambda p: ~F.lower(p).isin(*extract.NOT_PLACES)),
             "submitter": extract.submitter_of(F.col("heading")),
             "category": labels.category(F.col("subject")),
         }

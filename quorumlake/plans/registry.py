@@ -1,5 +1,7 @@
 """All registered queries of the records engine, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "search"
+from quorumlake.plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "search_documents"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -111,7 +111,7 @@ def news_items(spark: SparkSession, path: str) -> DataFrame:
     """(title, link, description, date) of an RSS feed's items with title and link."""
     raw = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
     said = F.regexp_extract("pubDate", r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4})", 1)
-    date = F.coalesce(F.date_format(F.try_to_date(said, F.lit("d MMM yyyy")), "yyyy-MM-dd"), F.lit(""))
+    date = F.coalesce(F.date_format(F.try_to_date(said, "d MMM yyyy"), "yyyy-MM-dd"), F.lit(""))
     items = raw.select(text.squeeze(F.col("title")).alias("title"), F.trim(text.text(F.col("link"))).alias("link"), text.squeeze(F.col("description")).alias("description"), date.alias("date"))
     return items.where((F.col("title") != "") & (F.col("link") != ""))
 
