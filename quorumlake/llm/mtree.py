@@ -27,18 +27,20 @@ from .common import materialise
 K = 20
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
-PAGE = 64
+PAGE = 512
 FAN_OUT = 12
 
 
 class Node:
     """A page of entries (leaf) or of nodes, under a routing object."""
 
-    __slots__ = ("centre", "children", "radius", "rows", "to_parent")
+    __slots__ = ("centre", "centres", "children", "radii", "radius", "rows", "to_parent")
 
     def __init__(self, centre: np.ndarray, rows: np.ndarray | None, children: list[Node] | None) -> None:
         self.centre, self.rows, self.children = centre, rows, children
-        self.radius, self.to_parent = 0.0, 0.0
+        self.radius = 0.0
+        #: Of the children: routing objects, covering radii, distances to this node's object.
+        self.centres = self.radii = self.to_parent = np.empty(0)
 
 
 def _away(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -46,21 +48,33 @@ def _away(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 class MTree:
-    """Bulk-loaded M-tree over the rows of points."""
+    """Bulk-loaded M-tree over points; order says which point stands at which place, pages being consecutive."""
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
         self.root = self._load(np.arange(len(points)), np.random.default_rng(7))
+        self.order = np.concatenate(self._pages(self.root, 0))
+        self.points = points[self.order]
         #: Each entry's distance to its leaf's routing object.
         self.to_centre = np.zeros(len(points))
         self._measure(self.root)
 
+    def _pages(self, node: Node, start: int) -> list[np.ndarray]:
+        """The leaves' rows in order, which then become ranges of places."""
+        if node.children is None:
+            rows, node.rows = node.rows, np.arange(start, start + len(node.rows))
+            return [rows]
+        pages: list[np.ndarray] = []
+        for child in node.children:
+            pages += self._pages(child, start + sum(map(len, pages)))
+        return pages
+
     def _load(self, rows: np.ndarray, rng: np.random.Generator) -> Node:
         middle = self.points[rows].mean(axis=0)
         centre = self.points[rows[int(np.argmin(_away(self.points[rows], middle)))]]
         if len(rows) <= PAGE:
             return Node(centre, rows, None)
-        seeds = self.points[rng.choice(rows, FAN_OUT, replace=False)]
+        seeds = self.points[rng.choice(rows, min(FAN_OUT, math.ceil(len(rows) / PAGE)), replace=False)]
         for _ in range(3):
             near = ((seeds**2).sum(axis=1) - 2 * self.points[rows] @ seeds.T).argmin(axis=1)
             seeds = np.array([self.points[rows[near == k]].mean(axis=0) if (near == k).any() else seeds[k] for k in range(len(seeds))])
@@ -76,56 +90,57 @@ class MTree:
             self.to_centre[below] = _away(self.points[below], node.centre)
         else:
             below = np.concatenate([self._measure(c) for c in node.children])
-            for child in node.children:
-                child.to_parent = float(np.sqrt(((child.centre - node.centre) ** 2).sum()))
+            node.centres = np.array([c.centre for c in node.children])
+            node.radii = np.array([c.radius for c in node.children])
+            node.to_parent = _away(node.centres, node.centre)
         node.radius = float(_away(self.points[below], node.centre).max())
         return below
 
     def search(self, query: np.ndarray, k: int, score, own: int) -> list[tuple[int, int]]:
-        """The k best (score, -id) pairs; score(rows) gives exact scores and ids, own is an id to leave out."""
-        slack = 1e-6 * (1.0 + float(np.sqrt((query**2).sum())) + self.root.radius)
+        """The k best (score, -id) pairs; score(places) gives exact scores and ids, own is an id to leave out."""
+        square = float((query**2).sum())
+        slack = 1e-6 * (1.0 + math.sqrt(square) + self.root.radius)
         best: list[tuple[int, int]] = []
         reach = math.inf  # the distance of the k-th best
-
-        def distance(node: Node) -> float:
-            return float(np.sqrt(((node.centre - query) ** 2).sum()))
-
-        at = distance(self.root)
-        heap = [(max(0.0, at - self.root.radius), 0, self.root, at)]
+        at = float(_away(self.root.centre[None, :], query)[0])
+        heap = [(0.0, 0, self.root, at)]
         ties = 0
         while heap:
             bound, _, node, at = heapq.heappop(heap)
             if bound > reach + slack:
                 break
             if node.rows is not None:
+                places: slice | np.ndarray = slice(int(node.rows[0]), int(node.rows[-1]) + 1)
                 # By the triangle inequality |at - to_centre| is a lower bound, without a distance being computed.
-                rows = node.rows[np.abs(at - self.to_centre[node.rows]) <= reach + slack]
-                if len(rows):
-                    scores, ids = score(rows)
-                    for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                        if i != own:
-                            if len(best) < k:
-                                heapq.heappush(best, (s, -i))
-                            elif (s, -i) > best[0]:
-                                heapq.heapreplace(best, (s, -i))
-                    if len(best) == k:
-                        reach = self._reach(query, best[0][0])
+                near = np.abs(at - self.to_centre[places]) <= reach + slack
+                if not near.all():
+                    places = node.rows[near]
+                    if not len(places):
+                        continue
+                scores, ids = score(places)
+                if len(best) == k:
+                    better = np.flatnonzero(scores >= best[0][0])
+                    scores, ids = scores[better], ids[better]
+                for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
+                    if i != own:
+                        if len(best) < k:
+                            heapq.heappush(best, (s, -i))
+                        elif (s, -i) > best[0]:
+                            heapq.heapreplace(best, (s, -i))
+                if len(best) == k:
+                    reach = math.sqrt(max(0.0, square + self.largest - 2.0 * best[0][0]))
                 continue
-            for child in node.children:
-                if abs(at - child.to_parent) - child.radius > reach + slack:
-                    continue
-                d = distance(child)
-                if d - child.radius <= reach + slack:
+            near = np.flatnonzero(np.abs(at - node.to_parent) - node.radii <= reach + slack)
+            away = _away(node.centres[near], query)
+            for c, d, low in zip(near.tolist(), away.tolist(), (away - node.radii[near]).tolist(), strict=True):
+                if low <= reach + slack:
                     ties += 1
-                    heapq.heappush(heap, (max(0.0, d - child.radius, bound), ties, child, d))
+                    heapq.heappush(heap, (max(low, bound), ties, node.children[c], d))
         return sorted(best, reverse=True)
 
     #: M^2, set by the shard.
     largest = 0.0
 
-    def _reach(self, query: np.ndarray, score: int) -> float:
-        return math.sqrt(max(0.0, float((query**2).sum()) + self.largest - 2.0 * score))
-
 
 def _pack(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """One row per group of about limit vectors of one dimension: their ids and components."""
@@ -148,13 +163,14 @@ def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tree = MTree(np.column_stack([x.astype(float), np.sqrt(norms.max() - norms)]))
             tree.largest = float(norms.max())
             exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2**53
-            xs = x.astype(float) if exact else x
+            ids = ids[tree.order]
+            xs = np.ascontiguousarray(x[tree.order].astype(float) if exact else x[tree.order])
             found = []
             for own, vector in zip(queries.tolist(), q, strict=True):
                 v = vector.astype(xs.dtype)
 
-                def score(rows: np.ndarray, v: np.ndarray = v) -> tuple[np.ndarray, np.ndarray]:
-                    return (xs[rows] @ v).astype(np.int64), ids[rows]
+                def score(places: slice | np.ndarray, v: np.ndarray = v) -> tuple[np.ndarray, np.ndarray]:
+                    return xs[places] @ v, ids[places]
 
                 found += [(own, -i, s) for s, i in tree.search(np.append(vector.astype(float), 0.0), K, score, own)]
             yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
