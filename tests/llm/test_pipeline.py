@@ -1,0 +1,29 @@
+import pytest
+
+import corpus_pipeline
+from quorumlake.llm import minhash, secrets
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+def test_run_gives_each_taken_document_whole(spark):
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    fills = {}
+    for r in rows:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert rows and max(fills.values()) <= 4096
+    pieces = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows}
+    assert len({p[:2] for p in pieces}) == len(pieces)
+
+
+def test_stages_keep_columns_and_take_effect(spark, docs):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
+    kept = corpus_pipeline.keep_one_per_group(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in minhash.near_duplicates(docs).where("kept").collect()}
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    found = secrets.scan_secrets(masked).where("size(found) > 0").count()
+    assert found == 0 and masked.count() == docs.count()
