@@ -10,9 +10,11 @@ distinct five-word shingles (all its words as one shingle where there are fewer)
    with all. Bit counts of the packed signatures give a similarity corrected for
    chance collisions; pairs well below the threshold go, the others are
    confirmed on the full sets.
-3. Components are labelled; buckets that still span several components compare
-   the nodes outside the bucket's largest component with the rest, so that no
-   link is lost however the pivots fell.
+3. Components are labelled; in buckets that still span several components, those
+   outside the largest one are compared with all others, so that no link is lost
+   however the pivots fell. Nodes are dealt into blocks of bounded size for this:
+   a row is a pair of blocks, its task compares signatures and then full sets,
+   and only links that join two components come out, not the pairs.
 
 With four rows and 32 bands a pair at similarity 0.75 shares a bucket with
 probability 1 - (1 - 0.75^4)^32 > 0.99999; the signature estimate has a standard
@@ -162,6 +164,113 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, label: str)
     return materialise(full.mapInArrow(_confirmed, "a binary, b binary").distinct(), f"{label}-links")
 
 
+#: Nodes of a bucket that are compared in one task with as many others.
+BLOCK_NODES = 512
+_FULL_BITS = 1 << 16
+
+
+def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks the nodes involved and, as places among them, the pairs to confirm.
+
+    A pair of nodes counts in the first band that both share.
+    """
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for row in batch.to_pylist():
+            left, right = row["left"], row["right"]
+            x, y = (np.array([n["bits"] for n in side], np.int64).view(np.uint64) for side in (left, right))
+            differ = np.zeros((len(x), len(y)), np.int64)
+            for k in range(x.shape[1]):
+                unlike = x[:, None, k] ^ y[None, :, k]
+                differ += np.bitwise_count((unlike | (unlike >> np.uint64(1))) & np.uint64(0x5555555555555555))
+            names = {c: i for i, c in enumerate(dict.fromkeys(n["component"] for side in (left, right) for n in side))}
+            p, q = (np.array([names[n["component"]] for n in side]) for side in (left, right))
+            main = names.get(row["main"], -1)
+            near = (((PERMUTATIONS - differ) / PERMUTATIONS - 0.25) / 0.75 >= ESTIMATE_CUT) & (p[:, None] != q[None, :]) & ((p[:, None] != main) | (q[None, :] != main))
+            if row["x"] == row["y"]:
+                near &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+            i, j = np.nonzero(near)
+            if len(i):
+                bands_x, bands_y = (np.array([n["bands"] for n in side], np.int64) for side in (left, right))
+                first = np.full(len(i), -1)
+                for k in range(BANDS - 1, -1, -1):
+                    first[bands_x[i, k] == bands_y[j, k]] = k
+                here = bands_x[i, first] == row["band"]
+                i, j = i[here], j[here]
+            if len(i):
+                ui, uj = np.unique(i), np.unique(j)
+                nodes = [left[k]["node"] for k in ui] + [right[k]["node"] for k in uj]
+                flat = np.stack([np.searchsorted(ui, i), len(ui) + np.searchsorted(uj, j)], axis=1).ravel()
+                for column, value in zip(out, (row["band"], row["x"], row["y"], nodes, flat.astype(np.int32)), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), ["band", "x", "y", "nodes", "pairs"])
+
+
+def _joined_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block pair's candidates, links confirmed on full sets that join nodes not yet joined here."""
+    for batch in batches:
+        left: list[bytes] = []
+        right: list[bytes] = []
+        for row in batch.to_pylist():
+            sets: dict[bytes, np.ndarray] = {}
+            for t in row["texts"]:
+                if t["node"] not in sets and digest(h := shingles(t["text"])) == t["node"]:
+                    sets[t["node"]] = h
+            nodes, pairs = row["nodes"], np.array(row["pairs"]).reshape(-1, 2)
+            group = list(range(len(nodes)))
+
+            def find(k: int, group: list[int] = group) -> int:
+                while group[k] != k:
+                    group[k] = group[group[k]]
+                    k = group[k]
+                return k
+
+            words = np.unique(np.concatenate([sets[n] for n in nodes]))
+            bits = None
+            if len(words) <= _FULL_BITS:
+                bits = np.zeros((len(nodes), -(-len(words) // 64) * 8), np.uint8)
+                for k, n in enumerate(nodes):
+                    marked = np.zeros(bits.shape[1] * 8, bool)
+                    marked[np.searchsorted(words, sets[n])] = True
+                    bits[k] = np.packbits(marked)
+                bits = bits.view(np.uint64)
+            sizes = np.array([len(sets[n]) for n in nodes])
+            cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+            for part in np.split(pairs, cuts):
+                i, js = int(part[0, 0]), part[:, 1]
+                if bits is not None:
+                    both = np.bitwise_count(bits[i] & bits[js]).sum(axis=1, dtype=np.int64)
+                else:
+                    both = np.array([len(np.intersect1d(sets[nodes[i]], sets[nodes[j]], assume_unique=True)) for j in js])
+                for j in js[100 * both >= THRESHOLD_PERCENT * (sizes[i] + sizes[js] - both)].tolist():
+                    if (a := find(i)) != (b := find(j)):
+                        group[b] = a
+                        left.append(nodes[i])
+                        right.append(nodes[j])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between components in open buckets (band, node, component, main, n)."""
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(BLOCK_NODES)))
+    full = members.withColumn("blk", block).join(nodes.select("node", "bands", "bits"), "node")
+    one = F.struct("node", "component", "bands", "bits")
+    blocks = materialise(
+        full.groupBy("band", "blk", "main").agg(F.collect_list(one).alias("held"), F.bool_or(F.col("component") != F.col("main")).alias("outside")),
+        "op4-blocks",
+    )
+    a = blocks.select("band", "main", F.col("blk").alias("x"), F.col("held").alias("left"), F.col("outside").alias("ox"))
+    b = blocks.select("band", F.col("blk").alias("y"), F.col("held").alias("right"), F.col("outside").alias("oy"))
+    facing = a.join(b, "band").where("x <= y AND (ox OR oy)").select("band", "x", "y", "main", "left", "right")
+    near = materialise(facing.mapInArrow(_near_in_blocks, "band long, x long, y long, nodes array<binary>, pairs array<int>"), "op4-facing")
+    owner = nodes.select("node", F.col("id").alias("owner"))
+    wanted = near.select(F.explode("nodes").alias("node")).distinct().join(owner, "node")
+    texts = materialise(documents.join(wanted, F.col("id").eqNullSafe(F.col("owner"))).select("node", "text"), "op4-second-texts")
+    held = near.select("band", "x", "y", F.explode("nodes").alias("node")).join(texts, "node").groupBy("band", "x", "y").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
+    return materialise(near.join(held, ["band", "x", "y"]).select("nodes", "pairs", "texts").mapInArrow(_joined_in_blocks, "a binary, b binary").distinct(), "op4-second-links")
+
+
 def components(links: DataFrame, label: str) -> DataFrame:
     """(node, component) of every node with a link: the smallest node reachable.
 
@@ -212,13 +321,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     largest = materialise(
-        sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1"),
+        sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts"),
         "op4-main",
     )
-    outside = materialise(members.join(largest, "band").where("component != main").select("band", "node", "component"), "op4-outside")
-    others = members.select("band", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    rest = outside.join(others, "band").where("component != other_component").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    more = _links(materialise(rest, "op4-rest").join(materialise(pairs, "op4-pairs"), ["a", "b"], "left_anti"), nodes, docs, "op4-second")
+    more = _block_links(members.join(largest, "band"), nodes, docs)
     if not more.isEmpty():
         labels = components(links.union(more), "op4-second")
 
