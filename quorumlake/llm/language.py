@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 BUCKET_BITS = 15
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
@@ -131,8 +133,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     dice = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(_SEED)), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.select("*", dice.alias("dice")).join(sizes, "lang").where(F.col("dice") * F.col("n") < SAMPLE_PER_LANGUAGE).orderBy("dice", "id").limit(SAMPLE_MOST)
-    got = sample.select("id", "lang", "text").mapInArrow(_count, "id string, lang string, keys array<int>, times array<int>").toArrow().to_pylist()
+    # Ids are chosen first, so that only the chosen rows' texts leave their scan; the choice is bounded, so it is broadcast.
+    chosen = rows.select("id", "lang", dice.alias("dice")).join(sizes, "lang").where(F.col("dice") * F.col("n") < SAMPLE_PER_LANGUAGE)
+    chosen = materialise(chosen.orderBy("dice", "id").limit(SAMPLE_MOST).select("id", "lang").distinct(), "op2-sample")
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
+    got = sample.mapInArrow(_count, "id string, lang string, keys array<int>, times array<int>").limit(SAMPLE_MOST).toArrow().to_pylist()
     got = sorted((r for r in got if r["keys"]), key=lambda r: (r["id"] or "", r["lang"], len(r["keys"])))
     languages = tuple(sorted({r["lang"] for r in got}))
     if not languages:
