@@ -103,7 +103,7 @@ def decision(status: Column, archive: Column) -> Column:
 
 
 #: What an archive file is, by the first word in its name.
-ASSET_KINDS = (("fragestunde", "question_hour"), ("tagesordnung", "agenda"), ("mitteilung", "communications"), ("dringlich", "urgent_motions"), ("antr[aä]g", "motions"), ("anfrage", "questions"), ("anwesenheit", "attendance"), ("protokoll", "protocol"))
+ASSET_KINDS = (("fragestunde", "question_hour"), ("tagesordnung", "agenda"), ("mitteilung", "communications"), ("dringlich", "urgent_motions"), ("antr(ae?|ä)g", "motions"), ("anfrage", "questions"), ("anwesenheit", "attendance"), ("protokoll", "protocol"))
 
 
 def asset_kind(label: Column, url: Column) -> Column:

@@ -43,7 +43,7 @@ def inherit(base: DataFrame, donors: DataFrame, keys: list[str], columns: list[s
         useful = useful | ~empty(F.col(c), kinds[c])
     first = first_per_key(donors.where(~blank & useful), keys, order).select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
     joined = base.join(first, keys, "left")
-    return joined.withColumns({c: F.when(empty(F.col(c), kinds[c]), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).select(*base.columns)
+    return joined.withColumns({c: F.when(empty(F.col(c), kinds[c]), F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).select(*base.columns)
 
 
 def merge_missing(base: DataFrame, extra: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -251,7 +251,7 @@ def p46_groups_and_confidence(s, d):
 
 @query(
     r"""SELECT page_id, pos::INT AS pos, href, CASE WHEN regexp_matches(x, 'fragestunde') THEN 'question_hour' WHEN regexp_matches(x, 'tagesordnung') THEN 'agenda' WHEN regexp_matches(x, 'mitteilung') THEN 'communications' WHEN regexp_matches(x, 'dringlich') THEN 'urgent_motions'
-    WHEN regexp_matches(x, 'antr[aä]g') THEN 'motions' WHEN regexp_matches(x, 'anfrage') THEN 'questions' WHEN regexp_matches(x, 'anwesenheit') THEN 'attendance' WHEN regexp_matches(x, 'protokoll') THEN 'protocol' ELSE 'other' END AS kind,
+    WHEN regexp_matches(x, 'antr(ae?|ä)g') THEN 'motions' WHEN regexp_matches(x, 'anfrage') THEN 'questions' WHEN regexp_matches(x, 'anwesenheit') THEN 'attendance' WHEN regexp_matches(x, 'protokoll') THEN 'protocol' ELSE 'other' END AS kind,
     regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target, label FROM
     (SELECT page_id, url, unnest(range(0, len(h))) AS pos, h[unnest(range(0, len(h))) + 1] AS href, """
     + squeeze_sql("l[unnest(range(0, len(h))) + 1]")

@@ -1,5 +1,6 @@
 """All registered queries of the records engine, with the SQL that gives the same rows."""
 
+from quorumlake.plans import more_queries  # noqa: F401  registers its queries
 from quorumlake.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_documents"
