@@ -55,8 +55,10 @@ JOIN_PREFIX = 3
 def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, record_id, score, fields): weights of the chunks that hold a term with one of the query's prefixes."""
     stems = query_terms(queries).withColumn("lead", F.substring("stem", 1, JOIN_PREFIX))
-    led = index.withColumn("lead", F.substring("term", 1, JOIN_PREFIX))
-    hit = led.join(stems, "lead").where(F.startswith("term", "stem")).select("query_id", "record_id", "chunk_id", "field", "weight").distinct()
+    # Prefixes are looked up among the distinct terms; postings then meet whole terms only.
+    known = index.select("term").distinct().withColumn("lead", F.substring("term", 1, JOIN_PREFIX))
+    terms = known.join(stems, "lead").where(F.startswith("term", "stem")).select("query_id", "term").distinct()
+    hit = index.join(terms, "term").select("query_id", "record_id", "chunk_id", "field", "weight").distinct()
     return hit.groupBy("query_id", "record_id").agg(F.round(F.sum("weight"), 3).alias("score"), F.array_sort(F.collect_set("field")).alias("fields"))
 
 
@@ -67,8 +69,8 @@ def rescored(found: DataFrame, queries: DataFrame, records: DataFrame) -> DataFr
     its bonus, the whole query 20.
     """
     asked = queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens"), text.fold(F.col("query")).alias("folded"))
-    rows = found.join(asked, "query_id").join(records, "record_id")
-    title, body = text.fold(F.col("title")), text.fold(F.concat_ws(" ", "title", "body"))
+    folded = records.withColumns({"__title": text.fold(F.col("title")), "__body": text.fold(F.concat_ws(" ", "title", "body"))})
+    rows = found.join(asked, "query_id").join(folded, "record_id")
     held = F.size(F.filter("tokens", lambda t: text.holds(F.col("__body"), t)))
     in_title = F.size(F.filter("tokens", lambda t: text.holds(F.col("__title"), t)))
     bonus = F.create_map(*[F.lit(x) for pair in FIELD_BONUS.items() for x in pair])
@@ -82,7 +84,7 @@ def rescored(found: DataFrame, queries: DataFrame, records: DataFrame) -> DataFr
         + field_bonus
         + F.when(F.contains("__body", "folded"), 20).otherwise(0)
     )
-    counted = rows.withColumns({"__title": title, "__body": body}).withColumns({"held": held, "in_title": in_title})
+    counted = rows.withColumns({"held": held, "in_title": in_title})
     return counted.withColumn("score", F.round(score, 3)).drop("__title", "__body", "tokens", "folded", "held", "in_title")
 
 
