@@ -54,16 +54,27 @@ CLOSED_BY = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "option": frozenset({"option", "optgroup"}),
 }
+#: Those of them that mark readers' words, never a wrapper around the article.
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus".split())
+#: Marked text that outweighs the rest so many times comes from a marked wrapper around the article.
+WRAPPED = 4
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Why an element's text is left out: by its tag, or by its name only.
+LEFT_OUT, BY_NAME = 1, 2
+
+
 class _Blocks(HTMLParser):
     """Text blocks of a page: (path of open elements, text)."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: frozenset[str] = BOILERPLATE_WORDS) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, label, number, left out
+        self.words = words
+        self.kept = self.marked_out = 0
+        self.by_name = False
+        self.open: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, label, number, left out
         self.blocks: list[tuple[tuple, str]] = []
         self.text: list[str] = []
         self.count = 0
@@ -92,7 +103,10 @@ class _Blocks(HTMLParser):
         if tag == "hr":
             return
         self.count += 1
-        left_out = self.open[-1][3] or tag in UNSEEN_TAGS or self.marked(tag, attrs)
+        self.by_name = False
+        left_out = self.open[-1][3] or (LEFT_OUT if tag in UNSEEN_TAGS else self.marked(tag, attrs) and (BY_NAME if self.by_name else LEFT_OUT))
+        if tag in UNSEEN_TAGS or tag in BOILERPLATE_TAGS:
+            left_out = left_out and LEFT_OUT
         self.open.append((tag, tag if block else "", self.count, left_out))
 
     def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -106,7 +120,8 @@ class _Blocks(HTMLParser):
                 continue
             if name == "role" and value.lower() in BOILERPLATE_ROLES:
                 return True
-            if name in ("class", "id") and any(w in BOILERPLATE_WORDS for w in _WORD.findall(value.lower())) and not (tag == "header" and inside):
+            if name in ("class", "id") and (found := self.words.intersection(_WORD.findall(value.lower()))) and not (tag == "header" and inside):
+                self.by_name = not found & COMMENT_WORDS
                 return True
         return False
 
@@ -127,13 +142,20 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open[-1][3]:
             self.text.append(data)
+            self.kept += len(data)
+        elif self.open[-1][3] == BY_NAME:
+            self.marked_out += len(data)
 
 
 def blocks(html: str) -> list[tuple[tuple, str]]:
-    page = _Blocks()
-    page.feed(html)
-    page.close()
-    page.cut()
+    """The page's text blocks; names count for less where they mark a wrapper around most of the text."""
+    for words in (BOILERPLATE_WORDS, COMMENT_WORDS):
+        page = _Blocks(words)
+        page.feed(html)
+        page.close()
+        page.cut()
+        if page.marked_out <= WRAPPED * page.kept:
+            break
     return page.blocks
 
 

@@ -78,6 +78,12 @@ def test_html_main_text():
     assert html_text.main_text("plain, text. only") == "plain, text. only"
 
 
+def test_html_marked_wrapper_around_the_article():
+    body = "This is a sentence, with some words. " * 20
+    page = f"<body><div class='content-sidebar-wrap'><div class='entry'><h1>T</h1><p>{body}</p></div></div><div class='comments'><p>{body * 9}</p></div></body>"
+    assert html_text.main_text(page) == f"T\n\n{body.strip()}"
+
+
 def test_html_columns(spark):
     pages = spark.createDataFrame([(1, None, "a"), (2, "<p>é</p>", "b")], "page_id long, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(pages).orderBy("page_id").collect()] == [(1, "", 0), (2, "é", 1)]
