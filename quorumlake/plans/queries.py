@@ -545,14 +545,14 @@ def j6_similar_titles_exact(s, d):
 @query()
 def j6_similar_titles(s, d):
     a, b = _halves(s, d)
-    return link.similar_titles(a, b, ["date"])
+    return link.similar_titles(a, b, ["date"], least=0.6)
 
 
 @query()
 def j7_linkage(s, d):
     a, b = _halves(s, d)
-    side = lambda r: r.select("date", "segment", "id", "title", F.col("item_no").alias("place"))
-    return link.link_one_to_one(side(a), side(b), ["date", "segment"])
+    side = lambda r: r.select("date", "id", "title", F.col("item_no").alias("place"))
+    return link.link_one_to_one(side(a), side(b), ["date"])
 
 
 @query(
