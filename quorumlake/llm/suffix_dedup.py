@@ -85,8 +85,8 @@ def runs(data: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-#: Distinct runs of an anchor beyond which they are thinned out before they meet in a task.
-MANY_RUNS = 128
+#: Distinct runs of an anchor (some 2 MB) beyond which they are thinned out before they meet in a task.
+MANY_RUNS = 8192
 #: Bytes whose suffixes are sorted together, unless one anchor alone has more.
 SHARD_BYTES = 1 << 17
 
@@ -255,7 +255,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     distinct = materialise(unlike.groupBy("a", "e").agg(F.count("*").alias("c"), F.min(F.struct("t", "first", "n")).alias("at")), "op6-distinct")
     many = materialise(distinct.groupBy("a").agg(F.count("*").alias("d")).where(f"d > {MANY_RUNS}"), "op6-many")
     wanted = distinct.join(many, "a", "left").select("at.t", F.struct("a", "e", "c", F.coalesce("d", F.lit(0)).alias("d"), "at.first", "at.n").alias("w")).groupBy("t").agg(F.collect_list("w").alias("wanted"))
-    sources = texts.select("t", "text").join(materialise(wanted, "op6-wanted"), "t").dropDuplicates(["t"]).select("text", "wanted")
+    sources = texts.select("t", "text").dropDuplicates(["t"]).join(materialise(wanted, "op6-wanted"), "t").select("text", "wanted")
     stretches = materialise(sources.mapInArrow(_emit_stretches, "a long, e long, c long, d long, bytes binary"), "op6-stretches")
 
     windows = materialise(stretches.where("d > 0").select("a", "e", "bytes").mapInArrow(_emit_windows, "a long, e long, at long, h long"), "op6-windows")

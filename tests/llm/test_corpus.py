@@ -168,7 +168,7 @@ def test_suffix_sorting():
         assert list(grouping.suffix_array(data)) == sorted(range(len(data)), key=lambda i: data[i:])
 
 
-@pytest.mark.parametrize("many", [1, 128])
+@pytest.mark.parametrize("many", [1, 8192])
 def test_repeats_against_brute_force(spark, odd, empty, many, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MANY_RUNS", many)
     rng = random.Random(6)
