@@ -139,3 +139,44 @@ def osm_address(tags: Column) -> Column:
 
 def archive_record(kind: Column) -> Column:
     return kind.isin("archive_source", "archive_agenda_item", "attendance_list")
+
+
+#: Parties by the first sign in a label.
+PARTIES = (("kpö", "KPÖ"), ("grüne", "Grüne"), ("övp", "ÖVP"), ("spö", "SPÖ"), ("fpö", "FPÖ"), ("neos", "Neos"))
+
+
+def party(value: Column) -> Column:
+    """The first party whose sign occurs, else 'ohne Klub'."""
+    plain = F.lower(text(value))
+    return F.coalesce(*[F.when(F.contains(plain, F.lit(sign)), F.lit(name)) for sign, name in PARTIES], F.lit("ohne Klub"))
+
+
+def member_name(value: Column) -> Column:
+    """A label's name without brackets and titles; 'Last, First' is turned round."""
+    plain = F.regexp_replace(text(value), r"\([^)]*\)", " ")
+    plain = F.regexp_replace(plain, r"(^| )((Mag\.a?|Dr\.in|Dr\.|DI|Ing\.|MSc|BA|MA|Bakk\.)( +|$))+", " ")
+    plain = F.trim(F.regexp_replace(plain, " +", " "))
+    return F.when(F.contains(plain, F.lit(",")), F.concat(F.trim(F.regexp_extract(plain, "^[^,]*,(.*)$", 1)), F.lit(" "), F.trim(F.regexp_extract(plain, "^([^,]*),", 1)))).otherwise(plain)
+
+
+def file_title(url: Column) -> Column:
+    """A file's name in a URL as words, without date, number and ending."""
+    name = F.regexp_replace(F.try_url_decode(F.regexp_extract(text(url), "([^/?#]*)([?#].*)?$", 1)), r"\.[A-Za-z]{3,4}$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{6}", " "), "[_+-]+", " "), " +", " "))
+
+
+#: Titles that say nothing.
+GENERIC_TITLES = ("antrag", "anfrage", "dringlicher antrag", "tagesordnungspunkt", "mitteilung", "fragestunde", "betreff", "bericht", "ohne titel")
+
+
+def generic_title(value: Column) -> Column:
+    """Whether a title is only a record type, a number or a role."""
+    plain = F.trim(F.lower(text(value)))
+    return plain.isin(*GENERIC_TITLES) | F.rlike(plain, F.lit(r"^(stk\.? *)?[0-9]*[.)]?$|^(gr|grin|klubobmann|stadtrat)( |$)"))
+
+
+def geocoding_text(value: Column) -> Column:
+    """A street text for look-up: the first of a crossing's streets, house ranges cut to their start, no brackets."""
+    plain = F.regexp_replace(text(value), r"\([^)]*\)", " ")
+    plain = F.regexp_replace(plain, r" *(/|–| bis | und | Kreuzung ).*$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"([0-9]+) *- *[0-9]+", "$1"), " +", " "))
