@@ -4,8 +4,9 @@ A page is a sequence of text blocks, each under its root-to-leaf path of block
 tags. For every path the text length and the punctuation marks per block are
 summed up (text-to-path and punctuation-to-path ratios), their logarithms are
 smoothed along the page and fused by multiplication, and blocks above a share of
-the ratios' standard deviation seed the content. The smallest container with most
-of the seeds' text is the article; its blocks are the result, other than those
+the ratios' standard deviation seed the content. The article and main elements are
+the article where they hold half of the seeds' text, or else the smallest container
+of all seeds, from the headline before it; its blocks are the result, other than those
 under tags or class names that mark menus, notices, adverts, comments and the like.
 """
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 SMOOTH = (0.054, 0.242, 0.399, 0.242, 0.054)
 THRESHOLD = 0.5
-#: Share of the seeds' text that the article's container must hold.
-CONTAINED = 0.8
+ARTICLE_TAGS = frozenset({"article", "main"})
+#: Tags that hold the blocks of an article; lists, tables and the like are its parts.
+CONTAINER_TAGS = ARTICLE_TAGS | {"html", "body", "section", "div", "center"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：·]")
 
 #: Tags of HTML.
@@ -54,9 +56,12 @@ CLOSED_BY = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "option": frozenset({"option", "optgroup"}),
 }
-#: Those of them that mark readers' words, never a wrapper around the article.
-COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus".split())
-#: Marked text that outweighs the rest so many times comes from a marked wrapper around the article.
+#: Those of them that mark readers' words, adverts or notices, never a wrapper around the article.
+NO_WRAPPER_WORDS = frozenset(
+    "comment comments commentlist respond replies reply disqus ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "cookie cookies consent gdpr popup newsletter subscribe subscription signup login".split()
+)
+#: Text marked by names that outweighs the rest so many times may come from a marked wrapper around the article.
 WRAPPED = 4
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -67,12 +72,13 @@ LEFT_OUT, BY_NAME = 1, 2
 
 
 class _Blocks(HTMLParser):
-    """Text blocks of a page: (path of open elements, text)."""
+    """Text blocks of a page: (path of open elements, text); names of elements in passed count for nothing, of all where it is None."""
 
-    def __init__(self, words: frozenset[str] = BOILERPLATE_WORDS) -> None:
+    def __init__(self, passed: frozenset[int] | None = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.words = words
-        self.kept = self.marked_out = 0
+        self.passed = passed
+        self.named: set[int] = set()
+        self.kept = self.marked_out = self.articles = 0
         self.by_name = False
         self.open: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, label, number, left out
         self.blocks: list[tuple[tuple, str]] = []
@@ -103,14 +109,19 @@ class _Blocks(HTMLParser):
         if tag == "hr":
             return
         self.count += 1
+        self.articles += tag in ARTICLE_TAGS
         self.by_name = False
-        left_out = self.open[-1][3] or (LEFT_OUT if tag in UNSEEN_TAGS else self.marked(tag, attrs) and (BY_NAME if self.by_name else LEFT_OUT))
-        if tag in UNSEEN_TAGS or tag in BOILERPLATE_TAGS:
-            left_out = left_out and LEFT_OUT
+        left_out = LEFT_OUT if tag in UNSEEN_TAGS else self.marked(tag, attrs) and (BY_NAME if self.by_name else LEFT_OUT)
+        if left_out == BY_NAME:
+            self.named.add(self.count)
+            if self.passed is None or self.count in self.passed:
+                left_out = 0
+        outer = self.open[-1][3]
+        left_out = LEFT_OUT if LEFT_OUT in (outer, left_out) else outer or left_out
         self.open.append((tag, tag if block else "", self.count, left_out))
 
     def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = any(x[0] in ("article", "main") for x in self.open)
+        inside = any(x[0] in ARTICLE_TAGS for x in self.open)
         if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
             return True
         if tag in ("html", "body", "article", "main", "h1"):
@@ -120,8 +131,8 @@ class _Blocks(HTMLParser):
                 continue
             if name == "role" and value.lower() in BOILERPLATE_ROLES:
                 return True
-            if name in ("class", "id") and (found := self.words.intersection(_WORD.findall(value.lower()))) and not (tag == "header" and inside):
-                self.by_name = not found & COMMENT_WORDS
+            if name in ("class", "id") and (found := BOILERPLATE_WORDS.intersection(_WORD.findall(value.lower()))) and not (tag == "header" and inside):
+                self.by_name = not found & NO_WRAPPER_WORDS
                 return True
         return False
 
@@ -147,24 +158,46 @@ class _Blocks(HTMLParser):
             self.marked_out += len(data)
 
 
+def _parsed(html: str, passed: frozenset[int] | None = frozenset()) -> _Blocks:
+    page = _Blocks(passed)
+    page.feed(html)
+    page.close()
+    page.cut()
+    return page
+
+
 def blocks(html: str) -> list[tuple[tuple, str]]:
-    """The page's text blocks; names count for less where they mark a wrapper around most of the text."""
-    for words in (BOILERPLATE_WORDS, COMMENT_WORDS):
-        page = _Blocks(words)
-        page.feed(html)
-        page.close()
-        page.cut()
-        if page.marked_out <= WRAPPED * page.kept:
-            break
-    return page.blocks
+    """The page's text blocks.
 
+    Where text marked by names outweighs the rest, names count for nothing on the
+    elements that hold most of the seeds' text. On a page with an article or main
+    element, only those around or inside one can be such.
+    """
+    page = _parsed(html)
+    if page.marked_out <= WRAPPED * page.kept:
+        return page.blocks
+    whole = _parsed(html, None)
+    seeds = _seeds(whole.blocks)
+    weight: dict[int, int] = defaultdict(int)
+    related: set[int] = set()
+    for seed, (path, text) in zip(seeds, whole.blocks, strict=True):
+        for number in (x[2] for x in path):
+            weight[number] += len(text) if seed else 0
+        if _article(path) is not None:
+            related.update(x[2] for x in path)
+    total = sum(len(text) for seed, (_, text) in zip(seeds, whole.blocks, strict=True) if seed)
+    passed = frozenset(n for n in whole.named if 2 * weight[n] > total and (not whole.articles or n in related))
+    return _parsed(html, passed).blocks if passed else page.blocks
 
-def main_text(html: str | None) -> str:
-    """The article's blocks in page order, joined by empty lines; empty if there are none."""
-    found = blocks(html or "")
-    if not found:
-        return ""
-    paths = [tuple(label for _, label, _, _ in path) for path, _ in found]
+
+def _article(path: tuple) -> int | None:
+    """The number of the outermost article or main element on the path."""
+    return next((x[2] for x in path if x[0] in ARTICLE_TAGS), None)
+
+
+def _seeds(found: list[tuple[tuple, str]]) -> list[bool]:
+    """Whether each block is content by its path's ratios; all are if none is."""
+    paths = [tuple(x[1] for x in path) for path, _ in found]
     length: dict[tuple, int] = defaultdict(int)
     marks: dict[tuple, int] = defaultdict(int)
     times: dict[tuple, int] = defaultdict(int)
@@ -173,24 +206,38 @@ def main_text(html: str | None) -> str:
         marks[path] += len(_PUNCTUATION.findall(text))
         times[path] += 1
     fused = [a * b for a, b in zip(_smooth([math.log1p(length[p] / times[p]) for p in paths]), _smooth([math.log1p(marks[p] / times[p]) for p in paths]), strict=True)]
-    mean = sum(fused) / len(fused)
-    sigma = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+    mean = sum(fused) / max(1, len(fused))
+    sigma = math.sqrt(sum((x - mean) ** 2 for x in fused) / max(1, len(fused)))
     seeds = [x >= THRESHOLD * sigma and x > 0 for x in fused]
-    if not any(seeds):
-        seeds = [True] * len(found)
-    # The deepest element that holds most of the seeds' text.
-    weight: dict[int, int] = defaultdict(int)
-    for seed, (path, text) in zip(seeds, found, strict=True):
-        if seed:
-            for _, _, number, _ in path:
-                weight[number] += len(text)
-    total = sum(len(text) for seed, (_, text) in zip(seeds, found, strict=True) if seed)
-    container = {number for number, n in weight.items() if n >= CONTAINED * total}
-    depth = max((k for path, _ in found for k, x in enumerate(path) if x[2] in container and x[1] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td")), default=None)
-    if depth is None:
+    return seeds if any(seeds) else [True] * len(found)
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks in page order, joined by empty lines; empty if there are none."""
+    found = blocks(html or "")
+    if not found:
+        return ""
+    seeds = _seeds(found)
+    seeded = [(path, len(text)) for seed, (path, text) in zip(seeds, found, strict=True) if seed]
+    if 2 * sum(n for path, n in seeded if _article(path) is not None) >= sum(n for _, n in seeded):
+        return "\n\n".join(text for path, text in found if _article(path) is not None)
+    # The deepest container on the path of every seed.
+    shared = list(seeded[0][0])
+    for path, _ in seeded:
+        same = next((k for k, (x, y) in enumerate(zip(shared, path, strict=False)) if x[2] != y[2]), min(len(shared), len(path)))
+        del shared[same:]
+    while shared and shared[-1][0] not in CONTAINER_TAGS:
+        shared.pop()
+    if not shared:
         return "\n\n".join(text for _, text in found)
-    top = next(path[depth][2] for path, _ in found if len(path) > depth and path[depth][2] in container)
-    return "\n\n".join(text for path, text in found if len(path) > depth and path[depth][2] == top)
+    around = {x[2] for x in shared}
+    top = shared[-1][2]
+    inside = [any(x[2] == top for x in path) for path, _ in found]
+    begin, end = inside.index(True), len(inside) - inside[::-1].index(True)
+    # A headline beside the container or one around it, and what lies between.
+    heads = (k for k in range(begin) if found[k][0] and found[k][0][-1][0] == "h1" and all(x[2] in around for x in found[k][0][:-1]))
+    begin = max(heads, default=begin)
+    return "\n\n".join(text for _, text in found[begin:end])
 
 
 def _smooth(x: list[float]) -> list[float]:

@@ -84,6 +84,27 @@ def test_html_marked_wrapper_around_the_article():
     assert html_text.main_text(page) == f"T\n\n{body.strip()}"
 
 
+def test_html_keeps_the_whole_article():
+    body = "This is a sentence, with some words. " * 20
+    text = body.strip()
+    for tag in ("article", "div"):
+        assert html_text.main_text(f"<body><{tag}><h1>Headline</h1><div class=body><p>{body}</p><p>{body}</p></div></{tag}></body>") == f"Headline\n\n{text}\n\n{text}"
+    items = "".join(f"<li>{body}</li>" for _ in range(8))
+    assert html_text.main_text(f"<body><div><p>Intro</p><ul>{items}</ul></div></body>") == "\n\n".join(["Intro", *[text] * 8])
+    rows = "".join(f"<tr><td>{body}</td></tr>" for _ in range(8))
+    assert html_text.main_text(f"<body><div><p>Intro</p><table>{rows}</table></div></body>") == "\n\n".join(["Intro", *[text] * 8])
+    long_part, short_part = f"<p>{body}</p>" * 17, f"<p>{body}</p>" * 3
+    assert html_text.main_text(f"<body><div><section>{long_part}</section><section>{short_part}</section></div></body>") == "\n\n".join([text] * 20)
+
+
+def test_html_adverts_are_no_article():
+    body = "Buy this, or buy that. Now, or later. " * 20
+    assert html_text.main_text(f"<body><article><h1>T</h1><div class=advert><p>{body}</p></div></article><div class=sidebar><p>{body * 2}</p></div></body>") == "T"
+    assert html_text.main_text(f"<body><div><p>T</p></div><div class=ad-box><p>{body}</p></div><div class=sponsor><p>{body}</p></div></body>") == "T"
+    page = f"<body><div class=menu-wrap><article><h1>T</h1><p>{body}</p></article><div class=sidebar><p>Other, text. It is.</p></div></div></body>"
+    assert html_text.main_text(page) == f"T\n\n{body.strip()}"
+
+
 def test_html_columns(spark):
     pages = spark.createDataFrame([(1, None, "a"), (2, "<p>é</p>", "b")], "page_id long, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(pages).orderBy("page_id").collect()] == [(1, "", 0), (2, "é", 1)]
