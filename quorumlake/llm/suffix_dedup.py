@@ -10,11 +10,13 @@ of them go. All starts of such strings meet as follows.
 2. An anchor with one run has no other windows to meet; where all of an anchor's
    runs are equal, they are repeated whole. Of the other anchors' runs each
    distinct one is kept once, with its count.
-3. Anchors with many distinct runs (the edges of a passage that many texts share)
-   are thinned out first: their windows' hashes are counted, and a run is cut to
-   the stretch between its first and last window that occurs twice. Equal
-   stretches become one again.
-4. A task joins the stretches of some anchors, sorts the suffixes by grouping and
+3. Anchors with more distinct runs than a shard holds (the edges of a passage that
+   many texts share) are dealt on. Equal windows have their anchor at the same
+   place, so a run is cut into pieces by blocks of places, and a piece goes to the
+   group of its block and of the bytes that all windows of the block cover. Groups
+   of one piece go, groups of equal pieces are repeated whole, and groups that are
+   still too large are dealt on by narrower blocks, down to single windows.
+4. A task joins the stretches of some groups, sorts the suffixes by grouping and
    takes the windows that share LENGTH bytes with a neighbour in that order.
 5. Spans are merged per text and cut out. Texts are known by their SHA-256, so
    copies share the work and the result.
@@ -24,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +89,12 @@ def runs(data: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-#: Distinct runs of an anchor (some 2 MB) beyond which they are thinned out before they meet in a task.
-MANY_RUNS = 8192
-#: Bytes whose suffixes are sorted together, unless one anchor alone has more.
+#: Bytes whose suffixes are sorted together.
 SHARD_BYTES = 1 << 17
+#: Distinct runs of a group that surely fit a shard; a group with more is dealt on.
+MANY_RUNS = SHARD_BYTES // (LENGTH + _W - 1)
+#: Places of the anchor in a block, by round.
+WIDTHS = (64, 16, 4, 1)
 
 
 def _text_key(text):
@@ -137,14 +143,60 @@ def _window_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = [_window_hashes(x.as_py()).view(np.int64) for x in batch.column(2)]
-        sizes = [len(h) for h in hashes]
-        which = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        at = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, np.int64)
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(at.astype(np.int64)), pa.array(flat)], ["a", "e", "at", "h"])
+def _anchor_places(stretches: list[bytes]) -> np.ndarray:
+    """Where the anchor of each stretch's first window begins."""
+    powers, inverses, letters = _tables()
+    x = letters[np.frombuffer(b"".join(d[:LENGTH] for d in stretches), np.uint8).reshape(-1, LENGTH)] * powers[:LENGTH]
+    sums = np.concatenate([np.zeros((len(x), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)], axis=1)
+    grams = _mixed((sums[:, GRAM:] - sums[:, :-GRAM]) * inverses[:_W])
+    return ((grams & ~_MASK) | np.arange(_W, dtype=np.uint64)).argmin(axis=1)
+
+
+def pieces(data: bytes, place: int, width: int) -> list[tuple[int, int, bytes, bytes]]:
+    """(block, first window, core, bytes) of each piece of a run whose anchor begins at place; the core lies in every window of the block."""
+    n = len(data) - LENGTH + 1
+    out = []
+    for block in range((place - n + 1) // width, place // width + 1):
+        low, high = block * width, block * width + width - 1
+        first, last = max(0, place - high), min(n - 1, place - low)
+        out.append((block, first, data[place - low : place - high + LENGTH], data[first : last + LENGTH]))
+    return out
+
+
+def _deal_on(width: int):
+    """Runs or pieces by group k -> narrower pieces by narrower groups, with a digest g of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                rows = [c.to_pylist() for c in batch.slice(at, 2048).columns]
+                out: list[list] = [[], [], [], [], [], []]
+                for k, a, e, low, data, place in zip(*rows, _anchor_places(rows[4]).tolist(), strict=True):
+                    for block, first, core, piece in pieces(data, place, width):
+                        key = xxhash.xxh3_64_intdigest(core, (k ^ block) & (1 << 64) - 1)
+                        row = (key - (1 << 64) if key >> 63 else key, a, e, low + first, piece, xxhash.xxh3_128_digest(piece))
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), ["k", "a", "e", "low", "bytes", "g"])
+
+    return run
+
+
+def _dealt(many: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Pieces (k, a, e, c, low, bytes) of runs (k, a, e, low, bytes) by groups that fit a shard, and places (a, e, s, x) of those repeated whole."""
+    parts, whole = [], []
+    for width in WIDTHS:
+        if many.isEmpty():
+            break
+        dealt = materialise(many.mapInArrow(_deal_on(width), "k long, a long, e long, low long, bytes binary, g binary"), "op6-dealt")
+        groups = dealt.groupBy("k", "g").agg(F.count("*").alias("c")).groupBy("k").agg(F.count("*").alias("d"), F.sum("c").alias("c")).where("c > 1").drop("c")
+        met = materialise(dealt.join(materialise(groups, "op6-groups"), "k"), "op6-met-pieces")
+        whole.append(met.where("d = 1").select("a", "e", F.col("low").alias("s"), (F.col("low") + F.length("bytes")).alias("x")))
+        small = f"d <= {MANY_RUNS}" if width > 1 else "true"  # a group of single windows has one, whatever its size
+        parts.append(met.where(f"d > 1 AND {small}").select("k", "a", "e", F.lit(1).cast("long").alias("c"), "low", "bytes"))
+        many = met.where(f"d > 1 AND NOT ({small})").select("k", "a", "e", "low", "bytes")
+    return parts, whole
 
 
 def repeated_windows(parts: list[bytes], counts: list[int]) -> list[list[tuple[int, int]]]:
@@ -198,23 +250,23 @@ def _covered(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come ordered by anchor; whole anchors are gathered up to SHARD_BYTES."""
-    held: list[tuple[int, bytes, int, bytes]] = []
+    """Rows come ordered by group; whole groups are gathered up to SHARD_BYTES."""
+    held: list[tuple[int, bytes, int, bytes]] = []  # group, digest, copies, bytes
     size, last = 0, None
 
     def solved() -> pd.DataFrame:
         out = []
-        for (a, g, _, _), spans in zip(held, repeated_windows([x[3] for x in held], [x[2] for x in held]), strict=True):
-            out += [(a, g, s, e) for s, e in spans]
-        return pd.DataFrame(out, columns=["a", "g", "low", "high"]).astype({"a": "int64", "low": "int64", "high": "int64"})
+        for (k, g, _, _), spans in zip(held, repeated_windows([x[3] for x in held], [x[2] for x in held]), strict=True):
+            out += [(k, g, s, e) for s, e in spans]
+        return pd.DataFrame(out, columns=["k", "g", "low", "high"]).astype({"k": "int64", "low": "int64", "high": "int64"})
 
     for frame in frames:
-        for a, g, c, data in zip(frame["a"], frame["g"], frame["c"], frame["bytes"], strict=True):
-            if size >= SHARD_BYTES and a != last:
+        for k, g, c, data in zip(frame["k"], frame["g"], frame["c"], frame["bytes"], strict=True):
+            if size >= SHARD_BYTES and k != last:
                 yield solved()
                 held, size = [], 0
-            held.append((a, bytes(g), c, bytes(data)))
-            size, last = size + len(data), a
+            held.append((k, bytes(g), c, bytes(data)))
+            size, last = size + len(data), k
     if held:
         yield solved()
 
@@ -258,19 +310,18 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     sources = texts.select("t", "text").dropDuplicates(["t"]).join(materialise(wanted, "op6-wanted"), "t").select("text", "wanted")
     stretches = materialise(sources.mapInArrow(_emit_stretches, "a long, e long, c long, d long, bytes binary"), "op6-stretches")
 
-    windows = materialise(stretches.where("d > 0").select("a", "e", "bytes").mapInArrow(_emit_windows, "a long, e long, at long, h long"), "op6-windows")
-    often = materialise(windows.groupBy("a", "h").agg(F.count("*").alias("k")).where("k > 1").select("a", "h"), "op6-often")
-    hulls = materialise(windows.join(often, ["a", "h"]).groupBy("a", "e").agg(F.min("at").alias("low"), F.max("at").alias("top")), "op6-hulls")
-    thinned = stretches.where("d > 0").join(hulls, ["a", "e"]).select("a", "e", "c", F.col("low").cast("long").alias("low"), F.expr(f"substring(bytes, int(low + 1), int(top - low + {LENGTH}))").alias("bytes"))
-    parts = stretches.where("d = 0").select("a", "e", "c", F.lit(0).cast("long").alias("low"), "bytes").union(thinned)
+    few = stretches.where("d = 0").select(F.col("a").alias("k"), "a", "e", "c", F.lit(0).cast("long").alias("low"), "bytes")
+    dealt, alike = _dealt(stretches.where("d > 0").select(F.col("a").alias("k"), "a", "e", F.lit(0).cast("long").alias("low"), "bytes"))
+    parts = reduce(DataFrame.union, dealt, few)
     parts = materialise(parts.withColumn("g", F.unhex(F.substring(F.sha2("bytes", 256), 1, 32))), "op6-parts")
-    shards = parts.groupBy("a", "g").agg(F.sum("c").alias("c"), F.first("bytes").alias("bytes"))
-    shards = shards.repartition("a").sortWithinPartitions("a", "g").select("a", "g", "c", "bytes")
-    solved = materialise(shards.mapInPandas(_sort_shards, "a long, g binary, low long, high long"), "op6-solved")
-    inside = solved.select(F.col("a").alias("sa"), "g", F.col("low").alias("s"), F.col("high").alias("e2"))
-    of_runs = materialise(parts.select("a", "e", "g", F.col("low").alias("shift")).join(inside, (F.col("a") == F.col("sa")) & (parts["g"] == inside["g"])).select("a", "e", (F.col("shift") + F.col("s")).alias("s"), (F.col("shift") + F.col("e2")).alias("x")), "op6-of-runs")
+    shards = parts.groupBy("k", "g").agg(F.sum("c").alias("c"), F.first("bytes").alias("bytes"))
+    shards = shards.repartition("k").sortWithinPartitions("k", "g").select("k", "g", "c", "bytes")
+    solved = materialise(shards.mapInPandas(_sort_shards, "k long, g binary, low long, high long"), "op6-solved")
+    inside = solved.select("k", "g", F.col("low").alias("from"), F.col("high").alias("to"))
+    of_parts = parts.join(inside, ["k", "g"]).select("a", "e", (F.col("low") + F.col("from")).alias("s"), (F.col("low") + F.col("to")).alias("x"))
+    of_runs = materialise(reduce(DataFrame.union, alike, of_parts), "op6-of-runs")
     partial = unlike.join(of_runs, ["a", "e"]).select("t", (F.col("first") + F.col("s")).alias("low"), (F.col("first") + F.col("x")).alias("high"))
-    copied = materialise(distinct.where("c > 1").join(many, "a", "left_semi").select("a", "e"), "op6-copied")  # thinning looks at each distinct run once
+    copied = materialise(distinct.where("c > 1").join(many, "a", "left_semi").select("a", "e"), "op6-copied")  # dealing looks at each distinct run once
     spans = whole.union(partial).union(unlike.join(copied, ["a", "e"]).select("t", F.col("first").alias("low"), end)).distinct()
     return spans.groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 

@@ -214,6 +214,26 @@ def test_repeats_against_brute_force(spark, odd, empty, many, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.remove_repeats(odd).count() == odd.count()
 
 
+def test_repeats_of_a_hot_anchor_are_dealt_on(spark, monkeypatch):
+    rng = random.Random(16)
+    text = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    shared, n = text(230), suffix_dedup.LENGTH
+    texts = [text(rng.randrange(170)) + shared[k % 3 :] + text(rng.randrange(170)) for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "MANY_RUNS", 4)
+    runs = [(int(a), t[f : f + m + n - 1].encode()) for t in texts for a, _, f, m in zip(*suffix_dedup.runs(t.encode()), strict=True)]
+    hot, times = Counter(a for a, _ in runs).most_common(1)[0]
+    assert times == 60
+    frame = spark.createDataFrame([(a, a, k, 0, bytearray(d)) for k, (a, d) in enumerate(runs) if a == hot], "k long, a long, e long, low long, bytes binary")
+    parts, whole = suffix_dedup._dealt(frame)
+    held = Counter(r.k for part in parts for r in part.select("k", F.hex("bytes")).distinct().collect())
+    assert all(c <= 4 for c in held.values()) and sum(w.count() for w in whole) > 0
+    data = [t.encode() for t in texts]
+    times = Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
+    gone = [len({j for i in range(len(b) - n + 1) if times[b[i : i + n]] > 1 for j in range(i, i + n)}) for b in data]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(docs).orderBy("doc_id").collect()] == gone
+
+
 def test_mtree_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(k, [0.5, 0.25, -0.5]) for k in range(60)] + [(60, [1.0, 1.0, -1.0]), (61, None), (62, [nan, 0.0, 0.0]), (63, [inf, 0.0, 0.0]), (64, [None, 1.0, 1.0])]
