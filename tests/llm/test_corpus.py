@@ -162,6 +162,18 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_whole_texts_and_variants(spark):
+    texts = dict(reversed(licenses.known_texts()))
+    mit, bsd = licenses.KNOWN[0][2], licenses.KNOWN[4][2]
+    cases = [(name, texts[name].replace("\n", "\r\n")) for name in licenses.LONG_TEXTS]
+    cases += [(name, text) for name, text in licenses.NOTICES]
+    cases += [("MIT", f"The MIT License (MIT)\n\nCopyright Some Body\n\n{mit}"), ("MIT", f"MIT License\n\nCopyright © Some Body\nCopyright Other Body <a@b.c>\n\n{mit}")]
+    cases += [("BSD-3-Clause", f"Copyright (c) 2020, Some Body\r\nAll rights reserved.\r\n\r\n{bsd}"), ("Own-1.0", "Do as you like."), (None, "Do as you please."), (None, None)]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    known = spark.createDataFrame([("Own-1.0", "DO as you like!"), ("None-1.0", None)], "license string, text string")
+    assert [r.license for r in licenses.scan_licenses(docs, known=known).orderBy("doc_id").collect()] == [name for name, _ in cases]
+
+
 def test_media_round_trip(spark, odd, empty):
     rows = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), audio.wav(audio.text_payload(F.col("text"))).alias("media"))
     for r in audio.audio_features(rows).collect():
