@@ -21,9 +21,21 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component; rows that share an id count as one."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each near-duplicate component, the first by id (nulls last), digest and text; rows without words all stay.
+
+    Rows that merely share an id, or have none, are no duplicates of each other.
+    """
+    of_rows = materialise(minhash.components_of_rows(docs).where("node IS NOT NULL").select("component", "id", "node"), "pipeline-components")
+    first = of_rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("at"))
+    kept = first.select(F.col("at.id").alias("__id"), F.col("at.node").alias("__node"))
+    rows = minhash.with_node(docs)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__node"))
+    chosen = rows.join(kept, same, "left_semi")
+    # Copies that share the id and the set of a kept row: the first by its columns stays.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = chosen.groupBy("doc_id", "__of").agg(F.min(F.struct("text", *others)).alias("__row"))
+    one = one.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    return one.union(rows.where("__of IS NULL").select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

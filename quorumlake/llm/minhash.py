@@ -296,6 +296,31 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     with equal sets share a component; component_id is its smallest id, nulls
     aside. A repeated row gives a repeated result. Other columns play no part.
     """
+    of_rows = components_of_rows(documents, id_col, text_col)
+    return of_rows.select(
+        F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    )
+
+
+def with_node(documents: DataFrame, text_col: str = "text", node_col: str = "__of") -> DataFrame:
+    """documents with the digest of each row's set as node_col; null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(x.as_py()) for x in batch.column(batch.num_columns - 1))
+            nodes = pa.array([digest(h) if len(h) else None for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], [*batch.schema.names[:-1], node_col])
+
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), f"`{node_col}` binary"])
+    return documents.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+
+
+def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, node, component, component_id) for every row.
+
+    node is the digest of the row's set and component the same for all nodes of
+    a component; both are null for an empty set, which is its own component.
+    """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(docs.mapInArrow(_features, _FEATURES), "op4-features")
     full = rows.where("n_shingles > 0")
@@ -330,9 +355,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     named = materialise(owners.join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "op4-named")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("parts"))
-    of_node = materialise(named.join(least.where("parts > 1").drop("parts"), "component", "left").select("node", F.coalesce("component_id", "id").alias("component_id")), "op4-components")
-    linked = full.join(of_node, "node").select("id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return linked.union(alone).select(
-        F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    of_node = materialise(
+        named.join(least.where("parts > 1").drop("parts"), "component", "left").select("node", "component", F.coalesce("component_id", "id").alias("component_id")), "op4-components"
     )
+    linked = full.join(of_node, "node").select("id", "n_shingles", "node", "component", "component_id")
+    none = F.lit(None).cast("binary")
+    alone = rows.where("n_shingles = 0").select("id", "n_shingles", none.alias("node"), none.alias("component"), F.col("id").alias("component_id"))
+    return linked.union(alone)

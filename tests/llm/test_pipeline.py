@@ -27,3 +27,13 @@ def test_stages_keep_columns_and_take_effect(spark, docs):
     masked = corpus_pipeline.mask_secrets(spark, docs, "")
     found = secrets.scan_secrets(masked).where("size(found) > 0").count()
     assert found == 0 and masked.count() == docs.count()
+
+
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    base = [f"w{k}" for k in range(60)]
+    a, near, b, c = " ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    rows = [(1, a), (2, near), (2, b), (2, b), (None, c), (None, "some other words of a text"), (None, None), (3, ""), (4, a)]
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_per_group(spark, frame, "").collect()]
+    expected = [(1, a), (2, b), (None, c), (None, "some other words of a text"), (None, None), (3, "")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
