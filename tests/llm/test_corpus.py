@@ -279,20 +279,44 @@ def test_packing_places(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_words_give_the_ids_of_whole_texts():
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
     from public_tokenizers import path
 
     words = packing._Words(path("word_bpe_49k.json"))
-    for text in ["Don't stop, Ünder-way! été 12,5%% x y é İstanbul ŒUVRE...", "a<|endoftext|>b  c_d\x0be", "日本語 テスト", "!!! ??? ...", "A’s O'Neil's WE'LL"]:
-        assert words.ids(text) == words.encode(text).tobytes()
-
-
-@pytest.mark.parametrize("partitions", [1, 20])
-def test_tree_merge_fills_bins(spark, partitions):
-    pieces = spark.range(0, 3000, 1, partitions).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(3000)) + 1).alias("length"))
+    texts = ["Don't stop, Ünder-way! été 12,5%% x y é İstanbul ŒUVRE...", "a<|endoftext|>b  c_d\x0be", "日本語 テスト", "!!! ??? ...", "A’s O'Neil's WE'LL", "", "  \n", "e\u0301 \u0301x ſ µm IJ a\u00a0b"]
+    expected = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in words.ids(pa.array(texts))] == expected
+    monkeypatch.setattr(packing, "TOKENISED_BYTES", 7)
+    assert words.long_ids(" ".join(texts)).tolist() == [i for x in expected for i in x]
+    other = packing._Words(path("byte_bpe_50k.json"))
+    assert not other.by_word and [x.tolist() for x in other.ids(pa.array(texts))] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_counts_are_packed_as_single_bins_are():
+    rng = random.Random(8)
+    for _ in range(200):
+        sizes = rng.sample(range(1, packing.CAPACITY + 1), rng.randrange(1, 30))
+        counts = {n: rng.randrange(1, 40) for n in sizes}
+        packed = packing.best_fit_counts(counts)
+        items = np.array([n for n, c in counts.items() for _ in range(c)])
+        assert sorted(f for bins, fill, _ in packed for f in [fill] * bins) == sorted(packing.best_fit(items)[2])
+        taken = Counter((n, first + k) for bins, _, parts in packed for n, first, _ in parts for k in range(bins))
+        assert taken == Counter((n, k) for n, c in counts.items() for k in range(c))
+
+
+@pytest.mark.parametrize(("partitions", "low", "high"), [(1, 1, 3000), (20, 1, 3000), (70, 2049, 4000), (70, 900, 1100)])
+def test_tree_merge_is_nearly_as_good_as_one_best_fit(spark, partitions, low, high):
+    pieces = spark.range(0, 3000, 1, partitions).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(high - low)) + low).alias("length"))
     rows = packing.pack(pieces).collect()
-    fills = Counter()
+    by_sequence = {}
     for r in rows:
-        fills[r.sequence_id] += r.length
-    assert max(fills.values()) <= packing.CAPACITY and len(fills) <= 1.03 * sum(fills.values()) / packing.CAPACITY + 1
-    assert len(rows) == 3000 == len({(r.sequence_id, r.offset) for r in rows})
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    alone = len(packing.best_fit(np.array([r.length for r in rows]))[2])
+    assert len(by_sequence) <= 1.01 * alone + 1
+    assert len(rows) == 3000 == len({r.id for r in rows})
