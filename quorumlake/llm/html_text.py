@@ -1,13 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
 A page is a sequence of text blocks, each under its root-to-leaf path of block
-tags. For every path the text length and the punctuation marks per block are
-summed up (text-to-path and punctuation-to-path ratios), their logarithms are
-smoothed along the page and fused by multiplication, and blocks above a share of
-the ratios' standard deviation seed the content. The article and main elements are
-the article where they hold half of the seeds' text, or else the smallest container
-of all seeds, from the headline before it; its blocks are the result, other than those
-under tags or class names that mark menus, notices, adverts, comments and the like.
+tags. For every path the text length outside links and the punctuation marks per
+block are summed up (text-to-path and punctuation-to-path ratios), smoothed along
+the page, less so between paths that differ more, and fused by their geometric
+mean. Paths above a threshold of the values' standard deviation and mean are content.
+
+Content paths select the article: the article and main elements where they hold
+half of the content, or else the smallest container of all content blocks, from the
+headline before it. In it blocks under other paths stay if their tag is one of
+running text and their path isn't made of links; what no path and no such tag
+vouches for goes. Tags and roles that are no article go at once, as do names that
+mark readers' words, adverts and notices. Names of menus, sidebars and the like mark an
+element unless content says that it is a wrapper; weaker names only decide where the ratio is low.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -23,10 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMOOTH = (0.054, 0.242, 0.399, 0.242, 0.054)
-THRESHOLD = 0.5
+#: A neighbour counts so much less for every step between its path and a block's own.
+STEP = 0.25
+#: A path is content from so many standard deviations, and from so much of the mean by text length.
+DEVIATIONS, MEAN_SHARE = 0.5, 0.5
+#: A path whose text lies in links by this share is a list of links.
+LINKED = 0.8
+#: In an article, so many blocks under a path of links are a menu.
+MENU_BLOCKS = 3
 ARTICLE_TAGS = frozenset({"article", "main"})
 #: Tags that hold the blocks of an article; lists, tables and the like are its parts.
 CONTAINER_TAGS = ARTICLE_TAGS | {"html", "body", "section", "div", "center"}
+#: Tags of running text.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre summary".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：·]")
 
 #: Tags of HTML.
@@ -38,13 +53,20 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 UNSEEN_TAGS = frozenset("script style noscript template head title iframe object svg math canvas audio video map select datalist button textarea input".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-#: Words of class names and ids that mark what is no article text.
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "sidebar aside footer foot masthead header topbar toolbar notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations widget pagination pager skip comment comments commentlist "
-    "respond replies reply disqus form search copyright legal disclaimer teaser".split()
+#: Words of class names and ids that mark readers' words, adverts and notices.
+FOREIGN_WORDS = frozenset(
+    "comment comments commentlist respond replies disqus ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "cookie cookies consent gdpr popup newsletter subscribe subscription signup notice notices".split()
 )
+#: Those that mark menus, headers, footers, sidebars and forms, or a wrapper around the article beside such.
+SIDE_WORDS = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer foot masthead topbar toolbar share sharing social related "
+    "recommended recommendations pagination pager login modal".split()
+)
+#: Those that mark an element only where the ratio of its path is low.
+WEAK_WORDS = frozenset("header form search banner overlay alert widget skip reply copyright legal disclaimer teaser".split())
+#: Names of the article itself, beside which weak words mark nothing.
+ARTICLE_WORDS = frozenset("article content entry post story main".split())
 #: A start tag of the set closes an open tag of the key, if no other block lies between.
 CLOSED_BY = {
     "p": BLOCK_TAGS - {"body", "html", "option", "optgroup", "title"},
@@ -56,41 +78,47 @@ CLOSED_BY = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "option": frozenset({"option", "optgroup"}),
 }
-#: Those of them that mark readers' words, adverts or notices, never a wrapper around the article.
-NO_WRAPPER_WORDS = frozenset(
-    "comment comments commentlist respond replies reply disqus ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr popup newsletter subscribe subscription signup login".split()
-)
-#: Text marked by names that outweighs the rest so many times may come from a marked wrapper around the article.
-WRAPPED = 4
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
+GONE, SIDE, WEAK = 1, 2, 3
+
 
-#: Why an element's text is left out: by its tag, or by its name only.
-LEFT_OUT, BY_NAME = 1, 2
+@dataclass(frozen=True)
+class Block:
+    """A stretch of text under one path: (tag, element's number) from the root, and the marks (number, SIDE or WEAK) on it."""
 
+    path: tuple[tuple[str, int], ...]
+    marks: tuple[tuple[int, int], ...]
+    text: str
+    linked: int
 
-class _Blocks(HTMLParser):
-    """Text blocks of a page: (path of open elements, text); names of elements in passed count for nothing, of all where it is None."""
+    @property
+    def tags(self) -> tuple:
+        """What makes two paths one: tags, and whether something is marked."""
+        return (*(t for t, _ in self.path), bool(self.marks))
 
-    def __init__(self, passed: frozenset[int] | None = frozenset()) -> None:
+    @property
+    def article(self) -> int | None:
+        """The number of the outermost article or main element on the path."""
+        return next((n for t, n in self.path if t in ARTICLE_TAGS), None)
+
+
+class _Page(HTMLParser):
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.passed = passed
-        self.named: set[int] = set()
-        self.kept = self.marked_out = self.articles = 0
-        self.by_name = False
-        self.open: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, label, number, left out
-        self.blocks: list[tuple[tuple, str]] = []
+        self.open: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, label, number, mark
+        self.blocks: list[Block] = []
         self.text: list[str] = []
-        self.count = 0
+        self.linked = self.count = self.gone = self.links = 0
 
     def cut(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
-            self.text = []
             if text:
-                self.blocks.append((tuple(x for x in self.open if x[1]), text))
+                path = tuple((label, n) for _, label, n, _ in self.open if label)
+                self.blocks.append(Block(path, tuple((n, m) for _, _, n, m in self.open if m), text, min(self.linked, len(text))))
+            self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -102,39 +130,44 @@ class _Blocks(HTMLParser):
             self.cut()
             for k in range(len(self.open) - 1, 0, -1):
                 if tag in CLOSED_BY.get(self.open[k][0], ()):
-                    del self.open[k:]
+                    self.close_to(k)
                     break
                 if self.open[k][0] in BLOCK_TAGS:
                     break
         if tag == "hr":
             return
         self.count += 1
-        self.articles += tag in ARTICLE_TAGS
-        self.by_name = False
-        left_out = LEFT_OUT if tag in UNSEEN_TAGS else self.marked(tag, attrs) and (BY_NAME if self.by_name else LEFT_OUT)
-        if left_out == BY_NAME:
-            self.named.add(self.count)
-            if self.passed is None or self.count in self.passed:
-                left_out = 0
-        outer = self.open[-1][3]
-        left_out = LEFT_OUT if LEFT_OUT in (outer, left_out) else outer or left_out
-        self.open.append((tag, tag if block else "", self.count, left_out))
-
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        mark = GONE if tag in UNSEEN_TAGS else self.mark(tag, attrs)
+        if not block and mark == SIDE:
+            mark = GONE
+        elif not block and mark == WEAK:
+            mark = 0
+        self.gone += mark == GONE
+        self.links += tag == "a"
+        self.open.append((tag, tag if block else "", self.count, mark))
+
+    def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         inside = any(x[0] in ARTICLE_TAGS for x in self.open)
         if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
-            return True
+            return GONE
         if tag in ("html", "body", "article", "main", "h1"):
-            return False
+            return 0
+        words: set[str] = set()
         for name, value in attrs:
-            if not value:
-                continue
-            if name == "role" and value.lower() in BOILERPLATE_ROLES:
-                return True
-            if name in ("class", "id") and (found := BOILERPLATE_WORDS.intersection(_WORD.findall(value.lower()))) and not (tag == "header" and inside):
-                self.by_name = not found & NO_WRAPPER_WORDS
-                return True
-        return False
+            if value and name == "role" and value.lower() in BOILERPLATE_ROLES:
+                return GONE
+            if value and name in ("class", "id"):
+                words.update(_WORD.findall(value.lower()))
+        if words & FOREIGN_WORDS:
+            return GONE
+        if words & SIDE_WORDS:
+            return SIDE
+        return WEAK if words & WEAK_WORDS and not words & ARTICLE_WORDS and not (tag == "header" and inside) else 0
+
+    def close_to(self, k: int) -> None:
+        self.gone -= sum(x[3] == GONE for x in self.open[k:])
+        self.links -= sum(x[0] == "a" for x in self.open[k:])
+        del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -145,71 +178,86 @@ class _Blocks(HTMLParser):
             if self.open[k][0] == tag:
                 if block:
                     self.cut()
-                del self.open[k:]
+                self.close_to(k)
                 return
             if not block and self.open[k][0] in BLOCK_TAGS:
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.open[-1][3]:
+        if not self.gone:
             self.text.append(data)
-            self.kept += len(data)
-        elif self.open[-1][3] == BY_NAME:
-            self.marked_out += len(data)
+            if self.links:
+                self.linked += len(data)
 
 
-def _parsed(html: str, passed: frozenset[int] | None = frozenset()) -> _Blocks:
-    page = _Blocks(passed)
+def blocks(html: str) -> list[Block]:
+    page = _Page()
     page.feed(html)
     page.close()
     page.cut()
-    return page
+    return page.blocks
+
+
+def ratios(found: list[Block]) -> list[float]:
+    """The fused, smoothed value of each block's path."""
+    paths = [b.tags for b in found]
+    length: dict[tuple, float] = defaultdict(float)
+    marks: dict[tuple, float] = defaultdict(float)
+    times: dict[tuple, int] = defaultdict(int)
+    for path, b in zip(paths, found, strict=True):
+        length[path] += len(b.text) - b.linked
+        marks[path] += len(_PUNCTUATION.findall(b.text))
+        times[path] += 1
+    near: dict[tuple, float] = {}
+
+    def closeness(x: tuple, y: tuple) -> float:
+        if (x, y) not in near:
+            same = next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+            near[x, y] = STEP ** (len(x) + len(y) - 2 * same)
+        return near[x, y]
+
+    half = len(SMOOTH) // 2
 
+    def smoothed(values: list[float]) -> list[float]:
+        return [
+            v + sum(SMOOTH[j - i + half] * closeness(paths[i], paths[j]) * (values[j] - v) for j in range(max(0, i - half), min(len(values), i + half + 1)) if paths[i] != paths[j])
+            for i, v in enumerate(values)
+        ]
 
-def blocks(html: str) -> list[tuple[tuple, str]]:
-    """The page's text blocks.
+    texts, points = smoothed([length[p] / times[p] for p in paths]), smoothed([marks[p] / times[p] for p in paths])
+    of_path: dict[tuple, float] = defaultdict(float)
+    for path, x, y in zip(paths, texts, points, strict=True):
+        of_path[path] += math.sqrt(x * (1 + y)) / times[path]
+    return [of_path[p] for p in paths]
 
-    Where text marked by names outweighs the rest, names count for nothing on the
-    elements that hold most of the seeds' text. On a page with an article or main
-    element, only those around or inside one can be such.
+
+def content(found: list[Block]) -> list[bool]:
+    """Whether each block's path is content; all are if none is."""
+    values = ratios(found)
+    weights = [len(b.text) for b in found]
+    mean = sum(values) / len(values)
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    least = max(DEVIATIONS * deviation, MEAN_SHARE * sum(v * w for v, w in zip(values, weights, strict=True)) / sum(weights))
+    chosen = [v >= least and v > 0 for v in values]
+    return chosen if any(chosen) else [True] * len(found)
+
+
+def _unmarked(found: list[Block], chosen: list[bool]) -> list[bool]:
+    """Which blocks no mark takes out: an element that holds most of the content is a wrapper, and a weak mark yields to a high ratio.
+
+    On a page with an article or main element only what lies around or inside one can be a wrapper.
     """
-    page = _parsed(html)
-    if page.marked_out <= WRAPPED * page.kept:
-        return page.blocks
-    whole = _parsed(html, None)
-    seeds = _seeds(whole.blocks)
+    total = sum(len(b.text) for b, c in zip(found, chosen, strict=True) if c)
     weight: dict[int, int] = defaultdict(int)
     related: set[int] = set()
-    for seed, (path, text) in zip(seeds, whole.blocks, strict=True):
-        for number in (x[2] for x in path):
-            weight[number] += len(text) if seed else 0
-        if _article(path) is not None:
-            related.update(x[2] for x in path)
-    total = sum(len(text) for seed, (_, text) in zip(seeds, whole.blocks, strict=True) if seed)
-    passed = frozenset(n for n in whole.named if 2 * weight[n] > total and (not whole.articles or n in related))
-    return _parsed(html, passed).blocks if passed else page.blocks
-
-
-def _article(path: tuple) -> int | None:
-    """The number of the outermost article or main element on the path."""
-    return next((x[2] for x in path if x[0] in ARTICLE_TAGS), None)
-
-
-def _seeds(found: list[tuple[tuple, str]]) -> list[bool]:
-    """Whether each block is content by its path's ratios; all are if none is."""
-    paths = [tuple(x[1] for x in path) for path, _ in found]
-    length: dict[tuple, int] = defaultdict(int)
-    marks: dict[tuple, int] = defaultdict(int)
-    times: dict[tuple, int] = defaultdict(int)
-    for path, (_, text) in zip(paths, found, strict=True):
-        length[path] += len(text)
-        marks[path] += len(_PUNCTUATION.findall(text))
-        times[path] += 1
-    fused = [a * b for a, b in zip(_smooth([math.log1p(length[p] / times[p]) for p in paths]), _smooth([math.log1p(marks[p] / times[p]) for p in paths]), strict=True)]
-    mean = sum(fused) / max(1, len(fused))
-    sigma = math.sqrt(sum((x - mean) ** 2 for x in fused) / max(1, len(fused)))
-    seeds = [x >= THRESHOLD * sigma and x > 0 for x in fused]
-    return seeds if any(seeds) else [True] * len(found)
+    for b, c in zip(found, chosen, strict=True):
+        for n, _ in b.marks:
+            weight[n] += len(b.text) if c else 0
+            if b.article is not None:
+                related.add(n)
+    articles = any(b.article is not None for b in found)
+    wrappers = {n for n, w in weight.items() if 2 * w > total and (not articles or n in related)}
+    return [all(n in wrappers or (m == WEAK and c) for n, m in b.marks) for b, c in zip(found, chosen, strict=True)]
 
 
 def main_text(html: str | None) -> str:
@@ -217,42 +265,44 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    seeds = _seeds(found)
-    seeded = [(path, len(text)) for seed, (path, text) in zip(seeds, found, strict=True) if seed]
-    if 2 * sum(n for path, n in seeded if _article(path) is not None) >= sum(n for _, n in seeded):
-        return "\n\n".join(text for path, text in found if _article(path) is not None)
+    keep = _unmarked(found, content(found))
+    found = [b for b, k in zip(found, keep, strict=True) if k]
+    if not found:
+        return ""
+    chosen = content(found)
+    linked: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for b in found:
+        one = linked[b.tags]
+        one[0], one[1], one[2] = one[0] + b.linked, one[1] + len(b.text), one[2] + 1
+
+    def menu(b: Block, least: int) -> bool:
+        links, size, times = linked[b.tags]
+        return links >= LINKED * size and times >= least
+
+    seeds = [b for b, c in zip(found, chosen, strict=True) if c]
+    if 2 * sum(len(b.text) for b in seeds if b.article is not None) >= sum(len(b.text) for b in seeds):
+        return "\n\n".join(b.text for b in found if b.article is not None and not menu(b, MENU_BLOCKS))
     # The deepest container on the path of every seed.
-    shared = list(seeded[0][0])
-    for path, _ in seeded:
-        same = next((k for k, (x, y) in enumerate(zip(shared, path, strict=False)) if x[2] != y[2]), min(len(shared), len(path)))
-        del shared[same:]
+    shared = list(seeds[0].path)
+    for b in seeds:
+        del shared[next((k for k, (x, y) in enumerate(zip(shared, b.path, strict=False)) if x != y), min(len(shared), len(b.path))) :]
     while shared and shared[-1][0] not in CONTAINER_TAGS:
         shared.pop()
-    if not shared:
-        return "\n\n".join(text for _, text in found)
-    around = {x[2] for x in shared}
-    top = shared[-1][2]
-    inside = [any(x[2] == top for x in path) for path, _ in found]
+    inside = [not shared or shared[-1] in b.path for b in found]
     begin, end = inside.index(True), len(inside) - inside[::-1].index(True)
     # A headline beside the container or one around it, and what lies between.
-    heads = (k for k in range(begin) if found[k][0] and found[k][0][-1][0] == "h1" and all(x[2] in around for x in found[k][0][:-1]))
+    heads = (k for k in range(begin) if found[k].path and found[k].path[-1][0] == "h1" and set(found[k].path[:-1]) <= set(shared))
     begin = max(heads, default=begin)
-    return "\n\n".join(text for _, text in found[begin:end])
-
-
-def _smooth(x: list[float]) -> list[float]:
-    half = len(SMOOTH) // 2
-    out = []
-    for i in range(len(x)):
-        inside = [(w, x[j]) for w, j in zip(SMOOTH, range(i - half, i + half + 1), strict=True) if 0 <= j < len(x)]
-        out.append(sum(w * v for w, v in inside) / sum(w for w, _ in inside))
-    return out
+    vouched = [c or not b.path or (b.path[-1][0] in TEXT_TAGS and not menu(b, 1)) for b, c in zip(found, chosen, strict=True)]
+    return "\n\n".join(found[k].text for k in range(begin, end) if vouched[k])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """The input's columns with text_col and n_chars_col in place of html_col.
 
-    A null page is empty; an empty text has 0 code points. Every row is kept.
+    A null page is empty; an empty text has 0 code points. Every row is kept,
+    repeated ones too, and a page is read whole, however long. Columns of the
+    input that are named like the new ones are replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
