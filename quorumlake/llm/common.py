@@ -35,5 +35,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name made from name that none of frames has."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Bytes between words: [\x20\x09-\x0D]; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 import re._constants as op
 import re._parser as parsed
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,30 @@ def _satisfies(held: Column, query: Query) -> Column:
 
 
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+#: Values that are added up one by one; an aggregate copies what it has so far for each of them.
+LOT = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints what join makes of all before it, from 0; lots first, then their totals."""
+
+    def upto(lot: Column, own: Callable[[Column], Column]) -> Column:
+        return F.aggregate(lot, F.array(F.lit(0)), lambda held, x: F.concat(held, F.array(join(F.element_at(held, -1), own(x)))))
+
+    def placed(made: Column) -> Column:
+        totals = upto(made, lambda m: F.element_at(m, -1))
+        return F.flatten(F.zip_with(made, F.slice(totals, F.lit(1), F.size(made)), lambda m, base: F.transform(F.slice(m, F.lit(1), F.size(m) - 1), lambda x: join(base, x))))
+
+    def lots(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / LOT).cast("int"))
+        return F.transform(numbers, lambda k: upto(F.slice(v, k * LOT + 1, F.lit(LOT)), lambda x: x))
+
+    return F.when(F.size(values) > 0, _let(_let(values, lots), placed)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -121,23 +146,29 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     lengths = F.zip_with(found, measured, lambda m, g: F.struct(F.length(m).alias("whole"), F.length(g).alias("part")))
     gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-    placed = F.zip_with(gaps, lengths, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["whole"].alias("whole"), m["part"].alias("part")))
-    none = F.array().cast(SPANS)
+    rows = F.zip_with(gaps, lengths, lambda gap, m: F.struct(F.length(gap).alias("gap"), m["whole"].alias("whole"), m["part"].alias("part")))
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["gap"]
-        one = F.array(F.struct(a.alias("start"), F.lit(order).alias("ord"), (a + x["whole"]).alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct((a + x["whole"]).alias("at"), F.when(x["part"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        before = _before(F.transform(x, lambda r: r["gap"] + r["whole"]), lambda a, b: a + b)
+        spans = F.zip_with(
+            x,
+            before,
+            lambda r, at: F.struct((at + r["gap"]).alias("start"), F.lit(order).alias("ord"), (at + r["gap"] + r["whole"]).alias("end"), F.lit(rule.kind).alias("kind"), r["part"].alias("part")),
+        )
+        long_enough = F.filter(spans, lambda r: r["part"] >= rule.least)
+        return F.transform(long_enough, lambda r: F.struct(*[r[c].alias(c) for c in ("start", "ord", "end", "kind")]))
 
-    return F.when(F.size(found) > 0, F.aggregate(placed, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])).otherwise(none)
+    return F.when(F.size(found) > 0, _let(rows, placed)).otherwise(F.array().cast(SPANS))
 
 
-def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns and found: all spans, by start and then rule order.
+def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", found_col: str = "found") -> DataFrame:
+    """The input's columns and found_col: all spans, by start and then rule order.
 
-    A null text is empty. Rows that share an id share postings, and each is
-    verified on its own text; rows with a null id keep their result too. An
-    empty table gives no rows.
+    A null or empty text has none. Rows that share an id share postings, and each is
+    verified on its own text; rows with a null id keep their result too, as do
+    repeated rows. An empty table gives no rows. The time for a text grows with its
+    length and its matches alike. An input's column named found_col is replaced;
+    others may have any name.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     low = documents.select(F.col(id_col).alias("id"), F.lower(text).alias("low"))
@@ -146,13 +177,14 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     held = postings.groupBy("id").agg(F.collect_set("trigram").alias("held"))
     indexed = [r.kind for r in RULES if QUERIES[r.kind] != ANY]
     verify = F.array_compact(F.array(*[F.when(_satisfies(F.col("held"), QUERIES[kind]), F.lit(kind)) for kind in indexed]))
-    candidates = materialise(held.select(F.col("id").alias("__id"), verify.alias("__rules")).where(F.size("__rules") > 0), "op9-candidates")
-    joined = documents.join(candidates, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    own, rules = free_name("id", documents), free_name("rules", documents)
+    candidates = materialise(held.select(F.col("id").alias(own), verify.alias(rules)).where(F.size(rules) > 0), "op9-candidates")
+    joined = documents.join(candidates, F.col(id_col).eqNullSafe(F.col(own)), "left")
     parts = [
-        F.when(F.array_contains("__rules", F.lit(r.kind)), _spans(text, r, k)).otherwise(F.array().cast(SPANS)) if r.kind in indexed else _spans(text, r, k)
+        F.when(F.array_contains(rules, F.lit(r.kind)), _spans(text, r, k)).otherwise(F.array().cast(SPANS)) if r.kind in indexed else _spans(text, r, k)
         for k, r in enumerate(RULES)
     ]
-    return joined.select(*[documents[c] for c in documents.columns], F.array_sort(F.concat(*parts)).alias("found"))
+    return joined.select(*[documents[f"`{c}`"] for c in documents.columns if c != found_col], F.array_sort(F.concat(*parts)).alias(found_col))
 
 
 def span_text(found: Column) -> Column:
@@ -160,13 +192,24 @@ def span_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+#: Code points of the parts in which a text is cut, so that no stretch is searched for from the text's start.
+PART = 4096
+
+
 def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
     """The text with every span, or run of overlapping spans, replaced by mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(mask))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(x["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+    def between(parts: Column, a: Column, b: Column) -> Column:
+        """Code points a to b."""
+        i, j = F.floor(a / PART).cast("int"), F.floor(b / PART).cast("int")
+        first, last = F.coalesce(F.get(parts, i), F.lit("")), F.coalesce(F.get(parts, j), F.lit(""))
+        inside = F.substring(first, a % PART + 1, b - a)
+        over = F.concat(F.substring(first, a % PART + 1, F.lit(PART)), F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), b % PART))
+        return F.when(i == j, inside).otherwise(over)
+
+    def whole(parts: Column) -> Column:
+        reach = _before(F.transform(found, lambda x: x["end"]), F.greatest)
+        pieces = F.zip_with(found, reach, lambda x, at: F.when(x["start"] >= at, F.concat(between(parts, at, x["start"]), F.lit(mask))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), between(parts, F.array_max(F.transform(found, lambda x: x["end"])), F.length(text)))
 
-    whole = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    return F.when(F.size(found) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), whole)).otherwise(text)

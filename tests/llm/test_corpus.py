@@ -105,6 +105,68 @@ def test_html_adverts_are_no_article():
     assert html_text.main_text(page) == f"T\n\n{body.strip()}"
 
 
+PLAIN_PAGE = """<body><div><ul><li><a href=a>Home page</a><li><a href=b>All the news</a></ul></div><div><div>Buy one now, at half price.</div><h1>Title</h1>
+<p>{0}</p><div>Only today, for you.</div><p>Short.</p><p>{0}</p><ul><li><a href=c>More</a></ul></div><div>All rights reserved, 2024.</div></body>"""
+SENTENCES = "This is a sentence, with some words. " * 12
+
+
+def test_html_paths_decide_without_telling_names(monkeypatch):
+    page, body = PLAIN_PAGE.format(SENTENCES), SENTENCES.strip()
+    assert html_text.main_text(page) == f"Title\n\n{body}\n\nShort.\n\n{body}"
+    monkeypatch.setattr(html_text, "DEVIATIONS", 0)
+    monkeypatch.setattr(html_text, "MEAN_SHARE", 0)
+    off = html_text.main_text(page)
+    assert "half price" in off and "Only today" in off and "rights" in off
+
+
+def test_html_ratios_by_plain_loops():
+    found = html_text.blocks(PLAIN_PAGE.format(SENTENCES))
+    paths = [b.tags for b in found]
+    texts = [sum(len(c.text) - c.linked for c in found if c.tags == p) / paths.count(p) for p in paths]
+    marks = [sum(sum(x in ".,;:!?" for x in c.text) for c in found if c.tags == p) / paths.count(p) for p in paths]
+    kernel = {0: 0.399, 1: 0.242, 2: 0.054}
+
+    def smooth(values, i):
+        out = values[i]
+        for j in range(len(values)):
+            if abs(i - j) <= 2:
+                same = 0
+                while same < min(len(paths[i]), len(paths[j])) and paths[i][same] == paths[j][same]:
+                    same += 1
+                out += kernel[abs(i - j)] * 0.25 ** (len(paths[i]) + len(paths[j]) - 2 * same) * (values[j] - values[i])
+        return out
+
+    fused = [(smooth(texts, i) * (1 + smooth(marks, i))) ** 0.5 for i in range(len(found))]
+    expected = [sum(f for f, q in zip(fused, paths, strict=True) if q == p) / paths.count(p) for p in paths]
+    assert html_text.ratios(found) == pytest.approx(expected)
+
+
+def test_html_names_are_a_prior_only():
+    body = SENTENCES.strip()
+    assert html_text.main_text(f"<body><div class='legal-text'><h1>T</h1><p>{body}</p></div><div class='menu'><p>Some, menu. It is.</p></div></body>") == f"T\n\n{body}"
+    assert html_text.main_text(f"<body><article><header class='article-header'><h1>T</h1><p>By me</p></header><p>{body}</p><div class='related-posts'><p>No.</p></div></article></body>") == f"T\n\nBy me\n\n{body}"
+    assert html_text.main_text(f"<body><article><p>{body}</p><div class='related'><p>{body}</p></div></article></body>") == body
+
+
+def test_html_pages_against_a_plain_reading(spark):
+    import html
+    import re
+
+    rows = queries.op1_html(spark, FOLDER).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        inner = re.search("<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner)]
+        assert (r.text, r.n_chars) == ("\n\n".join(filter(None, parts)), len(r.text))
+
+
+def test_html_rows(spark):
+    pages = spark.createDataFrame([(1, "<p>a, b.</p>"), (1, "<p>a, b.</p>"), (None, "<p>" + "x, y. " * 200_000 + "</p>")], "page_id long, html string")
+    assert sorted(r.n_chars for r in html_text.extract_text(pages).collect()) == [5, 5, 1_199_999]
+    assert html_text.extract_text(pages.where("false")).count() == 0
+
+
 def test_html_columns(spark):
     pages = spark.createDataFrame([(1, None, "a"), (2, "<p>é</p>", "b")], "page_id long, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(pages).orderBy("page_id").collect()] == [(1, "", 0), (2, "é", 1)]
@@ -148,6 +210,29 @@ def test_secrets_spans_and_masks(spark, odd, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_in_a_text_of_many(spark):
+    import time
+
+    rng = random.Random(3)
+    words = [rng.choice(["é🎉", "plain words", "x"]) + " " + f"{rng.getrandbits(128):032x}" for _ in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, None)], "doc_id long, text string")
+    start = time.time()
+    r = secrets.scan_secrets(docs).withColumn("m", secrets.masked(F.coalesce("text", F.lit("")), F.col("found"))).orderBy("doc_id").collect()[0]
+    assert time.time() - start < 60
+    assert len(r.found) == 40_000 and all(len(r.text[x.start : x.end]) == 32 for x in r.found)
+    import re
+
+    assert r.m == re.sub("[0-9a-f]{32}", "[secret]", r.text)
+
+
+def test_secrets_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh", "own", 1, 2), (1, "token = abcdefgh", "own", 1, 2)], "doc_id long, text string, found string, rules int, id int")
+    rows = secrets.scan_secrets(docs, found_col="spans").collect()
+    assert len(rows) == 2 and rows[0].found == "own" and (rows[0].rules, rows[0].id) == (1, 2) and len(rows[0].spans) == 1
+    replaced = secrets.scan_secrets(docs)
+    assert replaced.columns == ["doc_id", "text", "rules", "id", "found"] and len(replaced.first().found) == 1
+
+
 def test_trigram_queries():
     assert secrets.QUERIES["hex"] == secrets.ANY
     assert frozenset({"aki", "kia"}) in secrets.QUERIES["access"]
