@@ -117,50 +117,62 @@ def patches(mel: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return ((sums[high] - sums[low]) / (high - low)[:, :, None]).astype(np.float32)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, spans array<struct<start:double,end:double>>, tensors array<float>"
+#: What a medium's tensors are stored as: one row per span, with its times and its patch of fixed shape.
+TENSORS = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("patch", pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)))])
+_END_OF_STREAM = b"\xff\xff\xff\xff\x00\x00\x00\x00"
+
+
+def stored_tensors(times: list[tuple[float, float]], parts: np.ndarray) -> bytes:
+    """An Arrow stream of TENSORS rows."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel(), pa.float32()), PATCH * MELS)
+    bounds = np.array(times).reshape(-1, 2)
+    rows = pa.RecordBatch.from_arrays([pa.array(bounds[:, 0]), pa.array(bounds[:, 1]), pa.ExtensionArray.from_storage(TENSORS.field("patch").type, flat)], schema=TENSORS)
+    return b"".join([TENSORS.serialize().to_pybytes(), rows.serialize().to_pybytes(), _END_OF_STREAM])
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """The spans and fixed-shape tensors that stored_tensors() wrote."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, spans array<struct<start:double,end:double>>, level double, tensors binary"
 
 
 def audio_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The input's columns with FEATURES; the payload's figures come from the stored bytes.
 
-    tensors holds, span by span, PATCH * MELS floats; fixed_shape() gives them as
-    an Arrow tensor column. A null medium has null features.
+    tensors is an Arrow stream of one fixed-shape tensor per span, level their
+    mean. A null medium has null features; equal media have equal ones. Repeated
+    rows are kept; input columns named like a feature are replaced. A medium is
+    read whole and its windows by FRAMES_AT_ONCE.
     """
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+    media = media.drop(*names)
+
+    def features(data: bytes) -> tuple:
+        x = samples(data)
+        payload = x.tobytes()
+        mel, energy = log_mel(resample((x.astype(np.float32) - 128) / 128))
+        cut = segments(energy)
+        step = HOP * DOWN / UP / RATE
+        times = [(s * step, e * step) for s, e in cut]
+        parts = patches(mel, cut)
+        spans = [{"start": s, "end": e} for s, e in times]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), spans, float(parts.mean(dtype=np.float64)), stored_tensors(times, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = HOP * DOWN / UP / RATE
         for batch in batches:
             at = batch.schema.get_field_index(media_col)
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                out: list[list] = [[], [], [], [], []]
-                for stored in part.column(at):
-                    data = stored.as_py()
-                    if data is None:
-                        row: tuple = (None, None, None, None, None)
-                    else:
-                        x = samples(data)
-                        payload = x.tobytes()
-                        mel, energy = log_mel(resample((x.astype(np.float32) - 128) / 128))
-                        cut = segments(energy)
-                        times = [{"start": s * step, "end": e * step} for s, e in cut]
-                        row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), times, patches(mel, cut).ravel())
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, out, kinds)], [*part.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "spans", "tensors"])
+                rows = [features(x.as_py()) if x.is_valid else (None,) * len(names) for x in part.column(at)]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])), pa.float64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, zip(*rows, strict=True), kinds)], [*part.schema.names, *names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
     return media.mapInArrow(run, f"{own}, {FEATURES}")
 
 
-def fixed_shape(tensors: pa.ChunkedArray | pa.Array) -> pa.ExtensionArray:
-    """A tensors column of an Arrow table as one fixed-shape tensor (PATCH x MELS) per span."""
-    whole = tensors.combine_chunks() if isinstance(tensors, pa.ChunkedArray) else tensors
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(whole.flatten().cast(pa.float32()), PATCH * MELS))
-
-
 def text_payload(text: Column, unit: int = 576) -> Column:
     """UTF-8 bytes of text (null: none), followed by bytes 255 up to a positive multiple of unit."""
     data = F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 BUCKET_BITS = 15
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
 #: Bound of the labelled sample: about so many rows per language, by a hash of the id, and never more than SAMPLE_MOST in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_MOST = 400, 20_000
+#: The most frequent subword buckets of a sampled row that training sees, which bounds what the driver gets; prediction sums over all.
+SAMPLE_BUCKETS = 2048
 EPOCHS, RATE, BATCH = 15, 4.0, 16
 #: Share of calibration texts, correctly labelled, that the threshold may reject.
 REJECTED_SHARE = 0.001
@@ -118,6 +120,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(2):
             parts = list(subwords(text.as_py()))
             k, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+            if len(k) > SAMPLE_BUCKETS:
+                most = np.sort(np.argsort(-n, kind="stable")[:SAMPLE_BUCKETS])
+                k, n = k[most], n[most]
             keys.append(k)
             times.append(n.astype(np.int32))
         lists = pa.list_(pa.int32())
@@ -127,16 +132,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on rows with text and language; only SAMPLE_* bound what is fitted on.
 
-    Rows are taken by a hash of their id, so reruns agree. Without labelled rows
-    the model knows no language and predicts und.
+    Rows are taken by a hash of their id (null as an empty one), so reruns agree
+    and repeated rows go together. Null and empty texts teach nothing. Without
+    labelled rows the model knows no language and predicts und.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     dice = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(_SEED)), F.lit(1 << 40)) / float(1 << 40)
     # Ids are chosen first, so that only the chosen rows' texts leave their scan; the choice is bounded, so it is broadcast.
-    chosen = rows.select("id", "lang", dice.alias("dice")).join(sizes, "lang").where(F.col("dice") * F.col("n") < SAMPLE_PER_LANGUAGE)
-    chosen = materialise(chosen.orderBy("dice", "id").limit(SAMPLE_MOST).select("id", "lang").distinct(), "op2-sample")
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
+    # A row's share is its place within its language, so that the limit takes as much from each.
+    share = F.col("dice") * F.col("n")
+    chosen = rows.select(F.coalesce("id", F.lit("")).alias("id"), "lang", dice.alias("dice")).join(sizes, "lang").where(share < SAMPLE_PER_LANGUAGE)
+    chosen = materialise(chosen.orderBy(share, "id").limit(SAMPLE_MOST).select("id", "lang").distinct(), "op2-sample")
+    sample = rows.withColumn("id", F.coalesce("id", F.lit(""))).join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
     got = sample.mapInArrow(_count, "id string, lang string, keys array<int>, times array<int>").limit(SAMPLE_MOST).toArrow().to_pylist()
     got = sorted((r for r in got if r["keys"]), key=lambda r: (r["id"] or "", r["lang"], len(r["keys"])))
     languages = tuple(sorted({r["lang"] for r in got}))
@@ -178,24 +186,25 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(languages, scores.astype(np.float32), bias, float(temperature), threshold)
 
 
-def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (all, if None) with lang_pred, score and accepted; only the text decides.
+def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """keep's columns (all, if None) with names: the language, its score and whether it is accepted; only the text decides.
 
-    A text that is null or has no letter is und with score 0 and not accepted.
+    A text that is null, empty or has no letter is und with score 0 and not
+    accepted. Texts are read whole, in parts of bounded size; equal texts and
+    repeated rows get equal results. Columns of the input with one of names are
+    replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages
-    kept = [c for c in (documents.columns if keep is None else keep) if c not in ("lang_pred", "score", "accepted")]
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x.as_py()) for x in batch.column(text_col)]
-            names, scores, accepted = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], [*kept, "lang_pred", "score", "accepted"]
-            )
-
-    rows = documents.withColumn(text_col, F.col(text_col).cast("string")).select(*dict.fromkeys([*kept, text_col]))
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "lang_pred string, score double, accepted boolean"])
+            found = [shared.value.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            values = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, values, (pa.string(), pa.float64(), pa.bool_()))], [*kept, *names])
+
+    rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias(free_name("text", documents)))
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in kept), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))])
     return rows.mapInArrow(run, out)
 
 

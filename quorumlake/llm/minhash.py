@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -312,7 +312,7 @@ def with_node(documents: DataFrame, text_col: str = "text", node_col: str = "__o
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], [*batch.schema.names[:-1], node_col])
 
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), f"`{node_col}` binary"])
-    return documents.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return documents.select("*", F.col(text_col).cast("string").alias(free_name("text", documents))).mapInArrow(run, out)
 
 
 def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, free_name, materialise
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -120,7 +120,8 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     the short table of thresholds is joined, never the texts to their sizes.
     """
     chosen = _chosen(_slim(documents, id_col, text_col, source_col))
-    chosen = chosen.select(*[F.col(c).alias(f"__{c}") for c in chosen.columns])
-    copies = _copies(document_hash(F.col(id_col)), F.col("__whole"), F.col("__edge"), F.col("__edge_in"))
-    joined = documents.join(chosen, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*documents.columns)
+    chosen = chosen.select(*[F.col(c).alias(free_name(f"mix_{c}", documents)) for c in chosen.columns])
+    source, _, _, whole, edge, edge_in = chosen.columns
+    copies = _copies(document_hash(F.col(id_col)), F.col(whole), F.col(edge), F.col(edge_in))
+    joined = documents.join(chosen, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    return joined.withColumn(free_name("copy", documents), F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -38,12 +38,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = _documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), audio.wav(audio.text_payload(F.col("text"))).alias("media"))
     found = audio.audio_features(media)
-    mean = F.aggregate("tensors", F.lit(0.0), lambda a, x: a + x) / F.size("tensors")
     held = F.aggregate("spans", F.lit(0.0), lambda a, x: a + x["end"] - x["start"])
-    feature = F.concat_ws("|", F.size("spans").cast("string"), F.format_number(held, 3), F.format_number(mean, 3), F.size("tensors").cast("string"))
-    return found.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature")
-    )
+    feature = F.format_string("%d|%.3f|%.3f", F.size("spans"), held, F.col("level"))
+    stored = [F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *stored, feature.alias("feature"), "spans", "tensors")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

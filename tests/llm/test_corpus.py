@@ -180,6 +180,34 @@ def test_language_held_out_accuracy(spark):
     assert sum(not r.accepted for r in rows) / len(rows) < 0.02 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_prediction_by_plain_loops_and_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where(~language.held_out()))
+    text = "Der Hund läuft, the dog runs; un perro."
+    z = [0.0] * len(model.languages)
+    n = 0
+    for part in language.subwords(text):
+        for bucket in part.tolist():
+            n += 1
+            z = [a + float(b) for a, b in zip(z, model.scores[bucket], strict=True)]
+    z = [(a / n + b) / model.temperature for a, b in zip(z, model.bias, strict=True)]
+    p = [np.exp(a - max(z)) for a in z]
+    name, score, accepted = model.predict(text)
+    assert name == model.languages[int(np.argmax(p))] and score == pytest.approx(max(p) / sum(p), rel=1e-4) and accepted == (score >= model.threshold)
+    rng = random.Random(1)
+    greek = " ".join("".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(6)) for _ in range(80))
+    noise = " ".join("".join(rng.choice("qxzjwkvy") for _ in range(7)) for _ in range(80))
+    assert not model.predict(greek)[2] and not model.predict(noise)[2]
+
+
+def test_language_names_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "some words", 42.5, "x"), (1, "some words", 42.5, "x"), (None, "other words", 1.0, "y")], "doc_id long, text string, score double, lang string")
+    model = language.train(docs)
+    rows = language.identify(docs, model, names=("a", "b", "c")).orderBy("score").collect()
+    assert [r.score for r in rows] == [1.0, 42.5, 42.5] and rows[1].b == rows[2].b
+    assert model.languages == ("x", "y")
+
+
 def test_language_without_letters_or_labels(spark, odd, empty):
     model = language.train(empty)
     assert {(r.lang_pred, r.score, r.accepted) for r in language.identify(odd, model).collect()} == {("und", 0.0, False)}
@@ -265,12 +293,54 @@ def test_media_round_trip(spark, odd, empty):
         payload = r.text.encode() + b"\xff" * (-len(r.text.encode()) % 576 or (576 if not r.text else 0))
         assert audio.samples(bytes(r.media)).tobytes() == payload
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert len(r.tensors) == len(r.spans) * audio.PATCH * audio.MELS and all(s.start < s.end for s in r.spans)
-    tensors = audio.fixed_shape(pa.array([[0.5] * 2 * audio.PATCH * audio.MELS], pa.list_(pa.float32())))
-    assert len(tensors) == 2 and tensors.type.shape == [audio.PATCH, audio.MELS]
+        stored = audio.read_tensors(bytes(r.tensors))
+        assert stored.column("patch").type.shape == [audio.PATCH, audio.MELS] and stored.num_rows == len(r.spans)
+        assert [(s.start, s.end) for s in r.spans] == list(zip(stored["start"].to_pylist(), stored["end"].to_pylist(), strict=True)) and all(s.start < s.end for s in r.spans)
     assert audio.audio_features(empty.select(audio.wav(audio.text_payload(F.col("text"))).alias("media"))).count() == 0
 
 
+def test_media_features_by_plain_loops():
+    """One clip by the definitions: zero-stuffed filter, Fourier sums, triangles on the mel scale, hysteresis, means of parts."""
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.integers(120, 136, 700), rng.integers(0, 256, 900), rng.integers(124, 132, 704)]).astype(np.uint8)
+    x = (data.astype(float) - 128) / 128
+    taps = audio.UP * audio.TAPS
+    n = np.arange(taps) - (taps - 1) / 2
+    h = np.sinc(n / audio.DOWN) / audio.DOWN * np.hamming(taps) * audio.UP
+    stuffed = np.zeros(len(x) * audio.UP)
+    stuffed[:: audio.UP] = x
+    y = np.convolve(stuffed, h)[: len(stuffed)][:: audio.DOWN]
+    assert audio.resample(x.astype(np.float32)) == pytest.approx(y, abs=1e-5)
+    frames = -(-(len(y) - audio.WINDOW) // audio.HOP) + 1
+    y = np.concatenate([y, np.zeros(audio.WINDOW)])
+    rate = audio.RATE * audio.UP / audio.DOWN
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * k / (audio.MELS + 1) / 2595) - 1) * audio.WINDOW / rate for k in range(audio.MELS + 2)]
+    mel, energy = np.zeros((frames, audio.MELS)), np.zeros(frames)
+    for f in range(frames):
+        part = y[f * audio.HOP : f * audio.HOP + audio.WINDOW]
+        energy[f] = (part**2).mean()
+        power = [abs(sum(part * np.hanning(audio.WINDOW) * np.exp(-2j * np.pi * k * np.arange(audio.WINDOW) / audio.WINDOW))) ** 2 for k in range(audio.WINDOW // 2 + 1)]
+        for m in range(audio.MELS):
+            low, mid, high = edges[m : m + 3]
+            mel[f, m] = np.log(sum(p * max(0, min((k - low) / (mid - low), (high - k) / (high - mid))) for k, p in enumerate(power)) + 1e-6)
+    got, power_of = audio.log_mel(audio.resample(x.astype(np.float32)))
+    assert got == pytest.approx(mel, abs=2e-3) and power_of == pytest.approx(energy, rel=1e-3)
+    on, spans = False, []
+    for f, e in enumerate(power_of):
+        if e > audio.OPEN * np.median(power_of) and not on:
+            on, start = True, f
+        elif e < audio.CLOSE * np.median(power_of) and on:
+            on = False
+            spans.append((start, f))
+    spans += [(start, frames)] if on else []
+    assert audio.segments(power_of) == spans and spans
+    for (s, e), patch in zip(spans, audio.patches(got, spans), strict=True):
+        for k in range(audio.PATCH):
+            a, b = s + (e - s) * k // audio.PATCH, s + (e - s) * (k + 1) // audio.PATCH
+            assert patch[k] == pytest.approx(got[a : max(a + 1, b)].mean(axis=0), abs=1e-4)
+
+
 def test_resampling_keeps_a_tone():
     n = np.arange(8000)
     tone = np.sin(2 * np.pi * 440 * n / audio.RATE).astype(np.float32)
