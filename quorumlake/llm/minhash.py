@@ -164,8 +164,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, label: str)
     return materialise(full.mapInArrow(_confirmed, "a binary, b binary").distinct(), f"{label}-links")
 
 
-#: Nodes of a bucket that are compared in one task with as many others.
-BLOCK_NODES = 512
+#: Nodes of a bucket that are compared in one task with as many others, and about how many bytes of shingles these may have.
+BLOCK_NODES, BLOCK_BYTES = 512, 8 << 20
 _FULL_BITS = 1 << 16
 
 
@@ -252,17 +252,24 @@ def _joined_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _block_links(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links between components in open buckets (band, node, component, main, n)."""
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(BLOCK_NODES)))
-    full = members.withColumn("blk", block).join(nodes.select("node", "bands", "bits"), "node")
+    """Links between components in open buckets (band, node, component, main, n, shingles).
+
+    Which blocks face which is settled on the blocks' names alone; their nodes
+    then join by name, so that no task holds more than the blocks of its pairs.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_NODES)), F.ceil(8 * F.col("shingles") / F.lit(BLOCK_BYTES)))
+    full = members.withColumn("blk", F.pmod(F.xxhash64("node"), parts)).join(nodes.select("node", "bands", "bits"), "node")
     one = F.struct("node", "component", "bands", "bits")
     blocks = materialise(
         full.groupBy("band", "blk", "main").agg(F.collect_list(one).alias("held"), F.bool_or(F.col("component") != F.col("main")).alias("outside")),
         "op4-blocks",
     )
-    a = blocks.select("band", "main", F.col("blk").alias("x"), F.col("held").alias("left"), F.col("outside").alias("ox"))
-    b = blocks.select("band", F.col("blk").alias("y"), F.col("held").alias("right"), F.col("outside").alias("oy"))
-    facing = a.join(b, "band").where("x <= y AND (ox OR oy)").select("band", "x", "y", "main", "left", "right")
+    x = blocks.select("band", F.col("blk").alias("x"), F.col("outside").alias("ox"))
+    y = blocks.select("band", F.col("blk").alias("y"), F.col("outside").alias("oy"))
+    named = x.join(y, "band").where("x <= y AND (ox OR oy)").select("band", "x", "y")
+    left = blocks.select("band", F.col("blk").alias("x"), "main", F.col("held").alias("left"))
+    right = blocks.select("band", F.col("blk").alias("y"), F.col("held").alias("right"))
+    facing = named.join(left, ["band", "x"]).join(right, ["band", "y"]).select("band", "x", "y", "main", "left", "right")
     near = materialise(facing.mapInArrow(_near_in_blocks, "band long, x long, y long, nodes array<binary>, pairs array<int>"), "op4-facing")
     owner = nodes.select("node", F.col("id").alias("owner"))
     wanted = near.select(F.explode("nodes").alias("node")).distinct().join(owner, "node")
@@ -326,13 +333,13 @@ def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: s
     full = rows.where("n_shingles > 0")
     owners = materialise(full.groupBy("node").agg(F.min("id").alias("id")), "op4-owners")
     nodes = materialise(
-        full.select(F.col("node").alias("n"), F.col("id").alias("i"), "bands", "bits")
+        full.select(F.col("node").alias("n"), F.col("id").alias("i"), "n_shingles", "bands", "bits")
         .join(owners, (F.col("n") == F.col("node")) & F.col("i").eqNullSafe(F.col("id")))
-        .select("node", "id", "bands", "bits")
+        .select("node", "id", "n_shingles", "bands", "bits")
         .dropDuplicates(["node"]),
         "op4-nodes",
     )
-    in_bands = nodes.select("node", F.explode("bands").alias("band"))
+    in_bands = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     shared = materialise(in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high"), "op4-buckets")
     buckets = materialise(in_bands.join(shared, "band"), "op4-members")
     ends = buckets.select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node != pivot")
@@ -341,12 +348,12 @@ def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: s
     labels = components(links, "op4-first")
 
     members = materialise(
-        buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")),
+        buckets.select("band", "node", "n_shingles").join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component")),
         "op4-open",
     )
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     largest = materialise(
-        sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts"),
+        sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1").drop("parts"),
         "op4-main",
     )
     more = _block_links(members.join(largest, "band"), nodes, docs)
