@@ -69,6 +69,52 @@ def test_minhash_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(label))
 
 
+def test_minhash_of_one_large_bucket(spark, monkeypatch):
+    """Texts that share most bands but no link to the pivots; blocks of a few nodes, by number or by bytes."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(400)]
+    texts = []
+    for g in range(60):
+        x = list(base)
+        for k in rng.sample(range(0, 400, 5), 14):
+            x[k] = f"g{g}x{k}"
+        texts += [" ".join(x), " ".join([*x[:-1], f"t{g}"])]
+    sets = [frozenset(minhash.shingles(t).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if label[a] != label[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for nodes, size in ((7, 8 << 20), (512, 20_000)):
+        monkeypatch.setattr(minhash, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(label))
+
+
+def test_minhash_recall_near_the_threshold():
+    """Planted pairs at similarity 0.75 to 0.8: how many share a band and pass the signature's cut."""
+    rng = random.Random(5)
+    met = tried = 0
+    while tried < 300:
+        x = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(150, 400))]
+        y = list(x)
+        for k in rng.sample(range(len(x)), max(1, round(len(x) * 0.027))):
+            y[k] = f"w{rng.randrange(10**9)}"
+        a, b = minhash.shingles(" ".join(x)), minhash.shingles(" ".join(y))
+        both = len(np.intersect1d(a, b))
+        if 0.75 <= both / (len(a) + len(b) - both) <= 0.8:
+            tried += 1
+            (p, q), (r, s) = minhash._signature(a), minhash._signature(b)
+            unlike = q.view(np.uint64) ^ s.view(np.uint64)
+            differ = np.bitwise_count((unlike | (unlike >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum()
+            estimate = ((minhash.PERMUTATIONS - int(differ)) / minhash.PERMUTATIONS - 0.25) / 0.75
+            met += bool((p == r).any()) and estimate >= minhash.ESTIMATE_CUT
+    assert met >= 299
+
+
 def test_html_main_text():
     page = """<html><body><header>Site, name. Very long, indeed. Yes.</header><nav>a, b. c, d. e</nav><div id=content><article><h1>T &amp; U</h1>
     <div class="advert-box">Buy, now. Or, later. Never.</div><p>First, the   para. It<br>goes on<p>Second <b>one</b>.<ul><li>x<li>y</ul><script>var a="</p>";</script></article>
@@ -412,6 +458,31 @@ def test_mtree_ties_and_bad_vectors(spark):
     assert mtree.top_inner_products(few.where("false"), few.where("false")).count() == 0
 
 
+def test_mtree_stored_nodes_bound_what_is_below(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-64, 64, (3000, 6))
+    order, stored = mtree.MTree.build(vectors)
+    assert sorted(order.tolist()) == list(range(3000))
+    tree = mtree.MTree(stored)
+    norms = (vectors[order].astype(float) ** 2).sum(axis=1)
+    points = np.column_stack([vectors[order], np.sqrt(norms.max() - norms)])
+
+    def below(node):
+        low, high = tree.first[node], tree.first[node] + tree.count[node]
+        return list(range(low, high)) if tree.leaf[node] else [r for c in range(low, high) for r in below(c)]
+
+    assert sorted(below(0)) == list(range(3000)) and len(tree.first) > 6
+    for node in range(len(tree.first)):
+        away = np.sqrt(((points[below(node)] - tree.centres[node]) ** 2).sum(axis=1))
+        assert away.max() == pytest.approx(tree.radii[node])
+    frame = spark.createDataFrame([(i, v.tolist(), 6) for i, v in enumerate(vectors)], "vec_id long, v array<bigint>, dim int")
+    got = mtree.top_inner_products(frame, frame.where("vec_id % 500 = 0").union(frame.where("vec_id = 0"))).collect()
+    scores = vectors @ vectors.T
+    for own in range(0, 3000, 500):
+        best = sorted((-int(s), i) for i, s in enumerate(scores[own]) if i != own)[:20]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == own] == best
+
+
 def test_packing_places(spark, odd, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
