@@ -10,24 +10,25 @@ from pyspark.sql import functions as F
 from .text import first_distinct, squeeze, text
 
 #: Patterns of file numbers, amounts and places.
-BUSINESS_NUMBER = r"(?:Präs\.?|Praes\.?|AB|A *[0-9]+(?: */ *[0-9]+)?) *(?:[-–] *)?[0-9]{3,}(?: */ *[0-9]{1,4}){0,3}(?: *[-–] *[0-9]{1,4})?"
+BUSINESS_NUMBER = r"(?iu)\b(?:Präs\.?|Praes\.?|AB|A *[0-9]+(?: */ *[0-9]+)?) *(?:[-–] *)?[0-9]{3,}(?: */ *[0-9]{1,4}){0,3}(?: *[-–] *[0-9]{1,4}(?! *\.))?"
 AMOUNT = r"€ *[0-9][0-9. ]*(?:, *(?:[0-9]{1,2}|-+))?"
-STREET = r"[\p{L}\p{N}_.-]+(?:straße|strasse|gasse|weg|platz|park|brücke|bruecke|allee|kai|ufer|ring|gürtel|guertel|graben|lände|laende|steig|steg|zeile)"
+AMOUNT_SCOPE = r"(?iu)(?:folgender\s+(?:Antrag|Anfrage)\s+gestellt|Der\s+Gemeinderat\s+wolle\s+beschließen)"
+STREET = r"(?iu)[\p{L}\p{N}_.-]+(?:straße|strasse|gasse|weg|platz|park|brücke|bruecke|allee|kai|ufer|ring|gürtel|guertel|graben|lände|laende|steig|steg|zeile)\b"
 PLACES = (
     ("street", STREET),
-    ("place", r"[\p{L}\p{N}_.-]+platz"),
-    ("park", r"[\p{L}\p{N}_.-]+park"),
-    ("bridge", r"[\p{L}\p{N}_.-]+(?:brücke|bruecke)"),
-    ("cadastral_municipality", r"KG +[A-ZÄÖÜ][\p{L}\p{N}_.-]+"),
-    ("land_register", r"EZ +[0-9]+"),
-    ("parcel", r"Gdst\.? *Nr\.? *[0-9/]+"),
+    ("place", r"(?iu)[\p{L}\p{N}_.-]+platz\b"),
+    ("park", r"(?iu)[\p{L}\p{N}_.-]+park\b"),
+    ("bridge", r"(?iu)[\p{L}\p{N}_.-]+(?:brücke|bruecke)\b"),
+    ("cadastral_municipality", r"(?iu)\bKG +[\p{L}][\p{L}\p{N}_.-]+"),
+    ("land_register", r"(?iu)\bEZ +[0-9]+"),
+    ("parcel", r"(?iu)\bGdst\.? *Nr\.? *[0-9/]+"),
 )
 NOT_PUBLIC = ("parcel", "land_register", "cadastral_municipality")
 #: Words that only look like places.
 NOT_PLACES = (
-    "arbeitsweg carsharing fluchtweg fussweg gehsteig gehweg heimweg hinweg radweg rueckweg rückweg schlichtweg schulweg schutzweg umlaufweg umweg vorweg"
+    "arbeitsweg carsharing fluchtweg fussweg fußweg gehsteig gehweg heimweg hinweg radweg rueckweg rückweg schlichtweg schulweg schutzweg umlaufweg umweg vorweg"
 ).split()
-#: Status by the first phrase that occurs.
+#: Status by the first phrase that occurs, the last three as whole words.
 STATUSES = (
     ("assigned", "geschäftsordnungsmäßigen Behandlung zugewiesen"),
     ("noted", "zur Kenntnis (?:genommen|gebracht)"),
@@ -40,13 +41,27 @@ STATUSES = (
 )
 
 
+WHOLE_WORDS = ("accepted", "rejected", "postponed")
+
+
+def phrase(status: str) -> str:
+    """The pattern of a status; its first group is what is said."""
+    said = dict(STATUSES)[status]
+    return rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_])({said})(?:$|[^\p{{L}}\p{{N}}_])" if status in WHOLE_WORDS else f"(?iu)({said})"
+
+
 def all_of(value: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text(value), F.lit(pattern), F.lit(0))
 
 
 def business_numbers(value: Column) -> Column:
-    """Distinct file numbers, single-spaced around nothing but words."""
-    return first_distinct(F.transform(all_of(value, BUSINESS_NUMBER), lambda n: F.regexp_replace(F.regexp_replace(squeeze(n), r" *([/–-]) *", "$1"), "^A ([0-9])", "A$1")))
+    """Distinct file numbers, without blanks around slashes and dashes."""
+
+    def plain(n: Column) -> Column:
+        n = F.regexp_replace(F.regexp_replace(squeeze(n), " */ *", "/"), " *[-–] *", "-")
+        return F.regexp_replace(n, r"(?iu)^(praes|präs)\.?", "Präs.")
+
+    return first_distinct(F.transform(all_of(value, BUSINESS_NUMBER), plain))
 
 
 def base_number(number: Column) -> Column:
@@ -54,9 +69,47 @@ def base_number(number: Column) -> Column:
     return F.regexp_replace(number, r"/[0-9]+(-[0-9]+)?$", "")
 
 
+def lines_before(body: Column, patterns: tuple[str, ...]) -> Column:
+    """The lines of a body before the first that has one of the patterns."""
+    lines = F.split(text(body), "\n")
+    at = F.array_position(F.transform(lines, lambda x: reduce(lambda a, p: a | F.rlike(x, F.lit(p)), patterns[1:], F.rlike(x, F.lit(patterns[0])))), True)
+    return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
+
+
 def amounts(value: Column) -> Column:
     """Distinct amounts as '€ 1.000,-'."""
-    return first_distinct(F.transform(all_of(value, AMOUNT), lambda a: F.concat(F.lit("€ "), F.regexp_replace(F.regexp_replace(a, "[€ ]", ""), r"[.,]$", ""))))
+
+    def plain(a: Column) -> Column:
+        return F.regexp_replace(F.replace(squeeze(a), F.lit(" ,"), F.lit(",")), ", *-+", ",-")
+
+    return first_distinct(F.transform(all_of(value, AMOUNT), plain))
+
+
+def amounts_of_item(heading: Column, body: Column) -> Column:
+    """Amounts of a heading and of what is applied for: the body from the words that open an application up to its result."""
+    lines = lines_before(body, (FORMAL_RESULT,))
+    at = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.lit(AMOUNT_SCOPE))), True)
+    applied = F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    return amounts(F.array_join(F.concat(F.array(text(heading)), applied), "\n"))
+
+
+#: Characters after which no further line is searched for places.
+PLACE_BUDGET = 1600
+
+
+def place_text(heading: Column, body: Column) -> Column:
+    """Heading and body lines up to the first with a result or a status, until their length reaches PLACE_BUDGET."""
+    lines = lines_before(body, (FORMAL_RESULT, *(phrase(name) for name, _ in STATUSES)))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.length(text(heading)).alias("n"), none.alias("kept"))
+
+    def step(held: Column, line: Column) -> Column:
+        room = F.size(held["kept"]) == 0
+        fits = room | (held["n"] < PLACE_BUDGET)
+        return F.struct(F.when(fits, held["n"] + F.length(line)).otherwise(held["n"]).alias("n"), F.when(fits, F.concat(held["kept"], F.array(line))).otherwise(held["kept"]).alias("kept"))
+
+    kept = F.aggregate(lines, start, step, lambda held: held["kept"])
+    return F.array_join(F.concat(F.array(text(heading)), kept), "\n")
 
 
 def amount_value(amount: Column) -> Column:
@@ -66,11 +119,13 @@ def amount_value(amount: Column) -> Column:
 
 
 def places(value: Column, around: int = 80) -> Column:
-    """array<struct(type, value, context, confidence)>: typed places with their surroundings, words that only look like places left out."""
+    """array<struct(type, value, context, confidence)>: public places with their surroundings, words that only look like places left out."""
     plain = squeeze(value)
     sides = []
     for kind, pattern in PLACES:
-        found = F.filter(F.array_distinct(all_of(plain, pattern)), lambda p: ~F.lower(p).isin(*NOT_PLACES))
+        if kind in NOT_PUBLIC:
+            continue
+        found = F.filter(first_distinct(all_of(plain, pattern)), lambda p: ~F.lower(p).isin(*NOT_PLACES))
 
         def entry(p: Column) -> Column:
             at = F.position(p, plain)
@@ -85,8 +140,8 @@ def status_of(value: Column) -> Column:
     """struct(status, status_text) of the first phrase in order; unknown without any."""
     plain = text(value)
     found = F.struct(F.lit("unknown").alias("status"), F.lit("").alias("status_text"))
-    for name, phrase in reversed(STATUSES):
-        said = F.regexp_extract(plain, f"(?i)({phrase})", 1)
+    for name, _ in reversed(STATUSES):
+        said = F.regexp_extract(plain, phrase(name), 1)
         found = F.when(said != "", F.struct(F.lit(name).alias("status"), said.alias("status_text"))).otherwise(found)
     return found
 
@@ -113,7 +168,10 @@ def submitter_of(value: Column) -> Column:
 
 #: What a result can be about.
 SUBJECTS = (("Abänderungsantrag", "amendment"), ("Abaenderungsantrag", "amendment"), ("Zusatzantrag", "additional_motion"), ("Tagesordnungspunkt", "agenda_item"), ("Antrag", "motion"))
-FORMAL_RESULT = r"Der (?:Antrag|Abänderungsantrag|Abaenderungsantrag|Zusatzantrag|Tagesordnungspunkt) [^.\n]{0,240}?(?:angenommen|abgelehnt|zugewiesen|vertagt)(?: *\((?:Gegen|Dagegen|Zustimmung|Enthaltung) *:? *[^)]{1,220}\))?"
+FORMAL_RESULT = (
+    r"(?iu)(?:Der\s+(?:Antrag|Abänderungsantrag|Abaenderungsantrag|Zusatzantrag|Tagesordnungspunkt)[^.\n]{0,240}?\b(?:angenommen|abgelehnt|zugewiesen|vertagt)"
+    r"(?:\s*\((?:Gegen|Dagegen|Zustimmung|Enthaltung)\s*:?\s*[^)]{1,220}\))?\.?|Der\s+geschäftsordnungsmäßigen\s+Behandlung\s+zugewiesen\.?)"
+)
 
 
 def results(value: Column) -> Column:
@@ -141,8 +199,40 @@ def vote_of(result: Column) -> Column:
     )
 
 
+def collapsed(found: Column, status: Column) -> Column:
+    """Votes of which a later one on the same subject replaces an earlier one that contradicts the status or says less."""
+
+    def fits(v: Column) -> Column:
+        o = v["outcome"]
+        side = F.when(F.startswith(status, F.lit("accepted")), "accepted").when(F.startswith(status, F.lit("rejected")), "rejected")
+        return F.when(side.isNotNull(), F.startswith(o, side)).otherwise(o == status)
+
+    def generic(v: Column) -> Column:
+        return v["outcome"].isin("accepted", "rejected")
+
+    def specific(v: Column) -> Column:
+        return v["outcome"].isin("accepted_unanimous", "accepted_majority", "rejected_majority") | (F.size(v["against"]) > 0) | (F.size(v["approval"]) > 0)
+
+    def step(held: Column, v: Column) -> Column:
+        from_end = F.array_position(F.reverse(F.transform(held, lambda x: x["subject"])), v["subject"])
+        at = (F.size(held) - from_end + 1).cast("int")
+        old = F.try_element_at(held, at)
+        replaced = F.concat(F.slice(held, F.lit(1), at - 1), F.array(v), F.slice(held, at + 1, F.size(held)))
+        return (
+            F.when(from_end == 0, F.concat(held, F.array(v)))
+            .when(fits(v) & ~fits(old), replaced)
+            .when(generic(old) & specific(v), replaced)
+            .when(generic(v) & specific(old), held)
+            .otherwise(F.concat(held, F.array(v)))
+        )
+
+    return F.aggregate(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, F.lit(1), F.lit(1)), step)
+
+
 def votes(value: Column) -> Column:
-    return F.transform(results(value), vote_of)
+    """Votes of all formal results, contradictions with the text's status settled."""
+    found = F.transform(results(value), vote_of)
+    return F.when(F.size(found) < 2, found).otherwise(collapsed(found, status_of(value)["status"]))
 
 
 def status_of_votes(found: Column) -> Column:

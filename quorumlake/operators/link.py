@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quorumlake.functions import text
 
@@ -63,26 +64,41 @@ def best_link_per_date(links: DataFrame, rank: Column) -> DataFrame:
     return first_per_key(links.withColumn("__rank", rank), ["meeting_date"], "__rank", "title", "url").drop("__rank")
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block ratio of two strings; 0 if either is empty."""
+@F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("distinctive", IntegerType())]))
+def title_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Matching-block ratio of two normalised titles (0 if either is empty), and how many distinctive words they share.
+
+    Words of six characters or more are shared if their own ratio is 0.86 or more.
+    """
+
+    def shared(left: str, right: str) -> int:
+        x, y = ({w for w in t.split() if len(w) >= 4 and w not in GENERIC_TOKENS} for t in (left, right))
+        both = x & y
+        near = sum(any(len(a) >= 6 and len(b) >= 6 and SequenceMatcher(None, a, b).ratio() >= 0.86 for b in y - both) for a in x - both)
+        return len(both) + near
+
     for left, right in batches:
-        yield pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left.fillna(""), right.fillna(""), strict=True)], dtype=float)
+        pairs = list(zip(left.fillna(""), right.fillna(""), strict=True))
+        ratios = [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+        yield pd.DataFrame({"ratio": ratios, "distinctive": [shared(a, b) for a, b in pairs]})
 
 
-def token_overlap(left: Column, right: Column) -> Column:
-    """Shared words over the left side's words, of normalised texts."""
-    a, b = F.array_distinct(F.split(left, " ")), F.array_distinct(F.split(right, " "))
-    return F.when((left == "") | (right == ""), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+def ratio_bound(left: Column, right: Column) -> Column:
+    """No matching-block ratio of two strings is above this: twice the letters that both have, over all letters."""
+    letters = [F.lit(c) for c in "abcdefghijklmnopqrstuvwxyzäöüß "]
 
+    def count(x: Column, c: Column) -> Column:
+        return F.length(x) - F.length(F.replace(x, c, F.lit("")))
 
-def distinctive_overlap(left: Column, right: Column) -> Column:
-    """How many words of four characters or more, none of them generic, both have."""
+    listed = reduce(lambda a, b: a + b, [F.least(count(left, c), count(right, c)) for c in letters])
+    others = F.least(*[F.length(F.regexp_replace(x, "[a-zäöüß ]", "")) for x in (left, right)])
+    return 2 * (listed + others) / F.greatest(F.length(left) + F.length(right), F.lit(1))
 
-    def distinctive(x: Column) -> Column:
-        return F.filter(F.array_distinct(F.split(x, " ")), lambda w: (F.length(w) >= 4) & ~w.isin(*GENERIC_TOKENS))
 
-    return F.size(F.array_intersect(distinctive(left), distinctive(right)))
+def token_overlap(left: Column, right: Column) -> Column:
+    """Shared words over the left side's words, of normalised texts."""
+    a, b = F.array_distinct(F.split(left, " ")), F.array_distinct(F.split(right, " "))
+    return F.when((left == "") | (right == ""), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
 
 
 def similar_titles(left: DataFrame, right: DataFrame, block: list[str], fuzzy: bool = True, least: float = 0.78) -> DataFrame:
@@ -98,44 +114,81 @@ def similar_titles(left: DataFrame, right: DataFrame, block: list[str], fuzzy: b
     shorter, longer = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")), F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))
     plain = F.when(F.col("a") == F.col("b"), 1.0).when((F.length(shorter) >= 16) & F.contains(longer, shorter), 0.9)
     scored = pairs.withColumn("plain", plain)
-    score = F.coalesce("plain", sequence_ratio("a", "b")) if fuzzy else F.col("plain")
+    if fuzzy:
+        scored = scored.where(F.col("plain").isNotNull() | (ratio_bound(F.col("a"), F.col("b")) >= least))
+    score = F.coalesce("plain", title_similarity("a", "b")["ratio"]) if fuzzy else F.col("plain")
     best = scored.withColumn("score", score).where(F.col("score") >= least)
     return first_per_key(best, ["left_id"], F.col("score").desc(), "right_id").select("left_id", "right_id", "score")
 
 
-def _assign(key: tuple, records: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one linkage in one (date, type) block, in record order."""
+#: Least scores of a link: agenda items of the same number, any title, titles of the same order; and what the same order adds.
+AGENDA_LEAST, TITLE_LEAST, ORDER_LEAST, ORDER_BONUS = 0.5, 0.55, 0.5, 0.08
+#: A link to an entry without a result is kept from this score.
+WITHOUT_RESULT_LEAST = 0.7
+
+
+def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Greedy one-to-one linkage in one (date, type) block, in record order, from scored candidates."""
     used: set[int] = set()
     out = []
-    entries = entries.sort_values("place", ignore_index=True)
-    for r in records.sort_values("place", ignore_index=True).itertuples(index=False):
-        best, best_score = -1, -1.0
-        words = set(r.norm.split())
-        for k, e in enumerate(entries.itertuples(index=False)):
-            if k in used or not r.norm or not e.norm:
-                continue
-            score = max(SequenceMatcher(None, r.norm, e.norm).ratio(), len(words & set(e.norm.split())) / max(1, len(words)))
-            score = min(1.0, score + (0.08 if e.place == r.place else 0.0))
-            if score > best_score:
-                best, best_score = k, score
-        if best >= 0 and best_score >= 0.55:
-            used.add(best)
-            out.append((r.id, entries["id"][best], round(best_score, 4)))
-    return pd.DataFrame(out, columns=["record_id", "entry_id", "score"])
-
-
-def link_one_to_one(records: DataFrame, entries: DataFrame, block: list[str]) -> DataFrame:
-    """(record_id, entry_id, score): greedy linkage within blocks by title and order.
-
-    A block is what one meeting has of one record type, so it stays small.
+    for (_, record), rows in pairs.sort_values(["place", "record_id", "entry_place", "entry_id"]).groupby(["place", "record_id"], sort=True):
+        free = [r for r in rows.itertuples(index=False) if r.entry_id not in used]
+        agenda = bool(rows["agenda"].iloc[0])
+        chosen = None
+        if agenda and (numbered := [r for r in free if r.item_no == r.entry_item_no]):
+            best = max(numbered, key=lambda r: r.title)
+            if best.title >= AGENDA_LEAST:
+                chosen = (best.entry_id, best.title)
+        if chosen is None and free:
+            score = lambda r: min(1.0, r.title + (ORDER_BONUS if r.place == r.entry_place else 0.0))
+            best = max(free, key=score)
+            s = score(best)
+            sure = not agenda or best.item_no == best.entry_item_no or best.distinctive >= 2 or (s >= 0.8 and best.distinctive >= 1)
+            if (s >= TITLE_LEAST and sure) or (agenda and s >= AGENDA_LEAST and best.distinctive >= 2) or (not agenda and best.place == best.entry_place and s >= ORDER_LEAST):
+                chosen = (best.entry_id, s)
+        if chosen:
+            used.add(chosen[0])
+            out.append((record, chosen[0], round(chosen[1], 3)))
+    return pd.DataFrame(out, columns=["record_id", "entry_id", "score"]).astype({"record_id": "int64", "entry_id": "int64", "score": float})
+
+
+def link_one_to_one(records: DataFrame, entries: DataFrame, block: list[str], agenda: str = "kind = 'agenda_item'") -> DataFrame:
+    """(record_id, entry_id, score): greedy linkage within blocks by item number, title and order.
+
+    Both have the block's columns, id, title and item_no. Pairs are made by a join
+    on the block and dropped by length and letters before a ratio is computed;
+    what is assigned in one group are ids and scores of the candidates of one
+    meeting and record type.
     """
 
-    def side(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*block).orderBy("place", "id"))
-        return rows.select(*block, F.col("id").cast("long").alias("id"), text.match_text(F.col("title")).alias("norm"), place.cast("long").alias("place"))
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*block).orderBy("item_no", "id"))
+        named = rows.select(*block, F.col("id").cast("long").alias(f"{prefix}id"), text.match_text(F.col("title")).alias(f"{prefix}norm"), F.col("item_no").alias(f"{prefix}item_no"), place.cast("long").alias(f"{prefix}place"))
+        return named.where(F.col(f"{prefix}norm") != "")
 
-    other = side(entries).withColumnsRenamed({c: f"entry_{c}" for c in block})
-    return side(records).groupBy(*block).cogroup(other.groupBy(*[f"entry_{c}" for c in block])).applyInPandas(_assign, "record_id long, entry_id long, score double")
+    pairs = side(records, "").withColumn("agenda", F.expr(agenda)).join(side(entries, "entry_"), block)
+    overlap = token_overlap(F.col("norm"), F.col("entry_norm"))
+    least = ORDER_LEAST - ORDER_BONUS
+    near = pairs.withColumn("overlap", overlap).where((F.col("overlap") >= least) | (ratio_bound(F.col("norm"), F.col("entry_norm")) >= least))
+    scored = near.withColumn("s", title_similarity("norm", "entry_norm")).withColumn("title", F.greatest("s.ratio", "overlap")).where(F.col("title") >= least)
+    slim = scored.select(*block, F.col("id").alias("record_id"), "entry_id", "place", "entry_place", "item_no", "entry_item_no", "agenda", "title", F.col("s.distinctive").alias("distinctive"))
+    return slim.groupBy(*block).applyInPandas(_assign, "record_id long, entry_id long, score double")
+
+
+def near_words(words: DataFrame, column: str, short: int = 14) -> DataFrame:
+    """(a, b, n): distinct words a < b within an edit distance of 1, or of 2 if a has short characters or more.
+
+    Words meet by what is left of them without up to two of their characters, so
+    that only words that can be near are compared.
+    """
+    gone = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = gone(F.col(column))
+    # Words of short - 2 characters or more may be near one that allows two edits.
+    two = F.when(F.length(column) >= short - 2, F.flatten(F.transform(one, gone))).otherwise(F.array().cast("array<string>"))
+    keys = words.select(column, F.explode(F.array_distinct(F.concat(F.array(column), one, two))).alias("key"))
+    other = keys.select(F.col(column).alias("b"), "key")
+    pairs = keys.withColumnRenamed(column, "a").join(other, "key").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("n", F.levenshtein("a", "b")).where(F.col("n") <= F.when(F.length("a") >= short, 2).otherwise(1))
 
 
 def related(rows: DataFrame, most: int = 6) -> DataFrame:
@@ -145,7 +198,9 @@ def related(rows: DataFrame, most: int = 6) -> DataFrame:
     equality; a pair counts once however many keys it shares.
     """
     keys = rows.select("id", "date", "title", F.explode(F.concat(F.transform("numbers", lambda x: F.concat(F.lit("n:"), x)), F.transform("places", lambda x: F.concat(F.lit("p:"), F.lower(x))))).alias("key")).distinct()
-    other = keys.select("key", F.col("id").alias("other"), F.col("date").alias("other_date"), F.col("title").alias("other_title"))
+    # The first most + 1 rows of a key hold its first most others of any row, so a key of many records costs few pairs.
+    first = keys.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("date", "title", "id"))).where(F.col("n") <= most + 1)
+    other = first.select("key", F.col("id").alias("other"), F.col("date").alias("other_date"), F.col("title").alias("other_title"))
     pairs = keys.select("id", "key").join(other, "key").where("id <> other").select("id", "other", "other_date", "other_title").distinct()
     placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("other_date", "other_title", "other"))).where(F.col("place") <= most)
     return placed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"].cast("string")), ",").alias("related"))

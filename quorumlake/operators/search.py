@@ -30,10 +30,10 @@ FIELD_BONUS = {"titel": 15, "geschaeftszahlen": 15, "orte": 10, "einbringer": 8,
 
 
 def chunks(records: DataFrame, fields: dict[str, Column], id_col: str = "record_id") -> DataFrame:
-    """(chunk_id, record_id, field, weight, text): one row per non-blank field."""
+    """(chunk_id, record_id, field, weight, text, snippet): one row per non-blank field; a snippet has at most 260 characters."""
     sides = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(WEIGHTS[name]).alias("weight"), text.squeeze(value).alias("text")) for name, value in fields.items()])
     rows = records.select(F.col(id_col).alias("record_id"), F.inline(F.filter(sides, lambda c: c["text"] != "")))
-    return rows.select(F.concat_ws(":", "record_id", "field").alias("chunk_id"), "record_id", "field", "weight", "text")
+    return rows.select(F.concat_ws(":", "record_id", "field").alias("chunk_id"), "record_id", "field", "weight", "text", text.clip_words(F.col("text"), 260).alias("snippet"))
 
 
 def postings(chunked: DataFrame) -> DataFrame:
@@ -48,29 +48,41 @@ def query_terms(queries: DataFrame, most: int = 8) -> DataFrame:
     return queries.select("query_id", F.explode(F.flatten(F.transform(tokens, text.alternatives))).alias("stem")).distinct()
 
 
-#: Length of the leading part of a term that terms and prefixes are joined on.
-JOIN_PREFIX = 3
-
-
 def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, record_id, score, fields): weights of the chunks that hold a term with one of the query's prefixes."""
-    stems = query_terms(queries).withColumn("lead", F.substring("stem", 1, JOIN_PREFIX))
-    # Prefixes are looked up among the distinct terms; postings then meet whole terms only.
-    known = index.select("term").distinct().withColumn("lead", F.substring("term", 1, JOIN_PREFIX))
-    terms = known.join(stems, "lead").where(F.startswith("term", "stem")).select("query_id", "term").distinct()
+    """(query_id, record_id, score, fields, chunks): weights of the chunks that hold a term with one of the query's prefixes, and these chunks, the heaviest first."""
+    stems = query_terms(queries)
+    # Distinct terms meet stems by every one of their prefixes, so that no common beginning is a hot key; postings then meet whole terms.
+    known = index.select("term").distinct()
+    prefixes = known.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("stem"))
+    terms = prefixes.join(stems, "stem").select("query_id", "term").distinct()
     hit = index.join(terms, "term").select("query_id", "record_id", "chunk_id", "field", "weight").distinct()
-    return hit.groupBy("query_id", "record_id").agg(F.round(F.sum("weight"), 3).alias("score"), F.array_sort(F.collect_set("field")).alias("fields"))
+    return hit.groupBy("query_id", "record_id").agg(
+        F.round(F.sum("weight"), 3).alias("score"),
+        F.array_sort(F.collect_set("field")).alias("fields"),
+        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "chunk_id"))).alias("chunks"),
+    )
+
+
+MOST_SNIPPETS = 3
+
+
+def with_snippets(found: DataFrame, chunked: DataFrame) -> DataFrame:
+    """found with snippets: up to three distinct ones of its chunks, the heaviest first."""
+    rows = found.select("query_id", "record_id", F.posexplode("chunks").alias("pos", "c")).select("query_id", "record_id", "pos", F.col("c.chunk_id").alias("chunk_id"))
+    said = rows.join(chunked.select("chunk_id", "snippet"), "chunk_id").groupBy("query_id", "record_id").agg(F.array_sort(F.collect_list(F.struct("pos", "snippet"))).alias("s"))
+    snippets = F.slice(F.array_distinct(F.transform("s", lambda x: x["snippet"])), 1, MOST_SNIPPETS)
+    return found.join(said.select("query_id", "record_id", snippets.alias("snippets")), ["query_id", "record_id"]).drop("chunks")
 
 
 def rescored(found: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
-    """found with records' title, body and date and the final score.
+    """found (with snippets) with records' title and date and the final score.
 
     Coverage counts up to 50, all tokens 40, a title token 8, each matched field
-    its bonus, the whole query 20.
+    its bonus, the whole query 20; what is looked at is the title and the snippets.
     """
     asked = queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens"), text.fold(F.col("query")).alias("folded"))
-    folded = records.withColumns({"__title": text.fold(F.col("title")), "__body": text.fold(F.concat_ws(" ", "title", "body"))})
-    rows = found.join(asked, "query_id").join(folded, "record_id")
+    rows = found.join(asked, "query_id").join(records.select("record_id", "title", "date"), "record_id")
+    rows = rows.withColumns({"__title": text.fold(F.col("title")), "__body": text.fold(F.concat_ws(" ", F.array("title"), "snippets"))})
     held = F.size(F.filter("tokens", lambda t: text.holds(F.col("__body"), t)))
     in_title = F.size(F.filter("tokens", lambda t: text.holds(F.col("__title"), t)))
     bonus = F.create_map(*[F.lit(x) for pair in FIELD_BONUS.items() for x in pair])
@@ -94,12 +106,17 @@ def candidate_cut(found: DataFrame, limit: int, dates: DataFrame) -> DataFrame:
     return found.join(dates, "record_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(25 * limit, 100)).drop("place", "date")
 
 
-def search(index: DataFrame, records: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, rank, record_id, score): matches, cut, ranked again by score, date and title."""
+def results(index: DataFrame, chunked: DataFrame, records: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, record_id, score, title, date, fields, snippets): matches, cut, ranked again by score, date and title."""
     cut = candidate_cut(matches(index, queries), limit, records.select("record_id", "date"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "date", F.lower("title"), "record_id")
-    ranked = rescored(cut, queries, records).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "record_id", "score")
+    ranked = rescored(with_snippets(cut, chunked), queries, records).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "record_id", "score", "title", "date", "fields", "snippets")
+
+
+def search(index: DataFrame, chunked: DataFrame, records: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, record_id, score) of results."""
+    return results(index, chunked, records, queries, limit).select("query_id", "rank", "record_id", "score")
 
 
 def answer_groups(results: DataFrame, per_group: int = 5) -> DataFrame:

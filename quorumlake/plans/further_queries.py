@@ -110,23 +110,23 @@ def j10_backfilled_summaries(s, d):
 
 
 @query(
-    f"""WITH r AS (SELECT id, custkey, date::DATE AS s, date::DATE + (id % 40)::INT AS e FROM {RAW} WHERE kind = 'communication')
+    f"""WITH r AS (SELECT id, custkey, date::DATE AS s, date::DATE + (id % 40)::INT AS e FROM {RAW})
     SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.custkey = b.custkey AND a.id < b.id AND a.s <= b.e AND b.s <= a.e"""
 )
 def j15_overlapping_periods(s, d):
-    r = inputs.raw_records(s, d).where("kind = 'communication'").select("id", "custkey", F.to_date("date").alias("s"), F.date_add(F.to_date("date"), (F.col("id") % 40).cast("int")).alias("e"))
+    r = inputs.raw_records(s, d).select("id", "custkey", F.to_date("date").alias("s"), F.date_add(F.to_date("date"), (F.col("id") % 40).cast("int")).alias("e"))
     b = r.select("custkey", F.col("id").alias("b"), F.col("s").alias("bs"), F.col("e").alias("be"))
     return r.join(b, "custkey").where("id < b AND s <= be AND bs <= e").select(F.col("id").alias("a"), "b")
 
 
 @query(
-    f"""WITH n AS (SELECT DISTINCT person, {search_text_sql('person')} AS f, split_part({search_text_sql('person')}, ' ', 3) AS last FROM {RAW}), a AS (SELECT id, 'Was sagte ' || person || ' dazu?' AS query FROM {RAW} WHERE id % 5 = 0)
+    f"""WITH n AS (SELECT DISTINCT person, {search_text_sql('person')} AS f, split_part({search_text_sql('person')}, ' ', 3) AS last FROM {RAW}), a AS (SELECT id, 'Was sagte ' || person || ' dazu?' AS query FROM {RAW})
     SELECT a.id, n.person FROM a JOIN n ON split_part({search_text_sql('query')}, ' ', 5) = n.last"""
 )
 def j17_people_asked_about(s, d):
     r = inputs.raw_records(s, d)
     names = r.select("person").distinct().withColumn("word", F.element_at(F.split(text.search_text(F.col("person")), " "), -1))
-    asked = r.where("id % 5 = 0").select("id", F.explode(F.array_distinct(F.split(text.search_text(F.concat(F.lit("Was sagte "), "person", F.lit(" dazu?"))), " "))).alias("word"))
+    asked = r.select("id", F.explode(F.array_distinct(F.split(text.search_text(F.concat(F.lit("Was sagte "), "person", F.lit(" dazu?"))), " "))).alias("word"))
     return asked.join(names, "word").select("id", "person")
 
 

@@ -43,7 +43,11 @@ FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{part}} ON p_pa
 
 #: The heading of each record's agenda item.
 HEADING = "'Stk. ' || CAST(item_no AS STRING) || ') ' || number_text || ' ' || subject || ' (Berichterstatterin: ' || person || ')'"
-BODY = "subject || ' im Ausmaß von ' || amount_text || '. ' || result_text"
+#: Its text: what it is about, what is applied for, the result, and a remark with another amount.
+BODY = (
+    "'Bisher kostete es € 500,-.' || chr(10) || 'Der Gemeinderat wolle beschließen: ' || subject || ' im Ausmaß von ' || amount_text || '.' || chr(10) || result_text "
+    "|| chr(10) || 'Im Vorjahr waren es € 99,-.'"
+)
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "status": found["status"],
             "status_text": found["status_text"],
             "numbers": extract.business_numbers(F.col("heading")),
-            "amounts": extract.amounts(F.col("body")),
+            "amounts": extract.amounts_of_item(F.col("heading"), F.col("body")),
             "places": F.filter(F.array_distinct(extract.all_of(F.col("subject"), extract.STREET)), lambda p: ~F.lower(p).isin(*extract.NOT_PLACES)),
             "submitter": extract.submitter_of(F.col("heading")),
             "category": labels.category(F.col("subject")),

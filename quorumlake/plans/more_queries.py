@@ -223,7 +223,7 @@ def j18_focus(s, d):
 
 @query(
     f"""WITH s AS (SELECT doc_id AS source_id, coalesce(source, '') AS title, {search_text_sql("coalesce(source, '') || ' ' || coalesce(text, '')")} AS f, {search_text_sql("coalesce(source, '')")} AS tf FROM documents),
-    a AS (SELECT item_id AS query_id, array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')), ' ')[1:6], ' ') AS query FROM benchmark),
+    a AS (SELECT item_id AS query_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')) AS query FROM benchmark),
     k AS (SELECT query_id, {search_text_sql('query')} AS whole, list_filter(list_distinct(regexp_extract_all({fold_sql('query')}, '[\\p{{L}}\\p{{N}}_-]+', 0)), lambda t: length(t) >= 4 AND t NOT IN ({', '.join(q(w) for w in text.QUERY_STOPWORDS)})) AS l FROM a),
     w AS (SELECT query_id, unnest(l) AS word FROM k), d AS (SELECT source_id, unnest(list_distinct(string_split(f, ' '))) AS word FROM s), h AS (SELECT source_id, unnest(list_distinct(string_split(tf, ' '))) AS word FROM s),
     m AS (SELECT query_id, w.word, d.source_id, h.word IS NOT NULL AS th FROM w JOIN d USING (word) LEFT JOIN h ON h.source_id = d.source_id AND h.word = w.word),
@@ -246,11 +246,11 @@ def q15_citations(s, d):
 
 
 @query(
-    f"""WITH u AS (SELECT 'record' AS source, record_id AS key, title FROM {REC} WHERE year = '1998' UNION ALL SELECT 'service', 's' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'garage', 'p' || p_partkey, p_name FROM part)
+    f"""WITH u AS (SELECT 'record' AS source, record_id AS key, title FROM {REC} UNION ALL SELECT 'service', 's' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'garage', 'p' || p_partkey, p_name FROM part)
     SELECT source, count(*) AS n, count(DISTINCT lower(title)) AS titles FROM u GROUP BY source"""
 )
 def u1_all_sources(s, d):
-    r = inputs.records(s, d).where("year = '1998'").select(F.lit("record").alias("source"), F.col("record_id").alias("key"), "title")
+    r = inputs.records(s, d).select(F.lit("record").alias("source"), F.col("record_id").alias("key"), "title")
     sup = inputs.table(s, d, "supplier").select(F.lit("service").alias("source"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("title"))
     part = inputs.table(s, d, "part").select(F.lit("garage").alias("source"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").alias("title"))
     return r.unionByName(sup).unionByName(part).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.lower("title")).alias("titles"))
@@ -267,11 +267,16 @@ def q1_search_chunks(s, d):
     return search.chunks(inputs.records(s, d), fields).select("chunk_id", "weight", "text")
 
 
-@query(f"SELECT record_id, kind, status, title, date, 'votes[0].outcome fehlt' AS error FROM {REC} WHERE id % 7 = 0")
+@query(f"SELECT record_id, i - 1 AS place, 'votes[' || (i - 1) || '].' || c || ' fehlt' AS error FROM (SELECT record_id, len(regexp_extract_all(body, {q(extract.FORMAL_RESULT)}, 0)) AS n, id FROM {RAW}), (VALUES (1)) v(i), (VALUES ('subject', 3), ('outcome', 4)) x(c, k) WHERE n >= 1 AND id % k = 0")
 def v1_vote_errors(s, d):
-    r = inputs.records(s, d).where("id % 7 = 0")
-    vote = F.array(F.struct(F.lit("motion").alias("subject"), F.lit("").alias("outcome")))
-    return r.select("record_id", "kind", "status", "title", "date", F.explode(quality.vote_errors(vote)).alias("error"))
+    r = inputs.records(s, d)
+
+    def damaged(v):
+        return F.struct(F.when(F.col("id") % 3 != 0, v["subject"]).alias("subject"), F.when(F.col("id") % 4 != 0, v["outcome"]).otherwise("").alias("outcome"))
+
+    votes = F.transform(extract.votes(F.col("body")), damaged)
+    found = r.select("record_id", F.explode(quality.vote_errors(votes)).alias("error"))
+    return found.select("record_id", F.regexp_extract("error", "votes.([0-9]+)", 1).cast("int").alias("place"), "error")
 
 
 @query(

@@ -33,7 +33,8 @@ def query(sql: str = "") -> Callable[[Query], Query]:
 
 
 def q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+    """A pattern as an SQL string; DuckDB's flag i knows all letters, and it has no look-ahead."""
+    return "'" + pattern.replace("(?iu)", "(?i)").replace(r"(?! *\.)", "").replace("'", "''") + "'"
 
 
 def fold_sql(x: str) -> str:
@@ -49,11 +50,11 @@ def search_text_sql(x: str) -> str:
 
 
 def status_sql(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '(?i){p}') THEN '{s}'" for s, p in extract.STATUSES) + " ELSE 'unknown' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {q(extract.phrase(name))}) THEN '{name}'" for name, _ in extract.STATUSES) + " ELSE 'unknown' END"
 
 
 def status_text_sql(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '(?i){p}') THEN regexp_extract({x}, '(?i)({p})', 1)" for _, p in extract.STATUSES) + " ELSE '' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {q(extract.phrase(name))}) THEN regexp_extract({x}, {q(extract.phrase(name))}, 1)" for name, _ in extract.STATUSES) + " ELSE '' END"
 
 
 def category_sql(x: str) -> str:
@@ -61,11 +62,25 @@ def category_sql(x: str) -> str:
 
 
 def numbers_sql(x: str) -> str:
-    return f"list_distinct(list_transform(regexp_extract_all({x}, {q(extract.BUSINESS_NUMBER)}, 0), lambda n: regexp_replace(regexp_replace(trim(n), ' *([/–-]) *', '\\1', 'g'), '^A ([0-9])', 'A\\1')))"
+    return f"list_distinct(list_transform(regexp_extract_all({x}, {q(extract.BUSINESS_NUMBER)}, 0), lambda n: regexp_replace(regexp_replace(trim(n), ' */ *', '/', 'g'), ' *[-–] *', '-', 'g')))"
 
 
-def amounts_sql(x: str) -> str:
-    return f"list_distinct(list_transform(regexp_extract_all({x}, {q(extract.AMOUNT)}, 0), lambda a: '€ ' || regexp_replace(regexp_replace(a, '[€ ]', '', 'g'), '[.,]$', '')))"
+def before_sql(body: str, pattern: str) -> str:
+    """The lines of a body before the first with the pattern."""
+    lines = f"string_split({body}, chr(10))"
+    return f"{lines}[1:coalesce(nullif(list_position(list_transform({lines}, lambda l: regexp_matches(l, {pattern})), true), 0) - 1, len({lines}))]"
+
+
+def amounts_sql(heading: str, body: str) -> str:
+    lines = before_sql(body, q(extract.FORMAL_RESULT))
+    at = f"nullif(list_position(list_transform({lines}, lambda l: regexp_matches(l, {q(extract.AMOUNT_SCOPE)})), true), 0)"
+    said = f"{heading} || chr(10) || array_to_string(({lines})[coalesce({at}, len({lines}) + 1):], chr(10))"
+    return distinct_sql(f"list_transform(regexp_extract_all({said}, {q(extract.AMOUNT)}, 0), lambda a: regexp_replace(replace(trim(regexp_replace(a, ' +', ' ', 'g')), ' ,', ','), ', *-+', ',-'))")
+
+
+def distinct_sql(x: str) -> str:
+    """Distinct values in the order of their first places."""
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
 def title_sql(x: str) -> str:
@@ -76,7 +91,7 @@ def title_sql(x: str) -> str:
 RAW = inputs.raw_sql()
 #: The records with extracted fields, as inputs.records gives them.
 REC = f"""(SELECT *, {title_sql("regexp_replace(heading, '^Stk. [0-9]+[)] ', '')")} AS title, {status_sql('body')} AS status, {status_text_sql('body')} AS status_text,
-  {numbers_sql('heading')} AS numbers, {amounts_sql('body')} AS amounts, list_filter(regexp_extract_all(subject, {q(extract.STREET)}, 0), lambda x, i: list_position(regexp_extract_all(subject, {q(extract.STREET)}, 0), x) = i AND lower(x) NOT IN ({', '.join(q(w) for w in extract.NOT_PLACES)})) AS places,
+  {numbers_sql('heading')} AS numbers, {amounts_sql('heading', 'body')} AS amounts, list_filter(regexp_extract_all(subject, {q(extract.STREET)}, 0), lambda x, i: list_position(regexp_extract_all(subject, {q(extract.STREET)}, 0), x) = i AND lower(x) NOT IN ({', '.join(q(w) for w in extract.NOT_PLACES)})) AS places,
   'Berichterstatterin: ' || person AS submitter, {category_sql('subject')} AS category FROM {RAW})"""
 LINES = inputs.lines_sql()
 
@@ -171,14 +186,17 @@ def p27_amounts(s, d):
     return inputs.records(s, d).select("record_id", F.array_join("amounts", ",").alias("amounts"), extract.amount_value(F.col("amounts")[0]).cast("long").alias("whole"))
 
 
+_PLACE_TEXT = f"""(SELECT record_id, trim(regexp_replace(heading || chr(10) || array_to_string({before_sql('body', q('|'.join([extract.FORMAL_RESULT, *(extract.phrase(n) for n, _ in extract.STATUSES)])))}, chr(10)), '[ \\t\\n]+', ' ', 'g')) AS t FROM {RAW})"""
+
+
 @query(
     "WITH p AS ("
-    + " UNION ALL ".join(f"SELECT record_id, subject, '{kind}' AS type, unnest(list_distinct(regexp_extract_all(subject, {q(pattern)}, 0))) AS value FROM {RAW}" for kind, pattern in extract.PLACES)
-    + f""") SELECT record_id, type, value, trim(substr(subject, greatest(instr(subject, value) - 80, 1), instr(subject, value) - greatest(instr(subject, value) - 80, 1) + length(value) + 80)) AS context, 0.75::DOUBLE AS confidence
+    + " UNION ALL ".join(f"SELECT record_id, t, '{kind}' AS type, unnest(list_distinct(regexp_extract_all(t, {q(pattern)}, 0))) AS value FROM {_PLACE_TEXT}" for kind, pattern in extract.PLACES if kind not in extract.NOT_PUBLIC)
+    + f""") SELECT record_id, type, value, trim(substr(t, greatest(instr(t, value) - 80, 1), instr(t, value) - greatest(instr(t, value) - 80, 1) + length(value) + 80)) AS context, 0.75::DOUBLE AS confidence
     FROM p WHERE lower(value) NOT IN ({', '.join(q(w) for w in extract.NOT_PLACES)})"""
 )
 def p28_places(s, d):
-    return inputs.records(s, d).select("record_id", F.inline(extract.places(F.col("subject"))))
+    return inputs.records(s, d).select("record_id", F.inline(extract.places(extract.place_text(F.col("heading"), F.col("body")))))
 
 
 @query(f"SELECT record_id, submitter, person AS author FROM {REC}")
@@ -195,7 +213,7 @@ def _parties_sql(label: str) -> str:
 
 
 @query(
-    f"""SELECT record_id, raw, CASE WHEN contains(raw, 'Zusatzantrag') THEN 'additional_motion' WHEN contains(raw, 'Tagesordnungspunkt') THEN 'agenda_item' ELSE 'motion' END AS subject,
+    f"""SELECT record_id, raw, CASE WHEN contains(raw, 'Zusatzantrag') THEN 'additional_motion' WHEN contains(raw, 'Tagesordnungspunkt') THEN 'agenda_item' WHEN contains(raw, 'Antrag') THEN 'motion' ELSE 'procedure' END AS subject,
     {status_sql('raw')} AS outcome, coalesce({_parties_sql('Zustimmung')}, '') AS approval, coalesce({_parties_sql('Gegen|Dagegen|Gegenstimmen?')}, '') AS against FROM {_VOTE}"""
 )
 def p34_votes(s, d):
@@ -210,7 +228,7 @@ def p35_status(s, d):
 
 @query(
     f"""SELECT record_id, CASE WHEN raw IS NULL THEN 'unknown' ELSE {status_sql('raw')} END AS status,
-    CASE WHEN raw IS NULL THEN '' ELSE (CASE WHEN contains(raw, 'Zusatzantrag') THEN 'Zusatzantrag' WHEN contains(raw, 'Tagesordnungspunkt') THEN 'Tagesordnungspunkt' ELSE 'Antrag' END) || ': ' ||
+    CASE WHEN raw IS NULL THEN '' ELSE (CASE WHEN contains(raw, 'Zusatzantrag') THEN 'Zusatzantrag' WHEN contains(raw, 'Tagesordnungspunkt') THEN 'Tagesordnungspunkt' WHEN contains(raw, 'Antrag') THEN 'Antrag' ELSE 'Verfahren' END) || ': ' ||
       (CASE {status_sql('raw')} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in extract.OUTCOME_LABELS.items())} END) ||
       CASE WHEN contains(raw, 'Gegen:') THEN ' (Gegen: Grüne, Neos, KPÖ)' WHEN contains(raw, 'Zustimmung:') THEN ' (Zustimmung: SPÖ)' ELSE '' END END AS result
     FROM {RAW} LEFT JOIN {_VOTE} USING (record_id)"""
@@ -404,7 +422,7 @@ def a3_meetings(s, d):
     return sinks.star_tables(inputs.records(s, d).withColumn("votes", extract.votes(F.col("body"))))["meetings"]
 
 
-@query(f"SELECT record_id, 0 AS pos, CASE WHEN contains(raw, 'Zusatzantrag') THEN 'additional_motion' WHEN contains(raw, 'Tagesordnungspunkt') THEN 'agenda_item' ELSE 'motion' END AS subject, {status_sql('raw')} AS outcome, CASE WHEN contains(raw, 'Zustimmung') THEN 'SPÖ' ELSE '' END AS approval, CASE WHEN contains(raw, 'Gegen') THEN 'Grüne, Neos, KPÖ' ELSE '' END AS against FROM {_VOTE}")
+@query(f"SELECT record_id, 0 AS pos, CASE WHEN contains(raw, 'Zusatzantrag') THEN 'additional_motion' WHEN contains(raw, 'Tagesordnungspunkt') THEN 'agenda_item' WHEN contains(raw, 'Antrag') THEN 'motion' ELSE 'procedure' END AS subject, {status_sql('raw')} AS outcome, CASE WHEN contains(raw, 'Zustimmung') THEN 'SPÖ' ELSE '' END AS approval, CASE WHEN contains(raw, 'Gegen') THEN 'Grüne, Neos, KPÖ' ELSE '' END AS against FROM {_VOTE}")
 def k3_star_votes(s, d):
     return sinks.star_tables(inputs.records(s, d).withColumn("votes", extract.votes(F.col("body"))))["votes"]
 
@@ -545,23 +563,23 @@ def j6_similar_titles_exact(s, d):
 @query()
 def j6_similar_titles(s, d):
     a, b = _halves(s, d)
-    return link.similar_titles(a, b, ["date"], least=0.6)
+    return link.similar_titles(a, b, ["date"])
 
 
 @query()
 def j7_linkage(s, d):
     a, b = _halves(s, d)
-    side = lambda r: r.select("date", "id", "title", F.col("item_no").alias("place"))
-    return link.link_one_to_one(side(a), side(b), ["date"])
+    side = lambda r: r.select("date", "kind", "id", "title", "item_no")
+    return link.link_one_to_one(side(a), side(b), ["date", "kind"])
 
 
 @query(
-    f"""WITH k AS (SELECT DISTINCT id, date, title, unnest(list_concat(list_transform(numbers, lambda x: 'n:' || x), list_transform(places, lambda x: 'p:' || lower(x)))) AS key FROM {REC} WHERE year = '1998'),
+    f"""WITH k AS (SELECT DISTINCT id, date, title, unnest(list_concat(list_transform(numbers, lambda x: 'n:' || x), list_transform(places, lambda x: 'p:' || lower(x)))) AS key FROM {REC}),
     p AS (SELECT DISTINCT a.id, b.id AS o, b.date, b.title FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, title, o) AS n FROM p)
     SELECT id, string_agg(o::VARCHAR, ',' ORDER BY n) AS related FROM r WHERE n <= 6 GROUP BY id"""
 )
 def j12_related(s, d):
-    return link.related(inputs.records(s, d).where("year = '1998'"))
+    return link.related(inputs.records(s, d))
 
 
 @query(
@@ -576,15 +594,12 @@ def j14_subscribed(s, d):
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b, levenshtein(x.a, y.a) AS n FROM w x JOIN w y ON x.a < y.a AND abs(length(x.a) - length(y.a)) <= 2)
-    SELECT a, b, n::INT AS n FROM p WHERE n <= CASE WHEN length(a) >= 14 THEN 2 ELSE 1 END AND length(a) >= 8"""
+    """WITH w AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b, levenshtein(x.a, y.a) AS n FROM w x JOIN w y ON x.a < y.a AND length(x.a) >= 8 AND length(y.a) >= 8 AND abs(length(x.a) - length(y.a)) <= 2)
+    SELECT a, b, n::INT AS n FROM p WHERE n <= CASE WHEN length(a) >= 14 THEN 2 ELSE 1 END"""
 )
 def j19_near_focus(s, d):
     w = inputs.table(s, d, "part").select(F.col("p_name").alias("a")).distinct()
-    banded = w.withColumn("len", F.length("a"))
-    other = banded.select(F.col("a").alias("b"), F.explode(F.sequence(F.col("len") - 2, F.col("len") + 2)).alias("len"))
-    allowed = F.when(F.length("a") >= 14, 2).otherwise(1)
-    return banded.join(other, "len").where("a < b AND length(a) >= 8").withColumn("n", F.levenshtein("a", "b")).where(F.col("n") <= allowed).select("a", "b", "n")
+    return link.near_words(w.where("length(a) >= 8"), "a")
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'unbekannt') AS nation, coalesce(r_name, 'unbekannt') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -617,14 +632,14 @@ def m1_topics(s, d):
 
 
 @query(
-    f"""WITH t AS (SELECT year || ' ' || category AS topic, id, title FROM {REC} WHERE id % 97 = 0), w AS (SELECT topic, id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (SELECT topic, id, list_filter(string_split_regex(trim(regexp_replace({fold_sql('title')}, '[^\\p{{L}}\\p{{N}}-]+', ' ', 'g')), ' +'),
+    f"""WITH t AS (SELECT year || ' ' || category AS topic, id, title FROM {REC}), w AS (SELECT topic, id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (SELECT topic, id, list_filter(string_split_regex(trim(regexp_replace({fold_sql('title')}, '[^\\p{{L}}\\p{{N}}-]+', ' ', 'g')), ' +'),
       lambda x: length(x) >= 4 AND x NOT IN ({', '.join(q(x) for x in topics.STOPWORDS)}) AND NOT regexp_matches(x, '[0-9]')) AS l FROM t)),
     z AS (SELECT topic, count(DISTINCT id) AS n, min(id) AS f FROM t GROUP BY topic HAVING count(DISTINCT id) >= 2), s AS (SELECT topic, word, count(DISTINCT id) AS df, min(id) AS fid, arg_min(pos, (id, pos)) AS p FROM w GROUP BY ALL),
     k AS (SELECT s.topic, word, row_number() OVER (PARTITION BY s.topic ORDER BY p, word) AS r FROM s JOIN z ON s.topic = z.topic AND df >= greatest(2, n - 1) AND fid = f)
     SELECT topic, string_agg(word, ' ' ORDER BY r) AS label FROM k WHERE r <= 8 GROUP BY topic"""
 )
 def a7_topic_labels(s, d):
-    r = inputs.records(s, d).where("id % 97 = 0").select(F.concat_ws(" ", "year", "category").alias("topic"), "id", "title")
+    r = inputs.records(s, d).select(F.concat_ws(" ", "year", "category").alias("topic"), "id", "title")
     return topics.shared_tokens(r)
 
 
@@ -648,21 +663,27 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    """The first six words of each benchmark passage."""
-    words = F.slice(F.split(text.squeeze(F.col("text")), " "), 1, 6)
-    return inputs.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Each benchmark passage."""
+    return inputs.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), text.squeeze(F.col("text")).alias("query"))
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    return search.chunks(_corpus(s, d), {"titel": F.col("title"), "quellenausschnitt": F.col("body")})
 
 
 def _index(s: SparkSession, d: str) -> DataFrame:
-    return search.postings(search.chunks(_corpus(s, d), {"titel": F.col("title"), "quellenausschnitt": F.col("body")}))
+    return search.postings(_chunks(s, d))
 
 
 _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{x}') AND length(t) - {len(x)} >= 5 THEN substr(t, 1, length(t) - {len(x)})" for x in text.SUFFIXES) + " END"
 _SEARCH = f"""
 corpus AS (SELECT doc_id AS record_id, coalesce(source, '') AS title, coalesce(text, '') AS body, coalesce(lang, '') AS date FROM documents),
 chunk AS (SELECT record_id, 'titel' AS field, 5.0 AS weight, title AS t FROM corpus UNION ALL SELECT record_id, 'quellenausschnitt', 1.5, body FROM corpus),
+said AS (SELECT record_id, field, {squeeze_sql('t')} AS t FROM chunk),
+snip AS (SELECT record_id, field, CASE WHEN length(t) <= 260 THEN t ELSE (CASE WHEN c <> '' THEN c ELSE substr(t, 1, 260) END) || '.' END AS snippet
+   FROM (SELECT *, regexp_replace(regexp_extract(substr(t, 1, 260), '^(.*) [^ ]*$', 1), '[ ,;:]+$', '') AS c FROM said)),
 term AS (SELECT DISTINCT record_id, field, weight, unnest(regexp_extract_all({fold_sql('t')}, '[\\p{{L}}\\p{{N}}]+', 0)) AS term FROM chunk),
-asked AS (SELECT item_id AS query_id, array_to_string(string_split({squeeze_sql('text')}, ' ')[1:6], ' ') AS query FROM benchmark),
+asked AS (SELECT item_id AS query_id, {squeeze_sql('text')} AS query FROM benchmark),
 raw AS (SELECT query_id, query, list_transform(regexp_extract_all({fold_sql('query')}, '[\\p{{L}}\\p{{N}}_-]+', 0), lambda t: regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')) AS l FROM asked),
 toks AS (SELECT query_id, query, list_filter(l, lambda t: length(t) >= 3 AND t NOT IN ({', '.join(q(w) for w in text.QUERY_STOPWORDS)})) AS l FROM raw),
 tok AS (SELECT query_id, t, min(p) AS p FROM (SELECT query_id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM toks) GROUP BY ALL),
@@ -670,19 +691,22 @@ first8 AS (SELECT * FROM tok QUALIFY row_number() OVER (PARTITION BY query_id OR
 stem AS (SELECT DISTINCT query_id, t AS s FROM first8 UNION SELECT query_id, {_STEM} FROM first8 WHERE {_STEM} IS NOT NULL),
 hit AS (SELECT DISTINCT query_id, record_id, field, weight FROM term JOIN stem ON starts_with(term, s)),
 base AS (SELECT query_id, record_id, round(sum(weight), 3)::DOUBLE AS score, sum(CASE field WHEN 'titel' THEN 15 ELSE 4 END) AS bonus FROM hit GROUP BY ALL),
-cut AS (SELECT base.*, title, body, date FROM base JOIN corpus USING (record_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date DESC, record_id) <= 500),
+cut AS (SELECT base.*, title, date FROM base JOIN corpus USING (record_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date DESC, record_id) <= 500),
+shown AS (SELECT query_id, record_id, snippet, row_number() OVER (PARTITION BY query_id, record_id ORDER BY o) AS k FROM (SELECT query_id, record_id, snippet, min((-weight, field)) AS o FROM cut JOIN hit USING (query_id, record_id) JOIN snip USING (record_id, field) GROUP BY ALL)),
+hay AS (SELECT c.*, s.snippets, {fold_sql("c.title || ' ' || s.joined")} AS h, {fold_sql('c.title')} AS ht FROM cut c JOIN (SELECT query_id, record_id, string_agg(snippet, ' ' ORDER BY k) AS joined, string_agg(snippet, ' | ' ORDER BY k) AS snippets FROM shown WHERE k <= 3 GROUP BY ALL) s USING (query_id, record_id)),
 alt AS (SELECT query_id, t, {_STEM} AS s FROM tok),
-cover AS (SELECT c.query_id, c.record_id, count(*) FILTER (contains({fold_sql("c.title || ' ' || c.body")}, t) OR (s IS NOT NULL AND contains({fold_sql("c.title || ' ' || c.body")}, s))) AS held,
-   count(*) FILTER (contains({fold_sql('c.title')}, t) OR (s IS NOT NULL AND contains({fold_sql('c.title')}, s))) AS heads, count(*) AS n FROM cut c JOIN alt USING (query_id) GROUP BY ALL),
-scored AS (SELECT c.query_id, c.record_id, c.title, c.date, round(score + held / n * 50 + CASE WHEN held = n THEN 40 ELSE 0 END + 8 * heads + bonus + CASE WHEN contains({fold_sql("c.title || ' ' || c.body")}, {fold_sql('a.query')}) THEN 20 ELSE 0 END, 3)::DOUBLE AS score
-   FROM cut c JOIN cover v USING (query_id, record_id) JOIN asked a USING (query_id)),
-found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date, lower(title), record_id)::INT AS rank, record_id, score FROM scored QUALIFY rank <= 20)
+cover AS (SELECT c.query_id, c.record_id, count(*) FILTER (contains(h, t) OR (s IS NOT NULL AND contains(h, s))) AS held,
+   count(*) FILTER (contains(ht, t) OR (s IS NOT NULL AND contains(ht, s))) AS heads, count(*) AS n FROM hay c JOIN alt USING (query_id) GROUP BY ALL),
+scored AS (SELECT c.query_id, c.record_id, c.title, c.date, c.snippets, c.score AS base, round(score + held / n * 50 + CASE WHEN held = n THEN 40 ELSE 0 END + 8 * heads + bonus + CASE WHEN contains(h, {fold_sql('a.query')}) THEN 20 ELSE 0 END, 3)::DOUBLE AS score
+   FROM hay c JOIN cover v USING (query_id, record_id) JOIN asked a USING (query_id)),
+found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date, lower(title), record_id)::INT AS rank, record_id, score, snippets, base FROM scored QUALIFY rank <= 20)
 """
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, rank, record_id, score FROM found")
 def search_documents(s, d):
-    return search.search(_index(s, d), _corpus(s, d), _asked(s, d))
+    chunked = _chunks(s, d)
+    return search.search(search.postings(chunked), chunked, _corpus(s, d), _asked(s, d))
 
 
 @query(f"WITH {_SEARCH} SELECT t.record_id, field, count(*) AS terms FROM term t GROUP BY ALL")

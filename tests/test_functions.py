@@ -41,13 +41,66 @@ def test_periods(spark):
 
 def test_extraction(spark):
     heading = "A 8 - 12345/2023/7 Sanierung Annenstraße, € 1.250.000,- (Berichterstatterin: GRin Maier)"
-    assert one(spark, extract.business_numbers(F.col("t")), t=heading) == ["A8-12345/2023/7"]
-    assert one(spark, extract.base_number(F.lit("A8-12345/2023/7"))) == "A8-12345/2023"
+    assert one(spark, extract.business_numbers(F.col("t")), t=heading) == ["A 8-12345/2023/7"]
+    assert one(spark, extract.base_number(F.lit("A 8-12345/2023/7"))) == "A 8-12345/2023"
     assert one(spark, extract.amounts(F.col("t")), t=heading) == ["€ 1.250.000,-"]
     assert str(one(spark, extract.amount_value(F.lit("€ 1.250.000,50")))) == "1250000.50"
     assert one(spark, extract.submitter_of(F.col("t")), t=heading) == "Berichterstatterin: GRin Maier"
-    found = one(spark, extract.places(F.col("t")), t="Am Schulweg zur Annenstraße, KG Gries, EZ 12")
-    assert [(p["type"], p["value"]) for p in found] == [("street", "Annenstraße"), ("cadastral_municipality", "KG Gries"), ("land_register", "EZ 12")]
+    found = one(spark, extract.places(F.col("t")), t="Am Schulweg und Fußweg zur Annenstraße, zum GRIESPLATZ, KG Gries, EZ 12")
+    assert [(p["type"], p["value"]) for p in found] == [("street", "Annenstraße"), ("street", "GRIESPLATZ"), ("place", "GRIESPLATZ")]
+
+
+def test_file_numbers_have_edges(spark):
+    def of(t):
+        return one(spark, extract.business_numbers(F.col("t")), t=t)
+
+    assert of("GZ: Präs. 12345/2024/0003 und präs 12345/2024/0003") == ["Präs. 12345/2024/0003"]
+    assert of("HALAB 12345") == [] and of("ab 12345 - 1 gilt") == ["ab 12345-1"]
+    assert of("A 10/8 – 98765/2022 - 3. Änderung") == ["A 10/8-98765/2022"]
+    assert of("kein Stück") == of("") == []
+
+
+def test_amounts_are_those_applied_for(spark):
+    def of(heading, *body):
+        frame = spark.createDataFrame([(heading, "\n".join(body))], "h string, b string")
+        return frame.select(extract.amounts_of_item(F.col("h"), F.col("b"))).first()[0]
+
+    wanted = "Der Gemeinderat wolle beschließen: € 2.000,- für den Park"
+    assert of("Zaun um € 10.000 ,--", "Früher € 1,-", wanted, "davon € 500,50", "Der Antrag wurde angenommen. € 9,-", "€ 8,-") == ["€ 10.000,-", "€ 2.000,-", "€ 500,50"]
+    assert of("Zaun", "Früher € 1,-") == of("", "") == []
+    assert of("Zaun", "Der Antrag wurde vertagt.", wanted) == []
+
+
+def test_places_within_the_budget(spark):
+    def of(*body):
+        frame = spark.createDataFrame([("Bau", "\n".join(body))], "h string, b string")
+        return frame.select(extract.place_text(F.col("h"), F.col("b"))).first()[0].split("\n")
+
+    assert of("a", "Der Antrag wurde einstimmig angenommen.", "b") == ["Bau", "a"]
+    assert of("a", "zur Kenntnis genommen", "b") == ["Bau", "a"] and of("x unangenommen y", "b") == ["Bau", "x unangenommen y", "b"]
+    assert of("x" * 1600, "b") == ["Bau", "x" * 1600] and of("x" * 1590, "b", "c" * 9, "d") == ["Bau", "x" * 1590, "b", "c" * 9]
+
+
+def test_results_of_both_forms(spark):
+    def of(t):
+        return [(v["subject"], v["outcome"], v["approval"], v["against"]) for v in one(spark, extract.votes(F.col("t")), t=t)]
+
+    assert of("Der geschäftsordnungsmäßigen  Behandlung zugewiesen.") == [("procedure", "assigned", [], [])]
+    assert of("DER ANTRAG wurde EINSTIMMIG ANGENOMMEN.") == [("procedure", "accepted_unanimous", [], [])]
+    assert of("Der Tagesordnungspunkt wurde mehrheitlich angenommen (Gegen: KPÖ und Grüne).") == [("agenda_item", "accepted_majority", [], ["KPÖ", "Grüne"])]
+    assert of("Der Antrag wurde angenommen. Der Antrag wurde mehrheitlich angenommen.") == [("motion", "accepted_majority", [], [])]
+    assert of("Der Antrag wurde abgelehnt. Der Antrag wurde einstimmig angenommen.") == [("motion", "accepted_unanimous", [], [])]
+    assert of("Der Zusatzantrag wurde abgelehnt. Der Antrag wurde vertagt.") == [("additional_motion", "rejected", [], []), ("motion", "postponed", [], [])]
+    assert of("Darüber wurde geredet.") == []
+
+
+def test_status_words_are_whole(spark):
+    def of(t):
+        return one(spark, extract.status_of(F.col("t"))["status"], t=t)
+
+    assert of("wurde vorangenommen") == "unknown" and of("so angenommen.") == "accepted" and of("abgelehnt") == "rejected"
+    assert of("mehrstimmig abgelehnt") == "rejected_majority" and of("abgelehnt, dann angenommen") == "accepted"
+    assert of("einstimmig angenommen und zur Kenntnis gebracht") == "noted"
 
 
 def test_votes(spark):

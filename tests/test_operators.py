@@ -29,19 +29,97 @@ def test_similar_titles(spark):
     assert [(r.left_id, r.right_id) for r in got] == [(1, 5)]
 
 
+LINKED = "id long, day string, kind string, title string, item_no int"
+
+
 def test_one_to_one_linkage_uses_an_entry_once(spark):
     title = "Neubau der Volksschule am Ring"
-    left = spark.createDataFrame([(1, "d", title, 1), (2, "d", title, 2)], "id long, day string, title string, place int")
-    right = spark.createDataFrame([(10, "d", title, 1)], "id long, day string, title string, place int")
-    assert [(r.record_id, r.entry_id) for r in link.link_one_to_one(left, right, ["day"]).collect()] == [(1, 10)]
+    left = spark.createDataFrame([(1, "d", "urgent_motion", title, 1), (2, "d", "urgent_motion", title, 2)], LINKED)
+    right = spark.createDataFrame([(10, "d", "urgent_motion", title, 1)], LINKED)
+    assert [(r.record_id, r.entry_id) for r in link.link_one_to_one(left, right, ["day", "kind"]).collect()] == [(1, 10)]
+
+
+def test_linkage_tiers(spark):
+    left = [
+        (1, "d", "agenda_item", "Sanierung Volksschule Viktor Kaplan", 5),  # the same number wins over a better title
+        (2, "d", "agenda_item", "Richtlinien Förderung Höhe", 7),  # generic words alone don't link an agenda item
+        (3, "d", "agenda_item", "Wohnhaus Triester Siedlung Umbau", 8),  # another number, two distinctive words
+        (4, "d", "urgent_motion", "Fahrradstraße Moserhofgasse umsetzen", 0),
+        (5, "d", "written_motion", "Fahrradstraße Moserhofgasse umsetzen", 0),  # no entry of its type
+    ]
+    right = [
+        (11, "d", "agenda_item", "Sanierung Volksschule Viktor Kaplan", 6),
+        (12, "d", "agenda_item", "Sanierung Volksschule Viktor Kapelan Zubau", 5),
+        (13, "d", "agenda_item", "Richtlinien Förderung Höhe Statut", 9),
+        (14, "d", "agenda_item", "Triester Siedlung Wohnhaus", 10),
+        (15, "d", "urgent_motion", "Umsetzen der Fahrradstraße Moserhofgasse", 0),
+    ]
+    got = {r.record_id: r.entry_id for r in link.link_one_to_one(spark.createDataFrame(left, LINKED), spark.createDataFrame(right, LINKED), ["day", "kind"]).collect()}
+    assert got == {1: 12, 3: 14, 4: 15}
+
+
+def test_linkage_against_plain_loops(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["Sanierung", "Volksschule", "Radweg", "Kanal", "Brücke", "Förderung", "Triester", "Siedlung", "Park", "Wohnhaus"]
+    rows = lambda first: [(first + k, f"d{k % 4}", rng.choice(["agenda_item", "urgent_motion"]), " ".join(rng.sample(words, rng.randrange(2, 5))), rng.randrange(4)) for k in range(60)]
+    left, right = rows(1), rows(100)
+    norm = lambda t: " ".join(w for w in t.lower().split())
+
+    def like(a, b):
+        x, y = norm(a).split(), norm(b).split()
+        return max(SequenceMatcher(None, norm(a), norm(b)).ratio(), len(set(x) & set(y)) / len(set(x)))
+
+    def shared(a, b):
+        x, y = ({w for w in norm(t).split() if len(w) >= 4 and w not in link.GENERIC_TOKENS} for t in (a, b))
+        both = x & y
+        return len(both) + sum(any(min(len(u), len(v)) >= 6 and SequenceMatcher(None, u, v).ratio() >= 0.86 for v in y - both) for u in x - both)
+
+    expected = {}
+    for day, kind in {r[1:3] for r in left}:
+        mine, theirs = (sorted((r for r in side if r[1:3] == (day, kind)), key=lambda r: (r[4], r[0])) for side in (left, right))
+        used = set()
+        for place, r in enumerate(mine):
+            free = [(k, e) for k, e in enumerate(theirs) if e[0] not in used]
+            pick = None
+            same = [e for _, e in free if e[4] == r[4]]
+            if kind == "agenda_item" and same and like(r[3], (best := max(same, key=lambda e: like(r[3], e[3])))[3]) >= 0.5:
+                pick = best
+            if pick is None and free:
+                k, best = max(free, key=lambda x: min(1, like(r[3], x[1][3]) + (0.08 if x[0] == place else 0)))
+                s, d = min(1, like(r[3], best[3]) + (0.08 if k == place else 0)), shared(r[3], best[3])
+                if kind == "agenda_item":
+                    ok = (s >= 0.55 and (best[4] == r[4] or d >= 2 or (s >= 0.8 and d >= 1))) or (s >= 0.5 and d >= 2)
+                else:
+                    ok = s >= 0.55 or (k == place and s >= 0.5)
+                pick = best if ok else None
+            if pick:
+                used.add(pick[0])
+                expected[r[0]] = pick[0]
+    got = link.link_one_to_one(spark.createDataFrame(left, LINKED), spark.createDataFrame(right, LINKED), ["day", "kind"])
+    assert {r.record_id: r.entry_id for r in got.collect()} == expected and expected
+
+
+def test_ratio_bound_is_never_below_the_ratio(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("abcäé1 ") for _ in range(rng.randrange(1, 20))), "".join(rng.choice("abcäé1 ") for _ in range(rng.randrange(1, 20)))) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "a string, b string").withColumn("bound", link.ratio_bound(F.col("a"), F.col("b")))
+    assert all(r.bound >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-9 for r in frame.collect())
 
 
 def test_search_prefers_title(spark):
     records = spark.createDataFrame([("a", "Radweg Annenstraße", "kurz", "2024-01-01"), ("b", "Kanal", "auch ein Radweg kommt vor", "2024-02-01"), ("c", "Schule", "nichts", "2024-01-01")], "record_id string, title string, body string, date string")
-    index = search.postings(search.chunks(records, {"titel": F.col("title"), "quellenausschnitt": F.col("body")}))
+    chunked = search.chunks(records, {"titel": F.col("title"), "quellenausschnitt": F.col("body")})
+    index = search.postings(chunked)
     queries = spark.createDataFrame([(1, "Welche Radwege gibt es?")], "query_id int, query string")
-    got = search.search(index, records, queries).orderBy("rank").collect()
+    got = search.results(index, chunked, records, queries).orderBy("rank").collect()
     assert [r.record_id for r in got] == ["a", "b"]
+    assert [(r.fields, r.snippets) for r in got] == [(["titel"], ["Radweg Annenstraße"]), (["quellenausschnitt"], ["auch ein Radweg kommt vor"])]
 
 
 def test_word_paragraphs_and_a_broken_file(spark):
