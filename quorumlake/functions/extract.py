@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import first_distinct, squeeze, text
+from .text import fold as lower_folded
 
 #: Patterns of file numbers, amounts and places.
 BUSINESS_NUMBER = r"(?iu)\b(?:Präs\.?|Praes\.?|AB|A *[0-9]+(?: */ *[0-9]+)?) *(?:[-–] *)?[0-9]{3,}(?: */ *[0-9]{1,4}){0,3}(?: *[-–] *[0-9]{1,4}(?! *\.))?"
@@ -292,3 +293,22 @@ def votes_text(found: Column) -> Column:
 def confidence(*points: tuple[Column, float], base: float = 0.45) -> Column:
     """base plus the points whose condition holds, at most 1."""
     return F.round(F.least(reduce(lambda a, p: a + F.when(p[0], p[1]).otherwise(0.0), points, F.lit(base)), F.lit(1.0)), 4)
+
+
+def inferred_places(stored: Column, details: Column, context: Column, near: Column, names: tuple[str, ...] = ()) -> Column:
+    """Stored places and those that the text near a record names, distinct but for case.
+
+    Four places or more that come from a long text (context characters, 1800 or
+    more) or with four details or more are trusted only where the near text has them.
+    names are districts and the like that count where they stand as words.
+    """
+    plain = lower_folded(near)
+
+    def said(p: Column) -> Column:
+        return F.contains(F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[^\p{L}\p{N}_]+", " "), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_folded(p), r"[^\p{L}\p{N}_]+", " ")), F.lit(" ")))
+
+    broad = (F.size(stored) >= 4) & ((details >= 4) | (context >= 1800))
+    kept = F.when(broad, F.filter(stored, said)).otherwise(stored)
+    found = F.transform(F.filter(places(near), lambda p: p["type"] == "street"), lambda p: p["value"])
+    named = F.filter(F.array(*map(F.lit, names)), said) if names else F.array().cast("array<string>")
+    return first_distinct(F.concat(kept, found, named))

@@ -90,3 +90,37 @@ def template_summary(title: Column, person: Column, result: Column) -> Column:
     """One or two sentences from a record's facts."""
     actor = F.when(person != "", F.concat(person, F.lit(" brachte ein: "))).otherwise("")
     return F.concat(actor, title, F.lit("."), F.when(result != "", F.concat(F.lit(" "), result)).otherwise(" Ein Ergebnis liegt noch nicht vor."))
+
+
+def conclusions(sources: DataFrame, key: str) -> DataFrame:
+    """(key, conclusion, rest): what sources (key, title, date, record_id, grp) say: decisions and the latest of them, and the other groups' counts."""
+
+    def n(group: str) -> Column:
+        return F.count_if(F.col("grp") == group)
+
+    counted = sources.groupBy(key).agg(
+        *[n(g).alias(g) for g in ("decided", "rejected", "open", "treated")],
+        F.max_by("title", F.when(F.col("grp") == "decided", F.struct("date", "record_id"))).alias("latest"),
+        F.max(F.when(F.col("grp") == "decided", F.col("date"))).alias("day"),
+    )
+    count = lambda c: F.col(c).cast("string")
+    decided = F.concat(count("decided"), F.lit(" belegte Beschlüsse, zuletzt am "), "day", F.lit(": "), "latest", F.lit("."))
+    others = [F.when(F.col(c) > 0, F.concat(count(c), F.lit(f" {word}"))) for c, word in (("open", "offen"), ("rejected", "abgelehnt"), ("treated", "behandelt"))]
+    conclusion = F.when(F.col("decided") > 0, decided).when(F.col("rejected") + F.col("open") + F.col("treated") > 0, "Kein belegter Beschluss.").otherwise("Kein Treffer.")
+    return counted.select(key, conclusion.alias("conclusion"), F.concat_ws(", ", *others).alias("rest"))
+
+
+def unified_sources(sides: list[DataFrame]) -> DataFrame:
+    """(source_id, source, title, context, searched) of all sides (source, key, title, context)."""
+    rows = None
+    for side in sides:
+        one = side.select(F.concat_ws(":", "source", F.col("key").cast("string")).alias("source_id"), "source", text.text(F.col("title")).alias("title"), text.text(F.col("context")).alias("context"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.withColumn("searched", text.search_text(F.concat_ws(" ", "title", "context")))
+
+
+def shown_and_rest(results: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, group, shown, rest): a group's first results (query_id, rank, record_id, group), and how many more there are."""
+    placed = results.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "group").orderBy("rank")))
+    shown = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("rank", "record_id"))))
+    return placed.groupBy("query_id", "group").agg(F.array_join(F.transform(shown, lambda x: x["record_id"]), ",").alias("shown"), F.count_if(F.col("place") > most).alias("rest"))

@@ -121,3 +121,23 @@ def spread_points(points: DataFrame) -> DataFrame:
 def unique_by(rows: DataFrame, key: Column, *order: Column | str) -> DataFrame:
     """The first row of each computed key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def services(rows: DataFrame, category: str, query: str, searched: tuple[str, ...]) -> DataFrame:
+    """Services of a category ('' for all) whose columns hold a query."""
+    kept = rows.where(F.col("category") == category) if category else rows
+    wanted = text.search_text(F.lit(query))
+    return kept.where((wanted == "") | F.contains(text.search_text(F.concat_ws(" ", *searched)), wanted))
+
+
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with their place in an order, which must be total.
+
+    Rows are dealt by ranges of the order; a partition's rows are numbered on their own and
+    behind the sizes of those before it, so that no task sees all.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    own = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return own.join(before.drop("__size"), "__part").withColumn("place", (F.col("__n") + F.col("__before")).cast("int")).drop("__part", "__n", "__before")

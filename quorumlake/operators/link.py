@@ -217,3 +217,15 @@ def apply_proposals(rows: DataFrame, proposals: DataFrame, key: str, column: str
         F.coalesce("proposal", column).alias(column),
         F.when(taken, "proposal").otherwise("rule").alias(f"{column}_source"),
     )
+
+
+def nearby(places: DataFrame, works: DataFrame, most: int = 30) -> DataFrame:
+    """(place, id): the first works (id, text) that have a word of four characters or more of a place's name.
+
+    Words meet by equality; a word's first works are enough, whatever a place's other words find.
+    """
+    wanted = places.select("place", F.explode(F.filter(F.split(F.lower("place"), " "), lambda t: F.length(t) >= 4)).alias("word"))
+    said = works.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+    first = said.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("id"))).where(F.col("n") <= most).drop("n")
+    met = wanted.join(first, "word").select("place", "id").distinct()
+    return met.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("id"))).where(F.col("n") <= most).drop("n")

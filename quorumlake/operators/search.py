@@ -36,6 +36,11 @@ def chunks(records: DataFrame, fields: dict[str, Column], id_col: str = "record_
     return rows.select(F.concat_ws(":", "record_id", "field").alias("chunk_id"), "record_id", "field", "weight", "text", text.clip_words(F.col("text"), 260).alias("snippet"))
 
 
+def documents(records: DataFrame) -> DataFrame:
+    """What a result shows of records."""
+    return records.select("record_id", F.col("title").alias("titel"), F.col("kind").alias("typ"), F.col("date").alias("datum"), "status", F.col("result_text").alias("ergebnis"), F.col("url").alias("source_url"))
+
+
 def postings(chunked: DataFrame) -> DataFrame:
     """(term, chunk_id, record_id, field, weight, n): distinct folded terms of a chunk."""
     terms = F.regexp_extract_all(text.fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -27,6 +27,11 @@ def noise(kind: Column, title: Column) -> Column:
     return (kind == "archive_source") | F.rlike(F.lower(text.text(title)), F.lit(r"(auflage|genehmigung) der protokolle|protokolle der (nicht)?öffentlichen"))
 
 
+def on_several_dates(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """(keys, n, dates, first_date, last_date) of keys that come up on several dates."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).where(F.col("dates") >= least)
+
+
 def candidates(records: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
     """(topic, kind, n, dates, first_date, last_date, confidence, rank) of keys seen on two dates or more.
 
@@ -36,7 +41,7 @@ def candidates(records: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
     kept = records.where(~noise(F.col("kind"), F.col("title")))
     keys = F.concat(F.transform("numbers", lambda n: F.struct(F.lit("business").alias("kind"), n.alias("topic"))), F.transform(keywords(F.col("title")), lambda w: F.struct(F.lit("keyword").alias("kind"), w.alias("topic"))))
     exploded = kept.select("id", "date", F.inline(keys))
-    grouped = exploded.groupBy("kind", "topic").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).where("dates >= 2")
+    grouped = on_several_dates(exploded, ["kind", "topic"])
     confidence = F.when(F.col("kind") == "business", 0.95).otherwise(F.round(F.least(F.lit(0.85), 0.45 + 0.08 * F.col("n")), 4))
     scored = grouped.withColumn("confidence", confidence)
     top = scored.orderBy(F.col("confidence").desc(), "topic", "kind").limit(most)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text
@@ -120,3 +120,23 @@ def file_links(links: DataFrame) -> DataFrame:
     """(file_name, url): the local names that a link's copy can have."""
     stem = F.concat_ws("_", "date", F.substring(F.regexp_replace(F.lower("title"), "[^a-z0-9äöüß]+", "-"), 1, 60), F.substring(F.sha1("url"), 1, 10))
     return links.select(F.explode(F.transform(F.array(F.lit("pdf"), F.lit("txt")), lambda s: F.concat(stem, F.lit("."), s))).alias("file_name"), "url")
+
+
+def first_files(files: DataFrame, endings: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """(path, place) of files with one of the endings, by name; the first most of them."""
+    kept = files.where(F.rlike(F.lower("path"), F.lit("(" + "|".join(e.replace(".", "[.]") for e in endings) + ")$")))
+    kept = kept.orderBy("path").limit(most) if most is not None else kept
+    return kept.withColumn("place", F.row_number().over(Window.orderBy("path")))
+
+
+def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of fixed rows, for a broadcast join."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def cached(requested: DataFrame, snapshot: DataFrame, load: Callable[[], DataFrame], version: int, column: str = "date") -> DataFrame:
+    """The snapshot's rows of the requested dates if it has this version and all of them, else what load() reads."""
+    held = snapshot.where(F.col("cache_version") == version)
+    if requested.join(held.select(column).distinct(), column, "left_anti").isEmpty():
+        return held.drop("cache_version").join(requested.distinct(), column, "left_semi")
+    return load()

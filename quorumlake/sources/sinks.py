@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,19 @@ def write_star(records: DataFrame, folder: str) -> None:
     """Each table written anew as Parquet."""
     for name, table in star_tables(records).items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def json_line(*columns: Column | str) -> Column:
+    """A JSON object of columns, as one line."""
+    return F.to_json(F.struct(*columns))
+
+
+def summary_pairs(counts: DataFrame) -> DataFrame:
+    """(key, value) of counts (metric, key, n)."""
+    return counts.select(F.when(F.col("key") == "", F.col("metric")).otherwise(F.concat_ws(":", "metric", "key")).alias("key"), F.col("n").cast("string").alias("value"))
+
+
+def catalogue(sources: DataFrame, loaded: DataFrame) -> DataFrame:
+    """sources (source, license) with how many rows of each are loaded."""
+    counts = loaded.groupBy("source").agg(F.count("*").alias("n"))
+    return sources.join(counts, "source", "left").select("source", "license", F.coalesce("n", F.lit(0)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +35,19 @@ def unfinished(records: DataFrame, summaries: DataFrame, most: int) -> DataFrame
     return records.join(summaries.where("summary <> ''").select("record_id"), "record_id", "left_anti").orderBy("record_id").limit(most)
 
 
+def refreshed(records: DataFrame, views: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(views of the records in turn, errors): a view that fails is left out with its error, and the others go on."""
+    done: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for name, make in views.items():
+        try:
+            done[name] = make(records)
+            done[name].schema  # noqa: B018  what is wrong with a view shows here
+        except PySparkException as error:
+            failed[name] = str(error)
+    return done, failed
+
+
 def run_updates(
     spark: SparkSession,
     source: str,
