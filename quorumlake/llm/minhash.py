@@ -169,42 +169,44 @@ BLOCK_NODES, BLOCK_BYTES = 512, 8 << 20
 _FULL_BITS = 1 << 16
 
 
+def _side(nodes: pa.StructArray) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """node, component, bands and bits of a block's nodes."""
+    node, component, bands, bits = nodes.flatten()
+    return node, component, *(x.flatten().to_numpy().reshape(len(nodes), -1) for x in (bands, bits))
+
+
 def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks the nodes involved and, as places among them, the pairs to confirm.
 
     A pair of nodes counts in the first band that both share.
     """
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for row in batch.to_pylist():
-            left, right = row["left"], row["right"]
-            x, y = (np.array([n["bits"] for n in side], np.int64).view(np.uint64) for side in (left, right))
-            differ = np.zeros((len(x), len(y)), np.int64)
+        band, at_x, at_y, mains = (batch.column(k) for k in range(4))
+        for r in range(batch.num_rows):
+            (node_x, part_x, bands_x, x), (node_y, part_y, bands_y, y) = (_side(batch.column(k)[r].values) for k in (4, 5))
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            differ = np.zeros((len(x), len(y)), np.int16)
             for k in range(x.shape[1]):
                 unlike = x[:, None, k] ^ y[None, :, k]
                 differ += np.bitwise_count((unlike | (unlike >> np.uint64(1))) & np.uint64(0x5555555555555555))
-            names = {c: i for i, c in enumerate(dict.fromkeys(n["component"] for side in (left, right) for n in side))}
-            p, q = (np.array([names[n["component"]] for n in side]) for side in (left, right))
-            main = names.get(row["main"], -1)
+            named = pa.concat_arrays([part_x, part_y, pa.array([mains[r].as_py()], part_x.type)]).dictionary_encode().indices.to_numpy()
+            p, q, main = named[: len(x)], named[len(x) : -1], named[-1]
             near = (((PERMUTATIONS - differ) / PERMUTATIONS - 0.25) / 0.75 >= ESTIMATE_CUT) & (p[:, None] != q[None, :]) & ((p[:, None] != main) | (q[None, :] != main))
-            if row["x"] == row["y"]:
+            if at_x[r].as_py() == at_y[r].as_py():
                 near &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
             i, j = np.nonzero(near)
             if len(i):
-                bands_x, bands_y = (np.array([n["bands"] for n in side], np.int64) for side in (left, right))
                 first = np.full(len(i), -1)
                 for k in range(BANDS - 1, -1, -1):
                     first[bands_x[i, k] == bands_y[j, k]] = k
-                here = bands_x[i, first] == row["band"]
+                here = bands_x[i, first] == band[r].as_py()
                 i, j = i[here], j[here]
             if len(i):
                 ui, uj = np.unique(i), np.unique(j)
-                nodes = [left[k]["node"] for k in ui] + [right[k]["node"] for k in uj]
-                flat = np.stack([np.searchsorted(ui, i), len(ui) + np.searchsorted(uj, j)], axis=1).ravel()
-                for column, value in zip(out, (row["band"], row["x"], row["y"], nodes, flat.astype(np.int32)), strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), ["band", "x", "y", "nodes", "pairs"])
+                nodes = pa.concat_arrays([node_x.take(pa.array(ui)), node_y.take(pa.array(uj))]).to_pylist()
+                flat = np.stack([np.searchsorted(ui, i), len(ui) + np.searchsorted(uj, j)], axis=1).ravel().astype(np.int32)
+                columns = [*(c.slice(r, 1) for c in (band, at_x, at_y)), pa.array([nodes], pa.list_(pa.binary())), pa.array([flat], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["band", "x", "y", "nodes", "pairs"])
 
 
 def _joined_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def _joined_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         left: list[bytes] = []
         right: list[bytes] = []
-        for row in batch.to_pylist():
+        for row in (x for r in range(batch.num_rows) for x in batch.slice(r, 1).to_pylist()):
             sets: dict[bytes, np.ndarray] = {}
             for t in row["texts"]:
                 if t["node"] not in sets and digest(h := shingles(t["text"])) == t["node"]:
