@@ -165,6 +165,7 @@ class _Panel(HTMLParser):
         if tag in self.VOID:
             if self.block is not None and tag == "br":
                 self.block["text"].append("\n")
+                self.block["after"].append("\n")
             return
         begins = bool(self.panel) and a.get("id") == self.panel and not self.inside
         self.inside += begins

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
-def checkpointed(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; where it is unset, a local master gets a folder of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a local master gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
