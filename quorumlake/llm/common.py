@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths written within each keeping() that is under way, the innermost last.
+_written: list[list[str]] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -32,9 +37,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keeping(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s table, materialised; whatever else was materialised on the way is deleted then.
+
+    What make() uses from outside stays. Nothing that stays reads what goes, so
+    that a lost executor needs none of it.
+    """
+    _written.append([])
+    try:
+        out = materialise(make(), label)
+    finally:
+        *spent, kept = _written.pop() or [""]
+    for path in spent:
+        place = out.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    if _written:
+        _written[-1].append(kept)
+    return out
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """A column name made from name that none of frames has."""
     taken = {c.lower() for frame in frames for c in frame.columns}

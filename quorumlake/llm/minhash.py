@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import free_name, keeping, materialise
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -161,7 +161,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, label: str)
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "text_a", "b", "text_b")
     )
-    return materialise(full.mapInArrow(_confirmed, "a binary, b binary").distinct(), f"{label}-links")
+    return full.mapInArrow(_confirmed, "a binary, b binary").distinct()
 
 
 #: Nodes of a bucket that are compared in one task with as many others, and about how many bytes of shingles these may have.
@@ -277,7 +277,7 @@ def _block_links(members: DataFrame, nodes: DataFrame, documents: DataFrame) ->
     wanted = near.select(F.explode("nodes").alias("node")).distinct().join(owner, "node")
     texts = materialise(documents.join(wanted, F.col("id").eqNullSafe(F.col("owner"))).select("node", "text"), "op4-second-texts")
     held = near.select("band", "x", "y", F.explode("nodes").alias("node")).join(texts, "node").groupBy("band", "x", "y").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
-    return materialise(near.join(held, ["band", "x", "y"]).select("nodes", "pairs", "texts").mapInArrow(_joined_in_blocks, "a binary, b binary").distinct(), "op4-second-links")
+    return near.join(held, ["band", "x", "y"]).select("nodes", "pairs", "texts").mapInArrow(_joined_in_blocks, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -324,15 +324,8 @@ def with_node(documents: DataFrame, text_col: str = "text", node_col: str = "__o
     return documents.select("*", F.col(text_col).cast("string").alias(free_name("text", documents))).mapInArrow(run, out)
 
 
-def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, component, component_id) for every row.
-
-    node is the digest of the row's set and component the same for all nodes of
-    a component; both are null for an empty set, which is its own component.
-    """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(docs.mapInArrow(_features, _FEATURES), "op4-features")
-    full = rows.where("n_shingles > 0")
+def _components_of_nodes(full: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component, component_id) of rows with a set."""
     owners = materialise(full.groupBy("node").agg(F.min("id").alias("id")), "op4-owners")
     nodes = materialise(
         full.select(F.col("node").alias("n"), F.col("id").alias("i"), "n_shingles", "bands", "bits")
@@ -346,8 +339,8 @@ def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: s
     buckets = materialise(in_bands.join(shared, "band"), "op4-members")
     ends = buckets.select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node != pivot")
     pairs = ends.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = _links(pairs, nodes, docs, "op4-first")
-    labels = components(links, "op4-first")
+    links = keeping(lambda: _links(pairs, nodes, docs, "op4-first"), "op4-first-links")
+    labels = keeping(lambda: components(links, "op4-first"), "op4-first-components")
 
     members = materialise(
         buckets.select("band", "node", "n_shingles").join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component")),
@@ -358,15 +351,25 @@ def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: s
         sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1").drop("parts"),
         "op4-main",
     )
-    more = _block_links(members.join(largest, "band"), nodes, docs)
+    more = keeping(lambda: _block_links(members.join(largest, "band"), nodes, docs), "op4-second-links")
     if not more.isEmpty():
-        labels = components(links.union(more), "op4-second")
+        labels = keeping(lambda: components(links.union(more), "op4-second"), "op4-second-components")
 
     named = materialise(owners.join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "op4-named")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("parts"))
-    of_node = materialise(
-        named.join(least.where("parts > 1").drop("parts"), "component", "left").select("node", "component", F.coalesce("component_id", "id").alias("component_id")), "op4-components"
-    )
+    return named.join(least.where("parts > 1").drop("parts"), "component", "left").select("node", "component", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def components_of_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, node, component, component_id) for every row.
+
+    node is the digest of the row's set and component the same for all nodes of
+    a component; both are null for an empty set, which is its own component.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialise(docs.mapInArrow(_features, _FEATURES), "op4-features")
+    full = rows.where("n_shingles > 0")
+    of_node = keeping(lambda: _components_of_nodes(full, docs), "op4-components")
     linked = full.join(of_node, "node").select("id", "n_shingles", "node", "component", "component_id")
     none = F.lit(None).cast("binary")
     alone = rows.where("n_shingles = 0").select("id", "n_shingles", none.alias("node"), none.alias("component"), F.col("id").alias("component_id"))

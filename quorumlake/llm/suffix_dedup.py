@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import keeping, materialise
 from .grouping import suffix_array
 
 LENGTH, GRAM = 200, 32
@@ -334,7 +334,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = docs.withColumn("t", _text_key(F.col("text")))
-    spans = materialise(repeated_spans(keyed), "op6-spans")
+    spans = keeping(lambda: repeated_spans(keyed), "op6-spans")
     kind = docs.schema["id"].dataType.simpleString()
     joined = keyed.join(spans, "t", "left").select("id", "text", "spans")
     return joined.mapInArrow(_cut_out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -41,6 +41,27 @@ def test_same_rows_as_sql(spark, name):
     assert rows_of(spark, queries.QUERIES[name], FOLDER) == rows_of_sql(queries.ORACLE_SQL[name], FOLDER)
 
 
+def test_what_is_spent_is_deleted(spark, odd):
+    import os
+
+    from quorumlake.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    inner = []
+
+    def make():
+        inner.append(common.materialise(spark.range(5), "spent"))
+        return common.keeping(lambda: common.materialise(inner[0], "deeper").where("id > 1"), "inside").where("id > 2")
+
+    kept = common.keeping(make, "kept")
+    assert sorted(r.id for r in kept.collect()) == [3, 4]
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"kept"}
+    before = set(os.listdir(folder))
+    assert minhash.near_duplicates(odd).count() == odd.count()
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"op4-features", "op4-components"}
+
+
 def test_minhash_components(spark, odd):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert got[0] == (0, 0, True) and got[1] == (0, 1, True) and got[3] == (1, 3, True)
