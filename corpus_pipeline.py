@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import language, minhash, mixing, packing, secrets
-from quorumlake.llm.common import free_name, materialise
+from quorumlake.llm.common import free_name, keeping, materialise
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    def after(k: int) -> DataFrame:
+        """What k stages leave; what they wrote on the way, the result before included, is deleted once it is written."""
+        if k == 0:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        name, stage = STAGES[k - 1]
+        return keeping(lambda: stage(spark, after(k - 1), sf_dir), "pipeline-" + name.replace(" ", "-"))
+
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)
