@@ -10,11 +10,11 @@ distinct five-word shingles (all its words as one shingle where there are fewer)
    with all. Bit counts of the packed signatures give a similarity corrected for
    chance collisions; pairs well below the threshold go, the others are
    confirmed on the full sets.
-3. Components are labelled; in buckets that still span several components, those
+3. Components are labelled; in buckets that still span several components, the nodes
    outside the largest one are compared with all others, so that no link is lost
-   however the pivots fell. Nodes are dealt into blocks of bounded size for this:
-   a row is a pair of blocks, its task compares signatures and then full sets,
-   and only links that join two components come out, not the pairs.
+   however the pivots fell. Both are dealt into blocks of bounded size for this:
+   a row is a block of nodes outside and one of all, its task compares signatures
+   and then full sets, and only links that join two components come out, not the pairs.
 
 With four rows and 32 bands a pair at similarity 0.75 shares a bucket with
 probability 1 - (1 - 0.75^4)^32 > 0.99999; the signature estimate has a standard
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, keeping, materialise
@@ -166,24 +166,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, label: str)
 
 #: Nodes of a bucket that are compared in one task with as many others, and about how many bytes of shingles these may have.
 BLOCK_NODES, BLOCK_BYTES = 512, 8 << 20
+#: Blocks of all nodes that go to one key with a block of those outside.
+FACED = 16
 _FULL_BITS = 1 << 16
 
 
-def _side(nodes: pa.StructArray) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """node, component, bands and bits of a block's nodes."""
+def _side(nodes: pa.StructArray) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """node, component, bands, bits and the node as two numbers in its order, of a block's nodes."""
     node, component, bands, bits = nodes.flatten()
-    return node, component, *(x.flatten().to_numpy().reshape(len(nodes), -1) for x in (bands, bits))
+    order = np.frombuffer(b"".join(node.to_pylist()), ">u8").reshape(-1, 2)
+    return node, component, *(x.flatten().to_numpy().reshape(len(nodes), -1) for x in (bands, bits)), order
 
 
 def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks the nodes involved and, as places among them, the pairs to confirm.
+    """For each pair of blocks, the left one of nodes outside, the nodes involved and, as places among them, the pairs to confirm.
 
-    A pair of nodes counts in the first band that both share.
+    A pair of nodes counts in the first band that both share, and once if both lie outside.
     """
     for batch in batches:
         band, at_x, at_y, mains = (batch.column(k) for k in range(4))
         for r in range(batch.num_rows):
-            (node_x, part_x, bands_x, x), (node_y, part_y, bands_y, y) = (_side(batch.column(k)[r].values) for k in (4, 5))
+            (node_x, part_x, bands_x, x, order_x), (node_y, part_y, bands_y, y, order_y) = (_side(batch.column(k)[r].values) for k in (4, 5))
             x, y = x.view(np.uint64), y.view(np.uint64)
             differ = np.zeros((len(x), len(y)), np.int16)
             for k in range(x.shape[1]):
@@ -191,10 +194,11 @@ def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 differ += np.bitwise_count((unlike | (unlike >> np.uint64(1))) & np.uint64(0x5555555555555555))
             named = pa.concat_arrays([part_x, part_y, pa.array([mains[r].as_py()], part_x.type)]).dictionary_encode().indices.to_numpy()
             p, q, main = named[: len(x)], named[len(x) : -1], named[-1]
-            near = (((PERMUTATIONS - differ) / PERMUTATIONS - 0.25) / 0.75 >= ESTIMATE_CUT) & (p[:, None] != q[None, :]) & ((p[:, None] != main) | (q[None, :] != main))
-            if at_x[r].as_py() == at_y[r].as_py():
-                near &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+            near = (((PERMUTATIONS - differ) / PERMUTATIONS - 0.25) / 0.75 >= ESTIMATE_CUT) & (p[:, None] != q[None, :])
             i, j = np.nonzero(near)
+            (a, b), (c, d) = order_x[i].T, order_y[j].T
+            once = (q[j] == main) | (a < c) | ((a == c) & (b < d))
+            i, j = i[once], j[once]
             if len(i):
                 first = np.full(len(i), -1)
                 for k in range(BANDS - 1, -1, -1):
@@ -205,7 +209,7 @@ def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ui, uj = np.unique(i), np.unique(j)
                 nodes = pa.concat_arrays([node_x.take(pa.array(ui)), node_y.take(pa.array(uj))]).to_pylist()
                 flat = np.stack([np.searchsorted(ui, i), len(ui) + np.searchsorted(uj, j)], axis=1).ravel().astype(np.int32)
-                columns = [*(c.slice(r, 1) for c in (band, at_x, at_y)), pa.array([nodes], pa.list_(pa.binary())), pa.array([flat], pa.list_(pa.int32()))]
+                columns = [*(v.slice(r, 1) for v in (band, at_x, at_y)), pa.array([nodes], pa.list_(pa.binary())), pa.array([flat], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["band", "x", "y", "nodes", "pairs"])
 
 
@@ -254,24 +258,19 @@ def _joined_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _block_links(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links between components in open buckets (band, node, component, main, n, shingles).
-
-    Which blocks face which is settled on the blocks' names alone; their nodes
-    then join by name, so that no task holds more than the blocks of its pairs.
-    """
-    parts = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_NODES)), F.ceil(8 * F.col("shingles") / F.lit(BLOCK_BYTES)))
-    full = members.withColumn("blk", F.pmod(F.xxhash64("node"), parts)).join(nodes.select("node", "bands", "bits"), "node")
-    one = F.struct("node", "component", "bands", "bits")
-    blocks = materialise(
-        full.groupBy("band", "blk", "main").agg(F.collect_list(one).alias("held"), F.bool_or(F.col("component") != F.col("main")).alias("outside")),
-        "op4-blocks",
-    )
-    x = blocks.select("band", F.col("blk").alias("x"), F.col("outside").alias("ox"))
-    y = blocks.select("band", F.col("blk").alias("y"), F.col("outside").alias("oy"))
-    named = x.join(y, "band").where("x <= y AND (ox OR oy)").select("band", "x", "y")
-    left = blocks.select("band", F.col("blk").alias("x"), "main", F.col("held").alias("left"))
-    right = blocks.select("band", F.col("blk").alias("y"), F.col("held").alias("right"))
-    facing = named.join(left, ["band", "x"]).join(right, ["band", "y"]).select("band", "x", "y", "main", "left", "right")
+    """Links between components in open buckets (band, node, component, main, and n, shingles, n_out, out of the bucket and of its nodes outside main)."""
+
+    def parts(n: str, shingles: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / F.lit(BLOCK_NODES)), F.ceil(8 * F.col(shingles) / F.lit(BLOCK_BYTES))).cast("long")
+
+    full = members.withColumns({"nx": parts("n_out", "out"), "ny": parts("n", "shingles")}).join(nodes.select("node", "bands", "bits"), "node")
+    held = F.collect_list(F.struct("node", "component", "bands", "bits"))
+    x, y = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("nx", "ny"))
+    outside = materialise(full.where("component <> main").groupBy("band", x.alias("x"), "ny").agg(held.alias("left")), "op4-outside")
+    every = materialise(full.groupBy("band", y.alias("y"), "nx", "main").agg(held.alias("right")), "op4-blocks")
+    one = outside.select("band", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ny") - 1) / FACED))).alias("z"), "left")
+    other = every.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)).alias("x"), F.floor(F.col("y") / FACED).alias("z"), "y", "main", "right")
+    facing = other.join(one, ["band", "x", "z"]).select("band", "x", "y", "main", "left", "right")
     near = materialise(facing.mapInArrow(_near_in_blocks, "band long, x long, y long, nodes array<binary>, pairs array<int>"), "op4-facing")
     owner = nodes.select("node", F.col("id").alias("owner"))
     wanted = near.select(F.explode("nodes").alias("node")).distinct().join(owner, "node")
@@ -348,7 +347,10 @@ def _components_of_nodes(full: DataFrame, docs: DataFrame) -> DataFrame:
     )
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     largest = materialise(
-        sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1").drop("parts"),
+        sizes.groupBy("band").agg(
+            F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"),
+            (F.sum("n") - F.max("n")).alias("n_out"), (F.sum("shingles") - F.max_by("shingles", F.struct("n", "component"))).alias("out"), F.count("*").alias("parts")
+        ).where("parts > 1").drop("parts"),
         "op4-main",
     )
     more = keeping(lambda: _block_links(members.join(largest, "band"), nodes, docs), "op4-second-links")
