@@ -312,3 +312,17 @@ def inferred_places(stored: Column, details: Column, context: Column, near: Colu
     found = F.transform(F.filter(places(near), lambda p: p["type"] == "street"), lambda p: p["value"])
     named = F.filter(F.array(*map(F.lit, names)), said) if names else F.array().cast("array<string>")
     return first_distinct(F.concat(kept, found, named))
+
+
+def question_confidence(question: Column, answer: Column, follow_up: Column) -> Column:
+    return confidence((text(question) != "", 0.25), (text(answer) != "", 0.2), (text(follow_up) != "", 0.1))
+
+
+def motion_confidence(title: Column, submitter: Column, head: Column) -> Column:
+    """head holds the first twelve lines."""
+    low = F.lower(text(head))
+    return confidence((text(title) != "", 0.2), (text(submitter) != "", 0.15), (F.contains(low, F.lit("gemeinderat")), 0.1), (F.contains(low, F.lit("dringlich")), 0.1))
+
+
+def written_question_confidence(topic: Column, speaker: Column, question: Column, answer: Column) -> Column:
+    return confidence((text(topic) != "", 0.15), (text(speaker) != "", 0.15), (text(question) != "", 0.15), (text(answer) != "", 0.05), base=0.5)

@@ -234,3 +234,54 @@ def source_facts(kind: Column, date: Column, label: Column, numbers: Column, pla
     gz, at = F.array_join(numbers, ", "), F.array_join(places, ", ")
     facts = F.array(kind, date, label, F.when(gz != "", F.concat(F.lit("GZ "), clip(gz, 46))), F.when(at != "", F.concat(F.lit("Orte "), clip(at, 70))))
     return F.slice(F.filter(facts, lambda f: text(f) != ""), 1, 6)
+
+
+def pending(kind: Column, date: Column, today: Column) -> Column:
+    """Whether an urgent motion or agenda item lies ahead, so that it has no result yet."""
+    return kind.isin("urgent_motion", "agenda_item") & F.rlike(text(date), F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & (date > today)
+
+
+def with_pending(records: DataFrame, today: Column) -> DataFrame:
+    """records (kind, date, status, result, raw_result, votes) with those that lie ahead pending, their votes cleared."""
+    ahead = pending(F.col("kind"), F.col("date"), today)
+    rows = records.withColumn("__ahead", ahead)
+    kind = dict(records.dtypes)["votes"]
+    return rows.withColumns(
+        {
+            "raw_result": F.when(F.col("__ahead"), F.coalesce(F.nullif("raw_result", F.lit("")), "result")).otherwise(F.col("raw_result")),
+            "status": F.when(F.col("__ahead"), "pending").otherwise(F.col("status")),
+            "result": F.when(F.col("__ahead"), "ausstehend").otherwise(F.col("result")),
+            "votes": F.when(F.col("__ahead"), F.array().cast(kind)).otherwise(F.col("votes")),
+        }
+    ).drop("__ahead")
+
+
+#: What a question's words bring with them.
+EXPANSIONS = (
+    (("anrainer|anwohner|bewohner", "park"), ("anwohnerparkzone", "anrainerparkplatz", "anrainerparken", "parkzone", "gruenzone", "gruene", "blaue", "zone")),
+    (("gruen|gruene|parkzone|park",), ("parkraumbewirtschaftung", "bewohnerparken", "parkraum")),
+    (("amt|aemter|service|melde|hauptwohnsitz|pass|reisepass|termin|formular",), ("buergerinnenamt", "buergeramt", "meldewesen", "dokumente", "digitales amt", "service")),
+    (("muell|abfall|wasser|kanal|bim|bus",), ("kommunale services", "abfall", "wasser", "oeffentlicher verkehr")),
+)
+#: Words that no question is about.
+QUESTION_STOPWORDS = (
+    "also alles angenommen annahme antrag antraege anträge auch bezirk bezirke beschluss beschluesse beschlüsse beschlossen dann dass dazu deine dringlich dringliche "
+    "einen einer eine einstimmig ergebnis erzaehl erzähle frage fragen gemeinderat gemacht gibt hier info infos kann kurz mehr mehrheitlich nicht oder sage sag sich "
+    "sind status tagesordnungspunkt ueber über und warum wenn werden wird wurde wurden wieso zum"
+).split()
+
+
+def question_words(query: Column, expansions: tuple = EXPANSIONS) -> Column:
+    """Distinct words of four characters or more, no stopwords, and what they bring with them."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(text(query), r"[^\p{L}\p{N}-]+", " ")), " "), lambda w: (F.length(w) >= 4) & ~w.isin(*QUESTION_STOPWORDS))
+    joined = F.array_join(words, " ")
+    none = F.array().cast("array<string>")
+    more = [F.when(_all(joined, patterns), F.array(*map(F.lit, added))).otherwise(none) for patterns, added in expansions]
+    return F.array_distinct(F.concat(words, *more))
+
+
+def _all(value: Column, patterns: tuple[str, ...]) -> Column:
+    held = F.lit(True)
+    for p in patterns:
+        held = held & F.rlike(value, F.lit(p))
+    return held

@@ -295,3 +295,62 @@ def motion_blocks(lines: DataFrame) -> DataFrame:
     """
     kind = lines.schema["source"].dataType.simpleString()
     return motion_lines(lines).groupBy("source").applyInPandas(_motions, f"source {kind}, block int, body string")
+
+
+#: Labels of people, in the order in which they count, with what is put before the name.
+SUBMITTERS = (
+    (("antragsteller:in(nen)", "antragsteller:innen", "antragsteller", "fragesteller:in", "fragesteller"), ""),
+    (("berichterstatter:in", "berichterstatterin", "berichterstatter", "berichterstatter:innen"), "Berichterstatterin: "),
+    (("bearbeiter:in", "bearbeiterin", "bearbeiter"), "Bearbeiterin: "),
+    (("freigaben / unterschriften",), ""),
+)
+ADDRESSEES = ((("regierungsmitglied(er)", "regierungsmitglied", "adressat", "adressat:in", "adressat:innen"), ""),)
+
+
+def labelled_people(lines: DataFrame, tiers: tuple[tuple[tuple[str, ...], str], ...]) -> DataFrame:
+    """(source, person): the line below the first label of the first tier that has one.
+
+    A line with a colon names nobody; a later tier doesn't stand in for it.
+    """
+    key = F.lower(F.regexp_replace(F.trim("line"), "^[ :]+|[ :]+$", ""))
+    below = F.lead("line").over(Window.partitionBy("source").orderBy("line_no"))
+    tier, before = F.lit(None).cast("int"), F.lit("")
+    for k, (labels, prefix) in reversed(list(enumerate(tiers))):
+        tier, before = F.when(key.isin(*labels), k).otherwise(tier), F.when(key.isin(*labels), prefix).otherwise(before)
+    name = F.regexp_replace(text.squeeze(below), "^[ ,;]+|[ ,;]+$", "")
+    named = F.when((name != "") & ~F.contains(name, F.lit(":")), F.concat(before, name)).otherwise("")
+    found = lines.withColumns({"__tier": tier, "__named": named}).where("__tier IS NOT NULL")
+    return found.groupBy("source").agg(F.min_by("__named", F.struct("__tier", "line_no")).alias("person"))
+
+
+HEAD_LINES, CONTEXT_LINES = 14, 40
+
+
+def document_types(lines: DataFrame) -> DataFrame:
+    """(source, kind) of decision pages, by the words of their first lines and of what stands before the decision; '' if none says it."""
+    placed = lines.withColumn("__n", F.row_number().over(Window.partitionBy("source").orderBy("line_no")))
+    decided = F.min(F.when(F.lower("line") == "beschlussvermerk", F.col("__n"))).over(Window.partitionBy("source"))
+    placed = placed.withColumn("__end", F.coalesce(decided, F.lit(CONTEXT_LINES + 1)))
+
+    def joined(kept):
+        return F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("__n", "line")))), lambda x: x["line"]), " "))
+
+    n = F.col("__n")
+    said = placed.groupBy("source").agg(joined(n <= HEAD_LINES).alias("head"), joined(n <= CONTEXT_LINES).alias("context"), joined(n < F.col("__end")).alias("before"))
+
+    def has(column: str, pattern: str):
+        return F.rlike(column, F.lit(pattern))
+
+    around = F.concat_ws(" ", "head", "before")
+    kind = (
+        F.when(F.rlike(around, F.lit("abänderungsantrag|abaenderungsantrag")), "amendment_motion")
+        .when(F.contains(around, F.lit("zusatzantrag")), "additional_motion")
+        .when(has("head", "fragestunde|fragesteller") | has("context", r"(^|[^\p{L}])stellt\s+an\s+.+folgende\s+frage($|[^\p{L}])"), "question_hour")
+        .when(has("head", "mitteilung an den gemeinderat|mitteilung von bürgermeister:in"), "communication")
+        .when(has("head", "anfrage an bürgermeister:in"), "written_question")
+        .when(has("head", "selbständiger antrag|selbstaendiger antrag"), "written_motion")
+        .when(has("head", "dringlicher antrag"), "urgent_motion")
+        .when(has("head", "bericht an den gemeinderat"), "agenda_item")
+        .otherwise("")
+    )
+    return said.select("source", kind.alias("kind"))

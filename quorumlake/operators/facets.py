@@ -141,3 +141,9 @@ def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     sizes = own.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return own.join(before.drop("__size"), "__part").withColumn("place", (F.col("__n") + F.col("__before")).cast("int")).drop("__part", "__n", "__before")
+
+
+def by_point(places: DataFrame, digits: int = 6) -> DataFrame:
+    """(lat, lon, n, names) of places (name, lat, lon) that share a point to so many digits."""
+    points = places.select(F.round("lat", digits).alias("lat"), F.round("lon", digits).alias("lon"), "name")
+    return points.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))

@@ -229,3 +229,14 @@ def nearby(places: DataFrame, works: DataFrame, most: int = 30) -> DataFrame:
     first = said.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("id"))).where(F.col("n") <= most).drop("n")
     met = wanted.join(first, "word").select("place", "id").distinct()
     return met.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("id"))).where(F.col("n") <= most).drop("n")
+
+
+def backfilled(rows: DataFrame, known: DataFrame, key: str, columns: list[str], most: int) -> DataFrame:
+    """rows with known's columns where a row has none, and todo: whether it is among the first most, by key, that still lack one of them."""
+    joined = rows.join(known.select(key, *[F.col(c).alias(f"__{c}") for c in columns]), key, "left")
+    filled = joined.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"__{c}"), F.lit("")), F.lit("")) for c in columns}).drop(*[f"__{c}" for c in columns])
+    lacking = F.lit(False)
+    for c in columns:
+        lacking = lacking | (F.col(c) == "")
+    first = filled.where(lacking).select(key).distinct().orderBy(key).limit(most).withColumn("todo", F.lit(True))
+    return filled.join(first, key, "left").withColumn("todo", F.coalesce("todo", F.lit(False)))

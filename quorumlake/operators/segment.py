@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.functions import extract
+
 #: Headings that begin a section.
 SECTIONS = {
     "mitteilungen": "Mitteilungen",
@@ -39,8 +41,8 @@ def numbered_blocks(rows: DataFrame, starts: Column, keys: list[str], order: str
     return rows.withColumn("block", F.sum(F.when(starts, 1).otherwise(0)).over(_before(keys, order))).where("block > 0")
 
 
-def agenda_chunks(lines: DataFrame) -> DataFrame:
-    """(source, section, item_no, heading, body) of lines (source, line_no, line).
+def numbered_chunks(lines: DataFrame) -> DataFrame:
+    """(source, section, item_no, heading, body, block) of lines (source, line_no, line).
 
     A section heading carries on and closes the chunk before it; 'Stk. n)' and
     'TO n:' open a chunk whose following lines are its body. Lines with a tab and
@@ -61,7 +63,24 @@ def agenda_chunks(lines: DataFrame) -> DataFrame:
         F.max(F.when(F.col("item").isNotNull(), F.regexp_extract("line", AGENDA_ITEM, 3))).alias("heading"),
         F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("body"),
     )
-    return chunks.where("item_no IS NOT NULL").select("source", F.coalesce("section", F.lit("")).alias("section"), "item_no", F.trim("heading").alias("heading"), "body")
+    return chunks.where("item_no IS NOT NULL").select("source", F.coalesce("section", F.lit("")).alias("section"), "item_no", F.trim("heading").alias("heading"), "body", "block")
+
+
+def agenda_chunks(lines: DataFrame) -> DataFrame:
+    """The chunks of numbered_chunks without their order."""
+    return numbered_chunks(lines).drop("block")
+
+
+def parsed_records(lines: DataFrame) -> DataFrame:
+    """(source, ordinal, section, item_no, title, numbers, amounts, status, body): chunks as records, the first of those with one section, number and title."""
+    rows = numbered_chunks(lines).withColumn("title", extract.title_of(F.col("heading")))
+    key = Window.partitionBy("source", "section", "item_no", F.lower("title")).orderBy("block")
+    first = rows.withColumn("__n", F.row_number().over(key)).where("__n = 1")
+    numbered = first.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("block")))
+    found = extract.status_of(F.col("body"))
+    return numbered.select(
+        "source", "ordinal", "section", "item_no", "title", extract.business_numbers(F.col("heading")).alias("numbers"), extract.amounts_of_item(F.col("heading"), F.col("body")).alias("amounts"), found["status"].alias("status"), "body"
+    )
 
 
 def carried_reporter(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from quorumlake.operators import answers, decisions, facets, link, quality, sear
 from quorumlake.plans import inputs
 from quorumlake.plans import queries as base
 from quorumlake.plans.queries import LINES, RAW, REC, TODAY, fold_sql, q, query, search_text_sql, squeeze_sql
-from quorumlake.sources import readers, sinks
+from quorumlake.sources import html, readers, sinks
 from quorumlake.streaming import incremental
 
 
@@ -652,3 +652,148 @@ def a15_mean_measures(s, d):
 @query(base.ORACLE_SQL["m1_topics"].replace("SELECT *, row_number()", "SELECT topic, kind, row_number()"))
 def o3_topic_order(s, d):
     return topics.candidates(inputs.records(s, d)).select("topic", "kind", "rank")
+
+
+# Rules in full.
+
+
+@query(
+    f"""WITH c AS ({base.ORACLE_SQL['x1_agenda_chunks'].replace('SELECT source, section, item_no, heading, body FROM g', 'SELECT source, block, section, item_no, heading, body FROM g').replace('WITH l AS', 'WITH l AS', 1)}),
+    t AS (SELECT *, {base.title_sql('heading')} AS title FROM c), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source, section, item_no, lower(title) ORDER BY block) = 1)
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY block)::INT AS ordinal, section, item_no, title, array_to_string({base.numbers_sql('heading')}, ',') AS numbers, array_to_string({base.amounts_sql('heading', 'body')}, ',') AS amounts, {base.status_sql('body')} AS status FROM f"""
+)
+def x2_records_of_minutes(s, d):
+    r = segment.parsed_records(inputs.lines(s, d))
+    return r.select("source", "ordinal", "section", "item_no", "title", F.array_join("numbers", ",").alias("numbers"), F.array_join("amounts", ",").alias("amounts"), "status")
+
+
+_PEOPLE = f"""
+SELECT id AS source, 1 AS line_no, 'Bearbeiter:in:' AS line FROM {RAW} WHERE id % 2 = 0
+UNION ALL SELECT id, 2, ' ' || person || ', ' FROM {RAW} WHERE id % 2 = 0
+UNION ALL SELECT id, 3, 'ADRESSAT' FROM {RAW} WHERE id % 7 <> 0
+UNION ALL SELECT id, 4, segment FROM {RAW}
+UNION ALL SELECT id, 5, 'Berichterstatterin' FROM {RAW} WHERE id % 3 = 0
+UNION ALL SELECT id, 6, CASE WHEN id % 9 = 0 THEN 'Datum: heute' ELSE 'StR Muster' END FROM {RAW}
+UNION ALL SELECT id, 7, 'Antragsteller' FROM {RAW} WHERE id % 5 = 0
+UNION ALL SELECT id, 8, 'GRin Beispiel' FROM {RAW} WHERE id % 10 = 0
+"""
+
+
+@query(f"SELECT id AS source, CASE WHEN id % 10 = 0 THEN 'GRin Beispiel' WHEN id % 5 = 0 THEN '' WHEN id % 9 = 0 THEN '' WHEN id % 3 = 0 THEN 'Berichterstatterin: StR Muster' ELSE 'Bearbeiterin: ' || person END AS submitter, CASE WHEN id % 7 <> 0 THEN segment ELSE '' END AS addressee FROM {RAW} WHERE id % 2 = 0 OR id % 3 = 0 OR id % 5 = 0")
+def x12_people_by_label(s, d):
+    lines = _from(s, d, _PEOPLE)
+    by, to = decisions.labelled_people(lines, decisions.SUBMITTERS), decisions.labelled_people(lines, decisions.ADDRESSEES)
+    return by.select("source", F.col("person").alias("submitter")).join(to.select("source", F.col("person").alias("addressee")), "source", "left").select("source", "submitter", F.coalesce("addressee", F.lit("")).alias("addressee"))
+
+
+_KINDS = f"""
+SELECT id AS source, 1 AS line_no, CASE id % 9 WHEN 0 THEN 'Bericht an den Gemeinderat' WHEN 1 THEN 'Dringlicher Antrag' WHEN 2 THEN 'Selbständiger Antrag' WHEN 3 THEN 'Anfrage an Bürgermeister:in' WHEN 4 THEN 'Mitteilung an den Gemeinderat' WHEN 5 THEN 'FRAGESTUNDE' ELSE segment END AS line FROM {RAW}
+UNION ALL SELECT id, 2, 'zum Dringlicher Antrag' FROM {RAW} WHERE id % 9 = 0
+UNION ALL SELECT id, 3, 'Die Gemeinderätin stellt an den Bürgermeister folgende Frage:' FROM {RAW} WHERE id % 9 = 6
+UNION ALL SELECT id, 4, 'Zusatzantrag' FROM {RAW} WHERE id % 11 = 0
+UNION ALL SELECT id, 5, 'Beschlussvermerk' FROM {RAW}
+UNION ALL SELECT id, 6 + x, 'Zeile' FROM {RAW}, (SELECT 0 AS x UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13)
+UNION ALL SELECT id, 60, 'Abänderungsantrag' FROM {RAW} WHERE id % 4 = 0
+"""
+
+
+@query(f"SELECT id AS source, CASE WHEN id % 11 = 0 THEN 'additional_motion' ELSE CASE id % 9 WHEN 0 THEN 'urgent_motion' WHEN 1 THEN 'urgent_motion' WHEN 2 THEN 'written_motion' WHEN 3 THEN 'written_question' WHEN 4 THEN 'communication' WHEN 5 THEN 'question_hour' WHEN 6 THEN 'question_hour' ELSE '' END END AS kind FROM {RAW}")
+def x13_document_types(s, d):
+    return decisions.document_types(_from(s, d, _KINDS))
+
+
+@query(f"SELECT record_id, CASE WHEN p THEN 'pending' ELSE status END AS status, CASE WHEN p THEN 'ausstehend' ELSE result_text END AS result, CASE WHEN p THEN result_text ELSE '' END AS raw_result, CASE WHEN p THEN 0 ELSE len(regexp_extract_all(body, {q(extract.FORMAL_RESULT)}, 0)) END::INT AS votes FROM (SELECT *, kind IN ('urgent_motion', 'agenda_item') AND date > '{TODAY}' AS p FROM {REC})")
+def p24_pending_records(s, d):
+    r = inputs.records(s, d).select("record_id", "kind", "date", "status", F.col("result_text").alias("result"), F.lit("").alias("raw_result"), extract.votes(F.col("body")).alias("votes"))
+    return records.with_pending(r, F.lit(TODAY)).select("record_id", "status", "result", "raw_result", F.size("votes").alias("votes"))
+
+
+@query(
+    f"""SELECT record_id, round(0.45 + 0.25 + CASE WHEN id % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS hour, round(0.45 + 0.2 + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS motion,
+    round(least(1, 0.5 + 0.15 + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END + 0.15 + CASE WHEN id % 3 = 0 THEN 0.05 ELSE 0 END), 4)::DOUBLE AS written FROM {RAW}"""
+)
+def p47_further_confidences(s, d):
+    i = F.col("id")
+    by, third = F.when(i % 2 == 0, F.col("person")), F.when(i % 3 == 0, "ja").otherwise("")
+    head = F.concat_ws("\n", F.when(i % 3 == 0, "An den GEMEINDERAT"), F.when(i % 5 == 0, "dringlicher Antrag"))
+    return inputs.raw_records(s, d).select(
+        "record_id",
+        extract.question_confidence(F.col("subject"), by, third).alias("hour"),
+        extract.motion_confidence(F.col("subject"), by, head).alias("motion"),
+        extract.written_question_confidence(F.col("subject"), by, F.col("subject"), third).alias("written"),
+    )
+
+
+@query("SELECT round(s_acctbal / 7, 6)::DOUBLE AS lat, s_nationkey::DOUBLE AS lon, count(*) AS n, string_agg(s_name, '|' ORDER BY s_name) AS names FROM supplier GROUP BY ALL")
+def a16_health_points(s, d):
+    sup = inputs.table(s, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_acctbal") / 7).alias("lat"), F.col("s_nationkey").cast("double").alias("lon"))
+    return facets.by_point(sup).select("lat", "lon", "n", F.array_join("names", "|").alias("names"))
+
+
+@query(f"SELECT 'status' AS part, CASE WHEN date < '{TODAY}' THEN 'abgeschlossen' WHEN date = '{TODAY}' THEN 'aktuell' ELSE 'kuenftig' END AS value, count(*) AS n FROM {RAW} WHERE kind = 'communication' GROUP BY ALL UNION ALL SELECT 'profession', value, count(*) FROM (SELECT unnest(string_split(p_type, ' ')) AS value FROM part) GROUP BY value")
+def a17_status_and_professions(s, d):
+    works = inputs.raw_records(s, d).where("kind = 'communication'")
+    state = dates.period_status(F.lit(""), F.col("date"), F.col("date"), F.lit(TODAY))
+    professions = inputs.table(s, d, "part").select(F.explode(F.split("p_type", " ")).alias("value"))
+    sides = [("status", works.select(state.alias("value"))), ("profession", professions)]
+    counted = [facets.facet(rows, "value").select(F.lit(part).alias("part"), "value", "n") for part, rows in sides]
+    return counted[0].unionByName(counted[1])
+
+
+@query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'Münzgraben ' ELSE 'Garage ' END || s_suppkey || ' TG' AS name, s_suppkey::DOUBLE / 8 AS lat, s_nationkey::DOUBLE / 4 AS lon FROM supplier WHERE s_suppkey % 5 <> 0")
+def s8_parking_documents(s, d):
+    sup = inputs.table(s, d, "supplier")
+    commas = F.col("s_suppkey") % 2 == 0
+    name = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "Münzgraben ").otherwise("Garage "), F.col("s_suppkey").cast("string"), F.lit(" (TG)"))
+    number = lambda v: F.when(commas, v.cast("string")).otherwise(F.replace(v.cast("string"), F.lit("."), F.lit(",")))
+    lat = F.when(F.col("s_suppkey") % 5 == 0, "keine").otherwise(number(F.col("s_suppkey") / 8))
+    cells = lambda *c: F.when(commas, F.concat_ws(",", *c)).otherwise(F.concat_ws(";", *c))
+    head = cells(*map(F.lit, ("NAME", "ANSCHRIFT", "PHI", "LAMBDA", "KAT3", "HERKUNFT")))
+    said = F.concat(head, F.lit("\r\n"), cells(name, F.lit("Weg 1"), lat, number(F.col("s_nationkey").cast("double") / 4), F.lit("TG"), F.lit("x")), F.lit("\r\n"))
+    content = F.when(F.col("s_suppkey") % 4 == 0, F.encode(said, "ISO-8859-1")).when(F.col("s_suppkey") % 4 == 1, F.encode(F.concat(F.lit("\ufeff"), said), "UTF-8")).otherwise(F.encode(said, "UTF-8"))
+    return readers.parking_documents(sup.select(content.alias("content"))).select("name", "lat", "lon")
+
+
+@query(f"SELECT DISTINCT '/sitzung/' || date AS url, 12 AS number, date FROM {RAW} ORDER BY date DESC, url LIMIT 25")
+def s13_recent_meetings(s, d):
+    r = inputs.raw_records(s, d)
+    day = F.date_format(F.to_date("date"), "d.M.yyyy")
+    page = F.concat(F.lit('<a href="/sitzung/'), "date", F.lit('"> 12.  Gemeinderatssitzung vom '), day, F.lit('</a><a href="/x/'), "record_id", F.lit('">12. Ausschusssitzung am '), day, F.lit("</a>"))
+    return html.meeting_links(r.select("id", page.alias("html")), 25)
+
+
+@query(f"SELECT record_id, CASE WHEN id % 3 = 0 THEN 'neu ' || id WHEN id % 7 = 0 THEN 'alt' ELSE '' END AS summary, CASE WHEN id % 2 = 0 THEN 'einfach' ELSE '' END AS easy, record_id IN (SELECT record_id FROM {RAW} WHERE NOT ((id % 3 = 0 OR id % 7 = 0) AND id % 2 = 0) ORDER BY record_id LIMIT 100) AS todo FROM {RAW}")
+def j10_backfilled_fields(s, d):
+    r = inputs.raw_records(s, d)
+    own = F.when(F.col("id") % 3 == 0, F.concat(F.lit("neu "), F.col("id").cast("string"))).otherwise("")
+    known = r.where("id % 7 = 0 OR id % 2 = 0").select("record_id", F.when(F.col("id") % 7 == 0, "alt").alias("summary"), F.when(F.col("id") % 2 == 0, "einfach").otherwise("").alias("easy"))
+    return link.backfilled(r.select("record_id", own.alias("summary"), F.lit("").alias("easy")), known, "record_id", ["summary", "easy"], 100)
+
+
+@query(
+    f"""WITH p AS (SELECT place, 0 AS prio, min(id)::DOUBLE / 100 AS lat FROM (SELECT unnest(places) AS place, id FROM {REC}) GROUP BY place UNION ALL SELECT replace(p_name, ' ', '') || 'gasse', 1, min(p_partkey)::DOUBLE / 100 FROM part GROUP BY ALL UNION ALL SELECT event_type, 2, min(event_id)::DOUBLE / 100 FROM events GROUP BY ALL
+      UNION ALL SELECT c_name, 3, c_custkey::DOUBLE / 100 FROM customer UNION ALL SELECT s_name, 4, s_suppkey::DOUBLE / 100 FROM supplier UNION ALL SELECT n_name, 5, n_nationkey::DOUBLE / 100 FROM nation)
+    SELECT place, min_by(lat, prio) AS lat FROM p WHERE lat BETWEEN 0 AND 15 GROUP BY place"""
+)
+def j13_location_cache(s, d):
+    t = lambda n: inputs.table(s, d, n)
+    cents = lambda c: (F.col(c).cast("double") / 100).alias("lat")
+    sides = [
+        inputs.records(s, d).select(F.explode("places").alias("place"), cents("id")),
+        t("part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("gasse")).alias("place"), cents("p_partkey")),
+        t("events").select(F.col("event_type").alias("place"), cents("event_id")),
+        t("customer").select(F.col("c_name").alias("place"), cents("c_custkey")),
+        t("supplier").select(F.col("s_name").alias("place"), cents("s_suppkey")),
+        t("nation").select(F.col("n_name").alias("place"), cents("n_nationkey")),
+    ]
+    return answers.by_priority([side.groupBy("place").agg(F.min("lat").alias("lat")).where("lat BETWEEN 0 AND 15") for side in sides], "place")
+
+
+@query(
+    f"""WITH a AS (SELECT id, list_filter(string_split(trim(regexp_replace(subject || CASE WHEN id % 4 = 0 THEN ' wird park anwohner' WHEN id % 4 = 1 THEN ' muell muell' ELSE '' END, '[^\p{{L}}\p{{N}}-]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(q(w) for w in records.QUESTION_STOPWORDS)})) AS l FROM {RAW}),
+    b AS (SELECT id, list_concat(list_concat(list_concat(list_concat(l, {', '.join("CASE WHEN " + " AND ".join(f"regexp_matches(array_to_string(l, ' '), {q(p)})" for p in ps) + " THEN [" + ", ".join(q(w) for w in ws) + "] ELSE [] END" + ")" for ps, ws in records.EXPANSIONS)} AS l FROM a)
+    SELECT id, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ' ') AS words FROM b"""
+)
+def q12_expanded_words(s, d):
+    said = F.concat("subject", F.when(F.col("id") % 4 == 0, " wird park anwohner").when(F.col("id") % 4 == 1, " muell muell").otherwise(""))
+    return inputs.raw_records(s, d).select("id", F.array_join(records.question_words(said), " ").alias("words"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.functions import text
+from quorumlake.functions import dates, text
 
 ANCHOR = r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
@@ -111,3 +111,10 @@ def crawl(links: DataFrame, start: DataFrame, most_rounds: int = 40) -> DataFram
             break
         seen, frontier = seen.union(new).checkpoint(), new
     return seen
+
+
+def meeting_links(pages: DataFrame, most: int) -> DataFrame:
+    """(url, number, date) of links to meetings, 'n. Gemeinderatssitzung ... d.m.yyyy', each address once, the newest most."""
+    found = anchors(pages).where(F.rlike("label", F.lit(r"(?i)^[0-9]+\. *Gemeinderatssitzung")))
+    rows = found.select(F.col("href").alias("url"), F.regexp_extract("label", r"^([0-9]+)", 1).cast("int").alias("number"), dates.from_german(F.col("label")).alias("date"))
+    return rows.groupBy("url").agg(F.min("number").alias("number"), F.min("date").alias("date")).orderBy(F.col("date").desc(), "url").limit(most)

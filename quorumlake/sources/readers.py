@@ -140,3 +140,14 @@ def cached(requested: DataFrame, snapshot: DataFrame, load: Callable[[], DataFra
     if requested.join(held.select(column).distinct(), column, "left_anti").isEmpty():
         return held.drop("cache_version").join(requested.distinct(), column, "left_semi")
     return load()
+
+
+def parking_documents(files: DataFrame) -> DataFrame:
+    """Garages of CSV files given as content: UTF-8 with or without a mark, else Latin 1; semicolons, or commas where the first line has more of them."""
+    plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    lines = F.split(F.regexp_replace(plain, "^\ufeff", ""), "\r?\n")
+    commas = F.length(F.regexp_replace(lines[0], "[^,]", "")) > F.length(F.regexp_replace(lines[0], "[^;]", ""))
+    rows = files.select(commas.alias("commas"), F.explode(F.slice(lines, 2, F.size(lines))).alias("line")).where("line <> ''")
+    schema = "NAME string, ANSCHRIFT string, PHI string, LAMBDA string, KAT3 string, HERKUNFT string"
+    raw = F.when(F.col("commas"), F.from_csv("line", schema, {"sep": ","})).otherwise(F.from_csv("line", schema, {"sep": ";"}))
+    return garages(rows.select(raw.alias("r")).select("r.*"))
