@@ -165,7 +165,12 @@ def p53_summaries(s, d):
     return inputs.records(s, d).select("record_id", answers.template_summary(F.col("title"), F.col("person"), F.col("result_text")).alias("summary"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\x0B\f]+', ' ', 'g')) AS t FROM documents),
+    b AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?]) ([A-ZÄÖÜ])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x) > 15) AS l FROM a),
+    c AS (SELECT doc_id, len(l)::INT AS sentences, trim(array_to_string(l[1:2], ' ')) AS j FROM b), e AS (SELECT *, regexp_replace(regexp_extract(substr(j, 1, 260), '^(.*) [^ ]*$', 1), '[ ,;:]+$', '') AS k FROM c)
+    SELECT doc_id, sentences, CASE WHEN length(j) <= 260 THEN j ELSE (CASE WHEN k <> '' THEN k ELSE substr(j, 1, 260) END) || '.' END AS summary FROM e"""
+)
 def p54_sentences(s, d):
     docs = inputs.table(s, d, "documents")
     return docs.select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"), text.first_sentences(F.col("text"), 2, 260).alias("summary"))

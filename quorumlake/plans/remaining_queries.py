@@ -797,3 +797,15 @@ def j13_location_cache(s, d):
 def q12_expanded_words(s, d):
     said = F.concat("subject", F.when(F.col("id") % 4 == 0, " wird park anwohner").when(F.col("id") % 4 == 1, " muell muell").otherwise(""))
     return inputs.raw_records(s, d).select("id", F.array_join(records.question_words(said), " ").alias("words"))
+
+
+@query(
+    f"""SELECT id AS page_id, segment || 'straße' AS title, CASE WHEN id % 3 = 0 THEN '' ELSE '3.5. bis 17.9.' || year END AS period, CASE WHEN id % 3 = 0 THEN 'Gleisbau & mehr' ELSE '3.5. bis 17.9.' || year || ' Gleisbau & mehr' END AS text FROM {RAW}
+    UNION ALL SELECT id, 'Kreuzung ' || subject, 'derzeit gesperrt', 'derzeit gesperrt' FROM {RAW} WHERE id % 2 = 0"""
+)
+def s10_roadworks(s, d):
+    when = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("<p>3.5. bis\n 17.9."), "year", F.lit("</p>")))
+    more = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<h4>Kreuzung "), "subject", F.lit("</h4><div>derzeit <b>gesperrt</b></div>"))).otherwise("")
+    again = F.concat(F.lit("<h2>"), F.upper(F.concat("segment", F.lit("straße"))), F.lit("</h2><p>doppelt</p>"))
+    page = F.concat(F.lit("<h2>Kontakt</h2><p>vorher</p><h2>"), F.concat("segment", F.lit("straße")), F.lit("</h2>"), when, F.lit("<p>Gleisbau &amp; mehr</p><script>x</script>"), more, F.when(F.col("id") % 5 == 0, F.replace(again, F.lit("STRASSE"), F.lit("STRAßE"))).otherwise(""))
+    return html.roadworks(html.blocks(inputs.raw_records(s, d).select(F.col("id").alias("page_id"), page.alias("html"))))
