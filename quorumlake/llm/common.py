@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,5 +70,16 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def with_text(rows: DataFrame, text_col: str, kept: list[str]) -> tuple[DataFrame, int, int]:
+    """kept's columns with the text as a string, its place, and how many of the columns are kept's.
+
+    A string column that is kept anyway isn't sent twice.
+    """
+    columns = [F.col(f"`{c}`") for c in kept]
+    if text_col in kept and dict(rows.dtypes)[text_col] == "string":
+        return rows.select(*columns), kept.index(text_col), len(kept)
+    return rows.select(*columns, F.col(text_col).cast("string").alias(free_name("text", rows))), len(kept), len(kept)
+
+
 #: Bytes between words: [\x20\x09-\x0D]; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"

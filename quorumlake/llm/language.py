@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import materialise, with_text
 
 BUCKET_BITS = 15
 DIMENSIONS = 16
@@ -196,14 +196,14 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: l
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages
     kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
+    rows, at, n = with_text(documents, text_col, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            found = [shared.value.predict(x.as_py()) for x in batch.column(at)]
             values = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, values, (pa.string(), pa.float64(), pa.bool_()))], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, values, (pa.string(), pa.float64(), pa.bool_()))], [*kept, *names])
 
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias(free_name("text", documents)))
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in kept), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True))])
     return rows.mapInArrow(run, out)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, keeping, materialise
+from .common import keeping, materialise, with_text
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -312,15 +312,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def with_node(documents: DataFrame, text_col: str = "text", node_col: str = "__of") -> DataFrame:
     """documents with the digest of each row's set as node_col; null without words."""
+    rows, at, n = with_text(documents, text_col, documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingles(x.as_py()) for x in batch.column(batch.num_columns - 1))
+            sets = (shingles(x.as_py()) for x in batch.column(at))
             nodes = pa.array([digest(h) if len(h) else None for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], [*batch.schema.names[:-1], node_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], nodes], [*batch.schema.names[:n], node_col])
 
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), f"`{node_col}` binary"])
-    return documents.select("*", F.col(text_col).cast("string").alias(free_name("text", documents))).mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def _components_of_nodes(full: DataFrame, docs: DataFrame) -> DataFrame:
