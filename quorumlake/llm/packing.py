@@ -35,7 +35,7 @@ FAN_IN = 8
 #: Pieces that are packed together in a task.
 LOCAL_PIECES = 200_000
 #: Bytes of text that are tokenised together.
-TOKENISED_BYTES = 32 << 20
+TOKENISED_BYTES = 12 << 20
 
 #: Letters that stay one letter each in lower case and composed form.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
