@@ -35,7 +35,9 @@ FAN_IN = 8
 #: Pieces that are packed together in a task.
 LOCAL_PIECES = 200_000
 #: Bytes of text that are tokenised together.
-TOKENISED_BYTES = 12 << 20
+TOKENISED_BYTES = 8 << 20
+#: Texts or groups of words that the tokenizer gets at once; of its output only the ids are held longer.
+ENCODED = 64
 
 #: Letters that stay one letter each in lower case and composed form.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
@@ -68,8 +70,11 @@ class _Words:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), ENCODED):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODED], add_special_tokens=False)]
+        return out
 
     def _of_words(self, words: pa.Array) -> pa.ListArray:
         """Ids of each word."""
@@ -78,17 +83,18 @@ class _Words:
         plain, two = (np.asarray(x.to_numpy(zero_copy_only=False), bool) for x in (plain, two))
         at, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
         joined = words.take(pa.array(at)).to_pylist()
-        flat = np.array([i for part in self.encode([" ".join(joined[k : k + 1000]) for k in range(0, len(joined), 1000)]) for i in part], np.uint32)
+        none = np.empty(0, np.uint32)
+        flat = np.concatenate([none, *self.encode([" ".join(joined[k : k + 1000]) for k in range(0, len(joined), 1000)])])
         closed = np.flatnonzero(self.ends[flat]) + 1
         parts = np.cumsum(1 + two[at])
         if len(closed) == (parts[-1] if len(parts) else 0):
             sizes = np.diff(closed[parts - 1], prepend=0) if len(parts) else np.empty(0, np.int64)
         else:  # a rule that these patterns don't foresee
             each = self.encode(joined)
-            sizes, flat = np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.uint32)
+            sizes, flat = np.array([len(x) for x in each], np.int64), np.concatenate([none, *each])
         rest = self.encode(words.take(pa.array(odd)).to_pylist())
         sizes = np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)])
-        values = np.concatenate([flat, np.array([i for x in rest for i in x], np.uint32)])
+        values = np.concatenate([flat, *rest])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
         places = np.empty(len(words), np.int64)
         places[np.concatenate([at, odd])] = np.arange(len(words))
@@ -97,7 +103,7 @@ class _Words:
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each of texts, none of which is null."""
         if not self.by_word:
-            return [np.array(x, np.uint32) for x in self.encode(texts.to_pylist())]
+            return self.encode(texts.to_pylist())
         words = pc.ascii_split_whitespace(texts)
         found = words.flatten().dictionary_encode()
         ids = self._of_words(found.dictionary).take(found.indices)
@@ -108,7 +114,7 @@ class _Words:
     def long_ids(self, text: str) -> np.ndarray:
         """Ids of one text of any length, by stretches that end at white space."""
         if not self.by_word:
-            return np.array(self.encode([text])[0], np.uint32)
+            return self.encode([text])[0]
         data, at, out = text.encode(), 0, []
         while at < len(data):
             end = at + TOKENISED_BYTES
