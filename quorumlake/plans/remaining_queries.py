@@ -790,7 +790,7 @@ def j13_location_cache(s, d):
 
 
 @query(
-    f"""WITH a AS (SELECT id, list_filter(string_split(trim(regexp_replace(subject || CASE WHEN id % 4 = 0 THEN ' wird park anwohner' WHEN id % 4 = 1 THEN ' muell muell' ELSE '' END, '[^\p{{L}}\p{{N}}-]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(q(w) for w in records.QUESTION_STOPWORDS)})) AS l FROM {RAW}),
+    f"""WITH a AS (SELECT id, list_filter(string_split(trim(regexp_replace(subject || CASE WHEN id % 4 = 0 THEN ' wird park anwohner' WHEN id % 4 = 1 THEN ' muell muell' ELSE '' END, '[^\\p{{L}}\\p{{N}}-]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(q(w) for w in records.QUESTION_STOPWORDS)})) AS l FROM {RAW}),
     b AS (SELECT id, list_concat(list_concat(list_concat(list_concat(l, {', '.join("CASE WHEN " + " AND ".join(f"regexp_matches(array_to_string(l, ' '), {q(p)})" for p in ps) + " THEN [" + ", ".join(q(w) for w in ws) + "] ELSE [] END" + ")" for ps, ws in records.EXPANSIONS)} AS l FROM a)
     SELECT id, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ' ') AS words FROM b"""
 )
