@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,5 +84,27 @@ def with_text(rows: DataFrame, text_col: str, kept: list[str]) -> tuple[DataFram
     return rows.select(*columns, F.col(text_col).cast("string").alias(free_name("text", rows))), len(kept), len(kept)
 
 
+def lots(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most bytes together, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    start, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if size and size + n > most:
+            yield start, k
+            start, size = k, 0
+        size += n
+    if len(sizes):
+        yield start, len(sizes)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts in a row, and where each begins, with the end; a null is empty."""
+    filled = pc.fill_null(texts, "")
+    wide = isinstance(filled, (pa.LargeStringArray, pa.LargeBinaryArray))
+    offsets = np.frombuffer(filled.buffers()[1], np.int64 if wide else np.int32)[filled.offset : filled.offset + len(filled) + 1].astype(np.int64)
+    data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 #: Bytes between words: [\x20\x09-\x0D]; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lots, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -128,19 +128,6 @@ class _Words:
 _words: dict[str, _Words] = {}
 
 
-def _lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about TOKENISED_BYTES together, or of one longer text."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
-    start, size = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        if size and size + n > TOKENISED_BYTES:
-            yield start, k
-            start, size = k, 0
-        size += n
-    if len(sizes):
-        yield start, len(sizes)
-
-
 def token_pieces(documents: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document's pieces.
 
@@ -159,7 +146,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str | None = None, id_col
         words, end = _words[path], np.array([END_ID], "<u4")
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for a, b in _lots(texts):
+            for a, b in lots(texts, TOKENISED_BYTES):
                 lot = texts.slice(a, b - a)
                 found = words.ids(lot) if b - a > 1 or len(lot[0].as_py()) <= TOKENISED_BYTES else [words.long_ids(lot[0].as_py())]
                 out: list[tuple[int, int, int, int, int]] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language, licenses, mtree, secrets
+from . import audio, infill, language, licenses, mtree, prefixes, resampling, secrets
 from .html_text import extract_text
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -68,6 +68,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
+    text = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    found = prefixes.prefix_counts(_documents(spark, sf_dir).select("doc_id", "text", size), keep=["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_language": op2_language,
@@ -79,6 +95,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_infill": op11_infill,
+    "op12_resampling": op12_resampling,
+    "op13_tokens": op13_tokens,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -135,7 +154,18 @@ d AS (SELECT doc_id, {canonical('text')} AS digest FROM documents)
 SELECT d.doc_id, d.digest, k.name AS license FROM d LEFT JOIN k ON d.digest = k.digest"""
 
 
+_INFILL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(us)::BIGINT AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS i, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS j FROM u),
+p AS (SELECT *, array_to_string(us[1:i], '') AS p, array_to_string(us[i + 1:j], '') AS m, array_to_string(us[j + 1:], '') AS s,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
 ORACLE_SQL = {
+    "op11_infill": _INFILL,
     "op3_mixing": _MIXING,
     "op4_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
