@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quorumlake.functions import text
+from quorumlake.storage import stored
 
 #: Words too common to tell titles apart.
 GENERIC_TOKENS = (
@@ -64,35 +63,52 @@ def best_link_per_date(links: DataFrame, rank: Column) -> DataFrame:
     return first_per_key(links.withColumn("__rank", rank), ["meeting_date"], "__rank", "title", "url").drop("__rank")
 
 
-@F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("distinctive", IntegerType())]))
-def title_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Matching-block ratio of two normalised titles (0 if either is empty), and how many distinctive words they share.
+def _shared_words(left: str, right: str) -> int:
+    """Distinctive words of both; words of six characters or more also if their own ratio is 0.86 or more."""
+    x, y = ({w for w in t.split() if len(w) >= 4 and w not in GENERIC_TOKENS} for t in (left, right))
+    both = x & y
+    near = sum(any(len(a) >= 6 and len(b) >= 6 and SequenceMatcher(None, a, b).ratio() >= 0.86 for b in y - both) for a in x - both)
+    return len(both) + near
 
-    Words of six characters or more are shared if their own ratio is 0.86 or more.
-    """
 
-    def shared(left: str, right: str) -> int:
-        x, y = ({w for w in t.split() if len(w) >= 4 and w not in GENERIC_TOKENS} for t in (left, right))
-        both = x & y
-        near = sum(any(len(a) >= 6 and len(b) >= 6 and SequenceMatcher(None, a, b).ratio() >= 0.86 for b in y - both) for a in x - both)
-        return len(both) + near
+@F.pandas_udf(DoubleType())
+def matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Matching-block ratio of two strings."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+#: What an entry of the record's own place adds to a title's score.
+ORDER_BONUS = 0.08
+_SCORES = StructType([StructField(n, DoubleType()) for n in ("title", "plain", "placed")] + [StructField("distinctive", IntegerType())])
+
+
+@F.pandas_udf(_SCORES)
+def title_scores(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Of two normalised titles: ratio or shared part of the left one's words, the larger; that to three digits, alone and with the bonus; distinctive words shared."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        x = set(a.split())
+        title = max(SequenceMatcher(None, a, b).ratio(), len(x & set(b.split())) / max(len(x), 1)) if a and b else 0.0
+        out.append((title, round(min(title, 1.0), 3), round(min(title + ORDER_BONUS, 1.0), 3), _shared_words(a, b)))
+    return pd.DataFrame(out, columns=["title", "plain", "placed", "distinctive"])
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüß "
+
 
-    for left, right in batches:
-        pairs = list(zip(left.fillna(""), right.fillna(""), strict=True))
-        ratios = [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
-        yield pd.DataFrame({"ratio": ratios, "distinctive": [shared(a, b) for a, b in pairs]})
+def letter_counts(value: Column) -> Column:
+    """How often each listed letter occurs, and all others together."""
+    listed = [F.length(value) - F.length(F.replace(value, F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*listed, F.length(F.regexp_replace(value, "[a-zäöüß ]", "")))
 
 
 def ratio_bound(left: Column, right: Column) -> Column:
-    """No matching-block ratio of two strings is above this: twice the letters that both have, over all letters."""
-    letters = [F.lit(c) for c in "abcdefghijklmnopqrstuvwxyzäöüß "]
+    """No matching-block ratio of two strings with these letter counts is above this: twice the letters that both have, over all letters."""
 
-    def count(x: Column, c: Column) -> Column:
-        return F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda x, y: x + y)
 
-    listed = reduce(lambda a, b: a + b, [F.least(count(left, c), count(right, c)) for c in letters])
-    others = F.least(*[F.length(F.regexp_replace(x, "[a-zäöüß ]", "")) for x in (left, right)])
-    return 2 * (listed + others) / F.greatest(F.length(left) + F.length(right), F.lit(1))
+    return 2 * total(F.zip_with(left, right, lambda x, y: F.least(x, y))) / F.greatest(total(left) + total(right), F.lit(1))
 
 
 def token_overlap(left: Column, right: Column) -> Column:
@@ -101,78 +117,179 @@ def token_overlap(left: Column, right: Column) -> Column:
     return F.when((left == "") | (right == ""), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
 
 
+#: A title within another one counts as near from so many characters, with this score.
+CONTAINED_LENGTH, CONTAINED_SCORE = 16, 0.9
+
+
+def grams(value: Column) -> Column:
+    """The pairs of successive characters, the n-th of its kind named by n."""
+    plain = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(value, i, F.lit(2)))
+    return F.transform(plain, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def _gram_index(titles: DataFrame, least: float) -> DataFrame:
+    """titles (block's columns and title) plus grams, the rarest over all titles first, and prefix: how many of them two titles of a ratio of least can't do without.
+
+    M characters in matching blocks leave s - 2M others, of the s that both
+    titles have, and at most one block more than those; each block of m
+    characters has m - 1 pairs. So 3M - s - 1 pairs at least are shared.
+    """
+    listed = titles.withColumn("grams", grams(F.col("title")))
+    rarity = listed.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    each = titles.columns
+    ordered = (
+        listed.select(*each, F.explode("grams").alias("gram"))
+        .join(rarity, "gram")
+        .groupBy(*each)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))
+    )
+    # The shortest partner has least / (2 - least) of the title's length.
+    shared = F.ceil((1.5 * least - 1) * F.length("title") * (1 + least / (2 - least)) - 1)
+    return ordered.withColumn("prefix", F.greatest(F.lit(1), F.least(F.size("grams"), F.size("grams") - shared + 1)).cast("int"))
+
+
+def near_title_pairs(left: DataFrame, right: DataFrame, block: list[str], least: float) -> DataFrame:
+    """(block's columns, a, b): pairs of distinct titles that may have a ratio of least, or one of which lies within the other, or that are equal.
+
+    Both have the block's columns and title, distinct and not empty. Candidates
+    share a block and one of the rare pairs of characters of both; what shares
+    too few of all pairs, or differs too much in length, letters or edit distance,
+    goes before any ratio is worked out. No pair that has it is lost.
+    """
+    if least <= 2 / 3:
+        raise ValueError("pairs of characters bound ratios above two thirds only")
+    both = left.withColumn("__left", F.lit(True)).unionByName(right.withColumn("__left", F.lit(False)))
+    both = stored(_gram_index(both, least).withColumn("letters", letter_counts(F.col("title"))), "similar-grams")
+
+    def side(is_left: bool, name: str) -> DataFrame:
+        rows = both.where(F.col("__left") == is_left)
+        return rows.select(*block, F.col("title").alias(name), F.col("grams").alias(f"{name}_grams"), F.col("prefix").alias(f"{name}_prefix"), F.col("letters").alias(f"{name}_letters"))
+
+    a, b = side(True, "a"), side(False, "b")
+    # Titles of up to five characters together may share single letters only.
+    keys = lambda n: F.concat(F.slice(f"{n}_grams", F.lit(1), F.col(f"{n}_prefix")), F.when(F.length(n) <= 4, F.split(F.col(n), "")).otherwise(F.array().cast("array<string>")))
+    met = a.select(*block, "a", F.explode(F.array_distinct(keys("a"))).alias("key")).join(b.select(*block, "b", F.explode(F.array_distinct(keys("b"))).alias("key")), [*block, "key"])
+    near = met.select(*block, "a", "b").distinct().join(a, [*block, "a"]).join(b, [*block, "b"])
+    size = F.length("a") + F.length("b")
+    alike = (2 * F.least(F.length("a"), F.length("b")) >= least * size) & (F.size(F.array_intersect("a_grams", "b_grams")) >= (1.5 * least - 1) * size - 1)
+    near = near.where(alike & (ratio_bound(F.col("a_letters"), F.col("b_letters")) >= least)).select(*block, "a", "b")
+    # What isn't matched is taken out or put in, so that an edit distance is no longer.
+    near = near.where(F.levenshtein("a", "b") <= (1 - least) * size + 1e-9)
+
+    def within(inner: DataFrame, short: str, outer: DataFrame, long: str) -> DataFrame:
+        # The rarest pair of the shorter title is in the longer one.
+        one = inner.where(F.length(short) >= CONTAINED_LENGTH).select(*block, short, F.col(f"{short}_grams")[0].alias("key"))
+        met = one.join(outer.select(*block, long, F.explode(f"{long}_grams").alias("key")), [*block, "key"])
+        return met.where(F.contains(long, short)).select(*block, "a", "b")
+
+    equal = a.select(*block, "a").join(b.select(*block, "b", F.col("b").alias("a")), [*block, "a"]).select(*block, "a", "b")
+    return near.unionByName(within(a, "a", b, "b")).unionByName(within(b, "b", a, "a")).unionByName(equal).distinct()
+
+
 def similar_titles(left: DataFrame, right: DataFrame, block: list[str], fuzzy: bool = True, least: float = 0.78) -> DataFrame:
     """(left_id, right_id, score): each left row's best right row in its block.
 
     1 for equal titles, 0.9 for one of 16 characters or more within the other,
-    else the matching-block ratio (if fuzzy). Both sides have id, title and the
-    block's columns. The smaller right id wins ties.
+    else the matching-block ratio (if fuzzy), worked out once for each pair of
+    distinct titles that an index of character pairs finds. Both sides have id,
+    title and the block's columns. The smaller right id wins ties.
     """
-    a = left.select(*block, F.col("id").alias("left_id"), text.identity_title(F.col("title")).alias("a"))
-    b = right.select(*block, F.col("id").alias("right_id"), text.identity_title(F.col("title")).alias("b"))
-    pairs = a.join(b, block).where("left_id <> right_id AND a <> '' AND b <> ''")
-    shorter, longer = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")), F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))
-    plain = F.when(F.col("a") == F.col("b"), 1.0).when((F.length(shorter) >= 16) & F.contains(longer, shorter), 0.9)
-    scored = pairs.withColumn("plain", plain)
-    if fuzzy:
-        scored = scored.where(F.col("plain").isNotNull() | (ratio_bound(F.col("a"), F.col("b")) >= least))
-    score = F.coalesce("plain", title_similarity("a", "b")["ratio"]) if fuzzy else F.col("plain")
-    best = scored.withColumn("score", score).where(F.col("score") >= least)
-    return first_per_key(best, ["left_id"], F.col("score").desc(), "right_id").select("left_id", "right_id", "score")
-
-
-#: Least scores of a link: agenda items of the same number, any title, titles of the same order; and what the same order adds.
-AGENDA_LEAST, TITLE_LEAST, ORDER_LEAST, ORDER_BONUS = 0.5, 0.55, 0.5, 0.08
+    a = stored(left.select(*block, F.col("id").alias("left_id"), text.identity_title(F.col("title")).alias("a")).where("a <> ''"), "similar-left")
+    b = stored(right.select(*block, F.col("id").alias("right_id"), text.identity_title(F.col("title")).alias("b")).where("b <> ''"), "similar-right")
+    titles = near_title_pairs(a.select(*block, F.col("a").alias("title")).distinct(), b.select(*block, F.col("b").alias("title")).distinct(), block, least)
+    plain = F.when(F.col("a") == F.col("b"), 1.0).when((F.length("a") >= CONTAINED_LENGTH) & F.contains("b", "a") | (F.length("b") >= CONTAINED_LENGTH) & F.contains("a", "b"), CONTAINED_SCORE)
+    score = F.coalesce(plain, matching_ratio("a", "b")) if fuzzy else plain
+    scored = titles.withColumn("score", score).where(F.col("score") >= least)
+    # Of a title's rows in a block the two smallest ids are enough: one may be the left row itself.
+    first = b.withColumn("n", F.row_number().over(Window.partitionBy(*block, "b").orderBy("right_id"))).where("n <= 2").drop("n")
+    best = scored.join(first, [*block, "b"])
+    ranked = best.withColumn("n", F.row_number().over(Window.partitionBy(*block, "a").orderBy(F.col("score").desc(), "right_id"))).where("n <= 2").drop("n", "b")
+    return first_per_key(a.join(ranked, [*block, "a"]).where("left_id <> right_id"), ["left_id"], F.col("score").desc(), "right_id").select("left_id", "right_id", "score")
+
+
+#: Least scores of a link: agenda items of the same number, any title, titles of the same order.
+AGENDA_LEAST, TITLE_LEAST, ORDER_LEAST = 0.5, 0.55, 0.5
 #: A link to an entry without a result is kept from this score.
 WITHOUT_RESULT_LEAST = 0.7
 
 
-def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one linkage in one (date, type) block, in record order, from scored candidates."""
-    used: set[int] = set()
-    out = []
-    for (_, record), rows in pairs.sort_values(["place", "record_id", "entry_place", "entry_id"]).groupby(["place", "record_id"], sort=True):
-        free = [r for r in rows.itertuples(index=False) if r.entry_id not in used]
-        agenda = bool(rows["agenda"].iloc[0])
-        chosen = None
-        if agenda and (numbered := [r for r in free if r.item_no == r.entry_item_no]):
-            best = max(numbered, key=lambda r: r.title)
-            if best.title >= AGENDA_LEAST:
-                chosen = (best.entry_id, best.title)
-        if chosen is None and free:
-            score = lambda r: min(1.0, r.title + (ORDER_BONUS if r.place == r.entry_place else 0.0))
-            best = max(free, key=score)
-            s = score(best)
-            sure = not agenda or best.item_no == best.entry_item_no or best.distinctive >= 2 or (s >= 0.8 and best.distinctive >= 1)
-            if (s >= TITLE_LEAST and sure) or (agenda and s >= AGENDA_LEAST and best.distinctive >= 2) or (not agenda and best.place == best.entry_place and s >= ORDER_LEAST):
-                chosen = (best.entry_id, s)
-        if chosen:
-            used.add(chosen[0])
-            out.append((record, chosen[0], round(chosen[1], 3)))
-    return pd.DataFrame(out, columns=["record_id", "entry_id", "score"]).astype({"record_id": "int64", "entry_id": "int64", "score": float})
+def link_candidates(records: DataFrame, entries: DataFrame, block: list[str], agenda: str) -> DataFrame:
+    """Pairs of records and entries of a block whose titles may be near enough, with what a choice needs.
 
-
-def link_one_to_one(records: DataFrame, entries: DataFrame, block: list[str], agenda: str = "kind = 'agenda_item'") -> DataFrame:
-    """(record_id, entry_id, score): greedy linkage within blocks by item number, title and order.
-
-    Both have the block's columns, id, title and item_no. Pairs are made by a join
-    on the block and dropped by length and letters before a ratio is computed;
-    what is assigned in one group are ids and scores of the candidates of one
-    meeting and record type.
+    Both have the block's columns, id, title and item_no. Distinct pairs of titles are
+    scored, those first dropped whose letters or words differ too much.
     """
 
-    def side(rows: DataFrame, prefix: str) -> DataFrame:
+    def side(rows: DataFrame, prefix: str, *extra: Column) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*block).orderBy("item_no", "id"))
-        named = rows.select(*block, F.col("id").cast("long").alias(f"{prefix}id"), text.match_text(F.col("title")).alias(f"{prefix}norm"), F.col("item_no").alias(f"{prefix}item_no"), place.cast("long").alias(f"{prefix}place"))
+        named = rows.select(*block, *extra, F.col("id").cast("long").alias(f"{prefix}id"), text.match_text(F.col("title")).alias(f"{prefix}norm"), F.col("item_no").alias(f"{prefix}item_no"), place.cast("long").alias(f"{prefix}place"))
         return named.where(F.col(f"{prefix}norm") != "")
 
-    pairs = side(records, "").withColumn("agenda", F.expr(agenda)).join(side(entries, "entry_"), block)
-    overlap = token_overlap(F.col("norm"), F.col("entry_norm"))
+    a, b = stored(side(records, "", F.expr(agenda).alias("agenda")), "link-records"), stored(side(entries, "entry_"), "link-entries")
     least = ORDER_LEAST - ORDER_BONUS
-    near = pairs.withColumn("overlap", overlap).where((F.col("overlap") >= least) | (ratio_bound(F.col("norm"), F.col("entry_norm")) >= least))
-    scored = near.withColumn("s", title_similarity("norm", "entry_norm")).withColumn("title", F.greatest("s.ratio", "overlap")).where(F.col("title") >= least)
-    slim = scored.select(*block, F.col("id").alias("record_id"), "entry_id", "place", "entry_place", "item_no", "entry_item_no", "agenda", "title", F.col("s.distinctive").alias("distinctive"))
-    return slim.groupBy(*block).applyInPandas(_assign, "record_id long, entry_id long, score double")
+
+    def titles(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*block, name).distinct().withColumn(f"{name}_letters", letter_counts(F.col(name)))
+
+    pairs = titles(a, "norm").join(titles(b, "entry_norm"), block)
+    near = pairs.where((token_overlap(F.col("norm"), F.col("entry_norm")) >= least) | (ratio_bound(F.col("norm_letters"), F.col("entry_norm_letters")) >= least))
+    scored = near.select(*block, "norm", "entry_norm", title_scores("norm", "entry_norm").alias("s")).where(F.col("s.title") >= least)
+    same = F.col("place") == F.col("entry_place")
+    score = F.when(same, F.col("s.placed")).otherwise(F.col("s.plain"))
+    full = scored.join(a, [*block, "norm"]).join(b, [*block, "entry_norm"])
+    numbered = F.col("agenda") & F.col("item_no").eqNullSafe(F.col("entry_item_no"))
+    sure = ~F.col("agenda") | numbered | (F.col("s.distinctive") >= 2) | ((score >= 0.8) & (F.col("s.distinctive") >= 1))
+    accepted = ((score >= TITLE_LEAST) & sure) | (F.col("agenda") & (score >= AGENDA_LEAST) & (F.col("s.distinctive") >= 2)) | (~F.col("agenda") & same & (score >= ORDER_LEAST))
+    return full.select(
+        F.col("id").alias("record_id"),
+        "entry_id",
+        "place",
+        "entry_place",
+        (numbered & (F.col("s.title") >= AGENDA_LEAST)).alias("numbered"),
+        F.col("s.title").alias("title"),
+        F.col("s.plain").alias("plain"),
+        F.least(F.col("s.title") + F.when(same, ORDER_BONUS).otherwise(0.0), F.lit(1.0)).alias("whole"),
+        score.alias("score"),
+        accepted.alias("accepted"),
+    )
+
+
+def choices(free: DataFrame) -> DataFrame:
+    """(record_id, place, entry_id, score, accepted): the entry that decides for each record among its free ones.
+
+    An entry of the same number comes first, by title; else the best by title and
+    place, whether it is good enough or not. Earlier entries win ties.
+    """
+    by_number = F.max(F.when(F.col("numbered"), F.struct("title", (-F.col("entry_place")).alias("o"), "entry_id", F.col("plain").alias("score"), F.lit(True).alias("accepted"))))
+    by_title = F.max(F.struct("whole", (-F.col("entry_place")).alias("o"), "entry_id", "score", "accepted"))
+    found = free.groupBy("record_id", "place").agg(by_number.alias("n"), by_title.alias("t"))
+    return found.select("record_id", "place", *[F.coalesce(F.col(f"n.{c}"), F.col(f"t.{c}")).alias(c) for c in ("entry_id", "score", "accepted")])
+
+
+def link_one_to_one(records: DataFrame, entries: DataFrame, block: list[str], agenda: str = "kind = 'agenda_item'") -> DataFrame:
+    """(record_id, entry_id, score): one-to-one linkage within blocks by item number, title and order, as if records chose in turn.
+
+    Rounds of deferred acceptance: each record turns to the entry that decides for
+    it among those that no earlier record of its block holds; an entry is held
+    by the earliest record that would take it. A holder only ever gives way to an
+    earlier one, so what a record has lost never comes free again, and when a
+    round changes no holder everybody has what a choice in turn would give. A
+    record that finds its deciding entry not good enough stays without one,
+    unless an earlier record takes that entry away. No block lies in one task:
+    a round is a join by entry and an aggregation by record.
+    """
+    spark = records.sparkSession
+    pairs = stored(link_candidates(records, entries, block, agenda), "link-pairs")
+    held = spark.createDataFrame([], "entry_id long, holder long, holder_place long, score double")
+    while True:
+        free = pairs.join(held.select("entry_id", "holder_place"), "entry_id", "left").where("holder_place IS NULL OR holder_place >= place")
+        offers = choices(free).where("accepted")
+        first = offers.groupBy("entry_id").agg(F.min_by(F.struct("record_id", "place", "score"), "place").alias("h"))
+        after = stored(first.select("entry_id", F.col("h.record_id").alias("holder"), F.col("h.place").alias("holder_place"), F.col("h.score").alias("score")), "link-held")
+        same = after.join(held, ["entry_id", "holder"], "left_anti").isEmpty() and after.count() == held.count()
+        held = after
+        if same:
+            return held.select(F.col("holder").alias("record_id"), "entry_id", "score")
 
 
 def near_words(words: DataFrame, column: str, short: int = 14) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import extract
 from quorumlake.plans import inputs
 from quorumlake.plans.queries import RAW, REC, query, squeeze_sql
-from quorumlake.plans.session import new_path
+from quorumlake.storage import new_path
 from quorumlake.sources import readers, sinks
 from quorumlake.streaming import incremental
 

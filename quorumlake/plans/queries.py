@@ -321,7 +321,7 @@ def s20_local_files(s, d):
     SELECT url, min(depth)::INT AS depth FROM w GROUP BY url"""
 )
 def s21_crawl(s, d):
-    from quorumlake.plans.session import checkpointed
+    from quorumlake.storage import checkpointed
 
     checkpointed(s)
     edges = inputs.table(s, d, "orders").join(inputs.table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("url"), F.col("l_partkey").alias("target"))
@@ -508,19 +508,25 @@ def u5_one_per_title(s, d):
 # Joins and linkage.
 
 
-def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = inputs.records(s, d)
-    return r.where("id % 2 = 0"), r.where("id % 2 = 1")
+#: Entries of a second source: some records' meetings and kinds, the titles worded otherwise.
+SECOND = """SELECT id + 1000000000000 AS id, 'e' || CAST(id AS STRING) AS record_id, date, kind, item_no + custkey % 2 AS item_no,
+  CASE custkey % 5 WHEN 0 THEN title WHEN 1 THEN 'Betreff: ' || title WHEN 2 THEN replace(title, 'r', 'rr') WHEN 3 THEN title || ' (Nachtrag)' ELSE 'Bericht ' || person END AS title,
+  ['Ort ' || CAST(custkey AS STRING)] AS places FROM {records} WHERE custkey % 7 <> 0"""
+SECOND_SQL = f"({SECOND.format(records=REC)})"
+
+
+def second_source(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(SECOND.replace("[", "array(").replace("]", ")"), records=inputs.records(s, d))
 
 
 @query(
-    f"""WITH a AS (SELECT * FROM {REC} WHERE id % 2 = 0), b AS (SELECT date, lower(title) AS t, min_by(places, id) AS p FROM {REC} WHERE id % 2 = 1 AND len(places) > 0 AND title <> '' GROUP BY ALL)
-    SELECT a.record_id, array_to_string(CASE WHEN len(a.places) = 0 AND b.p IS NOT NULL THEN b.p ELSE a.places END, ',') AS places FROM a LEFT JOIN b ON a.date = b.date AND a.subject = b.t"""
+    f"""WITH b AS (SELECT date, lower(title) AS t, min_by(places, id) AS p FROM {SECOND_SQL} WHERE title <> '' GROUP BY ALL)
+    SELECT a.record_id, array_to_string(CASE WHEN len(a.places) = 0 AND b.p IS NOT NULL THEN b.p ELSE a.places END, ',') AS places FROM {REC} a LEFT JOIN b ON a.date = b.date AND lower(a.title) = b.t"""
 )
 def j4_inherited_places(s, d):
-    a, b = _halves(s, d)
-    donors = b.select("date", F.lower("title").alias("subject"), "places", "id")
-    return link.inherit(a, donors, ["date", "subject"], ["places"], "id").select("record_id", F.array_join("places", ",").alias("places"))
+    base = inputs.records(s, d).withColumn("key", F.lower("title"))
+    donors = second_source(s, d).select("date", F.lower("title").alias("key"), "places", "id")
+    return link.inherit(base, donors, ["date", "key"], ["places"], "id").select("record_id", F.array_join("places", ",").alias("places"))
 
 
 @query(
@@ -535,12 +541,13 @@ def j2_links_by_date(s, d):
 
 
 @query(
-    f"""WITH a AS (SELECT * FROM {REC} WHERE id % 2 = 0), b AS (SELECT * FROM {REC} WHERE id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY year, title ORDER BY id) = 1)
-    SELECT record_id FROM a UNION ALL SELECT record_id FROM b WHERE (year, title) NOT IN (SELECT (year, title) FROM a)"""
+    f"""WITH b AS (SELECT *, replace(kind, 'question_hour', 'agenda_item') AS class, lower(title) AS t FROM {SECOND_SQL})
+    SELECT record_id FROM {REC} UNION ALL (SELECT record_id FROM b WHERE (date, class, t) NOT IN (SELECT (date, replace(kind, 'question_hour', 'agenda_item'), lower(title)) FROM {REC})
+      QUALIFY row_number() OVER (PARTITION BY date, class, t ORDER BY id) = 1)"""
 )
 def j8_merged(s, d):
-    a, b = _halves(s, d)
-    return link.merge_missing(a, b, ["year", "title"], "id").select("record_id")
+    keyed = lambda r: r.select("id", "record_id", "date", F.replace("kind", F.lit("question_hour"), F.lit("agenda_item")).alias("class"), F.lower("title").alias("t"))
+    return link.merge_missing(keyed(inputs.records(s, d)), keyed(second_source(s, d)), ["date", "class", "t"], "id").select("record_id")
 
 
 @query(f"SELECT record_id FROM {RAW} UNION ALL SELECT '' FROM {RAW} WHERE id % 50 = 0")
@@ -550,27 +557,29 @@ def j9_merged_by_id(s, d):
     return link.merge_by_id(r, extra).select("record_id")
 
 
+_QUESTIONS = "kind IN ('question_hour', 'written_question')"
+
+
 @query(
-    f"""WITH t AS (SELECT id, year, custkey, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM {REC}), p AS (SELECT a.id AS l, b.id AS r, CASE WHEN a.t = b.t THEN 1.0 WHEN least(length(a.t), length(b.t)) >= 16 AND (contains(a.t, b.t) OR contains(b.t, a.t)) THEN 0.9 END AS score
-      FROM t a JOIN t b ON a.custkey = b.custkey AND a.id <> b.id AND a.id % 2 = 0 AND b.id % 2 = 1)
+    f"""WITH t AS (SELECT id, date, kind, trim(regexp_replace(regexp_replace(lower(title), '\\([^)]*\\)', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM (SELECT id, date, kind, title FROM {REC} UNION ALL SELECT id, date, '', title FROM {SECOND_SQL})),
+    p AS (SELECT a.id AS l, b.id AS r, CASE WHEN a.t = b.t THEN 1.0 WHEN (length(a.t) >= 16 AND contains(b.t, a.t)) OR (length(b.t) >= 16 AND contains(a.t, b.t)) THEN 0.9 END AS score
+      FROM t a JOIN t b ON a.date = b.date AND a.{_QUESTIONS} AND b.kind = '' AND a.t <> '' AND b.t <> '')
     SELECT l AS left_id, r AS right_id, score::DOUBLE AS score FROM p WHERE score >= 0.78 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1"""
 )
 def j6_similar_titles_exact(s, d):
-    a, b = _halves(s, d)
-    return link.similar_titles(a, b, ["custkey"], fuzzy=False)
+    return link.similar_titles(inputs.records(s, d).where(_QUESTIONS), second_source(s, d), ["date"], fuzzy=False)
 
 
 @query()
 def j6_similar_titles(s, d):
-    a, b = _halves(s, d)
-    return link.similar_titles(a, b, ["date"])
+    return link.similar_titles(inputs.records(s, d).where(_QUESTIONS), second_source(s, d), ["date"])
 
 
 @query()
 def j7_linkage(s, d):
-    a, b = _halves(s, d)
-    side = lambda r: r.select("date", "kind", "id", "title", "item_no")
-    return link.link_one_to_one(side(a), side(b), ["date", "kind"])
+    """Meetings are weeks here, so that records of a kind compete for entries."""
+    side = lambda r: r.select(F.date_trunc("week", "date").alias("week"), "kind", "id", "title", "item_no")
+    return link.link_one_to_one(side(inputs.records(s, d)), side(second_source(s, d)), ["week", "kind"])
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import dates, extract, labels, records, text
-from quorumlake.operators import answers, decisions, facets, link, quality, search, segment, topics
+from quorumlake.operators import answers, decisions, facets, link, quality, search, segment, topics, turns
 from quorumlake.plans import inputs
 from quorumlake.plans import queries as base
 from quorumlake.plans.queries import LINES, RAW, REC, TODAY, fold_sql, q, query, search_text_sql, squeeze_sql
@@ -112,7 +112,7 @@ UNION ALL SELECT date, CAST(id * 10 + 3 AS BIGINT), 'eingebracht von ' || person
     SELECT source, block, 'Dringlicher Antrag an den Gemeinderat' || chr(10) || 'Betrifft: ' || subject || CASE WHEN id % 2 = 0 THEN chr(10) || 'eingebracht von ' || person ELSE '' END || CASE WHEN more THEN chr(10) || 'Einleitende Worte' ELSE '' END AS body FROM b"""
 )
 def x5_motion_blocks(s, d):
-    return decisions.motion_blocks(_from(s, d, _MOTIONS))
+    return turns.motion_blocks(_from(s, d, _MOTIONS))
 
 
 # Whole records.

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quorumlake.functions import records
-from quorumlake.operators import decisions
+from quorumlake.operators import decisions, turns
 
 
 def lines(spark, *said):
@@ -52,9 +52,9 @@ def test_motions_open_with_a_title(spark):
     frame = lines(
         spark, "Deckblatt", "Dringlicher Antrag an den Gemeinderat", "Betreff: Erstes", "Text. Dringlicher Antrag der KPÖ", "Betrifft Zweites", "17", "3) Drittes", "Schluss",
     )
-    got = [r.body.split("\n") for r in decisions.motion_blocks(frame).orderBy("block").collect()]
+    got = [r.body.split("\n") for r in turns.motion_blocks(frame).orderBy("block").collect()]
     assert got == [["Dringlicher Antrag an den Gemeinderat", "Betreff: Erstes", "Text"], ["Dringlicher Antrag der KPÖ", "Betrifft Zweites"], ["3) Drittes", "Schluss"]]
-    assert decisions.motion_blocks(lines(spark, "Antrag ohne Titel", "Text")).count() == 0
+    assert turns.motion_blocks(lines(spark, "Antrag ohne Titel", "Text")).count() == 0
 
 
 def test_tab_entries_skip_references(spark):

@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quorumlake.operators import link, search, segment
-from quorumlake.plans.session import checkpointed
+from quorumlake.storage import checkpointed
 from quorumlake.sources import html, readers, sinks
 from quorumlake.streaming import incremental
 
@@ -108,7 +108,7 @@ def test_ratio_bound_is_never_below_the_ratio(spark):
 
     rng = random.Random(2)
     rows = [("".join(rng.choice("abcäé1 ") for _ in range(rng.randrange(1, 20))), "".join(rng.choice("abcäé1 ") for _ in range(rng.randrange(1, 20)))) for _ in range(200)]
-    frame = spark.createDataFrame(rows, "a string, b string").withColumn("bound", link.ratio_bound(F.col("a"), F.col("b")))
+    frame = spark.createDataFrame(rows, "a string, b string").withColumn("bound", link.ratio_bound(link.letter_counts(F.col("a")), link.letter_counts(F.col("b"))))
     assert all(r.bound >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-9 for r in frame.collect())
 
 
