@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import extract
 from quorumlake.plans import inputs
 from quorumlake.plans.queries import RAW, REC, query, squeeze_sql
-from quorumlake.storage import new_path
+from quorumlake.storage import new_path, stored
 from quorumlake.sources import readers, sinks
 from quorumlake.streaming import incremental
 
@@ -91,22 +91,51 @@ def k6_csv_cells(s, d):
     return cells.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_acctbal", "tags")
 
 
-@query(f"SELECT record_id FROM {RAW} WHERE date < '2000-01-01' UNION ALL SELECT record_id FROM {RAW} WHERE date >= '2000-01-01' AND id % 12 <> 0")
-def t1_streamed_updates(s, d):
-    """Files of later records, merged by the stream into the earlier ones."""
-    source, table, state = (new_path(s, name) for name in ("arrived", "table", "state"))
-    columns = ["record_id", "date", "kind", "status", "title", "confidence"]
-    r = inputs.records(s, d).withColumn("confidence", F.lit(0.5))
-    old = r.where("date < '2000-01-01'").select(*columns)
-    new = r.where("date >= '2000-01-01'").withColumn("kind", F.when(F.col("id") % 12 == 0, "xx").otherwise(F.col("kind"))).select(*columns)
-    new.coalesce(1).write.json(source)
+_STREAMED = ["record_id", "date", "kind", "status", "title", "confidence"]
+_STREAM_SCHEMA = "record_id string, date string, kind string, status string, title string, confidence double"
 
-    def write(records, rejected, batch) -> None:
-        records.write.mode("overwrite").parquet(f"{table}/{batch}")
 
-    schema = "record_id string, date string, kind string, status string, title string, confidence double"
-    incremental.run_updates(s, source, schema, lambda: old, write, state, ("record_id", "title")).awaitTermination()
-    return s.read.parquet(f"{table}/0").select("record_id")
+def _streamed(s, d, views=()):
+    """Later records arrive in four files, two a batch, some without an id, some invalid, some twice; the last batch is played again. Returns the table and the folder of the views."""
+    source, path, state, rejects, folder = (new_path(s, name) for name in ("arrived", "table", "state", "rejected", "views"))
+    r = inputs.records(s, d).withColumn("confidence", F.lit(0.5))
+    table = incremental.Versions(s, path, r.select(*_STREAMED).schema)
+    table.write(-1, r.where("date < '2000-01-01'").select(*_STREAMED))
+    new = r.where("date >= '2000-01-01'").withColumn("kind", F.when(F.col("id") % 12 == 0, "xx").otherwise(F.col("kind")))
+    new = new.withColumn("record_id", F.when(F.col("id") % 50 == 1, "").otherwise(F.col("record_id")))
+    again = new.where("id % 7 = 0 AND record_id <> ''")
+    new.unionByName(again).select(*_STREAMED).repartition(4, "record_id", "title").write.json(source)
+    required = ("record_id", "title")
+    incremental.run_updates(s, source, _STREAM_SCHEMA, table, state, required, rejects, views, folder, files=2).awaitTermination()
+    last = table.numbers()[-1]
+    incremental.update_step(table, stored(table.parts([last]), "replayed"), last, required, rejects, views, folder)
+    return table, folder
+
+
+@query(f"SELECT CASE WHEN date >= '2000-01-01' AND id % 50 = 1 THEN '' ELSE record_id END AS record_id FROM {RAW} WHERE date < '2000-01-01' OR id % 12 <> 0")
+def t1_streamed_updates(s, d):
+    """Files of later records, added by the stream to the earlier ones in several batches."""
+    return _streamed(s, d)[0].all().select("record_id")
+
+
+_ALL = f"SELECT * FROM {RAW} WHERE date < '2000-01-01' OR id % 12 <> 0"
+
+
+@query(f"""WITH r AS ({_ALL}) SELECT 'counts' AS view, kind AS key, count(*) AS n FROM r GROUP BY kind UNION ALL SELECT 'largest', kind, n FROM (SELECT kind, count(*) AS n FROM r GROUP BY kind ORDER BY n DESC, kind LIMIT 3)""")
+def t3_streamed_views(s, d):
+    """Views that depend on each other, made anew with each batch; one fails at run time, and what needs it is skipped."""
+    views = [
+        incremental.View("largest", lambda t: t["counts"].orderBy(F.col("n").desc(), "key").limit(3), ("counts",)),
+        incremental.View("counts", lambda t: t["records"].groupBy(F.col("kind").alias("key")).agg(F.count("*").alias("n")), ("records",)),
+        incremental.View("broken", lambda t: t["records"].select(F.assert_true(F.col("kind") == "none").cast("string").alias("x")), ("records",)),
+        incremental.View("needs_broken", lambda t: t["broken"], ("broken",)),
+    ]
+    _, folder = _streamed(s, d, views)
+    log = s.read.parquet(f"{folder}/log").groupBy("view").agg(F.collect_set("outcome").alias("seen")).collect()
+    if {r.view: r.seen for r in log} != {"counts": ["made"], "largest": ["made"], "broken": ["failed"], "needs_broken": ["skipped"]}:
+        raise ValueError(f"unexpected outcomes: {log}")
+    newest = [incremental.Versions(s, f"{folder}/{name}", s.createDataFrame([], "key string, n long").schema).last().select(F.lit(name).alias("view"), "key", "n") for name in ("counts", "largest")]
+    return newest[0].unionByName(newest[1])
 
 
 @query(f"SELECT kind, pos::INT AS pos, count(*) AS n FROM (SELECT 'business_numbers' AS kind, unnest(range(0, len(numbers))) AS pos FROM {REC} UNION ALL SELECT 'amounts', unnest(range(0, len(amounts))) FROM {REC}) GROUP BY ALL UNION ALL SELECT 'meetings', 0, count(DISTINCT date) FROM {REC}")

@@ -11,6 +11,7 @@ from quorumlake.plans import inputs
 from quorumlake.plans import queries as base
 from quorumlake.plans.queries import LINES, RAW, REC, TODAY, fold_sql, q, query, search_text_sql, squeeze_sql
 from quorumlake.sources import html, readers, sinks
+from quorumlake.storage import new_path
 from quorumlake.streaming import incremental
 
 
@@ -458,17 +459,13 @@ def k16_subscription_export(s, d):
 
 @query(f"SELECT status, 'a' AS view, count(*) AS n FROM {REC} GROUP BY status UNION ALL SELECT kind, 'b', count(*) FROM {REC} GROUP BY kind")
 def t3_refreshed_views(s, d):
-    out, failed = incremental.refreshed(
-        inputs.records(s, d),
-        {
-            "a": lambda r: r.groupBy(F.col("status")).agg(F.count("*").alias("n")).select("status", F.lit("a").alias("view"), "n"),
-            "broken": lambda r: r.select("no_such_column"),
-            "b": lambda r: r.groupBy(F.col("kind").alias("status")).agg(F.count("*").alias("n")).select("status", F.lit("b").alias("view"), "n"),
-        },
-    )
-    if list(failed) != ["broken"]:
-        raise ValueError(f"unexpected failures: {failed}")
-    return out["a"].unionByName(out["b"])
+    folder = new_path(s, "views")
+    counted = lambda column, name: lambda t: t["records"].groupBy(F.col(column).alias("status")).agg(F.count("*").alias("n")).select("status", F.lit(name).alias("view"), "n")
+    views = [incremental.View("a", counted("status", "a")), incremental.View("broken", lambda t: t["records"].select("no_such_column")), incremental.View("b", counted("kind", "b"))]
+    log = incremental.refreshed(inputs.records(s, d), views, folder, 0)
+    if [row[1] for row in log if row[2] != "made"] != ["broken"]:
+        raise ValueError(f"unexpected failures: {log}")
+    return s.read.parquet(f"{folder}/a/part=0").unionByName(s.read.parquet(f"{folder}/b/part=0"))
 
 
 @query(f"SELECT count(*) AS valid, 0 AS rejected FROM {RAW} WHERE id % 10 <> 0 UNION ALL SELECT 0, count(*) FROM {RAW} WHERE id % 10 = 0")

@@ -164,19 +164,3 @@ def test_star_and_json_writers(spark, tmp_path):
     sinks.write_csv(records.drop("votes"), str(tmp_path / "csv"))
     assert spark.read.parquet(str(tmp_path / "star/business_numbers")).first()["value"] == "A1"
     assert spark.read.json(str(tmp_path / "json")).first()["record_id"] == "r1"
-
-
-def test_stream_merges_once(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    schema = "record_id string, date string, kind string, status string, confidence double, title string"
-    good = '{"record_id": "n1", "date": "2024-02-01", "kind": "agenda_item", "status": "accepted", "confidence": 0.5, "title": "neu"}'
-    (tmp_path / "in/a.json").write_text(f'{good}\n{good}\n{{"record_id": "n2", "date": "2024-02-01", "kind": "xx", "status": "accepted", "confidence": 0.5, "title": "falsch"}}\n')
-    base = spark.createDataFrame([("o1", "2024-01-01", "agenda_item", "accepted", 0.5, "alt")], schema)
-    seen = []
-
-    def write(records, rejected, batch):
-        seen.append((sorted(r.record_id for r in records.collect()), [r.record_id for r in rejected.collect()]))
-
-    for _ in range(2):  # the second run finds nothing new
-        incremental.run_updates(spark, str(tmp_path / "in"), schema, lambda: base, write, str(tmp_path / "cp"), ("record_id",)).awaitTermination()
-    assert seen == [(["n1", "o1"], ["n2"])]
