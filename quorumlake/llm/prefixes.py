@@ -12,6 +12,7 @@ how many tokens a prefix has, is then read from the table; nothing is encoded ag
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -30,10 +31,12 @@ from .common import free_name, lots, text_bytes, with_text
 #: Bytes of text that are counted together.
 LOT_BYTES = 4 << 20
 #: Words and prefixes of words whose counts a process keeps, and their length at most; they change the work only.
-HELD_WORDS, HELD_PREFIXES, HELD_LENGTH = 300_000, 500_000, 48
+HELD_WORDS, HELD_PREFIXES, HELD_LENGTH = 500_000, 1_000_000, 48
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NO_RANK = 1 << 60
+#: Pieces of a word by the kinds of its characters: letters, other marks, single digits, white space.
+_PIECES = re.compile("L+|O+|N|W+")
 #: The letters of contractions after the apostrophe: of one letter, of two, the first of two.
 _ONE, _TWO, _FIRST_OF_TWO = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll"), (b"r", b"v", b"l")
 
@@ -106,11 +109,8 @@ class Merges:
         return self.whole[token]
 
     def fits(self, before: int, token: int) -> bool:
-        """Whether token may follow the last token before it, or begin a piece if that is -1."""
-        key = before << 32 | token
-        known = self.apart.get(key)
-        if known is None:
-            known = self.apart[key] = self.is_whole(token) and (before < 0 or self.stay_apart(before, token))
+        """Whether token may follow the last token before it, or begin a piece if that is -1; noted in apart."""
+        known = self.apart[before << 32 | token] = self.is_whole(token) and (before < 0 or self.stay_apart(before, token))
         return known
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -160,36 +160,45 @@ class Run:
     def _new(self, place: int) -> int:
         """A node for the bytes before place: of the tokens that end there the one, open or closing, that stays apart from the last token before it."""
         m, nodes = self.merges, self.nodes
-        base = max(0, place - m.longest)
-        data, found, start = bytes(self.data[base:place]), [], place - 1
-        while start >= base and (tokens := m.tails.get(data[start - base :])):
-            found.append((start, *tokens))
-            start -= 1
-        last, count, whole = -1, 0, 0
-        for start, opens, closes in reversed(found):
-            before = m.last[nodes[start]]
-            if last < 0 and opens >= 0 and m.fits(before, opens):
-                last, count = opens, m.count[nodes[start]] + 1
-            if not whole and closes >= 0 and m.fits(before, closes):
-                whole = m.count[nodes[start]] + 1
-            if last >= 0 and whole:
-                m.last.append(last)
-                m.count.append(count)
-                m.whole_count.append(whole)
-                return len(m.last) - 1
+        tails, apart, lasts = m.tails, m.apart, m.last
+        data = bytes(self.data[max(0, place - m.longest) : place])
+        found, k = [], len(data) - 1
+        while k >= 0 and (tokens := tails.get(data[k:])):
+            found.append(tokens)
+            k -= 1
+        last, count, whole, at = -1, 0, 0, place - len(found)
+        for opens, closes in reversed(found):
+            if (opens >= 0 and last < 0) or (closes >= 0 and not whole):
+                node = nodes[at]
+                before = lasts[node]
+                if opens >= 0 and last < 0:
+                    fits = apart.get(before << 32 | opens)
+                    if fits or (fits is None and m.fits(before, opens)):
+                        last, count = opens, m.count[node] + 1
+                if closes >= 0 and not whole:
+                    fits = apart.get(before << 32 | closes)
+                    if fits or (fits is None and m.fits(before, closes)):
+                        whole = m.count[node] + 1
+                if whole and last >= 0:
+                    lasts.append(last)
+                    m.count.append(count)
+                    m.whole_count.append(whole)
+                    return len(lasts) - 1
+            at += 1
         raise ValueError(f"no token of the vocabulary ends {data!r}")
 
     def push(self, more: bytes) -> None:
-        m, nodes, place = self.merges, self.nodes, len(self.data)
+        edges, nodes, place = self.merges.edges, self.nodes, len(self.data)
         self.data += more
+        node = nodes[-1]
         for b in more:
             place += 1
-            key = nodes[-1] << 8 | b
-            node = m.edges.get(key)
+            key = node << 8 | b
+            node = edges.get(key)
             if node is None:
                 node = self._new(place)
                 if place <= HELD_LENGTH:
-                    m.edges[key] = node
+                    edges[key] = node
             nodes.append(node)
 
     def copy(self) -> Run:
@@ -247,7 +256,10 @@ class PrefixCounts:
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.characters: dict[str, tuple[str, bytes]] = {}
         self.alone: dict[str, bool] = {}
+        # Kinds of characters as letters for _PIECES.
+        self.kinds: dict[int, str] = {}
         self.words: dict[str, bytes] = {}
+        self._note_kinds("".join(map(chr, range(128))))
 
     def _normal(self, cluster: str) -> list[tuple[str, bytes]]:
         """(kind, bytes) of each character that a cluster becomes; kinds are L, N, O for others, and empty for white space."""
@@ -331,23 +343,49 @@ class PrefixCounts:
             self.alone[c] = c.isascii() or not (unicodedata.combining(c) or unicodedata.category(c)[0] in "MC" or jamo)
         return self.alone[c]
 
+    def _note_kinds(self, characters: str) -> None:
+        for c in characters:
+            found = {kind or "W" for kind, _ in self._normal(c)}
+            self.kinds[ord(c)] = found.pop() if len(found) == 1 else "X"
+
+    def _of_plain(self, word: str) -> list[int] | None:
+        """of_word() for a word without apostrophes, special strings and characters that are composed with others: its pieces one by one.
+
+        None if a character becomes several of different kinds.
+        """
+        kinds = word.translate(self.kinds)
+        if not kinds.isascii():
+            self._note_kinds(word)
+            kinds = word.translate(self.kinds)
+        if "X" in kinds:
+            return None
+        out: list[int] = []
+        done, whole = 0, self.merges.whole_count
+        for piece in _PIECES.finditer(kinds):
+            start, end = piece.span()
+            if kinds[start] == "W":
+                out += [done] * (end - start)
+                continue
+            run = Run(self.merges)
+            said = word[start:end]
+            if said.isascii():
+                run.push(said.lower().encode())
+                out += [done + whole[n] for n in run.nodes[1:]]
+            else:
+                for c in said:
+                    for _, data in self._normal(c):
+                        run.push(data)
+                    out.append(done + whole[run.nodes[-1]])
+            done = out[-1]
+        return out
+
     def of_word(self, word: str) -> list[int]:
         """The counts of the word's prefixes, from one character on."""
         out: list[int] = []
         special = [m for m in self.special if m in word]
-        if not special and "'" not in word and all(map(self._stands_alone, word)):
-            done, kind, run, whole = 0, "", None, self.merges.whole_count
-            for c in word:
-                for k, data in [self.characters[c]] if c in self.characters else self._normal(c):
-                    if k == kind and k in ("L", "O"):
-                        run.push(data)
-                    else:
-                        done += whole[run.nodes[-1]] if kind else 0
-                        kind, run = k, Run(self.merges)
-                        if k:
-                            run.push(data)
-                out.append(done + (whole[run.nodes[-1]] if kind else 0))
-            return out
+        if not special and "'" not in word and (word.isascii() or all(map(self._stands_alone, word))):
+            if (plain := self._of_plain(word)) is not None:
+                return plain
         s = _State()
         start = from_special = 0
         while start < len(word):
@@ -368,6 +406,13 @@ class PrefixCounts:
                     out[-1], from_special = s.done, end
         return out
 
+    def _folded(self, words: pa.Array) -> pa.Array:
+        """words with ASCII letters in lower case, as the tokenizer has them, but for those that would then hold a special string."""
+        lower = pc.ascii_lower(words)
+        for mark in self.special:
+            lower = pc.if_else(pc.match_substring(lower, mark), words, lower)
+        return lower
+
     def differences(self, words: pa.Array) -> pa.ListArray:
         """What each character of each word adds to the count."""
         parts = []
@@ -397,7 +442,7 @@ class PrefixCounts:
         # Bytes between words as pc.ascii_split_whitespace() sees them.
         blank = (first == 32) | ((first >= 9) & (first <= 13))
         found = pc.ascii_split_whitespace(pc.fill_null(texts, "")).flatten()
-        words = found.filter(pc.not_equal(pc.binary_length(found), 0)).dictionary_encode()
+        words = self._folded(found.filter(pc.not_equal(pc.binary_length(found), 0))).dictionary_encode()
         out = np.zeros(len(first), np.int32)
         if len(words):
             out[~blank] = self.differences(words.dictionary).take(words.indices).flatten().to_numpy()
