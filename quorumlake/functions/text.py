@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,24 @@ def fold(value: Column) -> Column:
     return folded
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """All letters that are composed of a letter and marks, and that letter of each."""
+    marked, plain = [], []
+    for code in range(0xC0, 0x30000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        base = "".join(c for c in parts if unicodedata.category(c) != "Mn")
+        if len(base) == 1 and base != chr(code) and unicodedata.category(base)[0] == "L":
+            marked.append(chr(code))
+            plain.append(base)
+    return "".join(marked), "".join(plain)
+
+
+def unaccented(value: Column) -> Column:
+    """The text without diacritics."""
+    return F.regexp_replace(F.translate(text(value), *_plain_letters()), r"\p{Mn}+", "")
+
+
 def search_text(value: Column) -> Column:
     """Folded, with only letters, digits and hyphens, single-spaced."""
     return F.trim(F.regexp_replace(fold(value), r"[^\p{L}\p{N}-]+", " "))

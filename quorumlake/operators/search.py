@@ -41,10 +41,24 @@ def documents(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.col("title").alias("titel"), F.col("kind").alias("typ"), F.col("date").alias("datum"), "status", F.col("result_text").alias("ergebnis"), F.col("url").alias("source_url"))
 
 
+def terms(value: Column) -> Column:
+    """The terms of a text in order, without diacritics; those of its folded form come after them if that differs."""
+    split = lambda x: F.regexp_extract_all(text.unaccented(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    lower, folded = F.lower(value), text.fold(value)
+    return F.when(lower == folded, split(lower)).otherwise(F.concat(split(lower), split(folded)))
+
+
 def postings(chunked: DataFrame) -> DataFrame:
-    """(term, chunk_id, record_id, field, weight, n): distinct folded terms of a chunk."""
-    terms = F.regexp_extract_all(text.fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return chunked.select("chunk_id", "record_id", "field", "weight", F.explode(terms).alias("term")).groupBy("term", "chunk_id", "record_id", "field", "weight").agg(F.count("*").alias("n"))
+    """(term, chunk_id, record_id, field, weight, n, positions): the terms of each chunk, how often and where they are."""
+    rows = chunked.select("chunk_id", "record_id", "field", "weight", F.posexplode(terms(F.col("text"))).alias("position", "term"))
+    held = F.array_sort(F.collect_list("position"))
+    return rows.groupBy("term", "chunk_id", "record_id", "field", "weight").agg(F.count("*").alias("n"), held.alias("positions"))
+
+
+def stored_index(chunked: DataFrame, path: str) -> DataFrame:
+    """postings() written to path by ranges of terms and sorted, so that a term's or prefix's rows lie together."""
+    postings(chunked).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(path)
+    return chunked.sparkSession.read.parquet(path)
 
 
 def query_terms(queries: DataFrame, most: int = 8) -> DataFrame:
@@ -53,14 +67,40 @@ def query_terms(queries: DataFrame, most: int = 8) -> DataFrame:
     return queries.select("query_id", F.explode(F.flatten(F.transform(tokens, text.alternatives))).alias("stem")).distinct()
 
 
-def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, record_id, score, fields, chunks): weights of the chunks that hold a term with one of the query's prefixes, and these chunks, the heaviest first."""
-    stems = query_terms(queries)
-    # Distinct terms meet stems by every one of their prefixes, so that no common beginning is a hot key; postings then meet whole terms.
+#: Terms and prefixes meet by so many first characters.
+KEY_LENGTH = 3
+
+
+def clauses(stems: DataFrame) -> DataFrame:
+    """(query_id, stem, part, parts, word, last): the words of each stem in order; all but the last stand for themselves, the last is a prefix."""
+    words = F.filter(F.split(text.unaccented(F.col("stem")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = stems.withColumn("words", words).withColumn("parts", F.size("words"))
+    return rows.select("query_id", "stem", "parts", F.posexplode("words").alias("part", "word")).withColumn("last", F.col("part") == F.col("parts") - 1)
+
+
+def clause_hits(index: DataFrame, stems: DataFrame) -> DataFrame:
+    """(query_id, stem, record_id, chunk_id, field, weight): the chunks that each clause matches.
+
+    A clause of several words matches where they follow each other. Distinct terms
+    meet words by their first characters; postings then meet whole terms, and
+    positions are looked at for clauses of several words only.
+    """
+    asked = clauses(stems)
     known = index.select("term").distinct()
-    prefixes = known.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("stem"))
-    terms = prefixes.join(stems, "stem").select("query_id", "term").distinct()
-    hit = index.join(terms, "term").select("query_id", "record_id", "chunk_id", "field", "weight").distinct()
+    keyed = known.select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(KEY_LENGTH)), lambda n: F.substring(F.col("term"), F.lit(1), n)))).alias("key"))
+    wanted = asked.select("word", "last").distinct()
+    found = keyed.join(wanted.withColumn("key", F.substring("word", 1, KEY_LENGTH)), "key").where(F.when(F.col("last"), F.startswith("term", "word")).otherwise(F.col("term") == F.col("word")))
+    parts = asked.join(found.select("word", "last", "term"), ["word", "last"]).select("query_id", "stem", "parts", "part", "term")
+    place = ["query_id", "stem", "record_id", "chunk_id", "field", "weight"]
+    one = index.join(parts.where("parts = 1"), "term").select(*place).distinct()
+    several = index.join(parts.where("parts > 1"), "term").select(*place, "parts", "part", F.explode("positions").alias("position"))
+    starts = several.groupBy(*place, "parts", (F.col("position") - F.col("part")).alias("start")).agg(F.count_distinct("part").alias("met"))
+    return one.unionByName(starts.where("met = parts").select(*place).distinct())
+
+
+def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, record_id, score, fields, chunks): weights of the chunks that a clause of the query matches, and these chunks, the heaviest first."""
+    hit = clause_hits(index, query_terms(queries)).select("query_id", "record_id", "chunk_id", "field", "weight").distinct()
     return hit.groupBy("query_id", "record_id").agg(
         F.round(F.sum("weight"), 3).alias("score"),
         F.array_sort(F.collect_set("field")).alias("fields"),

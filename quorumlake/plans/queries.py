@@ -11,6 +11,7 @@ from quorumlake.functions import dates, extract, labels, text
 from quorumlake.operators import facets, link, quality, search, segment, topics
 from quorumlake.plans import inputs
 from quorumlake.sources import html, readers, sinks
+from quorumlake.storage import new_path, stored
 from quorumlake.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -684,22 +685,32 @@ def _index(s: SparkSession, d: str) -> DataFrame:
     return search.postings(_chunks(s, d))
 
 
+_BONUS = "CASE field " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in search.FIELD_BONUS.items()) + " ELSE 0 END"
 _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{x}') AND length(t) - {len(x)} >= 5 THEN substr(t, 1, length(t) - {len(x)})" for x in text.SUFFIXES) + " END"
-_SEARCH = f"""
+_CORPUS = f"""
 corpus AS (SELECT doc_id AS record_id, coalesce(source, '') AS title, coalesce(text, '') AS body, coalesce(lang, '') AS date FROM documents),
 chunk AS (SELECT record_id, 'titel' AS field, 5.0 AS weight, title AS t FROM corpus UNION ALL SELECT record_id, 'quellenausschnitt', 1.5, body FROM corpus),
+asked AS (SELECT item_id AS query_id, {squeeze_sql('text')} AS query FROM benchmark),
+"""
+#: Search over corpus (record_id, title, date), chunk (record_id, field, weight, t) and asked (query_id, query).
+_SEARCHED = f"""
 said AS (SELECT record_id, field, {squeeze_sql('t')} AS t FROM chunk),
 snip AS (SELECT record_id, field, CASE WHEN length(t) <= 260 THEN t ELSE (CASE WHEN c <> '' THEN c ELSE substr(t, 1, 260) END) || '.' END AS snippet
    FROM (SELECT *, regexp_replace(regexp_extract(substr(t, 1, 260), '^(.*) [^ ]*$', 1), '[ ,;:]+$', '') AS c FROM said)),
-term AS (SELECT DISTINCT record_id, field, weight, unnest(regexp_extract_all({fold_sql('t')}, '[\\p{{L}}\\p{{N}}]+', 0)) AS term FROM chunk),
-asked AS (SELECT item_id AS query_id, {squeeze_sql('text')} AS query FROM benchmark),
-raw AS (SELECT query_id, query, list_transform(regexp_extract_all({fold_sql('query')}, '[\\p{{L}}\\p{{N}}_-]+', 0), lambda t: regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')) AS l FROM asked),
+term AS MATERIALIZED (SELECT DISTINCT record_id, field, weight, unnest(list_concat(regexp_extract_all(strip_accents(lower(t)), '[\\p{{L}}\\p{{N}}]+', 0), regexp_extract_all(strip_accents({fold_sql('t')}), '[\\p{{L}}\\p{{N}}]+', 0))) AS term FROM chunk),
+raw AS (SELECT query_id, query, flatten(list_transform(list_transform(regexp_extract_all({fold_sql('query')}, '[\\p{{L}}\\p{{N}}_-]+', 0), lambda t: regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')),
+   lambda t: CASE WHEN contains(t, '-') THEN list_concat([t], list_filter(string_split(t, '-'), lambda w: w <> '')) ELSE [t] END)) AS l FROM asked),
 toks AS (SELECT query_id, query, list_filter(l, lambda t: length(t) >= 3 AND t NOT IN ({', '.join(q(w) for w in text.QUERY_STOPWORDS)})) AS l FROM raw),
 tok AS (SELECT query_id, t, min(p) AS p FROM (SELECT query_id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM toks) GROUP BY ALL),
 first8 AS (SELECT * FROM tok QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= 8),
 stem AS (SELECT DISTINCT query_id, t AS s FROM first8 UNION SELECT query_id, {_STEM} FROM first8 WHERE {_STEM} IS NOT NULL),
-hit AS (SELECT DISTINCT query_id, record_id, field, weight FROM term JOIN stem ON starts_with(term, s)),
-base AS (SELECT query_id, record_id, round(sum(weight), 3)::DOUBLE AS score, sum(CASE field WHEN 'titel' THEN 15 ELSE 4 END) AS bonus FROM hit GROUP BY ALL),
+lone AS (SELECT query_id, strip_accents(s) AS s FROM stem WHERE NOT regexp_matches(s, '[-_]')),
+phrase AS MATERIALIZED (SELECT query_id, ' ' || regexp_replace(strip_accents(s), '[-_]+', ' ', 'g') AS s FROM stem WHERE regexp_matches(s, '[-_]')),
+plain AS MATERIALIZED (SELECT record_id, field, weight, ' ' || regexp_replace(strip_accents(lower(t)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS a, ' ' || regexp_replace(strip_accents({fold_sql('t')}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS b FROM chunk WHERE EXISTS (FROM phrase)),
+spoken AS MATERIALIZED (SELECT DISTINCT query_id, record_id, field, weight FROM plain JOIN phrase ON contains(a, s) OR contains(b, s)),
+vocabulary AS MATERIALIZED (SELECT DISTINCT query_id, term FROM (SELECT DISTINCT term FROM term) JOIN lone ON starts_with(term, s)),
+hit AS MATERIALIZED (SELECT query_id, record_id, field, weight FROM term JOIN vocabulary USING (term) UNION FROM spoken),
+base AS (SELECT query_id, record_id, round(sum(weight), 3)::DOUBLE AS score, sum({_BONUS}) AS bonus FROM hit GROUP BY ALL),
 cut AS (SELECT base.*, title, date FROM base JOIN corpus USING (record_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date DESC, record_id) <= 500),
 shown AS (SELECT query_id, record_id, snippet, row_number() OVER (PARTITION BY query_id, record_id ORDER BY o) AS k FROM (SELECT query_id, record_id, snippet, min((-weight, field)) AS o FROM cut JOIN hit USING (query_id, record_id) JOIN snip USING (record_id, field) GROUP BY ALL)),
 hay AS (SELECT c.*, s.snippets, {fold_sql("c.title || ' ' || s.joined")} AS h, {fold_sql('c.title')} AS ht FROM cut c JOIN (SELECT query_id, record_id, string_agg(snippet, ' ' ORDER BY k) AS joined, string_agg(snippet, ' | ' ORDER BY k) AS snippets FROM shown WHERE k <= 3 GROUP BY ALL) s USING (query_id, record_id)),
@@ -710,6 +721,7 @@ scored AS (SELECT c.query_id, c.record_id, c.title, c.date, c.snippets, c.score
    FROM hay c JOIN cover v USING (query_id, record_id) JOIN asked a USING (query_id)),
 found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date, lower(title), record_id)::INT AS rank, record_id, score, snippets, base FROM scored QUALIFY rank <= 20)
 """
+_SEARCH = _CORPUS + _SEARCHED
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, rank, record_id, score FROM found")
@@ -718,6 +730,62 @@ def search_documents(s, d):
     return search.search(search.postings(chunked), chunked, _corpus(s, d), _asked(s, d))
 
 
+#: The records' eleven search fields.
+RECORD_FIELDS = {
+    "titel": "title",
+    "ergebnis": "result_text",
+    "status": "status_text",
+    "geschaeftszahlen": "array_join(numbers, ' ')",
+    "orte": "array_join(places, ' ')",
+    "betraege": "array_join(amounts, ' ')",
+    "einbringer": "submitter",
+    "adressat": "segment",
+    "quellenausschnitt": "body",
+    "abstimmungen": "CASE WHEN result_text LIKE '%Gegen%' THEN 'dagegen Grüne Neos KPÖ' ELSE '' END",
+    "fragestunde": "CASE WHEN kind = 'question_hour' THEN subject ELSE '' END",
+}
+#: A question for each name of a part, hyphenated: only its words next to each other match it as a whole.
+ASKED = "SELECT min(p_partkey) AS query_id, 'Was wurde zu ' || replace(p_name, ' ', '-') || ' für Neos beschlossen?' AS query FROM {part} GROUP BY p_name"
+_RECORD_SEARCH = (
+    f"rec AS MATERIALIZED (SELECT * FROM {REC}), corpus AS (SELECT record_id, title, date FROM rec), asked AS ({ASKED.format(part='part')}), chunk AS ("
+    + " UNION ALL ".join(f"SELECT record_id, '{name}' AS field, {search.WEIGHTS[name]} AS weight, {value.replace('array_join', 'array_to_string')} AS t FROM rec" for name, value in RECORD_FIELDS.items())
+    + "),"
+)
+
+
+def _record_chunks(s: SparkSession, d: str) -> DataFrame:
+    return stored(search.chunks(inputs.records(s, d), {name: F.expr(value) for name, value in RECORD_FIELDS.items()}), "record-chunks")
+
+
+def _asked_of_records(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(ASKED, part=inputs.table(s, d, "part"))
+
+
+@query(f"WITH {_RECORD_SEARCH} {_SEARCHED} SELECT query_id, rank, record_id, score, snippets FROM found")
+def q7_record_search(s, d):
+    chunked = _record_chunks(s, d)
+    index = search.stored_index(chunked, new_path(s, "index"))
+    found = search.results(index, chunked, inputs.records(s, d).select("record_id", "title", "date"), _asked_of_records(s, d))
+    return found.select("query_id", "rank", "record_id", "score", F.array_join("snippets", " | ").alias("snippets"))
+
+
+@query(
+    f"WITH {_RECORD_SEARCH} {_SEARCHED} SELECT query_id, field, count(*) AS n FROM (SELECT DISTINCT query_id, record_id, field FROM spoken) GROUP BY ALL"
+)
+def q6_phrase_matches(s, d):
+    """Chunks that hold the words of a hyphenated token next to each other, the last one as a beginning."""
+    stems = search.query_terms(_asked_of_records(s, d)).where("contains(stem, '-')")
+    hits = search.clause_hits(search.postings(_record_chunks(s, d)), stems)
+    return hits.select("query_id", "record_id", "field").distinct().groupBy("query_id", "field").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+', 0), regexp_extract_all(strip_accents({fold_sql('text')}), '[\\p{{L}}\\p{{N}}]+', 0))) AS term FROM documents) GROUP BY term")
+def q2_plain_terms(s, d):
+    """Documents of each term; terms have no diacritics, so that a plain spelling finds them."""
+    rows = inputs.table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(search.terms(F.coalesce("text", F.lit(""))))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_SEARCH} SELECT t.record_id, field, count(*) AS terms FROM term t GROUP BY ALL")
 def q2_postings(s, d):
     return _index(s, d).groupBy("record_id", "field").agg(F.count("*").alias("terms"))

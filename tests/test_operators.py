@@ -164,3 +164,38 @@ def test_star_and_json_writers(spark, tmp_path):
     sinks.write_csv(records.drop("votes"), str(tmp_path / "csv"))
     assert spark.read.parquet(str(tmp_path / "star/business_numbers")).first()["value"] == "A1"
     assert spark.read.json(str(tmp_path / "json")).first()["record_id"] == "r1"
+
+
+def searched(spark, *texts):
+    records = spark.createDataFrame([(f"r{k}", t, "2024-01-01") for k, t in enumerate(texts)], "record_id string, title string, date string")
+    return records, search.chunks(records, {"titel": F.col("title")})
+
+
+def found(spark, query, *texts):
+    _, chunked = searched(spark, *texts)
+    stems = search.query_terms(spark.createDataFrame([(1, query)], "query_id int, query string"))
+    hits = search.clause_hits(search.postings(chunked), stems)
+    return sorted((r.stem, r.record_id) for r in hits.collect())
+
+
+def test_hyphenated_tokens_match_adjacent_words_only(spark):
+    texts = ("Kosten der ÖH-Kindergärten", "ÖH und Kindergarten", "Kindergarten ÖH", "OEH Kindergartenplatz", "die oeh-kinder", "ÖH ÖH Kindergarten")
+    got = found(spark, "oeh-kindergarten", *texts)
+    # The plain form holds all, the folded one as well; the whole token and its words are clauses of their own.
+    assert [r for s, r in got if s == "oeh-kindergarten"] == ["r3", "r5"]
+    assert [r for s, r in got if s == "kindergarten"] == ["r0", "r1", "r2", "r3", "r5"]
+    assert [r for s, r in got if s == "oeh"] == ["r0", "r1", "r2", "r3", "r4", "r5"]
+
+
+def test_terms_without_diacritics(spark):
+    records = lambda query, *texts: sorted({r for _, r in found(spark, query, *texts)})
+    assert records("cafe", "Café am Eck", "Cafeteria", "Kaffee", "ÇAFÈ", "Café") == ["r0", "r1", "r3", "r4"]
+    assert records("großmärkte", "Grossmaerkte", "Großmärkte", "grossmarkte") == ["r0", "r1"]
+    assert records("piffl-perčević", "Peter Piffl-Perčević", "Piffl, Percevic", "anderes") == ["r0", "r1"]
+
+
+def test_a_stored_index_is_sorted_by_term(spark, tmp_path):
+    _, chunked = searched(spark, "b a c", "a b", "zz a")
+    stored = search.stored_index(chunked, str(tmp_path / "index"))
+    assert [r.term for r in spark.read.parquet(*sorted(str(p) for p in (tmp_path / "index").glob("*.parquet"))).coalesce(1).collect()] == sorted(r.term for r in stored.collect())
+    assert {(r.term, r.record_id): (r.n, r.positions) for r in stored.collect()}["a", "r0"] == (1, [1])
