@@ -10,8 +10,8 @@ Content paths select the article: the article and main elements where they hold
 half of the content, or else the smallest container of all content blocks, from the
 headline before it. In it blocks under other paths stay if their tag is one of
 running text and their path isn't made of links; what no path and no such tag
-vouches for goes. Tags and roles that are no article go at once, as do names that
-mark readers' words, adverts and notices. Names of menus, sidebars and the like mark an
+vouches for goes. Tags and roles that are no article go at once. Names that mark readers'
+words, adverts and notices count unless their element is the page's wrapper. Names of menus, sidebars and the like mark an
 element unless content says that it is a wrapper; weaker names only decide where the ratio is low.
 """
 
@@ -78,10 +78,31 @@ CLOSED_BY = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "option": frozenset({"option", "optgroup"}),
 }
+#: Words that a name's last part may be without telling what its element is.
+GENERAL_WORDS = frozenset(
+    "list lists box boxes area section sections container wrapper wrap block blocks banner bar item items body text slot unit top bottom left right inner outer thread "
+    "count author meta content link links post posts article articles story stories news button buttons icon icons widget widgets panel panels title message messages "
+    "info holder group row column col zone place placeholder space frame inline small large desktop mobile id".split()
+)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
-GONE, SIDE, WEAK = 1, 2, 3
+GONE, SIDE, WEAK, FOREIGN = 1, 2, 3, 4
+
+
+def named(value: str) -> int:
+    """What a class or id says: the last word of a compound that isn't a general one decides; listed words before it are a hint only."""
+    found = 0
+    for name in value.lower().split():
+        words = [w for w in _WORD.findall(name) if len(w) > 1]
+        telling = next((w for w in reversed(words) if w not in GENERAL_WORDS), "")
+        if telling in FOREIGN_WORDS:
+            return FOREIGN
+        if telling in SIDE_WORDS:
+            found = SIDE
+        elif not found and set(words) & (FOREIGN_WORDS | SIDE_WORDS):
+            found = WEAK
+    return found
 
 
 @dataclass(frozen=True)
@@ -138,7 +159,7 @@ class _Page(HTMLParser):
             return
         self.count += 1
         mark = GONE if tag in UNSEEN_TAGS else self.mark(tag, attrs)
-        if not block and mark == SIDE:
+        if not block and mark in (SIDE, FOREIGN):
             mark = GONE
         elif not block and mark == WEAK:
             mark = 0
@@ -153,16 +174,18 @@ class _Page(HTMLParser):
         if tag in ("html", "body", "article", "main", "h1"):
             return 0
         words: set[str] = set()
+        found = 0
         for name, value in attrs:
             if value and name == "role" and value.lower() in BOILERPLATE_ROLES:
                 return GONE
             if value and name in ("class", "id"):
                 words.update(_WORD.findall(value.lower()))
-        if words & FOREIGN_WORDS:
-            return GONE
-        if words & SIDE_WORDS:
-            return SIDE
-        return WEAK if words & WEAK_WORDS and not words & ARTICLE_WORDS and not (tag == "header" and inside) else 0
+                one = named(value)
+                found = one if found != FOREIGN and (one in (FOREIGN, SIDE) or not found) else found
+        if found in (FOREIGN, SIDE):
+            return found
+        weak = found == WEAK or (words & WEAK_WORDS and not words & ARTICLE_WORDS and not (tag == "header" and inside))
+        return WEAK if weak else 0
 
     def close_to(self, k: int) -> None:
         self.gone -= sum(x[3] == GONE for x in self.open[k:])
@@ -242,27 +265,54 @@ def content(found: list[Block]) -> list[bool]:
     return chosen if any(chosen) else [True] * len(found)
 
 
+def _before_main(b: Block, number: int) -> bool:
+    """Whether the element of this number lies around the block's main element, if it has one."""
+    return all(n > number for t, n in b.path if t == "main")
+
+
+def _without_foreign(found: list[Block]) -> list[Block]:
+    """The blocks outside readers' words, adverts and notices.
+
+    An element that is named so is the page's wrapper if it holds the first
+    headline or a main element, or, on a page with neither, if there is
+    nothing but links and sidebars outside it.
+    """
+    foreign = {n for b in found for n, m in b.marks if m == FOREIGN}
+    if not foreign:
+        return found
+    first = next((b for b in found if b.path and b.path[-1][0] == "h1"), None)
+    heads = [b for b in found if b is first or any(t == "main" for t, _ in b.path)]
+    if heads:
+        wrappers = {n for b in heads for n, m in b.marks if m == FOREIGN and _before_main(b, n)}
+    else:
+        said = any(b.linked < LINKED * len(b.text) for b in found if not any(m in (FOREIGN, SIDE) for _, m in b.marks))
+        wrappers = set() if said else foreign
+    return [b for b in found if all(m != FOREIGN or n in wrappers for n, m in b.marks)]
+
+
 def _unmarked(found: list[Block], chosen: list[bool]) -> list[bool]:
-    """Which blocks no mark takes out: an element that holds most of the content is a wrapper, and a weak mark yields to a high ratio.
+    """Which blocks no mark takes out: an element that holds most of the content is a wrapper, and a weak mark yields to a high ratio of its block or of most of its element.
 
     On a page with an article or main element only what lies around or inside one can be a wrapper.
     """
     total = sum(len(b.text) for b, c in zip(found, chosen, strict=True) if c)
     weight: dict[int, int] = defaultdict(int)
+    size: dict[int, int] = defaultdict(int)
     related: set[int] = set()
     for b, c in zip(found, chosen, strict=True):
         for n, _ in b.marks:
             weight[n] += len(b.text) if c else 0
+            size[n] += len(b.text)
             if b.article is not None:
                 related.add(n)
     articles = any(b.article is not None for b in found)
     wrappers = {n for n, w in weight.items() if 2 * w > total and (not articles or n in related)}
-    return [all(n in wrappers or (m == WEAK and c) for n, m in b.marks) for b, c in zip(found, chosen, strict=True)]
+    return [all(n in wrappers or m == FOREIGN or (m == WEAK and (c or 2 * weight[n] > size[n])) for n, m in b.marks) for b, c in zip(found, chosen, strict=True)]
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by empty lines; empty if there are none."""
-    found = blocks(html or "")
+    found = _without_foreign(blocks(html or ""))
     if not found:
         return ""
     keep = _unmarked(found, content(found))
@@ -281,7 +331,13 @@ def main_text(html: str | None) -> str:
 
     seeds = [b for b, c in zip(found, chosen, strict=True) if c]
     if 2 * sum(len(b.text) for b in seeds if b.article is not None) >= sum(len(b.text) for b in seeds):
-        return "\n\n".join(b.text for b in found if b.article is not None and not menu(b, MENU_BLOCKS))
+        kept, spoken = [], False
+        for b, c in zip(found, chosen, strict=True):
+            # A list of links belongs to the article once it has begun, as what a text refers to.
+            if b.article is not None and (spoken or not menu(b, MENU_BLOCKS)):
+                kept.append(b.text)
+                spoken = spoken or c
+        return "\n\n".join(kept)
     # The deepest container on the path of every seed.
     shared = list(seeds[0].path)
     for b in seeds:

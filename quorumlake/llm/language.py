@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +25,15 @@ from .common import materialise, with_text
 BUCKET_BITS = 15
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
-#: Bound of the labelled sample: about so many rows per language, by a hash of the id, and never more than SAMPLE_MOST in all.
-SAMPLE_PER_LANGUAGE, SAMPLE_MOST = 400, 20_000
-#: The most frequent subword buckets of a sampled row that training sees, which bounds what the driver gets; prediction sums over all.
-SAMPLE_BUCKETS = 2048
+#: Bound of the labelled sample: about so many rows per language, by a hash of id and text, and never more than SAMPLE_MOST in all.
+SAMPLE_PER_LANGUAGE, SAMPLE_MOST = 400, 8000
 EPOCHS, RATE, BATCH = 15, 4.0, 16
-#: Share of calibration texts, correctly labelled, that the threshold may reject.
-REJECTED_SHARE = 0.001
+#: Words of the beginnings of sampled texts that thresholds are calibrated on beside whole texts.
+BEGINNINGS = (1, 2, 6, 24)
+#: Texts with fewer subwords than these have thresholds of their own.
+LENGTHS = (16, 48, 160, 640)
+#: Share of calibration texts, correctly labelled, that a threshold may reject; share of random texts that it has to reject if it may.
+REJECTED_SHARE, RANDOM_SHARE = 0.001, 0.8
 _SEED = 5
 _STEP = 1 << 18
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -87,25 +90,25 @@ class Model:
     scores: np.ndarray  # bucket x language: embedding times weights
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray  # one for each range of LENGTHS
 
-    def logits(self, text: str | None) -> np.ndarray | None:
-        """None if the text has no letter."""
+    def logits(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """Logits, None if the text has no letter, and how many subwords it has."""
         total, n = np.zeros(len(self.languages)), 0
         for part in subwords(text):
             counts = np.bincount(part, minlength=1 << BUCKET_BITS) if len(part) > 1 << BUCKET_BITS else None
             total += counts @ self.scores if counts is not None else self.scores[part].sum(axis=0)
             n += len(part)
-        return total / n + self.bias if n else None
+        return (total / n + self.bias if n else None), n
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, accepted); und, 0 and False without letters."""
-        z = self.logits(text) if self.languages else None
+        z, n = self.logits(text) if self.languages else (None, 0)
         if z is None:
             return "und", 0.0, False
         p = _softmax(z[None, :] / self.temperature)[0]
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold)
+        return self.languages[best], float(p[best]), bool(p[best] >= self.thresholds[np.searchsorted(LENGTHS, n, "right")])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -113,45 +116,93 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text's subwords and their counts."""
+    parts = list(subwords(text))
+    keys, times = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+    return keys.astype(np.int32), times.astype(np.int32)
+
+
+def _random_letters(text: str, seed: int) -> str:
+    """The text with a random letter in the place of each of its letters."""
+    dice = np.random.default_rng(seed)
+    return "".join(chr(97 + k) if c.isalpha() else c for c, k in zip(text, dice.integers(0, 26, len(text)), strict=True))
+
+
+#: Kinds of calibration texts.
+WHOLE, BEGINNING, RANDOM = range(3)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct buckets and their counts, so that the driver gets no texts."""
+    """Distinct buckets and their counts of texts, of their beginnings, and of random letters of the same shape, so that the driver gets no texts."""
     for batch in batches:
-        keys, times = [], []
-        for text in batch.column(2):
-            parts = list(subwords(text.as_py()))
-            k, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
-            if len(k) > SAMPLE_BUCKETS:
-                most = np.sort(np.argsort(-n, kind="stable")[:SAMPLE_BUCKETS])
-                k, n = k[most], n[most]
-            keys.append(k)
-            times.append(n.astype(np.int32))
-        lists = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, lists), pa.array(times, lists)], ["id", "lang", "keys", "times"])
+        for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            said = text.as_py()
+            # Only so much of the text is parted that the longest beginning is in it.
+            words = said.split(None, max(BEGINNINGS))[: max(BEGINNINGS)]
+            starts = [" ".join(words[:n]) for n in BEGINNINGS if n <= len(words)]
+            found = [(WHOLE, said), *((BEGINNING, x) for x in starts), *((RANDOM, _random_letters(x, key % (1 << 32) + len(x))) for x in starts)]
+            kinds, texts = zip(*found, strict=True)
+            keys, times = zip(*map(_histogram, texts), strict=True)
+            lists = pa.list_(pa.int32())
+            columns = [pa.array([key] * len(found), pa.int64()), pa.array([lang] * len(found), pa.string()), pa.array(kinds, pa.int32()), pa.array(list(keys), lists), pa.array(list(times), lists)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "kind", "keys", "times"])
+
+
+def _thresholds(p: np.ndarray, right: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each range of LENGTHS the probability from which a text is accepted.
+
+    It rejects RANDOM_SHARE of the random texts of that length, unless that
+    were more than REJECTED_SHARE of the real ones that are labelled rightly.
+    """
+    best, place = p.max(axis=1), np.searchsorted(LENGTHS, sizes, "right")
+    out = np.zeros(len(LENGTHS) + 1)
+    for k in range(len(out)):
+        real, random = best[(place == k) & (kind != RANDOM) & right], best[(place == k) & (kind == RANDOM)]
+        if len(real):
+            out[k] = np.quantile(real, REJECTED_SHARE, method="lower")
+            if len(random):
+                out[k] = min(out[k], np.quantile(random, RANDOM_SHARE, method="higher") + 1e-9)
+    return out
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on rows with text and language; only SAMPLE_* bound what is fitted on.
 
-    Rows are taken by a hash of their id (null as an empty one), so reruns agree
-    and repeated rows go together. Null and empty texts teach nothing. Without
-    labelled rows the model knows no language and predicts und.
+    Rows are taken by a hash of id (null as an empty one) and text, so reruns
+    agree; of rows with the same id, text and language one teaches. Null and
+    empty texts teach nothing. Without labelled rows the model knows no language
+    and predicts und. The driver holds the sampled rows' histograms: at most
+    SAMPLE_MOST of them, with no more buckets than the table has.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
+    rows = rows.select("lang", "text", F.xxhash64(F.coalesce("id", F.lit("")), "text", F.lit(_SEED)).alias("key"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    dice = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(_SEED)), F.lit(1 << 40)) / float(1 << 40)
-    # Ids are chosen first, so that only the chosen rows' texts leave their scan; the choice is bounded, so it is broadcast.
+    dice = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
+    # Keys are chosen first, so that only the chosen rows' texts leave their scan; the choice is bounded, so it is broadcast.
     # A row's share is its place within its language, so that the limit takes as much from each.
-    share = F.col("dice") * F.col("n")
-    chosen = rows.select(F.coalesce("id", F.lit("")).alias("id"), "lang", dice.alias("dice")).join(sizes, "lang").where(share < SAMPLE_PER_LANGUAGE)
-    chosen = materialise(chosen.orderBy(share, "id").limit(SAMPLE_MOST).select("id", "lang").distinct(), "op2-sample")
-    sample = rows.withColumn("id", F.coalesce("id", F.lit(""))).join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
-    got = sample.mapInArrow(_count, "id string, lang string, keys array<int>, times array<int>").limit(SAMPLE_MOST).toArrow().to_pylist()
-    got = sorted((r for r in got if r["keys"]), key=lambda r: (r["id"] or "", r["lang"], len(r["keys"])))
-    languages = tuple(sorted({r["lang"] for r in got}))
+    share = dice * F.col("n")
+    chosen = rows.select("lang", "key").join(sizes, "lang").where(share < SAMPLE_PER_LANGUAGE).groupBy("lang", "key").agg(F.min(share).alias("share"))
+    chosen = materialise(chosen.orderBy("share", "lang", "key").limit(SAMPLE_MOST).select("lang", "key"), "op2-sample")
+    sample = rows.join(F.broadcast(chosen), ["lang", "key"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    got = sample.mapInArrow(_count, "key long, lang string, kind int, keys array<int>, times array<int>").toArrow().combine_chunks()
+    got = got.filter(pc.greater(pc.list_value_length(got["keys"]), 0)).sort_by([("lang", "ascending"), ("key", "ascending"), ("kind", "ascending")]).combine_chunks()
+    texts_lang, kind = got["lang"].to_pylist(), got["kind"].to_numpy()
+    languages = tuple(sorted(set(texts_lang)))
     if not languages:
-        return Model((), np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    y = np.array([languages.index(r["lang"]) for r in got])
-    docs = [(np.array(r["keys"]), np.array(r["times"], float) / sum(r["times"])) for r in got]
+        return Model((), np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, np.zeros(len(LENGTHS) + 1))
+
+    def parts(name: str) -> list[np.ndarray]:
+        held = got[name].chunk(0)
+        ends, values = held.offsets.to_numpy(), held.values.to_numpy()
+        return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    keys, times = parts("keys"), parts("times")
+    y_all = np.searchsorted(languages, texts_lang)
+    sizes_all = np.array([int(t.sum()) for t in times])
+    whole = np.flatnonzero(kind == WHOLE)
+    y = y_all[whole]
+    docs = [(keys[i], times[i] / sizes_all[i]) for i in whole]
     rng = np.random.default_rng(_SEED)
     held = rng.random(len(docs)) < 0.25
     if held.all() or not held.any():
@@ -179,11 +230,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     goal = np.full(z.shape, slip / max(1, len(languages) - 1))
     goal[np.arange(len(check)), y[check]] = 1 - slip
     temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -(goal * np.log(np.maximum(_softmax(z / t), 1e-12))).sum(axis=1).mean())
-    p = _softmax(z / temperature)
-    right = p.argmax(axis=1) == y[check]
-    # One language alone has probability 1; otherwise the threshold stays under what a sure text reaches.
-    threshold = min(float(np.quantile(p.max(axis=1)[right], REJECTED_SHARE)), 0.5) if right.any() else 0.0
-    return Model(languages, scores.astype(np.float32), bias, float(temperature), threshold)
+    # Texts of held rows, their beginnings, and the random ones made of these.
+    checked = {(texts_lang[whole[i]], k) for i, k in zip(check, got["key"].to_numpy()[whole[check]].tolist(), strict=True)}
+    rest = [i for i, key in enumerate(zip(texts_lang, got["key"].to_pylist(), strict=True)) if key in checked]
+    p = _softmax(np.array([(times[i] / sizes_all[i]) @ scores[keys[i]] + bias for i in rest]) / temperature)
+    thresholds = _thresholds(p, p.argmax(axis=1) == y_all[rest], kind[rest], sizes_all[rest])
+    return Model(languages, scores.astype(np.float32), bias, float(temperature), thresholds)
 
 
 def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:

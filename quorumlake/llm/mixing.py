@@ -11,7 +11,7 @@ what a smaller one took.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, free_name, materialise
@@ -26,9 +26,10 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(id_column):
-    """48 bits, alike in every run and engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_column.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long")
+def document_hash(id_column, text_column):
+    """48 bits of id and text, alike in every run and engine."""
+    text = F.md5(F.coalesce(text_column.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_column.cast("string"), F.lit("")), F.lit(":"), text)), 1, 12), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(sid, edge, edge_in): hashes under edge are taken, those at edge if edge_in."""
+    """(sid, edge, edge_rows): hashes under edge are taken, and so many of the rows at it, which are alike."""
     state = budgets.select("sid", F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix"))
     found = None
     for level in range(LEVELS):
@@ -67,14 +68,15 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         inside = rows.join(state, "sid")
         if level:
             inside = inside.where(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
-        sums = inside.groupBy("sid", key.alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+        sums = inside.groupBy("sid", key.alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("left").alias("left"))
         upto = F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         over = sums.withColumn("before", upto - F.col("n")).where(F.col("before") + F.col("n") > F.col("left"))
-        edge = over.groupBy("sid").agg(F.min_by(F.struct("bucket", "before", "left", "n"), "bucket").alias("e"))
-        state = materialise(edge.select("sid", (F.col("e.left") - F.col("e.before")).alias("left"), F.col("e.bucket").alias("prefix"), F.col("e.n").alias("n")), f"op3-level{level}")
+        edge = over.groupBy("sid").agg(F.min_by(F.struct("bucket", "before", "left", "n", "rows"), "bucket").alias("e"))
+        state = materialise(edge.select("sid", (F.col("e.left") - F.col("e.before")).alias("left"), F.col("e.bucket").alias("prefix"), F.col("e.n").alias("n"), F.col("e.rows").alias("rows")), f"op3-level{level}")
         found = state
-        state = state.drop("n")
-    return found.select("sid", F.col("prefix").alias("edge"), (2 * F.col("left") >= F.col("n")).alias("edge_in"))
+        state = state.drop("n", "rows")
+    taken = F.least(F.floor(F.col("left") * F.col("rows") / F.col("n") + 0.5), F.col("rows")).cast("long")
+    return found.select("sid", F.col("prefix").alias("edge"), taken.alias("taken"), "rows")
 
 
 def _chosen(slim: DataFrame) -> DataFrame:
@@ -84,7 +86,13 @@ def _chosen(slim: DataFrame) -> DataFrame:
     plan = materialise(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "op3-plan")
     rows = slim.join(plan.select("source", "sid"), slim["source"].eqNullSafe(plan["source"])).select("sid", "size", "h")
     edges = _thresholds(rows, plan.select("sid", "rest"))
-    full = plan.join(edges, "sid", "left").select("source", "source_size", "target", "whole", F.coalesce("edge", F.lit(_ALL)).alias("edge"), F.coalesce("edge_in", F.lit(False)).alias("edge_in"))
+    partly = (F.col("taken") > 0) & (F.col("taken") < F.col("rows"))
+    full = plan.join(edges, "sid", "left").select(
+        *("source", "source_size", "target", "whole"),
+        F.coalesce("edge", F.lit(_ALL)).alias("edge"),
+        F.coalesce(F.col("taken") == F.col("rows"), F.lit(False)).alias("edge_in"),
+        F.when(partly, F.col("taken")).alias("some"),
+    )
     return materialise(full, "op3-thresholds")
 
 
@@ -92,25 +100,49 @@ def _copies(h, whole, edge, edge_in):
     return F.least(whole + F.when((h < edge) | ((h == edge) & edge_in), 1).otherwise(0), F.lit(MOST_COPIES)).cast("int")
 
 
+def _with_copies(rows: DataFrame, chosen: DataFrame, source: Column, h: Column, copies: str) -> DataFrame:
+    """rows joined with their source's thresholds (chosen's columns) and how often each is taken.
+
+    Rows of one id and text are alike at a threshold. Where a source takes some
+    of these only, they are counted off: within the parts in which they lie,
+    each part from where those before it end.
+    """
+    name, _, _, whole, edge, edge_in, some = chosen.columns
+    joined = rows.join(chosen, source.eqNullSafe(F.col(name)))
+    taken = _copies(h, F.col(whole), F.col(edge), F.col(edge_in))
+    if chosen.where(F.col(some).isNotNull()).isEmpty():
+        return joined.withColumn(copies, taken)
+    at_edge = F.col(some).isNotNull() & (h == F.col(edge))
+    part, n, before = (free_name(x, joined) for x in ("part", "n", "before"))
+    alike = materialise(joined.where(at_edge).withColumn(part, F.spark_partition_id()), "op3-alike")
+    sizes = alike.groupBy(name, part).agg(F.count("*").alias(n))
+    starts = sizes.withColumn(before, F.sum(n).over(Window.partitionBy(name).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)).drop(n)
+    starts = starts.select(F.col(name).alias(f"{name}_"), F.col(part).alias(f"{part}_"), before)
+    place = F.row_number().over(Window.partitionBy(name, part).orderBy(h)) + F.col(before)
+    counted = alike.join(starts, F.col(name).eqNullSafe(F.col(f"{name}_")) & (F.col(part) == F.col(f"{part}_")))
+    counted = counted.withColumn(copies, F.least(F.col(whole) + F.when(place <= F.col(some), 1).otherwise(0), F.lit(MOST_COPIES)).cast("int"))
+    return joined.where(~at_edge).withColumn(copies, taken).unionByName(counted.select(*joined.columns, copies))
+
+
 def _slim(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     name = F.col(source_col).cast("string").alias("source")
     size = word_count(F.col(text_col).cast("string")).alias("size")
-    return materialise(documents.select(F.col(id_col).alias("id"), name, size, document_hash(F.col(id_col)).alias("h")), "op3-sizes")
+    return materialise(documents.select(F.col(id_col).alias("id"), name, size, document_hash(F.col(id_col), F.col(text_col)).alias("h")), "op3-sizes")
 
 
 def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken), one row per input row.
 
-    A null text has size 0, a null source is a source of its own, rows with the
-    same id stand or fall together, an empty table gives no rows. Columns other
+    A null text has size 0, a null source is a source of its own, an empty table
+    gives no rows. Rows with the same id, or none, are told apart by their texts,
+    and of rows with the same id and text as many are taken as the target asks for. Columns other
     than the three named play no part.
     """
     slim = _slim(documents, id_col, text_col, source_col)
-    chosen = _chosen(slim).withColumnRenamed("source", "name")
-    copies = _copies(F.col("h"), F.col("whole"), F.col("edge"), F.col("edge_in"))
-    return slim.join(chosen, F.col("name").eqNullSafe(F.col("source"))).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    chosen = _chosen(slim)
+    chosen = chosen.select(F.col("source").alias("name"), *chosen.columns[1:])
+    mixed = _with_copies(slim, chosen, F.col("source"), F.col("h"), "copies")
+    return mixed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -121,7 +153,7 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     chosen = _chosen(_slim(documents, id_col, text_col, source_col))
     chosen = chosen.select(*[F.col(c).alias(free_name(f"mix_{c}", documents)) for c in chosen.columns])
-    source, _, _, whole, edge, edge_in = chosen.columns
-    copies = _copies(document_hash(F.col(id_col)), F.col(whole), F.col(edge), F.col(edge_in))
-    joined = documents.join(chosen, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
-    return joined.withColumn(free_name("copy", documents), F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    copies = free_name("copies", documents)
+    h = document_hash(F.col(id_col), F.col(text_col))
+    mixed = _with_copies(documents, chosen, F.col(source_col).cast("string"), h, copies)
+    return mixed.withColumn(free_name("copy", documents), F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -106,7 +106,7 @@ _WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPE
 
 _MIXING = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 w AS (SELECT *, sid % 3 + 1 AS weight, 3 * n AS cap, (sum(n) OVER ())::BIGINT AS total FROM s),
 p AS (SELECT *, row_number() OVER o AS place, (total - (sum(cap) OVER o - cap))::BIGINT / (sum(weight) OVER ()  - (sum(weight) OVER o - weight))::BIGINT AS share

@@ -228,6 +228,35 @@ def test_html_pages_against_a_plain_reading(spark):
         assert (r.text, r.n_chars) == ("\n\n".join(filter(None, parts)), len(r.text))
 
 
+PARAGRAPH = "<p>This is a long paragraph, with commas, and full stops. It says a good deal of things.</p>"
+SAID = "This is a long paragraph, with commas, and full stops. It says a good deal of things."
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ('<div class="entry comments-enabled"><h1>T</h1>{p}{p}</div>', ["T", SAID, SAID]),
+        ('<div id="page" class="ad-supported"><article><h1>T</h1>{p}{p}</article></div>', ["T", SAID, SAID]),
+        ('<div class="comments"><div><h1>T</h1>{p}{p}</div></div>', ["T", SAID, SAID]),
+        ('<main><h1>T</h1>{p}<section class="notice-period"><h2>N</h2>{p}</section>{p}</main>', ["T", SAID, "N", SAID, SAID]),
+        ("<article><h1>T</h1>{p}{p}<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul></article>", ["T", SAID, SAID, "One", "Two", "Three"]),
+        ('<article><h1>T</h1>{p}</article><div class="comments">{p}{p}{p}{p}</div>', ["T", SAID]),
+        ('<main><h1>T</h1>{p}<div class="comment-list">{p}{p}{p}</div><div class="cookie-notice">{p}</div></main>', ["T", SAID]),
+        ('<div><h1>T</h1>{p}{p}</div><div class="x"><a href=a>Home</a> <a href=b>About us</a></div>', ["T", SAID, SAID]),
+    ],
+)
+def test_html_names_yield_to_content(page, expected):
+    assert html_text.main_text(f"<body>{page.format(p=PARAGRAPH)}</body>").split("\n\n") == expected
+
+
+def test_html_ratios_decide_on_pages_without_article_tags(monkeypatch):
+    page = f"<body><div class=a><div><a href=x>Home</a></div><div><a href=y>News</a></div></div><div class=b><h1>T</h1>{PARAGRAPH * 4}</div><div class=c><div>Share</div><div>Print</div></div></body>"
+    with_ratios = html_text.main_text(page)
+    assert with_ratios.split("\n\n") == ["T", *[SAID] * 4]
+    monkeypatch.setattr(html_text, "content", lambda found: [True] * len(found))
+    assert html_text.main_text(page) != with_ratios
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a, b.</p>"), (1, "<p>a, b.</p>"), (None, "<p>" + "x, y. " * 200_000 + "</p>")], "page_id long, html string")
     assert sorted(r.n_chars for r in html_text.extract_text(pages).collect()) == [5, 5, 1_199_999]
@@ -260,11 +289,23 @@ def test_language_prediction_by_plain_loops_and_rejection(spark):
     z = [(a / n + b) / model.temperature for a, b in zip(z, model.bias, strict=True)]
     p = [np.exp(a - max(z)) for a in z]
     name, score, accepted = model.predict(text)
-    assert name == model.languages[int(np.argmax(p))] and score == pytest.approx(max(p) / sum(p), rel=1e-4) and accepted == (score >= model.threshold)
+    assert name == model.languages[int(np.argmax(p))] and score == pytest.approx(max(p) / sum(p), rel=1e-4) and accepted == (score >= model.thresholds[np.searchsorted(language.LENGTHS, n, 'right')])
     rng = random.Random(1)
     greek = " ".join("".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(6)) for _ in range(80))
     noise = " ".join("".join(rng.choice("qxzjwkvy") for _ in range(7)) for _ in range(80))
     assert not model.predict(greek)[2] and not model.predict(noise)[2]
+    # Shorter texts of random letters or other scripts, against beginnings of real ones.
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(20)) for _ in range(100)]
+    assert sum(model.predict(x)[2] for x in junk) < 25
+    assert not model.predict("Это русский текст о погоде")[2] and not model.predict("これは日本語の文章です")[2]
+    real = [" ".join(r.text.split()[:20]) for r in docs.where(language.held_out()).where("length(text) > 200").collect()]
+    assert sum(not model.predict(x)[2] for x in real) <= 0.02 * len(real)
+
+
+def test_language_sample_is_the_same_however_rows_lie(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    models = [language.train(docs.union(docs.limit(50)).repartition(n)) for n in (1, 5)]
+    assert np.array_equal(models[0].scores, models[1].scores) and np.array_equal(models[0].thresholds, models[1].thresholds)
 
 
 def test_language_names_and_repeats(spark):
@@ -297,6 +338,21 @@ def test_mixing_targets(spark, odd, empty):
     assert copies == +expected
 
 
+def test_mixing_splits_rows_without_ids_and_alike_rows(spark):
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+
+    big = [(k, "w " * 100, "b") for k in range(100)]
+    # Rows without an id are told apart by their texts, alike rows are counted off.
+    for rows in ([(None, f"{k} " + "w " * 49, "a") for k in range(100)], [(None, "w " * 50, "a")] * 100, [(7, "w " * 50, "a")] * 100):
+        found = mixing.mix_sources(frame(big + rows)).where("source = 'a'").collect()
+        target = found[0].target
+        assert len(found) == 100 and abs(sum(r.taken for r in found) - target) <= 50 and all(r.taken <= 150 for r in found)
+        again = mixing.mix_sources(frame(rows[::-1] + big)).where("source = 'a'").collect()
+        assert sorted(r.taken for r in found) == sorted(r.taken for r in again)
+        assert sum(r.source == "a" for r in mixing.mixed_documents(frame(big + rows)).collect()) == sum(r.copies for r in found)
+
+
 def test_secrets_spans_and_masks(spark, odd, empty):
     rows = {r.doc_id: r for r in secrets.scan_secrets(odd.select("doc_id", "text")).withColumn("m", secrets.masked(F.coalesce("text", F.lit("")), F.col("found"))).collect()}
     assert [(x.kind, x.start, x.end) for x in rows[9].found] == [("assign", 17, 36), ("access", 37, 57)]

@@ -40,6 +40,18 @@ def test_rows_that_share_an_id_or_have_none_stay(spark):
     assert sorted(kept, key=str) == sorted(expected, key=str)
 
 
+def test_columns_of_any_type_stay(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base, "en", "s", 1, {"a": 2}, [1]), (1, base, "en", "s", 1, {"a": 1}, None), (2, base, "en", "s", 1, None, [2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>, more array<int>")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, frame, "").columns == frame.columns
+    kept = [corpus_pipeline.keep_one_per_group(spark, frame.repartition(n), "").collect() for n in (1, 3)]
+    assert kept[0] == kept[1] and [(r.doc_id, r.extra) for r in kept[0]] == [(1, {"a": 1})]
+    variant = frame.selectExpr("*", "parse_json('[1]') AS v")
+    assert corpus_pipeline.keep_one_per_group(spark, variant, "").count() == 1
+
+
 def test_run_against_brute_force(spark, tmp_path):
     """Every stage again on the driver, in plain Python; run()'s pieces are the same ones."""
     import re
@@ -105,7 +117,7 @@ def test_run_against_brute_force(spark, tmp_path):
         whole = int(target[s] // of_source[s]) if of_source[s] else 0
         rest = target[s] - whole * of_source[s]
         hashes = {}
-        mine = [(int(__import__("hashlib").md5(str(r["doc_id"]).encode()).hexdigest()[:12], 16), r, n) for r, n in zip(rows, sizes, strict=True) if r["source"] == s]
+        mine = [(int(__import__("hashlib").md5((str(r["doc_id"]) + ":" + __import__("hashlib").md5(r["text"].encode()).hexdigest()).encode()).hexdigest()[:12], 16), r, n) for r, n in zip(rows, sizes, strict=True) if r["source"] == s]
         for h, _, n in mine:
             hashes[h] = hashes.get(h, 0) + n
         before, edge, edge_in = 0, 1 << 48, False
