@@ -38,9 +38,9 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = minhash.with_node(docs, node_col=of)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(of) == F.col(node))
     chosen = rows.join(kept, same, "left_semi")
-    # Copies that share the id and the set of a kept row: the first by its columns stays.
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = chosen.groupBy("doc_id", of).agg(F.min(F.struct("text", *others)).alias(row))
+    # Copies that share the id and the set of a kept row: the first by text and the other columns as JSON stays, as not all types have an order.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    one = chosen.groupBy("doc_id", of).agg(F.min_by(F.struct("text", *others), F.struct("text", F.to_json(F.struct(*others)) if others else F.lit(""))).alias(row))
     one = one.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
     return one.union(rows.where(F.col(of).isNull()).select(*docs.columns))
 
