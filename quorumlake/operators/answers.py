@@ -76,6 +76,34 @@ def gazetteer(texts: DataFrame, names: DataFrame, most_words: int = 3) -> DataFr
     return parts.join(known, "gram").groupBy("id", "name").agg(F.min("pos").alias("first"))
 
 
+#: How names of streets and places end.
+STREET_END = r"(?:straße|strasse|gasse|weg|platz|allee|kai|gürtel|ring|park|steg|brücke|siedlung|promenade)"
+
+
+def street_names(texts: DataFrame, names: DataFrame, most_words: int = 5) -> DataFrame:
+    """(id, name, first): names (name) of up to most_words words that texts (id, text) hold, with the first word's place.
+
+    Words of a text meet names by their first word; then the words that follow
+    are compared. A list of street names joined by hyphens is also taken apart:
+    each of its parts may be a name by itself or behind the word before the list,
+    which such lists don't repeat.
+    """
+    joined = F.regexp_replace(text.squeeze(F.col("text")), rf"(?iu)\b([\p{{L}}.]+{STREET_END})\s*[-–]\s*(?=[\p{{L}}])", "$1-")
+    bare = lambda w: text.street_name(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    words = texts.select("id", F.transform(F.split(joined, " "), bare).alias("words"))
+    known = names.select(text.street_name(F.col("name")).alias("name")).where("name <> ''").distinct().withColumn("parts", F.split("name", " ")).where(F.size("parts") <= most_words)
+    known = known.select("name", F.size("parts").alias("n"), F.col("parts")[0].alias("word"))
+    each = words.select("id", "words", F.posexplode("words").alias("pos", "word")).where("word <> ''")
+    following = each.select("id", "pos", "word", F.slice("words", F.col("pos") + 1, F.lit(most_words)).alias("next"))
+    direct = following.join(known, "word").where(F.array_join(F.slice("next", F.lit(1), F.col("n")), " ") == F.col("name")).select("id", "name", "pos")
+    listed = each.where(F.rlike("word", F.lit(rf"{STREET_END}[-–].*{STREET_END}$")))
+    before = F.when(F.col("pos") > 0, F.element_at("words", F.col("pos"))).otherwise("")
+    parts = listed.select("id", "pos", before.alias("before"), F.explode(F.split("word", "[-–]")).alias("part")).where("part <> ''")
+    tried = F.array_distinct(F.array(F.col("part"), F.trim(F.concat_ws(" ", "before", "part"))))
+    apart = parts.select("id", "pos", F.explode(tried).alias("name")).join(known.select("name"), "name").select("id", "name", "pos")
+    return direct.unionByName(apart).groupBy("id", "name").agg((F.min("pos") + 1).alias("first"))
+
+
 def by_priority(sides: list[DataFrame], key: str) -> DataFrame:
     """The rows of the first side that has a key; within a side, the smallest row."""
     rows = None

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import dates, text
+from quorumlake.storage import stored
 
 ANCHOR = r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
@@ -118,3 +119,30 @@ def meeting_links(pages: DataFrame, most: int) -> DataFrame:
     found = anchors(pages).where(F.rlike("label", F.lit(r"(?i)^[0-9]+\. *Gemeinderatssitzung")))
     rows = found.select(F.col("href").alias("url"), F.regexp_extract("label", r"^([0-9]+)", 1).cast("int").alias("number"), dates.from_german(F.col("label")).alias("date"))
     return rows.groupBy("url").agg(F.min("number").alias("number"), F.min("date").alias("date")).orderBy(F.col("date").desc(), "url").limit(most)
+
+
+def crawl_within(pages: DataFrame, links: DataFrame, start: DataFrame, budget: int) -> DataFrame:
+    """(place, url, depth, error): the first pages that a walk visits over stored links, in its order, no more than budget.
+
+    pages has url and readable; links has url, pos and target; start has url and
+    pos. Pages are visited breadth-first: by the place of the page that first
+    links to them, then by the link's place on it. A page that isn't stored or
+    can't be read counts as visited, with its error, and leads nowhere. Each
+    round takes no more pages than the budget has left, of the whole frontier.
+    """
+    state = start.groupBy("url").agg(F.min("pos").alias("pos")).withColumn("parent", F.lit(0))
+    seen, used, depth = None, 0, 0
+    while used < budget:
+        # At most what is left of the budget is numbered.
+        first = state.orderBy("parent", "pos", "url").limit(budget - used)
+        numbered = first.withColumn("place", F.row_number().over(Window.orderBy("parent", "pos", "url")) + used)
+        known = numbered.join(pages.select("url", "readable"), "url", "left")
+        error = F.when(F.col("readable").isNull(), "not stored").when(~F.col("readable"), "not readable")
+        visited = stored(known.select(F.col("place").cast("int").alias("place"), "url", F.lit(depth).alias("depth"), error.alias("error")), "crawl")
+        n = visited.count()
+        if not n:
+            break
+        seen, used, depth = visited if seen is None else seen.union(visited), used + n, depth + 1
+        found = visited.where("error IS NULL").join(links, "url").groupBy(F.col("target").alias("url")).agg(F.min(F.struct(F.col("place").alias("parent"), "pos")).alias("at"))
+        state = found.join(seen.select("url"), "url", "left_anti").select("url", "at.pos", "at.parent")
+    return seen if seen is not None else pages.sparkSession.createDataFrame([], "place int, url string, depth int, error string")
