@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.functions import extract
+from quorumlake.functions import extract, text
 
 #: Headings that begin a section.
 SECTIONS = {
@@ -128,3 +128,84 @@ def within_budget(rows: DataFrame, keys: list[str], order: str, size: Column, mo
     """The leading rows whose sizes before them add up to less than most."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("__used", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("__used") < most).drop("__used")
+
+
+#: Labels of an entry's metadata.
+ENTRY_LABELS = (
+    "antragsteller:in(nen)",
+    "antragsteller:innen",
+    "antragsteller:in",
+    "antragsteller",
+    "berichterstatter:innen",
+    "berichterstatter:in",
+    "berichterstatterin",
+    "berichterstatter",
+    "bearbeiter:in",
+    "bearbeiterin",
+    "bearbeiter",
+    "regierungsmitglied(er)",
+    "regierungsmitglied",
+    "fragesteller:in",
+    "fragesteller",
+    "geschäftszahl(en)",
+    "geschaeftszahl(en)",
+    "dienststelle(n)",
+    "dienststelle",
+    "vorberatendes organ",
+    "freigaben / unterschriften",
+    "kompetenztatbestand",
+    "erhöhte mehrheiten",
+    "erhoehte mehrheiten",
+    "einlagezahl",
+    "materialien",
+    "anlagen",
+    "fraktion",
+    "datum",
+    "ez/oz",
+    "betr",
+    "betreff",
+)
+#: Lines that name what an entry is.
+ENTRY_TYPE = (
+    r"(?iu)^(?:Anfrage\s+an\s+Bürgermeister:in|Selbständiger\s+Antrag|Dringlicher\s+Antrag|Mitteilung\s+an\s+den\s+Gemeinderat|Mitteilung\s+von\s+Bürgermeister:in|"
+    r"Bericht\s+an\s+den\s+Gemeinderat|Frage\s+für\s+die\s+Fragestunde|Fragestunde|Tagesordnungspunkt|Abänderungsantrag|Abaenderungsantrag|Zusatzantrag)\b"
+)
+#: What a label says, by how it begins.
+ENTRY_FIELDS = {"betr": "title", "antragsteller": "submitter", "fragesteller": "submitter", "berichterstatter": "reporter", "bearbeiter": "editor", "regierungsmitglied": "addressee"}
+
+
+def entry_metadata(lines: DataFrame) -> DataFrame:
+    """(source, title, submitter, reporter, editor, addressee) of entries' lines (source, line_no, line).
+
+    A label may stand alone, with its value on the next line that isn't blank,
+    or before it. A subject goes on over all lines up to the next label or name
+    of a type; of the others the first one with a value counts. Empty strings where
+    there is none; every source with a line has a row.
+    """
+    plain = F.regexp_replace(text.squeeze(F.replace("line", F.lit("​"), F.lit(""))), "^[ ,]+|[ ,]+$", "")
+    rows = lines.select("source", "line_no", plain.alias("line"))
+    shown = rows.where("line <> ''")
+    quoted = "|".join(label.replace("(", r"\(").replace(")", r"\)") for label in sorted(ENTRY_LABELS, key=len, reverse=True))
+    pattern = rf"(?iu)^({quoted})(?::\s*(.*))?$"
+    label = F.lower(F.regexp_extract("line", pattern, 1))
+    head = (label != "") | F.rlike("line", F.lit(ENTRY_TYPE))
+    window = Window.partitionBy("source").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = shown.withColumns({"head": head, "label": label}).withColumn("run", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(window)).where("run > 0")
+    named = F.max(F.when(F.col("head"), F.col("label")))
+    own = F.max(F.when(F.col("head") & (F.col("label") != ""), F.trim(F.regexp_extract("line", pattern, 2))))
+    rest = F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))), lambda x: x["line"])
+    runs = marked.groupBy("source", "run").agg(named.alias("label"), F.coalesce(own, F.lit("")).alias("own"), rest.alias("rest"))
+    field = F.lit(None).cast("string")
+    for begin, name in ENTRY_FIELDS.items():
+        field = F.when(F.startswith("label", F.lit(begin)), name).otherwise(field)
+    said = F.when(F.col("field") == "title", F.array_join(F.filter(F.concat(F.array("own"), F.col("rest")), lambda x: x != ""), " ")).when(F.col("own") != "", F.col("own")).otherwise(F.coalesce(F.try_element_at("rest", F.lit(1)), F.lit("")))
+    found = runs.withColumn("field", field).where("field IS NOT NULL").withColumn("said", F.regexp_replace(said, "^[ ,;]+|[ ,;]+$", "")).where("said <> ''")
+    # A person's line that holds another label's colon is no person.
+    found = found.where((F.col("field") == "title") | ~F.contains("said", F.lit(":")))
+    values = found.groupBy("source").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == "title", F.struct("run", "said")))), lambda x: x["said"]), " ").alias("title"),
+        *[F.min_by(F.when(F.col("field") == name, F.col("said")), F.when(F.col("field") == name, F.col("run"))).alias(name) for name in ("submitter", "reporter", "editor", "addressee")],
+    )
+    all_rows = rows.select("source").distinct().join(values, "source", "left")
+    prefixed = {"reporter": "Berichterstatterin: ", "editor": "Bearbeiterin: "}
+    return all_rows.select("source", *[F.coalesce(F.concat(F.lit(prefixed.get(c, "")), c), F.lit("")).alias(c) for c in ("title", "submitter", "reporter", "editor", "addressee")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorumlake.operators import turns
+from quorumlake.operators import segment, turns
 from quorumlake.plans import inputs
 from quorumlake.plans.queries import RAW, query
 
@@ -56,3 +56,31 @@ UNION ALL SELECT date, CAST(id * 20 + 7 AS BIGINT), 'Bgm. Mag. Nagl: ' || result
 )
 def x6_written_questions(s, d):
     return turns.written_questions(s.sql(WRITTEN, raw=inputs.raw_records(s, d))).drop("page")
+
+
+#: An entry's lines: subjects on one line or several, people beside their label or below it, labels without a value.
+ENTRIES = """
+SELECT record_id AS source, 1 AS line_no, CASE WHEN id % 3 = 0 THEN 'Betreff:' ELSE 'Betreff: ' || subject END AS line FROM {raw}
+UNION ALL SELECT record_id, 2, subject || ',' FROM {raw} WHERE id % 3 = 0
+UNION ALL SELECT record_id, 3, '  ' FROM {raw}
+UNION ALL SELECT record_id, 4, 'zweiter Teil' FROM {raw} WHERE id % 3 <> 2
+UNION ALL SELECT record_id, 5, 'Dringlicher Antrag an den Gemeinderat' FROM {raw} WHERE id % 5 = 0
+UNION ALL SELECT record_id, 6, 'kein Teil des Betreffs' FROM {raw} WHERE id % 5 = 0
+UNION ALL SELECT record_id, 7, 'Antragsteller:in(nen):' FROM {raw}
+UNION ALL SELECT record_id, 8, person FROM {raw} WHERE id % 4 <> 0
+UNION ALL SELECT record_id, 9, 'Datum: ' || date FROM {raw}
+UNION ALL SELECT record_id, 10, 'Fragesteller: ' || person || ' jun.' FROM {raw} WHERE id % 2 = 0
+UNION ALL SELECT record_id, 11, 'Berichterstatterin' FROM {raw}
+UNION ALL SELECT record_id, 12, '' FROM {raw}
+UNION ALL SELECT record_id, 13, 'StR. Muster' FROM {raw}
+UNION ALL SELECT record_id, 14, 'BEARBEITER: ' || segment FROM {raw} WHERE id % 7 = 0
+UNION ALL SELECT record_id, 15, 'Regierungsmitglied(er): Bgm. Beispiel' FROM {raw} WHERE id % 6 = 0
+"""
+
+
+@query(
+    f"""SELECT record_id AS source, CASE WHEN id % 3 = 2 THEN subject ELSE subject || ' zweiter Teil' END AS title, CASE WHEN id % 4 <> 0 THEN person ELSE person || ' jun.' END AS submitter,
+      'Berichterstatterin: StR. Muster' AS reporter, CASE WHEN id % 7 = 0 THEN 'Bearbeiterin: ' || segment ELSE '' END AS editor, CASE WHEN id % 6 = 0 THEN 'Bgm. Beispiel' ELSE '' END AS addressee FROM {RAW}"""
+)
+def x11_entry_metadata(s, d):
+    return segment.entry_metadata(s.sql(ENTRIES, raw=inputs.raw_records(s, d)))

@@ -859,9 +859,9 @@ def k9_feeds(s, d):
     return r.select("record_id", quality.rss_item(c("title"), c("url"), c("date"), c("result_text")).alias("rss"), quality.ics_event(c("record_id"), c("date"), c("title")).alias("ics"), quality.csv_line(c("record_id"), c("title"), c("date")).alias("csv"))
 
 
-@query(f"WITH c AS (SELECT status, count(*) AS n FROM {REC} GROUP BY status) SELECT 'status' AS part, '- ' || status || ': ' || n AS line FROM c")
+@query(f"SELECT part, '- ' || key || ': ' || n AS line FROM ({ORACLE_SQL['a2_audit']})")
 def k5_report(s, d):
-    return quality.markdown(quality.audit(inputs.records(s, d)).where("part = 'status'"))
+    return quality.markdown(quality.audit(inputs.records(s, d)))
 
 
 @query(f"SELECT DISTINCT date FROM {RAW} WHERE id % 3 = 0 AND date NOT IN (SELECT date FROM {RAW} WHERE id % 3 <> 0)")

@@ -423,9 +423,9 @@ def s17_cached_scan(s, d):
     return count(held, "snapshot").unionByName(count(fresh, "source"))
 
 
-@query(f"SELECT 'total' AS key, count(*)::VARCHAR AS value FROM {RAW} UNION ALL SELECT 'type:' || kind, count(*)::VARCHAR FROM {RAW} GROUP BY kind UNION ALL SELECT 'section:' || CASE WHEN section = '' THEN 'unknown' ELSE section END, count(*)::VARCHAR FROM {RAW} GROUP BY ALL")
+@query(f"SELECT 'total' AS key, count(*)::VARCHAR AS value FROM {RAW} UNION ALL SELECT 'type:' || kind, count(*)::VARCHAR FROM {RAW} GROUP BY kind UNION ALL SELECT 'section:' || CASE WHEN section = '' THEN 'unknown' ELSE section END, count(*)::VARCHAR FROM {RAW} GROUP BY ALL UNION ALL SELECT 'status:' || status, count(*)::VARCHAR FROM {REC} GROUP BY status UNION ALL SELECT 'file:' || source_file, count(*)::VARCHAR FROM {RAW} GROUP BY source_file")
 def k2_summary_pairs(s, d):
-    return sinks.summary_pairs(facets.summary(inputs.records(s, d))).where("NOT (startswith(key, 'file:') OR startswith(key, 'status:'))")
+    return sinks.summary_pairs(facets.summary(inputs.records(s, d)))
 
 
 @query(f"""SELECT record_id, '{{"generated_at":"{TODAY}","record_id":"' || record_id || '","date":"' || date || '","item_no":' || item_no || '}}' AS line FROM {RAW}""")

@@ -2,7 +2,7 @@
 
 import random
 
-from quorumlake.operators import turns
+from quorumlake.operators import segment, turns
 
 
 def lines(spark, *said):
@@ -158,3 +158,23 @@ def test_motions_in_pieces_equal_motions_of_whole_files(spark, monkeypatch):
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "source string, line_no int, line string")
     assert turns.question_hours(empty).count() == turns.written_questions(empty).count() == turns.motion_blocks(empty).count() == 0
+
+
+def metadata(spark, *said):
+    return segment.entry_metadata(lines(spark, *said)).first()
+
+
+def test_values_beside_and_below_labels(spark):
+    got = metadata(
+        spark, "A 8 - 123/2024", "Betreff:", "Sanierung der", "  Beispielstraße,", "2. Bauabschnitt", "Antragsteller:in(nen): GRin Muster", "GR Zweiter", "Berichterstatterin", "", "StRin Beispiel", "Bearbeiter:", "Datum: 1.2.2024", "Regierungsmitglied(er): Bgm.in Elke"
+    )
+    assert tuple(got)[1:] == ("Sanierung der Beispielstraße 2. Bauabschnitt", "GRin Muster", "Berichterstatterin: StRin Beispiel", "", "Bgm.in Elke")
+
+
+def test_types_and_labels_end_a_subject(spark):
+    got = metadata(spark, "Betr: Eins", "Selbständiger Antrag", "nicht dabei", "Betreff: Zwei", "und drei", "Fragesteller:in", "Dienststelle: A10", "Fragesteller:in: GR Später", "Betreffend nichts")
+    assert (got.title, got.submitter) == ("Eins Zwei und drei", "GR Später")
+
+
+def test_an_entry_without_labels_has_an_empty_row(spark):
+    assert tuple(metadata(spark, "nur Text", "Anlagen"))[1:] == ("",) * 5
