@@ -145,7 +145,7 @@ def _gram_index(titles: DataFrame, least: float) -> DataFrame:
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))
     )
     # The shortest partner has least / (2 - least) of the title's length.
-    shared = F.ceil((1.5 * least - 1) * F.length("title") * (1 + least / (2 - least)) - 1)
+    shared = F.ceil((1.5 * least - 1) * F.length("title") * (1 + least / (2 - least)) - 1 - 1e-9)
     return ordered.withColumn("prefix", F.greatest(F.lit(1), F.least(F.size("grams"), F.size("grams") - shared + 1)).cast("int"))
 
 
@@ -167,12 +167,13 @@ def near_title_pairs(left: DataFrame, right: DataFrame, block: list[str], least:
         return rows.select(*block, F.col("title").alias(name), F.col("grams").alias(f"{name}_grams"), F.col("prefix").alias(f"{name}_prefix"), F.col("letters").alias(f"{name}_letters"))
 
     a, b = side(True, "a"), side(False, "b")
-    # Titles of up to five characters together may share single letters only.
-    keys = lambda n: F.concat(F.slice(f"{n}_grams", F.lit(1), F.col(f"{n}_prefix")), F.when(F.length(n) <= 4, F.split(F.col(n), "")).otherwise(F.array().cast("array<string>")))
+    # Two titles of no more characters together may share single letters only.
+    short = int(1 / (1.5 * least - 1) + 1e-9)
+    keys = lambda n: F.concat(F.slice(f"{n}_grams", F.lit(1), F.col(f"{n}_prefix")), F.when(F.length(n) < short, F.split(F.col(n), "")).otherwise(F.array().cast("array<string>")))
     met = a.select(*block, "a", F.explode(F.array_distinct(keys("a"))).alias("key")).join(b.select(*block, "b", F.explode(F.array_distinct(keys("b"))).alias("key")), [*block, "key"])
     near = met.select(*block, "a", "b").distinct().join(a, [*block, "a"]).join(b, [*block, "b"])
     size = F.length("a") + F.length("b")
-    alike = (2 * F.least(F.length("a"), F.length("b")) >= least * size) & (F.size(F.array_intersect("a_grams", "b_grams")) >= (1.5 * least - 1) * size - 1)
+    alike = (2 * F.least(F.length("a"), F.length("b")) >= least * size - 1e-9) & (F.size(F.array_intersect("a_grams", "b_grams")) >= (1.5 * least - 1) * size - 1 - 1e-9)
     near = near.where(alike & (ratio_bound(F.col("a_letters"), F.col("b_letters")) >= least)).select(*block, "a", "b")
     # What isn't matched is taken out or put in, so that an edit distance is no longer.
     near = near.where(F.levenshtein("a", "b") <= (1 - least) * size + 1e-9)
