@@ -186,7 +186,8 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has the digest of the empty text. known (license, text)
     adds licences, whose names come first; texts that are null or have no word add
-    none. The library's own table is fixed and short, so it is broadcast.
+    none. The library's own table is fixed and short, so it is broadcast. Equal
+    texts and repeated rows get equal results; no rows give no rows.
     """
     digests = documents.select(F.col(id_col), F.sha2(canonical(F.col(text_col).cast("string")), 256).alias("digest"))
     found = digests.join(F.broadcast(known_digests(documents.sparkSession)), "digest", "left")

@@ -302,7 +302,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null or wordless texts have an empty set and are their own component. Rows
     with equal sets share a component; component_id is its smallest id, nulls
-    aside. A repeated row gives a repeated result. Other columns play no part.
+    aside. A repeated row gives a repeated result. Texts are read whole, however
+    long; no rows give no rows. Other columns play no part, whatever their names.
     """
     of_rows = components_of_rows(documents, id_col, text_col)
     return of_rows.select(

@@ -194,7 +194,10 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v, dim): components floor(64 x); vectors that are null or hold null or non-finite components are left out."""
+    """(vec_id, v, dim): components floor(64 x); vectors without an id, that are null, or that hold null or non-finite components are left out.
+
+    Other columns play no part, whatever their names.
+    """
     parts = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     sound = ~F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return (

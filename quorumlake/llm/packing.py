@@ -340,5 +340,10 @@ def pack(pieces: DataFrame) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their sequence and place."""
+    """Pieces of all documents with their sequence and place.
+
+    A document's ids end with END_ID; a null or empty text has that alone.
+    Repeated rows are packed each, rows without an id too; texts are tokenised
+    whole, however long. No rows give no rows. Other columns play no part.
+    """
     return pack(materialise(token_pieces(documents, tokenizer_path, id_col, text_col), "op10-pieces")).withColumnRenamed("id", id_col)

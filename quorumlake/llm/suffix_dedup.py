@@ -331,6 +331,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text is empty; a text of fewer than LENGTH bytes keeps all. Repeated
     rows and copies, of any number, lose all that their LENGTH-byte strings cover.
+    No rows give no rows. Other columns play no part, whatever their names.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = docs.withColumn("t", _text_key(F.col("text")))

@@ -623,3 +623,20 @@ def test_tree_merge_is_nearly_as_good_as_one_best_fit(spark, partitions, low, hi
     alone = len(packing.best_fit(np.array([r.length for r in rows]))[2])
     assert len(by_sequence) <= 1.01 * alone + 1
     assert len(rows) == 3000 == len({r.id for r in rows})
+
+
+def test_rows_that_earlier_operators_state(spark, odd, empty):
+    assert minhash.near_duplicates(empty).count() == suffix_dedup.remove_repeats(empty).count() == licenses.scan_licenses(empty).count() == packing.pack_documents(empty).count() == 0
+    assert suffix_dedup.remove_repeats(odd).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    twice = licenses.scan_licenses(odd.unionByName(odd)).groupBy("doc_id", "digest", "license").count().collect()
+    assert all(r["count"] % 2 == 0 for r in twice)
+
+
+def test_vectors_without_ids_and_further_columns(spark):
+    schema = "vec_id long, embedding array<double>, v string, dim string, shard int, score double"
+    rows = [(k, [float(k), 1.0], "x", "y", 1, 0.5) for k in range(30)] + [(None, [99.0, 1.0], None, None, None, None), (40, None, None, None, None, None), (41, [None, 1.0], None, None, None, None), (42, [float("nan"), 1.0], None, None, None, None)]
+    vectors = mtree.whole_vectors(spark.createDataFrame(rows, schema))
+    assert vectors.count() == 30
+    got = mtree.top_inner_products(vectors, vectors.where("vec_id = 3")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [k for k in range(29, 8, -1)][:20] and got[0].score == 64 * 29 * 64 * 3 + 64 * 64
+    assert mtree.top_inner_products(vectors.where("false"), vectors.where("false")).count() == 0
