@@ -149,6 +149,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "kind", "keys", "times"])
 
 
+def _views(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of each list, without a copy."""
+    out = []
+    for chunk in lists.chunks:
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
+
+
 def _thresholds(p: np.ndarray, right: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each range of LENGTHS the probability from which a text is accepted.
 
@@ -185,56 +194,61 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     chosen = rows.select("lang", "key").join(sizes, "lang").where(share < SAMPLE_PER_LANGUAGE).groupBy("lang", "key").agg(F.min(share).alias("share"))
     chosen = materialise(chosen.orderBy("share", "lang", "key").limit(SAMPLE_MOST).select("lang", "key"), "op2-sample")
     sample = rows.join(F.broadcast(chosen), ["lang", "key"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
-    got = sample.mapInArrow(_count, "key long, lang string, kind int, keys array<int>, times array<int>").toArrow().combine_chunks()
-    got = got.filter(pc.greater(pc.list_value_length(got["keys"]), 0)).sort_by([("lang", "ascending"), ("key", "ascending"), ("kind", "ascending")]).combine_chunks()
-    texts_lang, kind = got["lang"].to_pylist(), got["kind"].to_numpy()
+    got = sample.mapInArrow(_count, "key long, lang string, kind int, keys array<int>, times array<int>").toArrow()
+    # The histograms stay where they arrived, only their order is made.
+    order = pc.sort_indices(got.select(["lang", "key", "kind"]), sort_keys=[("lang", "ascending"), ("key", "ascending"), ("kind", "ascending")]).to_numpy()
+    keys_all, times_all = (_views(got[name]) for name in ("keys", "times"))
+    order = [i for i in order.tolist() if len(keys_all[i])]
+    lang_all, key_all, kind_all = (got[name].to_pylist() for name in ("lang", "key", "kind"))
+    texts_lang, text_key, kind = [lang_all[i] for i in order], [key_all[i] for i in order], np.array([kind_all[i] for i in order], int)
+    keys, times = [keys_all[i] for i in order], [times_all[i] for i in order]
     languages = tuple(sorted(set(texts_lang)))
     if not languages:
         return Model((), np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, np.zeros(len(LENGTHS) + 1))
-
-    def parts(name: str) -> list[np.ndarray]:
-        held = got[name].chunk(0)
-        ends, values = held.offsets.to_numpy(), held.values.to_numpy()
-        return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    keys, times = parts("keys"), parts("times")
     y_all = np.searchsorted(languages, texts_lang)
     sizes_all = np.array([int(t.sum()) for t in times])
     whole = np.flatnonzero(kind == WHOLE)
     y = y_all[whole]
-    docs = [(keys[i], times[i] / sizes_all[i]) for i in whole]
+
+    def shares(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a whole text and their shares of it."""
+        return keys[whole[i]], times[whole[i]] / sizes_all[whole[i]]
+
     rng = np.random.default_rng(_SEED)
-    held = rng.random(len(docs)) < 0.25
+    held = rng.random(len(whole)) < 0.25
     if held.all() or not held.any():
-        held = np.zeros(len(docs), bool)
+        held = np.zeros(len(whole), bool)
     table = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
     weights, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
     learn = np.flatnonzero(~held)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for part in np.array_split(rng.permutation(learn), max(1, len(learn) // BATCH)):
-            means = np.array([docs[i][1] @ table[docs[i][0]] for i in part])
+            docs = [shares(i) for i in part]
+            means = np.array([share @ table[k] for k, share in docs])
             slope = _softmax(means @ weights + bias)
             slope[np.arange(len(part)), y[part]] -= 1
             slope /= len(part)
             back = slope @ weights.T
             weights -= rate * (means.T @ slope)
             bias -= 0.1 * rate * slope.sum(axis=0)
-            for i, g in zip(part, back, strict=True):
-                table[docs[i][0]] -= rate * docs[i][1][:, None] * g
+            for (k, share), g in zip(docs, back, strict=True):
+                table[k] -= rate * share[:, None] * g
     scores = table @ weights
     check = np.flatnonzero(held) if held.any() else learn
-    z = np.array([docs[i][1] @ scores[docs[i][0]] + bias for i in check])
+    z = np.array([share @ scores[k] + bias for k, share in map(shares, check)])
     # Smoothed targets, as in Platt's scaling: a sample without errors gives no boundless confidence.
     slip = 1 / (len(check) + 2)
     goal = np.full(z.shape, slip / max(1, len(languages) - 1))
     goal[np.arange(len(check)), y[check]] = 1 - slip
     temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -(goal * np.log(np.maximum(_softmax(z / t), 1e-12))).sum(axis=1).mean())
     # Texts of held rows, their beginnings, and the random ones made of these.
-    checked = {(texts_lang[whole[i]], k) for i, k in zip(check, got["key"].to_numpy()[whole[check]].tolist(), strict=True)}
-    rest = [i for i, key in enumerate(zip(texts_lang, got["key"].to_pylist(), strict=True)) if key in checked]
+    checked = {(texts_lang[whole[i]], k) for i, k in zip(check, [text_key[k] for k in whole[check]], strict=True)}
+    rest = [i for i, key in enumerate(zip(texts_lang, text_key, strict=True)) if key in checked]
     p = _softmax(np.array([(times[i] / sizes_all[i]) @ scores[keys[i]] + bias for i in rest]) / temperature)
     thresholds = _thresholds(p, p.argmax(axis=1) == y_all[rest], kind[rest], sizes_all[rest])
+    del got, keys, times, keys_all, times_all
+    pa.default_memory_pool().release_unused()
     return Model(languages, scores.astype(np.float32), bias, float(temperature), thresholds)
 
 
