@@ -326,7 +326,14 @@ def w9_first_ranks(s, d):
     return base.e1_search_cases(s, d).select("query_id", "first_rank")
 
 
-@query(f"SELECT record_id, unnest(['titel', 'ergebnis', 'geschaeftszahlen', 'orte']) AS field, len(list_distinct(regexp_extract_all({fold_sql('unnest([title, result_text, array_to_string(numbers, chr(32)), array_to_string(places, chr(32))])')}, '[\\p{{L}}\\p{{N}}]+', 0))) AS terms FROM {REC}".replace("SELECT record_id, unnest", "SELECT record_id, field, terms FROM (SELECT record_id, unnest", 1) + ") WHERE terms > 0")
+_INDEXED = " UNION ALL ".join(f"SELECT record_id, '{name}' AS field, {value} AS t FROM r" for name, value in {"titel": "title", "ergebnis": "result_text", "geschaeftszahlen": "array_to_string(numbers, ' ')", "orte": "array_to_string(places, ' ')"}.items())
+
+
+@query(
+    f"""WITH r AS MATERIALIZED (SELECT * FROM {REC}), x AS ({_INDEXED}),
+    n AS (SELECT record_id, field, len(list_distinct(list_concat(regexp_extract_all(strip_accents(lower(t)), '[\\p{{L}}\\p{{N}}]+', 0), regexp_extract_all(strip_accents({fold_sql('t')}), '[\\p{{L}}\\p{{N}}]+', 0)))) AS terms FROM x)
+    SELECT * FROM n WHERE terms > 0"""
+)
 def q3_record_index(s, d):
     r = inputs.records(s, d)
     fields = {"titel": F.col("title"), "ergebnis": F.col("result_text"), "geschaeftszahlen": F.array_join("numbers", " "), "orte": F.array_join("places", " ")}
