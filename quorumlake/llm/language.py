@@ -181,12 +181,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Rows are taken by a hash of id (null as an empty one) and text, so reruns
     agree; of rows with the same id, text and language one teaches. Null and
     empty texts teach nothing. Without labelled rows the model knows no language
-    and predicts und. The driver holds the sampled rows' histograms: at most
+    and predicts und; of more than SAMPLE_MOST languages the most frequent are
+    learnt. The driver holds the sampled rows' histograms: at most
     SAMPLE_MOST of them, with no more buckets than the table has.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
     rows = rows.select("lang", "text", F.xxhash64(F.coalesce("id", F.lit("")), "text", F.lit(_SEED)).alias("key"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # No more languages than rows can be learnt, so that their counts are bounded too.
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE_MOST))
     dice = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
     # Keys are chosen first, so that only the chosen rows' texts leave their scan; the choice is bounded, so it is broadcast.
     # A row's share is its place within its language, so that the limit takes as much from each.
