@@ -7,12 +7,15 @@ token fits if it ends there and the merges would not have joined anything across
 the border to the last token of the prefix before it. Counts are stored as
 differences, one for each character. How long a prefix fits into a budget, or
 how many tokens a prefix has, is then read from the table; nothing is encoded again.
+
+The words of many texts are cut into pieces at once, and the table is filled for all
+distinct pieces together, one place after the other. Long pieces, and words in which
+characters act on each other, are filled one by one.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -30,13 +33,14 @@ from .common import free_name, lots, text_bytes, with_text
 
 #: Bytes of text that are counted together.
 LOT_BYTES = 4 << 20
-#: Words and prefixes of words whose counts a process keeps, and their length at most; they change the work only.
+#: Words and prefixes of words (or pairs of tokens) that a process keeps, and the length at most of these and of pieces counted together; they change the work only.
 HELD_WORDS, HELD_PREFIXES, HELD_LENGTH = 500_000, 1_000_000, 48
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NO_RANK = 1 << 60
-#: Pieces of a word by the kinds of its characters: letters, other marks, single digits, white space.
-_PIECES = re.compile("L+|O+|N|W+")
+#: Kinds of characters that are known by themselves: letters, other marks, single digits, white space, and those whose words are counted character by character.
+_L, _O, _N, _BLANK, _ODD = range(1, 6)
+_KINDS = {"L": _L, "O": _O, "N": _N, "": _BLANK}
 #: The letters of contractions after the apostrophe: of one letter, of two, the first of two.
 _ONE, _TWO, _FIRST_OF_TWO = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll"), (b"r", b"v", b"l")
 
@@ -69,11 +73,17 @@ class Merges:
             for k in range(len(w)):
                 self.tails.setdefault(w[k:], (self.open.get(w[k:], -1), self.closing.get(w[k:], -1)))
         self.longest = max(map(len, self.tails), default=0)
+        # The same as a tree read from the last byte on: (state, byte before) and the state that follows, and each state's two tokens.
+        number = {b"": 0} | {w: n for n, w in enumerate(self.tails, 1)}
+        self.steps = pd.Index(np.array([number[w[1:]] << 8 | w[0] for w in self.tails], np.int64))
+        self.ends = np.array([(-1, -1), *self.tails.values()], np.int64).T.copy()
         self.parts: dict[int, tuple[int, int, int] | None] = {}
         self.whole: dict[int, bool] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.apart: dict[int, bool] = {}
+        # What is in apart as far as it was gathered last, with one more for pairs that aren't there.
+        self.pairs, self.pairs_fit = pd.Index(np.zeros(0, np.int64)), np.zeros(1, bool)
         self.forget()
 
     def forget(self) -> None:
@@ -113,6 +123,77 @@ class Merges:
         known = self.apart[before << 32 | token] = self.is_whole(token) and (before < 0 or self.stay_apart(before, token))
         return known
 
+    def all_fit(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """fits() for many tokens."""
+        keys = before << 32 | tokens
+        at = self.pairs.get_indexer(keys)
+        out = self.pairs_fit[at]
+        if (new := np.flatnonzero(at < 0)).size:
+            distinct, which = np.unique(keys[new], return_inverse=True)
+            known = [self.apart.get(k) for k in distinct.tolist()]
+            known = [self.fits(k >> 32, k & 0xFFFFFFFF) if fit is None else fit for k, fit in zip(distinct.tolist(), known, strict=True)]
+            out[new] = np.array(known)[which]
+        return out
+
+    def whole_counts(self, pieces: pa.LargeStringArray) -> pa.LargeListArray:
+        """Of each piece, the tokens that each of its prefixes has as a whole piece, byte by byte."""
+        if len(self.apart) > HELD_PREFIXES:
+            self.apart.clear()
+        if len(self.apart) < len(self.pairs) or len(self.apart) > 1.1 * len(self.pairs):
+            self.pairs, self.pairs_fit = pd.Index(np.fromiter(self.apart, np.int64)), np.fromiter([*self.apart.values(), False], bool)
+        # In order, pieces that share a prefix are neighbours.
+        order = pc.sort_indices(pieces).to_numpy()
+        data, bounds = text_bytes(pieces.take(pa.array(order)))
+        sizes = np.diff(bounds)
+        # By the place of a prefix's last byte, from one on: the first place with the same prefix. There, its last token and its counts as a start and as a whole piece.
+        node, last = np.zeros(len(data) + 1, np.int64), np.full(len(data) + 1, -1)
+        held = np.zeros((2, len(data) + 1), np.int32)
+        rows = np.flatnonzero(sizes <= HELD_LENGTH)
+        for place in range(HELD_LENGTH):
+            rows = rows[sizes[rows] > place]
+            if not len(rows):
+                break
+            here = bounds[rows] + place + 1
+            key = node[here - 1] << 8 | data[here - 1] if place else data[here - 1].astype(np.int64)
+            new = np.append(True, key[1:] != key[:-1])
+            fresh = here[new]
+            node[here] = fresh[np.cumsum(new) - 1]
+            self._end_with(fresh, place + 1, data, node, last, held)
+        for n in np.flatnonzero(sizes > HELD_LENGTH).tolist():
+            if len(self.last) > HELD_PREFIXES:
+                self.forget()
+            run, start, end = Run(self), int(bounds[n]), int(bounds[n + 1])
+            run.push(data[start:end].tobytes())
+            node[start + 1 : end + 1] = np.arange(start + 1, end + 1)
+            held[1, start + 1 : end + 1] = [self.whole_count[k] for k in run.nodes[1:]]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order), dtype=order.dtype)
+        return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(held[1][node[1:]])).take(pa.array(back))
+
+    def _end_with(self, fresh: np.ndarray, size: int, data: np.ndarray, node: np.ndarray, last: np.ndarray, held: np.ndarray) -> None:
+        """Fill in the prefixes of so many bytes that end at fresh, as Run does it for one."""
+        found, state, todo = [], np.zeros(len(fresh), np.int64), np.arange(len(fresh))
+        for k in range(1, min(size, self.longest) + 1):
+            state = self.steps.get_indexer(state << 8 | data[fresh[todo] - k]) + 1
+            todo, state = todo[state > 0], state[state > 0]
+            if not len(todo):
+                break
+            found.append((todo, state))
+        for k in range(len(found), 0, -1):
+            todo, state = found[k - 1]
+            ends = fresh[todo]
+            start = node[ends - k] if k < size else np.zeros(len(ends), np.int64)
+            for side in (0, 1):
+                token = self.ends[side][state]
+                ask = np.flatnonzero((token >= 0) & (held[side][ends] == 0))
+                ask = ask[self.all_fit(last[start[ask]], token[ask])]
+                held[side][ends[ask]] = held[0][start[ask]] + 1
+                if not side:
+                    last[ends[ask]] = token[ask]
+        if (missing := np.flatnonzero((held[:, fresh] == 0).any(axis=0))).size:
+            end = int(fresh[missing[0]])
+            raise ValueError(f"no token of the vocabulary ends {data[end - size : end].tobytes()!r}")
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at the token's left (0) or right (1) border, the smallest first, each with the rank of the merge that ends it."""
         known = self.right if side else self.left
@@ -256,10 +337,9 @@ class PrefixCounts:
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.characters: dict[str, tuple[str, bytes]] = {}
         self.alone: dict[str, bool] = {}
-        # Kinds of characters as letters for _PIECES.
-        self.kinds: dict[int, str] = {}
+        # By code point: the kind, none yet if 0, and the code point that it becomes.
+        self.kinds, self.becomes = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint32)
         self.words: dict[str, bytes] = {}
-        self._note_kinds("".join(map(chr, range(128))))
 
     def _normal(self, cluster: str) -> list[tuple[str, bytes]]:
         """(kind, bytes) of each character that a cluster becomes; kinds are L, N, O for others, and empty for white space."""
@@ -343,49 +423,22 @@ class PrefixCounts:
             self.alone[c] = c.isascii() or not (unicodedata.combining(c) or unicodedata.category(c)[0] in "MC" or jamo)
         return self.alone[c]
 
-    def _note_kinds(self, characters: str) -> None:
-        for c in characters:
-            found = {kind or "W" for kind, _ in self._normal(c)}
-            self.kinds[ord(c)] = found.pop() if len(found) == 1 else "X"
-
-    def _of_plain(self, word: str) -> list[int] | None:
-        """of_word() for a word without apostrophes, special strings and characters that are composed with others: its pieces one by one.
-
-        None if a character becomes several of different kinds.
-        """
-        kinds = word.translate(self.kinds)
-        if not kinds.isascii():
-            self._note_kinds(word)
-            kinds = word.translate(self.kinds)
-        if "X" in kinds:
-            return None
-        out: list[int] = []
-        done, whole = 0, self.merges.whole_count
-        for piece in _PIECES.finditer(kinds):
-            start, end = piece.span()
-            if kinds[start] == "W":
-                out += [done] * (end - start)
-                continue
-            run = Run(self.merges)
-            said = word[start:end]
-            if said.isascii():
-                run.push(said.lower().encode())
-                out += [done + whole[n] for n in run.nodes[1:]]
-            else:
-                for c in said:
-                    for _, data in self._normal(c):
-                        run.push(data)
-                    out.append(done + whole[run.nodes[-1]])
-            done = out[-1]
-        return out
+    def _kinds_of(self, points: np.ndarray) -> np.ndarray:
+        """The kinds of code points. An odd one is composed with others, may begin a contraction or doesn't become one character."""
+        kinds = self.kinds[points]
+        if not kinds.all():
+            for p in np.unique(points[kinds == 0]).tolist():
+                found = self._normal(chr(p))
+                self.kinds[p] = _ODD
+                if len(found) == 1 and chr(p) != "'" and self._stands_alone(chr(p)):
+                    self.kinds[p], self.becomes[p] = _KINDS[found[0][0]], ord(found[0][1].decode())
+            kinds = self.kinds[points]
+        return kinds
 
     def of_word(self, word: str) -> list[int]:
         """The counts of the word's prefixes, from one character on."""
         out: list[int] = []
         special = [m for m in self.special if m in word]
-        if not special and "'" not in word and (word.isascii() or all(map(self._stands_alone, word))):
-            if (plain := self._of_plain(word)) is not None:
-                return plain
         s = _State()
         start = from_special = 0
         while start < len(word):
@@ -413,25 +466,52 @@ class PrefixCounts:
             lower = pc.if_else(pc.match_substring(lower, mark), words, lower)
         return lower
 
-    def differences(self, words: pa.Array) -> pa.ListArray:
-        """What each character of each word adds to the count."""
-        parts = []
-        for word in words.to_pylist():
-            held = self.words.get(word)
-            if held is None:
-                if len(self.merges.last) > HELD_PREFIXES:
-                    self.merges.forget()
-                held = array("i", self.of_word(word)).tobytes()
-                if len(word) <= HELD_LENGTH:
-                    if len(self.words) >= HELD_WORDS:
-                        self.words.clear()
-                    self.words[word] = held
-            parts.append(held)
-        values = np.frombuffer(b"".join(parts), np.int32)
-        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
-        differences = np.diff(values, prepend=np.int32(0))
-        differences[offsets[:-1]] = values[offsets[:-1]]
-        return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(differences))
+    def _held_word(self, word: str) -> bytes:
+        """of_word() as numbers of 32 bits, kept if the word is short."""
+        held = self.words.get(word)
+        if held is None:
+            if len(self.merges.last) > HELD_PREFIXES:
+                self.merges.forget()
+            held = array("i", self.of_word(word)).tobytes()
+            if len(word) <= HELD_LENGTH:
+                if len(self.words) >= HELD_WORDS:
+                    self.words.clear()
+                self.words[word] = held
+        return held
+
+    def differences(self, words: pa.Array) -> pa.LargeListArray:
+        """What each character of each word adds to the count; no word is empty."""
+        data, bounds = text_bytes(words)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+        kinds = self._kinds_of(points)
+        odd = np.logical_or.reduceat(kinds == _ODD, places[:-1])
+        for mark in self.special:
+            odd |= pc.match_substring(words, mark).to_numpy(zero_copy_only=False)
+        first = np.zeros(len(points), bool)
+        first[places[:-1]] = True
+        begins = first | (kinds == _N) | np.append(True, kinds[1:] != kinds[:-1])
+        out = np.zeros(len(points), np.int32)
+        single = np.repeat(odd, np.diff(places))
+        plain = ~single & (kinds != _BLANK)
+        if plain.any():
+            out[plain] = self._of_pieces(self.becomes[points[plain]], begins[plain])
+        if odd.any():
+            counted = np.frombuffer(b"".join(map(self._held_word, words.filter(pa.array(odd)).to_pylist())), np.int32)
+            out[single] = np.where(first[single], counted, np.diff(counted, prepend=np.int32(0)))
+        return pa.LargeListArray.from_arrays(pa.array(places, pa.int64()), pa.array(out))
+
+    def _of_pieces(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """What each character, normalised, adds to the count of its piece; where pieces begin is marked."""
+        data = points.astype(np.uint32).tobytes().decode("utf-32-le").encode()
+        ends = np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)
+        first = np.flatnonzero(begins)
+        offsets = np.append(np.append(0, ends)[first], len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        counted = self.merges.whole_counts(pieces.dictionary).take(pieces.indices).flatten().to_numpy()[ends - 1]
+        out = np.diff(counted, prepend=np.int32(0))
+        out[first] = counted[first]
+        return out
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """What each character of the texts in a row adds to its text's count, and where each text's characters begin, with the end."""

@@ -183,6 +183,33 @@ def test_states_may_be_forgotten(monkeypatch):
     test_prefix_counts_equal_the_tokenizer(None)
 
 
+def test_pieces_are_counted_together(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(prefixes.Run, "push", lambda *a, push=prefixes.Run.push: made.append(a[1]) or push(*a))
+    counter = prefixes.PrefixCounts(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    differences, places = counter.of_texts(pa.array(texts))
+    assert not made
+    assert np.add.reduceat(differences, places[:-1]).tolist() == [len(TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.differences(pa.array(["don't", "x" * 49, "x" * 48])).value_lengths().to_pylist() == [5, 49, 48]
+    assert b"x" * 49 in made and b"x" * 48 not in made
+
+
+def test_pieces_up_to_the_held_length_and_beyond():
+    rng = random.Random(12)
+    letters = ["a", "e", "T", "S", "th", "ing", "er", "é", "É", "日", "ß", "ſ", "ñ"]
+    breaks = ["7", "²", "...", "-", "日。", "🎉", "\xa0", "\x00"]
+    words = []
+    for size in [*range(1, 60), 95, 96, 97, 300]:
+        word = "".join(rng.choice(letters) for _ in range(size))
+        words += [word[:size], word[: size // 2] + rng.choice(breaks) + word[size // 2 :], word[: size - 1] + rng.choice(breaks) * 3]
+    counter = prefixes.PrefixCounts(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):
+        found = counter.differences(pa.array(words)).to_pylist()
+        for word, steps in zip(words, found, strict=True):
+            assert np.cumsum(steps).tolist() == [len(TOKENIZER.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)], word
+
+
 def test_counts_of_odd_rows(spark, odd, empty):
     found = prefixes.prefix_counts(odd)
     assert found.columns == [*odd.columns, "_n_tokens", "_prefix_counts"]
