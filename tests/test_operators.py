@@ -3,6 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quorumlake.functions import text
 from quorumlake.operators import link, search, segment
 from quorumlake.storage import checkpointed
 from quorumlake.sources import html, readers, sinks
@@ -194,6 +195,31 @@ def test_terms_without_diacritics(spark):
     assert records("piffl-perčević", "Peter Piffl-Perčević", "Piffl, Percevic", "anderes") == ["r0", "r1"]
 
 
+def test_a_clause_does_not_reach_from_the_plain_into_the_folded_form(spark):
+    assert [r for s, r in found(spark, "oeh-kinder", "Kinder ä oeh", "ä oeh kinder") if s == "oeh-kinder"] == ["r1"]
+
+
+def test_matches_without_an_index(spark):
+    texts = ("Kosten der ÖH-Kindergärten", "ÖH und Kindergarten", "Kindergarten ÖH", "OEH Kindergartenplatz", "die oeh-kinder", "Kinder ä oeh", " ", "Café am Eck", "CAFÉ-Eck, Ecke")
+    records = spark.createDataFrame([(f"r{k}", t, t[:9], "2024-01-01") for k, t in enumerate(texts)], "record_id string, title string, body string, date string")
+    chunked = search.chunks(records, {"titel": F.col("title"), "quellenausschnitt": F.col("body")}, kept=("date",))
+    queries = spark.createDataFrame([(1, "oeh-kindergarten"), (2, "Cafés oder oeh-kinder"), (3, "cafe-eck"), (4, "fehlt")], "query_id int, query string")
+    found = search.with_fields(search.matches_in(chunked, queries, ("date",))).drop("date")
+    rows = lambda f: sorted(tuple(r) for r in f.select("query_id", "record_id", "score", "fields", "chunks").collect())
+    assert rows(found) == rows(search.matches(search.postings(chunked), queries)) != []
+    got = lambda f: sorted(tuple(r) for r in f.collect())
+    assert got(search.results_in(chunked, records, queries)) == got(search.results(search.postings(chunked), chunked, records, queries))
+
+
+def test_clipped_beginnings(spark):
+    texts = ["a  b" * 400, "x" * 1200, " " * 1100 + "spät " * 100, "kurz ", "wort " * 52, "wort " * 53, "ende;, " * 40]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in rows.select("t", text.clip_words(F.col("t"), 260).alias("c")).collect():
+        plain = " ".join(r.t.split())
+        cut = plain[:260]
+        assert r.c == (plain if len(plain) <= 260 else (cut[: cut.rindex(" ")].rstrip(" ,;:") if " " in cut else cut) + ".")
+
+
 def test_a_stored_index_is_sorted_by_term(spark, tmp_path):
     _, chunked = searched(spark, "b a c", "a b", "zz a")
     stored = search.stored_index(chunked, str(tmp_path / "index"))
