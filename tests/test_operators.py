@@ -211,6 +211,14 @@ def test_matches_without_an_index(spark):
     assert got(search.results_in(chunked, records, queries)) == got(search.results(search.postings(chunked), chunked, records, queries))
 
 
+def test_passages_that_begin_or_end_within_words(spark):
+    passages = ["stellungnahmen zur Sitzung", "zur Sitzung der Bezirksvorstehung", "kurz und gut", "Wort", "", " lange Vorbereitungen da", "ein langweiliges Wort", "ganz anderes hier"]
+    texts = ["Alle Stellungnahmen zur Sitzungsperiode", "vorab zur Sitzung der Bezirksvorstehungen.", "zukurz und gutes Wort", "lange  Vorbereitungen da", "zu lange Vorbereitungen davor", "kein langweiliges Worten", "", None]
+    rows = lambda values, names: spark.createDataFrame(list(enumerate(values)), names)
+    got = search.holding(rows(texts, "record_id int, text string"), rows([*passages, None], "query_id int, passage string"))
+    assert sorted((r.query_id, r.record_id) for r in got.collect()) == [(q, k) for q, p in enumerate(passages) for k, t in enumerate(texts) if t is not None and p in t]
+
+
 def test_clipped_beginnings(spark):
     texts = ["a  b" * 400, "x" * 1200, " " * 1100 + "spät " * 100, "kurz ", "wort " * 52, "wort " * 53, "ende;, " * 40]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
