@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text
+from quorumlake.operators import search
+from quorumlake.storage import stored
 
 #: Least score of an answer source by the number of question words.
 MINIMUM_SHARE = 0.35
@@ -18,15 +20,19 @@ def question_scores(queries: DataFrame, sources: DataFrame) -> DataFrame:
     all occur; a source needs 1 for up to two words, else 35% of the words and at
     least 2. Words meet by equality of folded words, so no pair is made without one.
     """
-    asked = queries.select("query_id", text.search_text(F.col("query")).alias("whole"), F.filter(text.query_tokens(F.col("query")), lambda t: F.length(t) >= 4).alias("tokens"))
-    wanted = asked.select("query_id", F.explode("tokens").alias("word"))
-    said = sources.select("source_id", F.explode(F.array_distinct(F.split(text.search_text(F.concat_ws(" ", "title", "body")), " "))).alias("word"))
-    headed = sources.select("source_id", F.explode(F.array_distinct(F.split(text.search_text(F.col("title")), " "))).alias("word"), F.lit(1).alias("in_title"))
-    hits = wanted.join(said, "word").join(headed, ["source_id", "word"], "left").groupBy("query_id", "source_id").agg(F.count("*").alias("matched"), F.count("in_title").alias("in_title"))
-    rows = hits.join(asked, "query_id").join(sources.select("source_id", text.search_text(F.concat_ws(" ", "title", "body")).alias("folded")), "source_id")
-    n = F.size("tokens")
-    exact = F.when((F.length("whole") >= 6) & F.contains("folded", "whole"), 8).otherwise(0)
-    score = exact + 3 * F.col("in_title") + F.col("matched") + F.when(F.col("matched") == n, 4).otherwise(0)
+    asked = stored(queries.select("query_id", text.search_text(F.col("query")).alias("passage"), F.filter(text.query_tokens(F.col("query")), lambda t: F.length(t) >= 4).alias("tokens")), "questions")
+    wanted = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
+    split = lambda c: F.split(text.search_text(c), " ")
+    words = sources.select("source_id", F.array_distinct(split(F.concat_ws(" ", "title", "body"))).alias("words"), split(F.col("title")).alias("heads"))
+    said = words.select("source_id", "heads", F.explode("words").alias("word"))
+    # Only a row for each question and source is dealt out, no text.
+    met = said.join(search.sent(wanted, wanted.count()), "word").withColumn("in_title", F.array_contains("heads", F.col("word")).cast("int"))
+    hits = met.groupBy("query_id", "source_id", "n").agg(F.count("*").alias("matched"), F.sum("in_title").alias("in_title"))
+    texts = sources.select(F.col("source_id").alias("record_id"), text.search_text(F.concat_ws(" ", "title", "body")).alias("text"))
+    whole = search.holding(texts, asked.where(F.length("passage") >= 6)).distinct().select("query_id", F.col("record_id").alias("source_id"), F.lit(8).alias("exact"))
+    rows = hits.join(whole, ["query_id", "source_id"], "left")
+    n = F.col("n")
+    score = F.coalesce("exact", F.lit(0)) + 3 * F.col("in_title") + F.col("matched") + F.when(F.col("matched") == n, 4).otherwise(0)
     least = F.when(n <= 2, 1).otherwise(F.greatest(F.lit(2), F.ceil(MINIMUM_SHARE * n)))
     return rows.withColumn("score", score.cast("long")).where(F.col("score") >= least).select("query_id", "source_id", "score", "matched")
 
