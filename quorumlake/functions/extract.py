@@ -121,11 +121,8 @@ def amount_value(amount: Column) -> Column:
 
 def places(value: Column, around: int = 80) -> Column:
     """array<struct(type, value, context, confidence)>: public places with their surroundings, words that only look like places left out."""
-    plain = squeeze(value)
-    sides = []
-    for kind, pattern in PLACES:
-        if kind in NOT_PUBLIC:
-            continue
+
+    def side(plain: Column, kind: str, pattern: str) -> Column:
         found = F.filter(first_distinct(all_of(plain, pattern)), lambda p: ~F.lower(p).isin(*NOT_PLACES))
 
         def entry(p: Column) -> Column:
@@ -133,8 +130,11 @@ def places(value: Column, around: int = 80) -> Column:
             begin = F.greatest(at - around, F.lit(1))
             return F.struct(F.lit(kind).alias("type"), p.alias("value"), F.trim(F.substring(plain, begin, at - begin + F.length(p) + around)).alias("context"), F.lit(0.75).alias("confidence"))
 
-        sides.append(F.transform(found, entry))
-    return F.concat(*sides)
+        return F.transform(found, entry)
+
+    # As an element of an array the text is worked out once, not for each kind and place.
+    sides = lambda plain: F.concat(*[side(plain, kind, pattern) for kind, pattern in PLACES if kind not in NOT_PUBLIC])
+    return F.transform(F.array(squeeze(value)), sides)[0]
 
 
 def status_of(value: Column) -> Column:

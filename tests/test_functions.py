@@ -71,6 +71,20 @@ def test_amounts_are_those_applied_for(spark):
     assert of("Zaun", "Der Antrag wurde vertagt.", wanted) == []
 
 
+def test_file_titles_keep_numbers_that_are_no_date(spark):
+    title = lambda name: one(spark, labels.file_title(F.lit(f"https://x.example.org/a/{name}?x=1")))
+    assert title("1998-06-15_Bebauungsplan_KG_Waltendorf_EZ_123456.pdf") == "Bebauungsplan KG Waltendorf EZ 123456"
+    assert title("980615_Antrag_zu_EZ_123456.pdf") == "Antrag zu EZ 123456"
+    assert title("Antrag_980615.pdf") == "Antrag"
+    assert title("Konto_1234567.pdf") == "Konto 1234567"
+
+
+def test_the_text_of_places_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("Annenstraße, Hauptplatz und Stadtpark an der Keplerbrücke",)], ["t"]).select(extract.places(F.concat("t", F.lit(" einmal"))).alias("x"))
+    assert len(rows.first()["x"]) == 7
+    assert rows._jdf.queryExecution().analyzed().toString().count(" einmal") == 1
+
+
 def test_places_within_the_budget(spark):
     def of(*body):
         frame = spark.createDataFrame([("Bau", "\n".join(body))], "h string, b string")
