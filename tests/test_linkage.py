@@ -135,3 +135,11 @@ def test_linkage_of_nothing(spark):
     empty = spark.createDataFrame([], "day string, kind string, id long, title string, item_no int")
     assert link.link_one_to_one(empty, empty, ["day", "kind"]).count() == 0
     assert link.similar_titles(empty, empty, ["day"]).count() == 0
+
+
+def test_titles_without_a_ratio_make_no_index_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(link, "_gram_index", None)
+    left = spark.createDataFrame([(1, "d", "Sanierung der Annenstraße"), (2, "d", "Kanal"), (3, "d", "Umbau Volksschule Nord")], "id long, day string, title string")
+    right = spark.createDataFrame([(5, "d", "Betreff Sanierung der Annenstraße Bauteil 2"), (6, "d", "Kanal"), (2, "d", "Kanal"), (7, "d", "Volksschule Nord"), (8, "d", "Sanierung der Annenstrasse"), (9, "e", "Kanal")], "id long, day string, title string")
+    got = sorted(tuple(r) for r in link.similar_titles(left, right, ["day"], fuzzy=False).collect())
+    assert got == [(1, 5, 0.9), (2, 6, 1.0), (3, 7, 0.9)]
