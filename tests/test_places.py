@@ -83,3 +83,11 @@ def test_walk_from_nowhere(spark):
     links = spark.createDataFrame([], "url string, pos long, target string")
     assert html.crawl_within(pages, links, spark.createDataFrame([], "url string, pos long"), 40).count() == 0
     assert [(r.url, r.error) for r in html.crawl_within(pages, links, spark.createDataFrame([("a", 1)], "url string, pos long"), 40).collect()] == [("a", "not stored")]
+
+
+def test_matched_pairs_are_not_dealt_out_again(spark):
+    works = spark.createDataFrame([(1, "Annenstraße Kai", None, None)], "id int, text string, start_date date, end_date date")
+    got = link.subscribed(works, spark.createDataFrame([(7, "annen", None, None, None), (8, None, "x", None, None)], "sub int, street string, district string, start_date date, end_date date"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+    assert [tuple(r) for r in got.collect()] == [(7, 1)]
