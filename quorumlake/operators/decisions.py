@@ -205,8 +205,13 @@ class _Panel(HTMLParser):
             self.block["after"].append(data)
 
 
+#: So many blocks at most are held before they are given on, however many pages a batch has.
+BLOCKS_HELD = 20_000
+
+
 def panel_blocks(pages: DataFrame, tab: str) -> DataFrame:
     """(page_id, pos, text, href, entry, primary, inline) of the leaf blocks under a tab of pages (page_id, html)."""
+    names = ["page_id", "pos", "text", "href", "entry", "primary", "inline"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -220,7 +225,10 @@ def panel_blocks(pages: DataFrame, tab: str) -> DataFrame:
                     entry = "Einlagezahl" in said and "document" in b["href"]
                     if said:
                         out.append((page, k, said, b["href"], entry, entry and b["code"], " ".join("".join(b["after"]).split()) if entry else ""))
-            yield pd.DataFrame(out, columns=["page_id", "pos", "text", "href", "entry", "primary", "inline"])
+                    if len(out) == BLOCKS_HELD:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            yield pd.DataFrame(out, columns=names)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, pos int, text string, href string, entry boolean, primary boolean, inline string")

@@ -114,3 +114,15 @@ def test_places_from_long_texts_need_a_mention(spark):
     assert of(["Aweg"], 9, "Umbau der Bgasse") == ["Aweg", "Bgasse"]
     assert of(["Aweg", "Bgasse", "Cweg", "Dplatz"], 4, "Umbau der BGASSE in Gries") == ["Bgasse", "Gries"]
     assert of(["Aweg", "Bgasse", "Cweg", "Dplatz"], 3, "in Griesheim") == ["Aweg", "Bgasse", "Cweg", "Dplatz"]
+
+
+def test_blocks_of_many_pages_are_given_on_in_parts(spark, monkeypatch):
+    page = '<ul class="ui-tabs-nav"><li><a href="#t1">Tagesordnung</a></li></ul><div id="t1"><div class="preview">' + "<p>eins</p><p>zwei</p>" * 4 + "</div></div>"
+    pages = spark.createDataFrame([(k, page) for k in range(5)], "page_id long, html string")
+    whole = sorted(tuple(r) for r in decisions.panel_blocks(pages, "Tagesordnung").collect())
+    assert len(whole) == 40
+    monkeypatch.setattr(decisions, "BLOCKS_HELD", 3)
+    frames = []
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: frames.extend(run([self.toPandas()])))
+    decisions.panel_blocks(pages, "Tagesordnung")
+    assert max(len(f) for f in frames) == 3 and sum(len(f) for f in frames) == 40
